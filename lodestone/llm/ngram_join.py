@@ -8,12 +8,14 @@ some choice of n2 - k2 cells is equal in both. A signature is the hash of one su
 quarter; a set also signs for the next bands that a partner can lie in.
 
 Choices without elements say nothing and give no signature. A set with more parts touched by these than the band has
-parts to spare also signs its prefix (the smallest hashes, one more than may be missing), which any two similar sets
-share; thus no link is lost.
+parts to spare also signs the prefix of its elements for that band (the smallest hashes, one more than may be missing),
+which any two similar sets share; thus no link is lost.
 
-Candidates of one signature are first compared with the smallest among them. Where that leaves a signature's sets in
-more than one component, the remaining pairs across components are compared, block by block. Every link is verified on
-whole sets with integer arithmetic.
+The sets of one signature are met in blocks of bounded size. A sketch of SKETCH_BITS parities bounds the difference of
+two sets from below, as an element changes one bit at most; what the bound rules out is no pair. First all sets of a
+signature are compared with HUBS of them. Where that leaves them in more than one component, the pairs across
+components are compared. Pairs within a component say nothing new and aren't made. Every link is verified on whole
+sets with integer arithmetic.
 
 Nulls and empty texts have the empty set and are linked with nothing; each is its own class. Rows that repeat an id
 are joined by their texts; the id's rows report the same way. Very long texts only make larger sets. Input columns
@@ -35,6 +37,10 @@ from . import _components, _shared, _words
 GROWTH = 1.25
 #: Signatures that a task gathers before it sends them on.
 FLUSH = 2_000_000
+SKETCH_BITS = 512
+HUBS = 4
+#: Sets of one signature that a task compares with each other at once.
+BLOCK_SETS = 2048
 _U = np.uint64
 
 
@@ -96,10 +102,19 @@ def sets(block: _words.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return size, node, doc, value
 
 
+def sketches(n_docs: int, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each document SKETCH_BITS parities: how many elements each bit has, modulo 2."""
+    bit = (_words.mix(value ^ _U(0x8EBC6AF09C88C6E3)) % _U(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(doc * SKETCH_BITS + bit, minlength=n_docs * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_docs, SKETCH_BITS), axis=1)
+
+
 def signatures(bands: Bands, size: np.ndarray, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document and signature; the elements are sorted by document and hash."""
     docs, signs = [], []
-    hard = np.zeros(len(size), bool)
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
+    length = size - (-(-size * bands.num // bands.den)) + 1
+    early = np.arange(len(doc)) - first[doc] < length[doc]
     own, top = bands.of(size), bands.of(size * bands.den // bands.num)
     x = _words.mix(value + _U(0x2545F4914F6CDD1D))
     for ahead in range(int((top - own).max(initial=0)) + 1):
@@ -130,13 +145,11 @@ def signatures(bands: Bands, size: np.ndarray, doc: np.ndarray, value: np.ndarra
                 bare |= ~full
                 signs.append(_words.mix(s + _words.mix(place + _U(i)))[full])
                 docs.append(chosen[owner[full]])
-            hard[chosen] |= np.bincount(owner[bare], minlength=len(chosen)) > bands.spare[band[chosen]]
-    if hard.any():
-        first = np.concatenate(([0], np.cumsum(size)))[:-1]
-        length = size - (-(-size * bands.num // bands.den)) + 1
-        use = hard[doc] & (np.arange(len(doc)) - first[doc] < length[doc])
-        docs.append(doc[use])
-        signs.append(_words.mix(value[use] ^ _U(0xA0761D6478BD642F)))
+            hard = np.zeros(len(size), bool)
+            hard[chosen] = np.bincount(owner[bare], minlength=len(chosen)) > bands.spare[band[chosen]]
+            use = hard[doc] & early
+            docs.append(doc[use])
+            signs.append(_words.mix(_words.mix(value[use] ^ _U(0xA0761D6478BD642F)) + band[doc[use]].astype(_U)))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     return np.concatenate(docs), np.concatenate(signs)
@@ -191,7 +204,7 @@ def _signed(bands: Bands, n: int, buckets: int):
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each signature with two sets or more: the group's hash, its size and its members."""
+    """Of each signature with two sets or more: the group's hash, its size, its members and their place in it."""
     by: dict[int, list] = {}
     for batch in batches:
         for bucket, nodes, counts, signs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -224,10 +237,64 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fresh[i] = True
         keep = fresh[group]
         group, member = group[keep], member[keep]
-        hub = node[start][group]
+        nth = member - start[group]
         for a in range(0, len(group), 100_000):
             b = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name[group[b]], node[member[b]], hub[b])] + [pa.array(n[group[b]])], ["grp", "node", "hub", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name[group[b]], node[member[b]])] + [pa.array(n[group[b]]), pa.array(nth[b])], ["grp", "node", "n", "nth"])
+
+
+def _close(num: int, den: int):
+    """Pairs of a block that the sketches and sizes don't rule out: hubs with all, or left with right across roots."""
+
+    def compare(rows: pa.Table, known: set) -> list[tuple[int, int]]:
+        side, node, root, size = (rows.column(c).to_numpy() for c in ("side", "node", "root", "n_shingles"))
+        order = np.argsort(size, kind="stable")
+        side, node, root, size = side[order], node[order], root[order], size[order]
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), _U).reshape(len(node), -1)[order]
+        found = []
+        ones = np.flatnonzero(side != 2)
+        if (side == 0).any():
+            ones = np.flatnonzero(side == 0)
+        for i in ones:
+            # sizes of partners lie within the similarity's ratio; in one block each pair is met from its smaller set
+            low = 0 if side[i] != 3 else i + 1
+            a = max(low, int(np.searchsorted(size, -(-size[i] * num // den))))
+            b = int(np.searchsorted(size, size[i] * den // num, side="right"))
+            at = np.arange(a, b)
+            if side[i] == 1:
+                at = at[side[a:b] == 2]
+            at = at[(root[at] != root[i]) & (node[at] != node[i])]
+            if len(at):
+                apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                at = at[apart <= (den - num) * (size[at] + size[i]) // (den + num)]
+                for other in node[at].tolist():
+                    pair = (min(other, int(node[i])), max(other, int(node[i])))
+                    if pair not in known:
+                        known.add(pair)
+                        found.append(pair)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set = set()
+        held: list[pa.RecordBatch] = []
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            pairs = compare(rows, known)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(int(a), int(b - a))
+                if held and held[0].column(0)[0] != part.column(0)[0]:
+                    yield out(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    return run
 
 
 def _linked(num: int, den: int):
@@ -253,20 +320,36 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sets(block, n)[:2] for _, _, block in _parsed(batch, 1)]
-            size, node = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, _U))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(node.view(np.int64))], ["_id", "n_shingles", "node"])
+            sizes, nodes, marks = [], [], []
+            for _, _, block in _parsed(batch, 1):
+                size, node, doc, value = sets(block, n)
+                sizes.append(size)
+                nodes.append(node)
+                marks += [x.tobytes() for x in sketches(block.n_docs, doc, value)]
+            size, node = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, _U), *nodes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node.view(np.int64)), pa.array(marks, pa.binary())], ["_id", "n_shingles", "node", "sketch"])
 
-    rows = _shared.staged(texts.mapInArrow(measure, texts.select("_id").schema.add("n_shingles", "long").add("node", "long")), "join-rows")
+    rows = _shared.staged(texts.mapInArrow(measure, texts.select("_id").schema.add("n_shingles", "long").add("node", "long").add("sketch", "binary")), "join-rows")
 
     parts = _shared.n_partitions(spark)
     signed = texts.select("_text").mapInArrow(_signed(bands, n, 2 * parts), "bucket int, nodes binary, counts binary, signs binary")
-    groups = _shared.staged(signed.repartition(parts, "bucket").mapInArrow(_matched, "grp long, node long, hub long, n long").distinct(), "join-groups")
-    stars = groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    groups = signed.repartition(parts, "bucket").mapInArrow(_matched, "grp long, node long, n long, nth long").dropDuplicates(["grp", "node"])
+    marks = rows.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    groups = _shared.staged(groups.join(marks, "node"), "join-groups")
+
+    def pairs(blocks: DataFrame) -> DataFrame:
+        laid = blocks.select("key", "side", "node", "root", "n_shingles", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        return laid.mapInArrow(_close(num, den), "a long, b long").distinct()
+
+    lots = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
+    own_lot = F.pmod(F.xxhash64("node"), lots).cast("int")
+    # every lot of a signature's sets meets its hubs
+    hub = F.col("nth") < HUBS
+    dealt = groups.withColumn("lot", F.explode(F.when(hub, F.sequence(F.lit(0), lots - 1)).otherwise(F.array(own_lot))))
+    stars = pairs(dealt.select(F.xxhash64("grp", "lot").alias("key"), F.when(hub, 0).otherwise(1).alias("side"), "node", F.col("node").alias("root"), "n_shingles", "sketch"))
 
     # sets of the candidates only, each from one document
-    wanted = groups.select("node").distinct()
-    owners = rows.join(wanted, "node").groupBy("node").agg(F.min("_id").alias("_id"))
+    owners = groups.groupBy("node").agg(F.min("_id").alias("_id"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,13 +371,13 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     links = verified(stars, "join-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = _components.components(links)
 
-    # signatures whose sets aren't all in one component yet: compare what is left across the components
-    labelled = groups.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # signatures whose sets aren't all in one component yet: what is left across the components
+    labelled = groups.where(F.col("n") > 2).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = labelled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-    left = labelled.join(split, "grp").select("grp", "node", "hub", "root")
-    other = left.select("grp", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = left.where("node <> hub").join(other, "grp").where("node < b AND root <> rb AND b <> hub").select(F.col("node").alias("a"), "b").distinct()
-    more = verified(rest, "join-more").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    left = labelled.join(split, "grp").withColumns({"mine": own_lot, "lot": F.explode(F.sequence(F.lit(0), lots - 1))})
+    side = F.when(F.col("mine") == F.col("lot"), 3).when(F.col("mine") < F.col("lot"), 1).otherwise(2)
+    rest = pairs(left.select(F.xxhash64("grp", F.least("mine", "lot"), F.greatest("mine", "lot")).alias("key"), side.alias("side"), "node", "root", "n_shingles", "sketch"))
+    more = verified(rest.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), "join-more").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not more.isEmpty():
         roots = _components.components(links.union(more))
     return rows, roots
