@@ -82,13 +82,14 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     doc = ["_bucket", "_nth", "_guest", "_id", "n_chars", "edited_sha256"]
     # an empty term for each text keeps those without words; it has no weight
     both = F.array(F.struct(F.lit(0).alias("side"), F.concat(F.array(F.lit("")), _words("_text")).alias("words")), F.struct(F.lit(1).alias("side"), F.when(F.col("_guest"), F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), _words("_edited"))).alias("words")))
-    sides = rows.select(*doc, F.explode(both).alias("_x")).select(*doc, F.col("_x.side").alias("_side"), F.explode("_x.words").alias("_word"))
-    terms = sides.groupBy("_bucket", "_nth", F.xxhash64("_word").alias("_term")).agg(
+    sides = rows.select("_bucket", "_nth", "_id", F.explode(both).alias("_x")).select("_bucket", "_nth", "_id", F.col("_x.side").alias("_side"), F.explode("_x.words").alias("_word"))
+    # with the id among the keys, both readers of the dealt texts need the same columns, and share one exchange
+    terms = sides.groupBy("_bucket", "_nth", "_id", F.xxhash64("_word").alias("_term")).agg(
         F.sum(F.when((F.col("_side") == 0) & (F.col("_word") != ""), 1.0).otherwise(0.0)).alias("_w0"),
         F.sum(F.when((F.col("_side") == 1) & (F.col("_word") != ""), 1.0).otherwise(0.0)).alias("_w1"),
     )
-    logs = terms.select("_bucket", "_nth", "_term", F.when(F.col("_w0") > 0, F.log("_w0")).alias("_l0"), F.when(F.col("_w1") > 0, F.log("_w1")).alias("_l1"))
-    least = logs.groupBy("_bucket", "_nth").agg(*[F.min(_value(i, f"_l{s}")).alias(f"_m{s}_{i}") for s in (0, 1) for i in range(samples)])
+    logs = terms.select("_bucket", "_nth", "_id", "_term", F.when(F.col("_w0") > 0, F.log("_w0")).alias("_l0"), F.when(F.col("_w1") > 0, F.log("_w1")).alias("_l1"))
+    least = logs.groupBy("_bucket", "_nth", "_id").agg(*[F.min(_value(i, f"_l{s}")).alias(f"_m{s}_{i}") for s in (0, 1) for i in range(samples)])
     def symbol(column: str) -> Column:
         return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.xxhash64(column).bitwiseAND(F.lit(0x7FFF))).cast("short")
 
