@@ -499,11 +499,12 @@ def hybrid_search(spark, d):
 
 @_add("hybrid_batch")
 def hybrid_batch(spark, d):
-    """A search for each first user turn whose conversation id is divisible by 20."""
+    """A search by the three longest words of the first turn, for each conversation whose id is divisible by 20."""
     said = A.read(spark, d, "conversations").where("conv_id % 20 = 0 AND text IS NOT NULL")
     first = said.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("n = 1")
-    queries = first.select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
-    return hybrid.batch(tables(spark, d), queries)
+    words = F.array_distinct(F.transform(text.tokens("text"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    queries = first.select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.array_sort(words), 1, 3)["w"], " ").alias("query"))
+    return hybrid.batch(tables(spark, d), queries, mode="or")
 
 
 def queries() -> dict[str, Query]:
