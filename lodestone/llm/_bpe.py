@@ -77,19 +77,50 @@ class ByteCoder(_Coder):
 class WordCoder(_Coder):
     """Vocabularies of lower-cased words that drop white space and never merge across it.
 
-    What lies between spaces and line ends is encoded by itself, once while it is kept.
+    What lies between spaces and line ends is encoded by itself, once while it is kept. A piece of letters, with or
+    without a full stop or the like after it, is a word and that mark; words are kept by themselves, so their capitals
+    and marks cost nothing more. Other pieces go to the vocabulary's own tokenizer.
     """
 
     def __init__(self, json: str):
         super().__init__(json)
         self.tokens = {i: t for t, i in self.model.get_vocab().items()}
+        self.words: dict[str, bytes] = {}
+        self.merge = self.model.model.tokenize
+        self.char = {b: c for c, b in _byte_of().items()}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= KEEP:
+                self.words.clear()
+            as_bytes = word if word.isascii() else "".join(map(self.char.__getitem__, word.encode()))
+            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(as_bytes)])
+        return found
+
+    def _learn(self, missing: set[str]) -> None:
+        if len(self.ids) + len(missing) > KEEP:
+            self.ids = {"": b""}
+        other = []
+        for piece in missing:
+            # below U+0180 each letter has one lower-case form and one composed form
+            if piece.isascii() or max(piece) < "\u0180":
+                word, mark = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1:])
+                low = word.lower()
+                if word.isalpha() and low.isalpha() and (not mark or mark in ".,;:!?"):
+                    self.ids[piece] = self._word(low) + (self._word(mark) if mark else b"")
+                    continue
+            other.append(piece)
+        for i in range(0, len(other), 5000):
+            self.ids.update(zip(other[i : i + 5000], self._whole(other[i : i + 5000]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*pieces)
         missing = words.difference(self.ids)
         if len(self.ids) + len(missing) > KEEP:
-            missing = words - {""}
+            # the table begins anew; all that this batch needs must be in it
+            missing = words
         self._learn(missing)
         get = self.ids.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
