@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _shared
 
-SAMPLES = 48
+SAMPLES = 32
 SEED = 11
 
 
@@ -39,8 +39,9 @@ def _value(i: int, log_weight: str) -> Column:
     return log_c - r * (F.floor(F.col(log_weight) / r + b) - b + F.lit(1.0))
 
 
-def _words(text: str) -> Column:
-    return F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def _words(text: Column) -> Column:
+    """The words of a text, perhaps with empty strings among them; at least one string."""
+    return F.split(text, "[\\x20\\x09-\\x0D]+")
 
 
 def in_ranges(docs: DataFrame, id_col: str) -> DataFrame:
@@ -76,17 +77,23 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     rows = ranged.select("_bucket", "_guest", "_id", "_text", F.row_number().over(order).alias("_nth"), F.lead("_text").over(order).alias("_next"))
     n = F.length("_text")
     cut = F.floor(n / 3).cast("int")
-    rows = rows.withColumns({"n_chars": n.cast("long"), "_edited": F.concat(F.substring("_text", F.lit(1), n - cut), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut))})
-    rows = rows.withColumn("edited_sha256", F.when(~F.col("_guest"), F.sha2(F.col("_edited"), 256)))
+    rows = rows.withColumns({"n_chars": n.cast("long"), "_head": F.substring("_text", F.lit(1), n - cut), "_new": F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut)})
+    rows = rows.withColumn("edited_sha256", F.when(~F.col("_guest"), F.sha2(F.concat("_head", "_new"), 256)))
 
     doc = ["_bucket", "_nth", "_guest", "_id", "n_chars", "edited_sha256"]
-    # an empty term for each text keeps those without words; it has no weight
-    both = F.array(F.struct(F.lit(0).alias("side"), F.concat(F.array(F.lit("")), _words("_text")).alias("words")), F.struct(F.lit(1).alias("side"), F.when(F.col("_guest"), F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), _words("_edited"))).alias("words")))
-    sides = rows.select("_bucket", "_nth", "_id", F.explode(both).alias("_x")).select("_bucket", "_nth", "_id", F.col("_x.side").alias("_side"), F.explode("_x.words").alias("_word"))
-    # with the id among the keys, both readers of the dealt texts need the same columns, and share one exchange
+    # both texts have the words before the last white space of what they share; after it each has its own
+    shared = F.regexp_extract("_head", "(?s)^.*[\\x20\\x09-\\x0D]", 0)
+    rest = F.substring(F.col("_head"), F.length("_shared") + 1, F.length("_head"))
+    split = rows.select("_bucket", "_nth", "_id", "_guest", "_text", "_head", "_new", shared.alias("_shared"))
+    parts = [(0, F.col("_shared")), (1, F.concat(rest, F.substring(F.col("_text"), F.length("_head") + 1, F.length("_text")))), (2, F.when(F.col("_guest"), F.lit("")).otherwise(F.concat(rest, "_new")))]
+    listed = F.array(*[F.struct(F.lit(i).alias("side"), _words(t).alias("words")) for i, t in parts])
+    sides = split.select("_bucket", "_nth", "_id", F.explode(listed).alias("_x")).select("_bucket", "_nth", "_id", F.col("_x.side").alias("_side"), F.explode("_x.words").alias("_word"))
+    # with the id among the keys, both readers of the dealt texts need the same columns, and share one exchange;
+    # the empty string is a term without weight, which keeps texts without words
+    real = F.col("_word") != ""
     terms = sides.groupBy("_bucket", "_nth", "_id", F.xxhash64("_word").alias("_term")).agg(
-        F.sum(F.when((F.col("_side") == 0) & (F.col("_word") != ""), 1.0).otherwise(0.0)).alias("_w0"),
-        F.sum(F.when((F.col("_side") == 1) & (F.col("_word") != ""), 1.0).otherwise(0.0)).alias("_w1"),
+        F.sum(F.when(real & (F.col("_side") != 2), 1.0).otherwise(0.0)).alias("_w0"),
+        F.sum(F.when(real & (F.col("_side") != 1), 1.0).otherwise(0.0)).alias("_w1"),
     )
     logs = terms.select("_bucket", "_nth", "_id", "_term", F.when(F.col("_w0") > 0, F.log("_w0")).alias("_l0"), F.when(F.col("_w1") > 0, F.log("_w1")).alias("_l1"))
     least = logs.groupBy("_bucket", "_nth", "_id").agg(*[F.min(_value(i, f"_l{s}")).alias(f"_m{s}_{i}") for s in (0, 1) for i in range(samples)])
