@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def scan_files(spark: SparkSession, root: str, *, extensions: tuple[str, ...] =
     skipped.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
-    base = root.rstrip("/").removeprefix("file:").replace("//", "/")
-    below = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/"), f"^\\Q{base}\\E/?", "")
+    base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
+    below = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/"), f"^\\Q{base}\\E/?", "")
     folders = F.slice(F.split(below, "/"), 1, F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
     kept = F.regexp_extract(below, "(\\.[^./]+)$", 1).isin(*extensions) & ~F.arrays_overlap(folders, F.array(*map(F.lit, pruned)))
     return found.where(kept).select(below.alias("path"), F.decode("content", "UTF-8").alias("text"))
