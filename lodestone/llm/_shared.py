@@ -19,6 +19,8 @@ def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, as a row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    # a join of texts with a few chosen ids first drops, by a Bloom filter, most texts that aren't chosen
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,13 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """n keys of which each goes to another of n hash partitions."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("place")
+    found = spark.range(0, 40 * n + 1000, 1, 1).select("id", place).groupBy("place").agg(F.min("id").alias("key")).collect()
+    return [int(r["key"]) for r in sorted(found)]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -59,7 +59,7 @@ class Bands:
             k = (den - num) * 2 * top // (den + num)
             if k <= 3:
                 rows.append((k, 1, k, k + 2, 0))
-            elif k <= 11 or 5 * num < 4.2 * den:
+            elif k <= 11 or 4 * num < 3 * den:
                 spare = 0 if k <= 11 else max(1, (k // 3 + 1) // 12)
                 rows.append((k, k // 3 + 1 + spare, 2, 4, spare))
             else:
@@ -160,19 +160,19 @@ def _parsed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, _wor
         yield first, end, _words.parse(data, offsets, lower=True)
 
 
-def _signed(bands: Bands, n: int, buckets: int):
+def _signed(bands: Bands, n: int, keys: list[int]):
     """Signatures of the distinct sets of a task's documents, one row for each bucket: runs of 5 signature bytes."""
 
     def pack(signs: list, nodes: list) -> pa.RecordBatch:
         sign, node = np.concatenate(signs), np.concatenate(nodes)
-        bucket = (sign >> _U(40)) % _U(buckets)
+        bucket = (sign >> _U(40)) % _U(len(keys))
         order = np.lexsort((node, bucket))
         sign, node, bucket = sign[order], node[order], bucket[order]
         cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
         rows: dict[str, list] = {"bucket": [], "nodes": [], "counts": [], "signs": []}
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own, count = np.unique(node[a:b], return_counts=True)
-            rows["bucket"].append(int(bucket[a]))
+            rows["bucket"].append(keys[int(bucket[a])])
             rows["nodes"].append(own.tobytes())
             rows["counts"].append(count.astype(np.uint16 if count.max() < 65536 else np.uint32).tobytes())
             rows["signs"].append(sign[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
@@ -332,7 +332,7 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     rows = _shared.staged(texts.mapInArrow(measure, texts.select("_id").schema.add("n_shingles", "long").add("node", "long").add("sketch", "binary")), "join-rows")
 
     parts = _shared.n_partitions(spark)
-    signed = texts.select("_text").mapInArrow(_signed(bands, n, 2 * parts), "bucket int, nodes binary, counts binary, signs binary")
+    signed = texts.select("_text").mapInArrow(_signed(bands, n, _shared.spread_keys(spark, parts)), "bucket int, nodes binary, counts binary, signs binary")
     groups = signed.repartition(parts, "bucket").mapInArrow(_matched, "grp long, node long, n long, nth long").dropDuplicates(["grp", "node"])
     marks = rows.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     groups = _shared.staged(groups.join(marks, "node"), "join-groups")
@@ -348,9 +348,6 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     dealt = groups.withColumn("lot", F.explode(F.when(hub, F.sequence(F.lit(0), lots - 1)).otherwise(F.array(own_lot))))
     stars = pairs(dealt.select(F.xxhash64("grp", "lot").alias("key"), F.when(hub, 0).otherwise(1).alias("side"), "node", F.col("node").alias("root"), "n_shingles", "sketch"))
 
-    # sets of the candidates only, each from one document
-    owners = groups.groupBy("node").agg(F.min("_id").alias("_id"))
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want, found, blobs = batch.column(1).to_numpy(zero_copy_only=False), [], []
@@ -362,9 +359,15 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
                     blobs.append(value[cut[i] : cut[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["node", "elements"])
 
-    held = _shared.staged(texts.join(owners, "_id").select("_text", "node").mapInArrow(gather, "node long, elements binary").dropDuplicates(["node"]), "join-sets")
+    own = groups.groupBy("node").agg(F.min("_id").alias("_id"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are linked: whole sets of their documents only, each from one row, are compared."""
+        pairs = _shared.staged(pairs, f"{name}-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        owners = _shared.staged(own.join(ends, "node"), f"{name}-owners").where(F.col("node") >= F.lit(-(1 << 63)))
+        held = texts.join(owners, "_id").select("_text", "node").mapInArrow(gather, "node long, elements binary").dropDuplicates(["node"])
+        held = _shared.staged(held, f"{name}-sets")
         both = pairs.join(held.withColumnsRenamed({"node": "a", "elements": "ea"}), "a").join(held.withColumnsRenamed({"node": "b", "elements": "eb"}), "b")
         return _shared.staged(both.select("a", "b", "ea", "eb").mapInArrow(_linked(num, den), "a long, b long"), name)
 

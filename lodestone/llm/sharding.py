@@ -3,7 +3,7 @@
 Documents lie along the key (a hash of the text), so equal texts are neighbours. Candidate boundaries are counted
 exactly over all partitions and refined until each splitter is within the tolerance; then rows move once, to number
 the slots. Texts whose copies weigh more than the tolerance are placed one by one, heaviest first, onto the emptiest
-shard, and the splitters fill up what is left; a text that outweighs a quarter of a shard is dealt out in several
+shard, and the splitters fill up what is left; a text whose copies outweigh a shard is dealt out in several
 pieces by a hash of the id.
 
 A null text counts as empty (size 1). Null, repeated or tied ids are fine: each row gets a slot of its own. Input
@@ -37,7 +37,7 @@ def shard(docs: DataFrame, n_shards: int = 16, *, text_col: str = "text", id_col
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     full = max(1, total / n_shards)
     # at most n_shards / tolerance texts weigh more than this, whatever the corpus
-    heavy = [(r["_key"], r["bytes"], max(1, min(r["copies"], -(-4 * r["bytes"] // int(full + 1)))) if r["bytes"] > full / 4 else 1) for r in groups.where(F.col("bytes") > full * tolerance).collect()]
+    heavy = [(r["_key"], r["bytes"], max(1, min(r["copies"], -(-4 * r["bytes"] // int(full + 1)))) if r["bytes"] > full else 1) for r in groups.where(F.col("bytes") > full * tolerance).collect()]
     items = [(b, k, 1, 0) for k, b, n in heavy if n == 1]
     parted = spark.createDataFrame([(k, n) for k, _, n in heavy if n > 1] or [(-1, 1)], "_key long, _pieces int")
     if any(n > 1 for _, _, n in heavy):
@@ -51,7 +51,9 @@ def shard(docs: DataFrame, n_shards: int = 16, *, text_col: str = "text", id_col
     light = groups.join(F.broadcast(spark.createDataFrame([(k,) for k, _, _ in heavy] or [(-1,)], "_key long")), "_key", "left_anti")
     rest = total - sum(load)
     # fill the shards up to one level, as water would
-    level = next(v for v in ((rest + sum(sorted(load)[:m])) / m for m in range(n_shards, 0, -1)) if v >= sorted(load)[sum(1 for x in load if x <= v) - 1] and sum(max(0, v - x) for x in load) <= rest * 1.0000001 + 1)
+    low = sorted(load)
+    levels = [(rest + sum(low[:m])) / m for m in range(1, n_shards + 1)]
+    level = next((v for m, v in enumerate(levels, 1) if m == n_shards or v <= low[m]), 0.0)
     room, targets = 0.0, []
     for x in load[:-1]:
         room += max(0.0, level - x)
