@@ -17,7 +17,8 @@ signature are compared with HUBS of them. Where that leaves them in more than on
 components are compared. Pairs within a component say nothing new and aren't made. Every link is verified on whole
 sets with integer arithmetic.
 
-Nulls and empty texts have the empty set and are linked with nothing; each is its own class. Rows that repeat an id
+Nulls and empty texts have the empty set and are linked with nothing; each is its own class. A row without an id is
+linked through rows of the same set that have one, and else with nothing, as results can't name it. Rows that repeat an id
 are joined by their texts; the id's rows report the same way. Very long texts only make larger sets. Input columns
 named like a result are replaced.
 """
@@ -37,7 +38,7 @@ from . import _components, _shared, _words
 GROWTH = 1.25
 #: Signatures that a task gathers before it sends them on.
 FLUSH = 2_000_000
-SKETCH_BITS = 512
+SKETCH_BITS = 256
 HUBS = 4
 #: Sets of one signature that a task compares with each other at once.
 BLOCK_SETS = 2048
@@ -334,11 +335,12 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     parts = _shared.n_partitions(spark)
     signed = texts.select("_text").mapInArrow(_signed(bands, n, _shared.spread_keys(spark, parts)), "bucket int, nodes binary, counts binary, signs binary")
     groups = signed.repartition(parts, "bucket").mapInArrow(_matched, "grp long, node long, n long, nth long").dropDuplicates(["grp", "node"])
-    marks = rows.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    groups = _shared.staged(groups.join(marks, "node"), "join-groups")
+    marks = rows.where("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    groups = _shared.staged(groups, "join-groups")
 
     def pairs(blocks: DataFrame) -> DataFrame:
-        laid = blocks.select("key", "side", "node", "root", "n_shingles", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        # sizes and sketches join last, so that all before moves short rows
+        laid = blocks.join(marks, "node").select("key", "side", "node", "root", "n_shingles", "sketch").repartition(parts, "key").sortWithinPartitions("key")
         return laid.mapInArrow(_close(num, den), "a long, b long").distinct()
 
     lots = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
@@ -346,7 +348,7 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     # every lot of a signature's sets meets its hubs
     hub = F.col("nth") < HUBS
     dealt = groups.withColumn("lot", F.explode(F.when(hub, F.sequence(F.lit(0), lots - 1)).otherwise(F.array(own_lot))))
-    stars = pairs(dealt.select(F.xxhash64("grp", "lot").alias("key"), F.when(hub, 0).otherwise(1).alias("side"), "node", F.col("node").alias("root"), "n_shingles", "sketch"))
+    stars = pairs(dealt.select(F.xxhash64("grp", "lot").alias("key"), F.when(hub, 0).otherwise(1).alias("side"), "node", F.col("node").alias("root")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,19 +361,21 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
                     blobs.append(value[cut[i] : cut[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["node", "elements"])
 
-    own = groups.groupBy("node").agg(F.min("_id").alias("_id"))
+    known = spark.createDataFrame([], "node long, elements binary")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are linked: whole sets of their documents only, each from one row, are compared."""
+    def verified(pairs: DataFrame, name: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that are linked, by whole sets, and all sets read so far; a set is read from one row's text, once."""
         pairs = _shared.staged(pairs, f"{name}-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        owners = _shared.staged(own.join(ends, "node"), f"{name}-owners").where(F.col("node") >= F.lit(-(1 << 63)))
-        held = texts.join(owners, "_id").select("_text", "node").mapInArrow(gather, "node long, elements binary").dropDuplicates(["node"])
-        held = _shared.staged(held, f"{name}-sets")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti")
+        owners = rows.select("node", "_id").join(ends, "node").groupBy("node").agg(F.min("_id").alias("_id"))
+        owners = _shared.staged(owners, f"{name}-owners").where(F.col("node") >= F.lit(-(1 << 63)))
+        found = texts.join(owners, "_id").select("_text", "node").mapInArrow(gather, "node long, elements binary").dropDuplicates(["node"])
+        held = known.union(_shared.staged(found, f"{name}-sets"))
         both = pairs.join(held.withColumnsRenamed({"node": "a", "elements": "ea"}), "a").join(held.withColumnsRenamed({"node": "b", "elements": "eb"}), "b")
-        return _shared.staged(both.select("a", "b", "ea", "eb").mapInArrow(_linked(num, den), "a long, b long"), name)
+        return _shared.staged(both.select("a", "b", "ea", "eb").mapInArrow(_linked(num, den), "a long, b long"), name), held
 
-    links = verified(stars, "join-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links, known = verified(stars, "join-links", known)
+    links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = _components.components(links)
 
     # signatures whose sets aren't all in one component yet: what is left across the components
@@ -379,8 +383,8 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     split = labelled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
     left = labelled.join(split, "grp").withColumns({"mine": own_lot, "lot": F.explode(F.sequence(F.lit(0), lots - 1))})
     side = F.when(F.col("mine") == F.col("lot"), 3).when(F.col("mine") < F.col("lot"), 1).otherwise(2)
-    rest = pairs(left.select(F.xxhash64("grp", F.least("mine", "lot"), F.greatest("mine", "lot")).alias("key"), side.alias("side"), "node", "root", "n_shingles", "sketch"))
-    more = verified(rest.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), "join-more").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = pairs(left.select(F.xxhash64("grp", F.least("mine", "lot"), F.greatest("mine", "lot")).alias("key"), side.alias("side"), "node", "root"))
+    more = verified(rest.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), "join-more", known)[0].select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not more.isEmpty():
         roots = _components.components(links.union(more))
     return rows, roots

@@ -14,8 +14,9 @@ def grams(text, n):
 
 
 def brute(rows, n, num, den):
-    """Component of each row by comparing all pairs."""
+    """Component of each row by comparing all pairs; a set that only rows without an id have is left out."""
     sets = [grams(t, n) for _, t in rows]
+    named = {frozenset(s) for (k, _), s in zip(rows, sets, strict=True) if k is not None}
     root = list(range(len(rows)))
 
     def find(i):
@@ -25,7 +26,7 @@ def brute(rows, n, num, den):
 
     for i, j in combinations(range(len(rows)), 2):
         both = len(sets[i] & sets[j])
-        if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+        if sets[i] and sets[j] and (sets[i] == sets[j] or {frozenset(sets[i]), frozenset(sets[j])} <= named) and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
             root[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(rows):
