@@ -6,6 +6,7 @@ per query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,17 +166,32 @@ def regex(chunks: DataFrame, query: str, *, repositories: list[str] | None = Non
     return top(rows.select("chunk_id", "repo", "content", F.lit(1.0).alias("score"), F.lit("regex").alias("match_type")), max_results, F.asc("chunk_id"))
 
 
+def query_trigrams(query: str) -> list[str]:
+    """Distinct trigrams of one query, as functions.text.trigrams() has them."""
+    padded = f"  {query} "
+    return list(dict.fromkeys(padded[i : i + 3] for i in range(len(query) + 1))) if len(query) >= 3 else [query]
+
+
 def trigram_matches(content: Column | str, query: str) -> Column:
-    """How many distinct trigrams of the query the content has; case counts."""
-    return F.size(F.array_intersect(text.trigrams(content), text.trigrams(F.lit(query))))
+    """How many distinct trigrams of the query the content has; case counts.
+
+    A text of three characters or more has a trigram exactly when its padded form contains it, so no array of the
+    text's trigrams is made.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    if len(query) < 3:
+        return (c == F.lit(query)).cast("int")
+    padded = F.concat(F.lit("  "), c, F.lit(" "))
+    held = F.size(F.filter(F.array(*map(F.lit, query_trigrams(query))), lambda g: padded.contains(g)))
+    return F.when(F.length(c) < 3, F.lit(0)).otherwise(held)
 
 
 def fuzzy(chunks: DataFrame, query: str, *, repositories: list[str] | None = None, max_results: int = 20, threshold: float = 0.7) -> DataFrame:
     """Chunks that share at least three tenths of the query's trigrams; of the best 3 * max_results, those whose closest
     window is similar enough."""
     n = len(query)
-    grams = text.trigrams(F.lit(query))
-    rows = in_repos(chunks, repositories).withColumn("matches", trigram_matches("content", query)).where(F.col("matches") >= F.ceil(F.size(grams) * F.lit(0.3)))
+    least = math.ceil(len(query_trigrams(query)) * 0.3)
+    rows = in_repos(chunks, repositories).withColumn("matches", trigram_matches("content", query)).where(F.col("matches") >= least)
     likely = rows.orderBy(F.desc("matches"), "chunk_id").limit(3 * max_results)
     scored = likely.withColumn("score", 1 - text.window_edit_distance("content", query) / F.lit(float(max(n, 1)))).where(F.col("score") >= threshold)
     return top(scored.select("chunk_id", "repo", "content", "score", F.lit("fuzzy").alias("match_type")), max_results, F.desc("score"), F.asc("chunk_id"))

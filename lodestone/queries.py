@@ -99,7 +99,7 @@ def _part_chunks(spark, d):
     return p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.col("p_brand").alias("repo"), F.lit(None).cast("string").alias("entity_id"), F.col("p_name").alias("content"))
 
 
-_PART_NAME = "goldenrod lace"
+_PART_NAME = "small rimg"
 
 
 @_add("trigram_match_count", f"""
