@@ -46,5 +46,5 @@ def edge_embedding_id(source_repo: Column, source: Column, relationship: Column,
     return F.concat_ws("::", source_repo, F.lit("edge"), source, relationship, target)
 
 
-def resource_uri(repo: str) -> str:
-    return f"graphrag://repo/{repo}"
+def resource_uri(repo: str, scheme: str = "lodestone") -> str:
+    return f"{scheme}://repo/{repo}"

@@ -68,8 +68,8 @@ def test_index_search_delete(spark, store, tmp_path):
     assert engine.call("query_dependency", {"dependency": "a", "aspect": "odd"})["is_error"]
     with pytest.raises(errors.ToolError):
         engine.call("nothing", {})
-    assert "**r**" in engine.list_repositories() and engine.resources()[0]["uri"] == "graphrag://repo/r"
-    assert '"id": "r"' in engine.read_resource("graphrag://repo/r")
+    assert "**r**" in engine.list_repositories() and engine.resources()[0]["uri"] == "lodestone://repo/r"
+    assert '"id": "r"' in engine.read_resource("lodestone://repo/r")
     assert engine.ask("q", lambda s, p: p).count("with score") == 2
     assert '"links"' in graph.export(store.nodes(), store.edges())
     assert store.trigrams().count() > 0 and store.postings().count() > 0
