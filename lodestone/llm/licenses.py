@@ -5,12 +5,20 @@ run of other characters than a-z and 0-9 as one space. Known sentences become id
 its identifiers follow each other among the document's identifiers. Everything is one narrow projection: no shuffle,
 no Python.
 
+Lines may be wrapped. So a rule of one sentence also matches in the text cut at sentence ends and blank lines only, and
+a longer notice is also known as a whole: PASSAGES holds its parts in normal form, and they match where they follow each
+other in the normal form of the whole text. In between, as where a notice names the holder or numbers its conditions,
+up to GAP characters may stand. This only adds licenses; n_sentences and sentence_ids are those of the lines.
+
 Null and empty texts have no sentences. Repeated rows get equal results. Input columns named like a result are
 replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,29 +73,79 @@ RULES = [
     ("Unlicense", (26,)),
     ("CC0-1.0", (27,)),
 ]
+_APACHE_GRANT = "you may not use this file except in compliance with the license you may obtain a copy of the license at"
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_MIT_NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+_MIT_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_GPL_TERMS = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+_BSD = (SENTENCES[21], "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", SENTENCES[23])
+#: The most characters of the normal form that may stand between two parts.
+GAP = 120
+#: By rule, the parts of its notices; each line is one variant.
+PASSAGES = [
+    ("Apache-2.0", ("licensed under the apache license version 2 0 the license you may not use this file",)),
+    ("Apache-2.0-header", ("licensed under the apache license version 2 0 the license " + _APACHE_GRANT,)),
+    ("Apache-2.0-header", ("licensed under the apache license version 2 0 " + _APACHE_GRANT,)),
+    ("MIT-text", (_MIT_GRANT, _MIT_NOTICE, _MIT_WARRANTY)),
+    ("MIT-text", (_MIT_GRANT, _MIT_NOTICE.replace("notice shall", "notice including the next paragraph shall"), _MIT_WARRANTY)),
+    ("GPL-2.0-or-later", (_GPL_TERMS + " 2 of the license or at your option any later version",)),
+    ("GPL-3.0-or-later", (_GPL_TERMS + " 3 of the license or at your option any later version",)),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", (*_BSD, "neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")),
+    ("MPL-2.0", (SENTENCES[25],)),
+]
 RESULTS = ["n_sentences", "sentence_ids", "licenses"]
 
 
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def _normals(parts: Column) -> Column:
+    return F.filter(F.transform(parts, _normal), lambda x: x != "")
+
+
 def normalised(text: Column) -> Column:
     """The normal forms of a text's sentences, in order, without empty ones."""
-    lines = F.split(F.regexp_replace(text, "([.!?;])[ \\t\\r\\n]+", "$1\n"), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))), lambda x: x != "")
+    return _normals(F.split(F.regexp_replace(text, "([.!?;])[ \\t\\r\\n]+", "$1\n"), "\n"))
+
+
+def unwrapped(text: Column) -> Column:
+    """As normalised(), but of the sentences that may run over line ends; a blank line ends one."""
+    return _normals(F.split(text, "(?<=[.!?;])[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n"))
+
+
+def _passage(whole: Column, parts: tuple[str, ...]) -> Column:
+    """Whether the parts follow each other in the normal form of a whole text."""
+    first = whole.contains(f" {parts[0]} ")
+    return first if len(parts) == 1 else first & whole.rlike(f" {f' (?:.{{0,{GAP}}} )?'.join(parts)} ")
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[int, str] | None = None, rules: list[tuple[str, tuple[int, ...]]] | None = None) -> DataFrame:
     """docs with n_sentences, sentence_ids (known ones in order, by commas) and licenses (matched rules' names, by commas)."""
+    passages = [] if rules else PASSAGES
     sentences, rules = sentences or SENTENCES, rules or RULES
     known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
     # the table is a short fixed list, so most sentences are told apart by their length alone
     ends = sorted({len(s) for s in sentences.values()})
+
+    def ids(forms: str) -> Column:
+        likely = F.filter(forms, lambda x: F.length(x).isin(ends))
+        return F.filter(F.transform(likely, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+
     own = [c for c in docs.columns if c not in RESULTS]
-    rows = docs.select(*own, normalised(_shared.text_or_empty(text_col)).alias("_s"))
-    likely = F.filter("_s", lambda x: F.length(x).isin(ends))
-    ids = F.filter(F.transform(likely, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
-    rows = rows.select(*own, F.size("_s").cast("long").alias("n_sentences"), F.array_join(ids.cast("array<string>"), ",").alias("sentence_ids"))
+    text = _shared.text_or_empty(text_col)
+    rows = docs.select(*own, normalised(text).alias("_s"), unwrapped(text).alias("_u"), F.concat(F.lit(" "), _normal(text), F.lit(" ")).alias("_whole"))
+    rows = rows.select(*own, "_whole", F.size("_s").cast("long").alias("n_sentences"), F.array_join(ids("_s").cast("array<string>"), ",").alias("sentence_ids"), ids("_u").alias("_single"))
     row = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    found = [F.when(row.contains("," + ",".join(map(str, r)) + ","), F.lit(name)) for name, r in rules]
-    return rows.withColumn("licenses", F.array_join(F.array_distinct(F.array_compact(F.array(*found))), ","))
+
+    def holds(name: str) -> Column:
+        tests = [row.contains("," + ",".join(map(str, r)) + ",") for n, r in rules if n == name]
+        tests += [F.array_contains("_single", r[0]) for n, r in rules if n == name and len(r) == 1]
+        return reduce(or_, tests + [_passage(F.col("_whole"), parts) for n, parts in passages if n == name])
+
+    found = [F.when(holds(name), F.lit(name)) for name in dict.fromkeys(name for name, _ in rules)]
+    return rows.withColumn("licenses", F.array_join(F.array_compact(F.array(*found)), ",")).drop("_whole", "_single")
 
 
 def oracle_sql() -> str:

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -104,6 +105,32 @@ def test_licenses(spark):
     assert next(g for g in got if g[0] == 6)[2:] == ("13,15", "")
 
 
+STANDARD = {
+    "Apache-2.0,Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT": "Released under the MIT License.",
+    "MIT,all-rights-reserved": "Licensed under the MIT License. All rights reserved.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License version 3.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC-BY-SA 4.0.",
+    "CC0-1.0": "This software is released under CC0 1.0.",
+}
+STANDARD["BSD-2-Clause,BSD-3-Clause"] = STANDARD["BSD-2-Clause"] + " 3. Neither the name of the Example Group nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_standard_texts_have_their_licenses_however_wrapped(spark):
+    rows = [(f"{name}|{width}|{mark}", "Some code.\n\n" + "\n".join(mark + x for x in textwrap.wrap(text, width, break_on_hyphens=False)) + "\n\nThe end") for name, text in STANDARD.items() for width, mark in ((10**6, ""), (72, ""), (40, ""), (25, ""), (60, " * "))]
+    rows += [("|not", "This is not licensed under the MIT license."), ("|lesser", STANDARD["GPL-3.0-or-later"].replace("GNU General", "GNU Lesser General"))]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v != k.split("|")[0]} == {}
+
+
 def test_licenses_are_their_sql(spark):
     sf = "/root/testdata/sf0.001/documents.parquet"
     con = duckdb.connect()
