@@ -23,7 +23,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return ngram_join.representatives(docs, n=5, num=80, den=100)
+    return ngram_join.row_representatives(docs, n=5, num=80, den=100)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

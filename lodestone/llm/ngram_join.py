@@ -412,3 +412,21 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
         return kept
     once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return once.union(kept.where("doc_id IS NULL"))
+
+
+def row_representatives(docs: DataFrame, **options) -> DataFrame:
+    """The documents without near copies, by row and not by id: of each component the row with the smallest id stays.
+
+    Rows without an id come last, and equal ids are told apart by their texts. Of rows that repeat both id and text one
+    stays; texts without words are like no other, so without an id they all stay.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(_shared.text_or_empty()).alias("hash"))
+    found = _shared.staged(ngram_join(docs.select(row.alias("_row"), "text"), id_col="_row", **options), "join-result")
+    gone = _shared.staged(found.where("_row <> component_id").select("_row").distinct(), "join-gone")
+    kept = docs.withColumn("_row", row).join(gone, "_row", "left_anti")
+    again = found.where("n_shingles > 0 OR NOT _row.none").groupBy("_row").count().where("count > 1").select("_row")
+    again = _shared.staged(again.join(gone, "_row", "left_anti"), "join-again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, "_row", "left_semi").withColumn("_text", _shared.text_or_empty()).dropDuplicates(["doc_id", "_text"])
+    return kept.join(again, "_row", "left_anti").select(*docs.columns).union(once.select(*docs.columns))

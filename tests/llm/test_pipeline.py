@@ -1,9 +1,11 @@
 """The pipeline against a version that runs in plain Python over collected rows."""
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import ngram_model, quality_classifier, quality_rules
@@ -52,3 +54,17 @@ def test_stages_keep_columns_and_follow_each_other(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(have)
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").isEmpty()
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Equal ids with other texts lose nothing, and rows without ids are compared as well."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, d), (3, d), (None, a), (None, a), (None, "z " + d), (None, "x y"), (None, "x y"), (None, None), (None, None), (5, "x y"), (6, "x y"), (None, c[::-1]), (None, c[::-1]), (None, c[::-1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    # of the last group, whose rows have no id, any one stays
+    last = [k for k in got if k[0] is None and k[1] and k[1].startswith(c[::-1])]
+    assert len(last) == 1 and got.pop(last[0]) == 1
+    assert got == Counter([(1, a), (2, b), (3, c), (3, d), (5, "x y"), (None, None), (None, None)])
