@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _shared
 
-SAMPLES = 32
+SAMPLES = 48
 SEED = 11
 
 
