@@ -55,7 +55,25 @@ def histogram(docs: DataFrame, vocabulary: str, *, text_col: str = "text") -> Da
 
 
 def truncated_totals(hist: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each context limit (a column `limit_tokens`): documents longer than it, and all tokens when cut to it."""
-    kept = F.least("length", "limit_tokens") * F.col("n_docs")
-    # limits are a stated query set, and the histogram is far smaller than the corpus
-    return hist.crossJoin(F.broadcast(limits.select("limit_tokens").distinct().limit(10_000))).groupBy("limit_tokens").agg(F.sum(F.when(F.col("length") > F.col("limit_tokens"), F.col("n_docs")).otherwise(0)).alias("docs_longer"), F.sum(kept).alias("truncated_tokens"))
+    """For each context limit (a column `limit_tokens`): documents longer than it, and all tokens when cut to it.
+
+    The longer documents are those at least as long as the next length of the histogram (a result of histogram()), whose
+    suffix sums answer the limit. A range of limits or lengths each is sorted by one task, and carries over what the
+    ranges above it begin with.
+    """
+    empty = [F.lit(None).cast("long").alias(c) for c in ("docs_at_least", "tokens_at_least")]
+    asked = limits.select(F.col("limit_tokens").alias("_at"), F.lit(1).alias("_ask"), *empty).where("_at IS NOT NULL").distinct()
+    known = hist.select(F.col("length").alias("_at"), F.lit(0).alias("_ask"), "docs_at_least", "tokens_at_least")
+    rows = asked.unionByName(known).withColumn("_group", F.floor(F.col("_at") / GROUP))
+    # a length that equals a limit isn't longer than it, so it comes after the limit from above
+    near = Window.partitionBy("_group").orderBy(F.desc("_at"), F.desc("_ask"))
+    found = F.when(F.col("_ask") == 0, F.struct("docs_at_least", "tokens_at_least"))
+    # one row for each GROUP lengths, so few even with very long texts
+    groups = rows.groupBy("_group").agg(F.min_by(found, F.when(F.col("_ask") == 0, F.col("_at"))).alias("_least"))
+    above = Window.orderBy(F.desc("_group")).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_group", F.last("_least", ignorenulls=True).over(above).alias("_above"))
+    everything = hist.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("_all"))
+    out = rows.withColumn("_in", F.last(found, ignorenulls=True).over(near)).where("_ask = 1").join(groups, "_group").crossJoin(F.broadcast(everything))
+    next_ = F.coalesce("_in", "_above")
+    longer = F.coalesce(next_["docs_at_least"], F.lit(0))
+    return out.select(F.col("_at").alias("limit_tokens"), longer.alias("docs_longer"), (F.col("_all") - F.coalesce(next_["tokens_at_least"], F.lit(0)) + F.col("_at") * longer).alias("truncated_tokens"))

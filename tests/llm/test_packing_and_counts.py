@@ -77,3 +77,14 @@ def test_counts(docs, byte_vocabulary, spark):
     limits = spark.createDataFrame([(0,), (5,), (10**6,)], "limit_tokens long")
     for r in token_counts.truncated_totals(hist, limits).collect():
         assert r["truncated_tokens"] == sum(min(x, r["limit_tokens"]) for x in n) and r["docs_longer"] == sum(x > r["limit_tokens"] for x in n)
+
+
+def test_every_limit_is_answered(spark):
+    lengths = [0, 3, 3, 7, 1023, 1024, 5000, 5000, 20_011]
+    n = sorted(lengths)
+    seen = [(k, n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k)) for k in sorted(set(n))]
+    hist = spark.createDataFrame(seen, "length long, n_docs long, docs_at_least long, tokens_at_least long").repartition(3)
+    limits = spark.range(0, 20_500).withColumnRenamed("id", "limit_tokens")
+    got = {r["limit_tokens"]: (r["docs_longer"], r["truncated_tokens"]) for r in token_counts.truncated_totals(hist, limits.union(limits)).collect()}
+    assert got == {k: (sum(x > k for x in n), sum(min(x, k) for x in n)) for k in range(20_500)}
+    assert [tuple(r) for r in token_counts.truncated_totals(hist.where("false"), limits.where("limit_tokens = 5")).collect()] == [(5, 0, 0)]
