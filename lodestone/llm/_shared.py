@@ -16,7 +16,10 @@ BLOCK_BYTES = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as a row may hold a very long text."""
+    """Keep Arrow batches small, as a row may hold a very long text.
+
+    Results are lazy, so the settings have to hold until these are used; they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     # a join of texts with a few chosen ids first drops, by a Bloom filter, most texts that aren't chosen
@@ -24,26 +27,75 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local master, where there is one machine, may do without the setting (tests) and gets a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _own_dirs:
+        _own_dirs[own] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return _own_dirs[own]
+
+
+_own_dirs: dict[str, str] = {}
+#: Folders written by this process and not deleted yet.
+_written: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends, and lost executors lose nothing."""
-    path = work_path(df.sparkSession, name)
+    """Write df as a table in the shared folder and read it again: lineage ends, and lost executors lose nothing.
+
+    The table stays, as results may read it; release() deletes it.
+    """
+    return _stage(df, work_path(df.sparkSession, name))
+
+
+def _stage(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that operators have written in the shared folder; for when their results aren't read any more."""
+    for path in list(_written):
+        delete(spark, path)
+
+
+class Scratch:
+    """Staged tables that no result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(work_path(self.spark, name))
+        return _stage(df, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,16 +11,17 @@ Choices without elements say nothing and give no signature. A set with more part
 parts to spare also signs the prefix of its elements for that band (the smallest hashes, one more than may be missing),
 which any two similar sets share; thus no link is lost.
 
-The sets of one signature are met in blocks of bounded size. A sketch of SKETCH_BITS parities bounds the difference of
-two sets from below, as an element changes one bit at most; what the bound rules out is no pair. First all sets of a
-signature are compared with HUBS of them. Where that leaves them in more than one component, the pairs across
-components are compared. Pairs within a component say nothing new and aren't made. Every link is verified on whole
-sets with integer arithmetic.
-
-Nulls and empty texts have the empty set and are linked with nothing; each is its own class. A row without an id is
-linked through rows of the same set that have one, and else with nothing, as results can't name it. Rows that repeat an id
-are joined by their texts; the id's rows report the same way. Very long texts only make larger sets. Input columns
-named like a result are replaced.
+Links are found in three rounds, none of which makes the pairs of a group. (1) Each set meets the hub that it shares
+most groups with, and the sets of a group of two meet. (2) Groups whose sets aren't in one component yet are searched in
+blocks: parity sketches, as wide as the band's k asks for, bound the difference of two sets from below, and a block
+gives no more pairs than its components would need to become one. All pairs are verified on whole sets with integer
+arithmetic. (3) Blocks of which a pair has failed are searched once more with the whole sets themselves, so what they
+give needs no verification. A block holds LOT sets and LOT_BYTES of elements at most; a larger group is cut into lots, and
+each two lots make a block.
+
+Nulls and empty texts have the empty set and are linked with nothing; each is its own class. Rows without an id take
+part like others, but a component is named by a row that has one. Rows that repeat an id are joined by their texts; the
+id's rows report the same way. Very long texts only make larger sets. Input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -37,11 +38,15 @@ from . import _components, _shared, _words
 
 GROWTH = 1.25
 #: Signatures that a task gathers before it sends them on.
-FLUSH = 2_000_000
-SKETCH_BITS = 256
-HUBS = 4
-#: Sets of one signature that a task compares with each other at once.
-BLOCK_SETS = 2048
+FLUSH = 500_000
+#: Hashes that a task remembers so as not to repeat itself; when they are as many, it forgets them.
+REMEMBER = 500_000
+#: Bits of a sketch for each element that two linked sets may differ in.
+SKETCH_RATE = 16
+#: Sets of one group, and bytes of their elements, that are compared with each other at once.
+LOT, LOT_BYTES = 4096, 32 << 20
+#: Classes that may be sent to all tasks.
+HEAVY = 4096
 _U = np.uint64
 
 
@@ -103,11 +108,18 @@ def sets(block: _words.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return size, node, doc, value
 
 
-def sketches(n_docs: int, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each document SKETCH_BITS parities: how many elements each bit has, modulo 2."""
-    bit = (_words.mix(value ^ _U(0x8EBC6AF09C88C6E3)) % _U(SKETCH_BITS)).astype(np.int64)
-    odd = (np.bincount(doc * SKETCH_BITS + bit, minlength=n_docs * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n_docs, SKETCH_BITS), axis=1)
+def sketch_bits(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Width of the sketches of sets of these sizes: a power of two, SKETCH_RATE times the difference allowed."""
+    k = np.maximum(1, (den - num) * 2 * size // (den + num))
+    return np.maximum(64, 1 << np.ceil(np.log2(SKETCH_RATE * k)).astype(np.int64))
+
+
+def sketches(width: np.ndarray, doc: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """For each document parities: how many elements each bit has, modulo 2. A half width is the sum of both halves."""
+    first = np.concatenate(([0], np.cumsum(width)))
+    bit = first[doc] + (_words.mix(value ^ _U(0x8EBC6AF09C88C6E3)) & (width[doc] - 1).astype(_U)).astype(np.int64)
+    odd = np.packbits((np.bincount(bit, minlength=int(first[-1])) & 1).astype(np.uint8))
+    return [odd[a:b].tobytes() for a, b in zip(first[:-1] // 8, first[1:] // 8, strict=True)]
 
 
 def signatures(bands: Bands, size: np.ndarray, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +173,18 @@ def _parsed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, _wor
         yield first, end, _words.parse(data, offsets, lower=True)
 
 
+def _fresh(found: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Marks of those that weren't seen before; they are from now on, as long as `seen` is small."""
+    new = np.zeros(len(found), bool)
+    if len(seen) + len(found) > REMEMBER:
+        seen.clear()
+    for i, x in enumerate(found.tolist()):
+        if x not in seen:
+            seen.add(x)
+            new[i] = True
+    return new
+
+
 def _signed(bands: Bands, n: int, keys: list[int]):
     """Signatures of the distinct sets of a task's documents, one row for each bucket: runs of 5 signature bytes."""
 
@@ -177,7 +201,8 @@ def _signed(bands: Bands, n: int, keys: list[int]):
             rows["nodes"].append(own.tobytes())
             rows["counts"].append(count.astype(np.uint16 if count.max() < 65536 else np.uint32).tobytes())
             rows["signs"].append(sign[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("nodes", "counts", "signs"))], list(rows))
+        binary = [pa.array(rows[c], pa.binary()) for c in ("nodes", "counts", "signs")]
+        return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *binary], list(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -185,11 +210,7 @@ def _signed(bands: Bands, n: int, keys: list[int]):
         for batch in batches:
             for _, _, block in _parsed(batch, 0):
                 size, node, doc, value = sets(block, n)
-                new = np.zeros(len(size), bool)
-                for i, x in enumerate(node.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[i] = True
+                new = _fresh(node, seen)
                 use = new[doc]
                 d, s = signatures(bands, np.where(new, size, 0), doc[use], value[use])
                 signs.append(s)
@@ -205,7 +226,7 @@ def _signed(bands: Bands, n: int, keys: list[int]):
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each signature with two sets or more: the group's hash, its size, its members and their place in it."""
+    """Of each signature with two sets or more: the group's hash, its members, its size and its first member."""
     by: dict[int, list] = {}
     for batch in batches:
         for bucket, nodes, counts, signs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -231,69 +252,172 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         group = np.repeat(np.arange(len(n)), n)
         name = _words.mix(_sum(group, _words.mix(node[member]), len(n)) + n.astype(_U))
-        fresh = np.zeros(len(n), bool)
-        for i, x in enumerate(name.tolist()):
-            if x not in known:
-                known.add(x)
-                fresh[i] = True
-        keep = fresh[group]
+        keep = _fresh(name, known)[group]
         group, member = group[keep], member[keep]
-        nth = member - start[group]
+        hub = node[start]
         for a in range(0, len(group), 100_000):
             b = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name[group[b]], node[member[b]])] + [pa.array(n[group[b]]), pa.array(nth[b])], ["grp", "node", "n", "nth"])
+            longs = [x.view(np.int64) for x in (name[group[b]], node[member[b]], n[group[b]], hub[group[b]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in longs], ["grp", "node", "n", "hub"])
 
 
-def _close(num: int, den: int):
-    """Pairs of a block that the sketches and sizes don't rule out: hubs with all, or left with right across roots."""
+class _Block:
+    """Sets of one group, by size, and which of them may still be linked."""
 
-    def compare(rows: pa.Table, known: set) -> list[tuple[int, int]]:
-        side, node, root, size = (rows.column(c).to_numpy() for c in ("side", "node", "root", "n_shingles"))
+    def __init__(self, rows: pa.Table, num: int, den: int):
+        size = rows.column("n_shingles").to_numpy()
         order = np.argsort(size, kind="stable")
-        side, node, root, size = side[order], node[order], root[order], size[order]
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), _U).reshape(len(node), -1)[order]
+        self.num, self.den, self.size = num, den, size[order]
+        self.node = rows.column("node").to_numpy()[order]
+        self.comp = np.unique(rows.column("root").to_numpy()[order], return_inverse=True)[1]
+        blobs = rows.column("sketch").to_pylist()
+        blobs = [blobs[i] for i in order]
+        # runs of rows whose sketches are equally wide, and these as words
+        width = np.array([len(b) // 8 for b in blobs])
+        cuts = np.concatenate(([0], np.flatnonzero(width[1:] != width[:-1]) + 1, [len(width)]))
+        self.runs = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self.runs.append((a, b, np.frombuffer(b"".join(blobs[a:b]), _U).reshape(b - a, -1)))
+        self.run_of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+
+    def apart(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Lower bounds of the differences of set i and the sets `at` (ascending)."""
+        out = np.zeros(len(at), np.int64)
+        a, _, words = self.runs[self.run_of[i]]
+        own = words[i - a]
+        for first, end, other in self.runs:
+            lo, hi = np.searchsorted(at, (first, end))
+            if lo < hi:
+                x, y = own, other[at[lo:hi] - first]
+                while len(x) > y.shape[1]:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while y.shape[1] > len(x):
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                out[lo:hi] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
+
+    def forest(self, linked=None) -> list[tuple[int, int]]:
+        """Pairs that make of the components those that all pairs not ruled out would make.
+
+        Each row is compared with the rows of components that aren't reached yet, and reaches those not ruled out; so a
+        component gives one pair less than it has components before. `linked`, if given, says of the rest which are
+        links indeed.
+        """
+        num, den, size = self.num, self.den, self.size
+        n_comps = int(self.comp.max()) + 1
+        members = np.argsort(self.comp, kind="stable")
+        first = np.searchsorted(self.comp[members], np.arange(n_comps + 1))
+        reached = np.zeros(n_comps, bool)
         found = []
-        ones = np.flatnonzero(side != 2)
-        if (side == 0).any():
-            ones = np.flatnonzero(side == 0)
-        for i in ones:
-            # sizes of partners lie within the similarity's ratio; in one block each pair is met from its smaller set
-            low = 0 if side[i] != 3 else i + 1
-            a = max(low, int(np.searchsorted(size, -(-size[i] * num // den))))
-            b = int(np.searchsorted(size, size[i] * den // num, side="right"))
-            at = np.arange(a, b)
-            if side[i] == 1:
-                at = at[side[a:b] == 2]
-            at = at[(root[at] != root[i]) & (node[at] != node[i])]
-            if len(at):
-                apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                at = at[apart <= (den - num) * (size[at] + size[i]) // (den + num)]
-                for other in node[at].tolist():
-                    pair = (min(other, int(node[i])), max(other, int(node[i])))
-                    if pair not in known:
-                        known.add(pair)
-                        found.append(pair)
+        # components by their least node, so that blocks of one family tend to give the same pairs
+        least = np.full(n_comps, np.iinfo(np.int64).max)
+        np.minimum.at(least, self.comp, self.node)
+        for start in np.argsort(least, kind="stable").tolist():
+            if reached[start]:
+                continue
+            reached[start] = True
+            queue = members[first[start] : first[start + 1]].tolist()
+            while queue:
+                i = queue.pop()
+                # partners' sizes lie within the similarity's ratio
+                a = int(np.searchsorted(size, -(-size[i] * num // den)))
+                b = int(np.searchsorted(size, size[i] * den // num, side="right"))
+                at = a + np.flatnonzero(~reached[self.comp[a:b]])
+                if not len(at):
+                    continue
+                apart = self.apart(i, at)
+                good = apart <= (den - num) * (size[at] + size[i]) // (den + num)
+                at, apart = at[good], apart[good]
+                if linked is not None:
+                    good = linked(i, at)
+                    at, apart = at[good], apart[good]
+                for k in np.argsort(apart, kind="stable").tolist():
+                    c = int(self.comp[at[k]])
+                    if not reached[c]:
+                        reached[c] = True
+                        found.append((int(self.node[i]), int(self.node[at[k]])))
+                        queue += members[first[c] : first[c + 1]].tolist()
         return found
 
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key (the first column), which follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(int(a), int(b - a))
+            if held and held[0].column(0)[0] != part.column(0)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
+def _searched(num: int, den: int, exact: bool):
+    """Pairs (key, a, b) of the blocks (key, node, root, n_shingles, sketch and, if exact, elements)."""
+
+    def search(rows: pa.Table) -> list[tuple[int, int]]:
+        block = _Block(rows, num, den)
+        if not exact:
+            return block.forest()
+        order = np.argsort(rows.column("n_shingles").to_numpy(), kind="stable")
+        blobs = rows.column("elements")
+        held = [np.frombuffer(blobs[int(i)].as_buffer(), _U) for i in order]
+
+        def linked(i: int, at: np.ndarray) -> np.ndarray:
+            both = np.array([_common(held[i], held[j]) for j in at.tolist()], np.int64)
+            return den * both >= num * (block.size[at] + block.size[i] - both)
+
+        return block.forest(linked)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set = set()
-        held: list[pa.RecordBatch] = []
+        key, left, right = [], [], []
+        for rows in _by_key(batches):
+            pairs = search(rows)
+            key += [rows.column(0)[0].as_py()] * len(pairs)
+            left += [a for a, _ in pairs]
+            right += [b for _, b in pairs]
+            if len(key) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, left, right)], ["key", "a", "b"])
+                key, left, right = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, left, right)], ["key", "a", "b"])
+
+    return run
+
 
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            pairs = compare(rows, known)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+def _refuted(num: int, den: int):
+    """Of pairs (a, b, sizes, sketches) those that sizes and sketches don't rule out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(int(a), int(b - a))
-                if held and held[0].column(0)[0] != part.column(0)[0]:
-                    yield out(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield out(pa.Table.from_batches(held))
+            m, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            s, t = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            good = np.zeros(batch.num_rows, bool)
+            for i, (p, q, x, y) in enumerate(zip(m, n, s, t, strict=True)):
+                if den * min(p, q) >= num * max(p, q):
+                    x, y = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+                    wide, narrow = 8 * len(s[i]), 8 * len(t[i])
+                    while wide != narrow:
+                        if wide > narrow:
+                            wide //= 2
+                            x = (x >> wide) ^ (x & ((1 << wide) - 1))
+                        else:
+                            narrow //= 2
+                            y = (y >> narrow) ^ (y & ((1 << narrow) - 1))
+                    good[i] = (x ^ y).bit_count() <= (den - num) * (p + q) // (den + num)
+            yield batch.filter(pa.array(good)).select([0, 1])
 
     return run
 
@@ -301,132 +425,201 @@ def _close(num: int, den: int):
 def _linked(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+            left, right = batch.column(2), batch.column(3)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), _U) for c in (left, right))
+                both = _common(x, y)
                 good[i] = den * both >= num * (len(x) + len(y) - both)
             yield batch.filter(pa.array(good)).select([0, 1])
 
     return run
 
 
-def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows: _id, n_shingles, node), and (node, root) of the classes that are linked with another."""
-    spark = docs.sparkSession
-    _shared.tune(spark)
-    bands = Bands(num, den)
-    texts = docs.select(F.col(id_col).alias("_id"), _shared.text_or_empty(text_col).alias("_text"))
+class _Join:
+    """The tables of one join; all but rows and roots are deleted at its end."""
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, text_col: str, id_col: str):
+        self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
+        self.scratch = _shared.Scratch(self.spark)
+        self.parts = _shared.n_partitions(self.spark)
+        self.texts = docs.select(F.col(id_col).alias("_id"), _shared.text_or_empty(text_col).alias("_text"))
+        self.known: DataFrame | None = None
+
+    def measure(self) -> DataFrame:
+        """_id, n_shingles, node and, once in a task for each node, the sketch."""
+        n, num, den = self.n, self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                sizes, nodes, marks = [np.zeros(0, np.int64)], [np.zeros(0, _U)], []
+                for _, _, block in _parsed(batch, 1):
+                    size, node, doc, value = sets(block, n)
+                    new = _fresh(node, seen) & (size > 0)
+                    width, use = np.where(new, sketch_bits(size, num, den), 0), new[doc]
+                    found = sketches(width, doc[use], value[use])
+                    marks += [x if f else None for x, f in zip(found, new.tolist(), strict=True)]
+                    sizes.append(size)
+                    nodes.append(node)
+                size, node = np.concatenate(sizes), np.concatenate(nodes).view(np.int64)
+                columns = [batch.column(0), pa.array(size), pa.array(node), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "n_shingles", "node", "sketch"])
+
+        schema = self.texts.select("_id").schema.add("n_shingles", "long").add("node", "long").add("sketch", "binary")
+        return _shared.staged(self.texts.mapInArrow(run, schema), "join-rows")
+
+    def groups(self) -> DataFrame:
+        """grp, node, n and hub: the members of each set of nodes that share a signature."""
+        keys = _shared.spread_keys(self.spark, self.parts)
+        signed = self.texts.select("_text").mapInArrow(
+            _signed(Bands(self.num, self.den), self.n, keys), "bucket int, nodes binary, counts binary, signs binary"
+        )
+        found = signed.repartition(self.parts, "bucket").mapInArrow(_matched, "grp long, node long, n long, hub long")
+        return self.scratch.stage(found.dropDuplicates(["grp", "node"]), "join-groups")
+
+    def marks(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """node, n_shingles, sketch and an _id for each node of the groups; copies are merged before they are moved."""
+        once = rows.where("n_shingles > 0").groupBy("node").agg(
+            F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("_id").alias("_id")
+        )
+        return self.scratch.stage(once.join(groups.select("node").distinct(), "node", "left_semi"), "join-marks")
+
+    def sets_of(self, nodes: DataFrame, marks: DataFrame) -> DataFrame:
+        """node and elements of these nodes, from the text of one row each; what was read before isn't read again."""
+        n = self.n
+        want = nodes if self.known is None else nodes.join(self.known.select("node"), "node", "left_anti")
+        owners = self.scratch.stage(marks.select("node", "_id").join(want, "node", "left_semi"), "join-owners")
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                want = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else None
+                found, blobs = [], []
+                for first, end, block in _parsed(batch, 0):
+                    size, node, _, value = sets(block, n)
+                    cut = np.concatenate(([0], np.cumsum(size)))
+                    mine = _fresh(node, seen) if want is None else node.view(np.int64) == want[first:end]
+                    for i in np.flatnonzero(mine & (size > 0)):
+                        found.append(int(node[i : i + 1].view(np.int64)[0]))
+                        blobs.append(value[cut[i] : cut[i + 1]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["node", "elements"])
+
+        schema = "node long, elements binary"
+        # the filter is always true; it lets the planner put a Bloom filter of the owners before the texts are moved
+        named = owners.where("_id IS NOT NULL").where(F.col("node") >= F.lit(-(1 << 63)))
+        found = self.texts.join(named, "_id").select("_text", "node").mapInArrow(gather, schema)
+        if not owners.where("_id IS NULL").isEmpty():
+            # nodes that only rows without an id have: the sets of all such rows, and of these the wanted ones
+            nameless = self.texts.where("_id IS NULL").select("_text").mapInArrow(gather, schema)
+            found = found.union(nameless.join(owners.where("_id IS NULL").select("node"), "node", "left_semi"))
+        found = self.scratch.stage(found.dropDuplicates(["node"]), "join-sets")
+        self.known = found if self.known is None else self.known.union(found)
+        return self.known
+
+    def verified(self, pairs: DataFrame, marks: DataFrame) -> DataFrame:
+        """Those of the (staged) pairs (a, b) that are links, by whole sets."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        held = self.sets_of(ends, marks)
+        first, second = (held.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}")) for c in "ab")
+        both = pairs.join(second, "b").join(first, "a").select("a", "b", "ea", "eb")
+        return self.scratch.stage(both.mapInArrow(_linked(self.num, self.den), "a long, b long"), "join-links")
+
+    def stars(self, groups: DataFrame, marks: DataFrame) -> DataFrame:
+        """The pair of each group of two, and each set with the hub that most of its other groups have."""
+        two = groups.where("n = 2 AND node <> hub").select("hub", "node")
+        near = groups.where("n > 2").groupBy("node", "hub").count()
+        near = near.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).where("node <> hub")
+        pairs = two.union(near.select("hub", "node")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        small = marks.select("node", "n_shingles", "sketch")
+        for c in "ba":
+            pairs = pairs.join(small.toDF(c, f"n{c}", f"s{c}"), c)
+        kept = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_refuted(self.num, self.den), "a long, b long")
+        return self.scratch.stage(kept, "join-stars")
+
+    def blocks(self, groups: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
+        """key, node, root and n_shingles of the groups that aren't in one component, cut into lots of bounded size."""
+        sizes = marks.select("node", "n_shingles")
+        rows = groups.where("n > 2").select("grp", "node").join(sizes, "node").join(roots, "node", "left")
+        rows = rows.withColumn("root", F.coalesce("root", "node"))
+        n, held = F.count(F.lit(1)), F.sum("n_shingles")
+        lots = F.greatest(F.ceil(n / LOT), F.ceil(held * 8 / LOT_BYTES)).cast("int").alias("lots")
+        open_ = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lots).where("lo <> hi")
+        rows = rows.join(open_.select("grp", "lots"), "grp").withColumn("mine", F.pmod(F.xxhash64("node"), "lots").cast("int"))
+        # a lot meets each other lot; an only lot meets itself
+        others = F.filter(F.sequence(F.lit(0), F.col("lots") - 1), lambda x: (x != F.col("mine")) | (F.col("lots") == 1))
+        rows = rows.withColumn("other", F.explode(others))
+        key = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
+        return rows.select(key, "node", "root", "n_shingles")
+
+    def search(self, blocks: DataFrame, marks: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        # sketches and sets join last, so that all before moves short rows
+        laid = blocks.join(marks.select("node", "sketch"), "node")
+        if held is not None:
+            laid = laid.join(held, "node")
+        laid = laid.select("key", *[c for c in laid.columns if c != "key"]).repartition(self.parts, "key").sortWithinPartitions("key")
+        return laid.mapInArrow(_searched(self.num, self.den, held is not None), "key long, a long, b long")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes, marks = [], [], []
-            for _, _, block in _parsed(batch, 1):
-                size, node, doc, value = sets(block, n)
-                sizes.append(size)
-                nodes.append(node)
-                marks += [x.tobytes() for x in sketches(block.n_docs, doc, value)]
-            size, node = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, _U), *nodes])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node.view(np.int64)), pa.array(marks, pa.binary())], ["_id", "n_shingles", "node", "sketch"])
-
-    rows = _shared.staged(texts.mapInArrow(measure, texts.select("_id").schema.add("n_shingles", "long").add("node", "long").add("sketch", "binary")), "join-rows")
-
-    parts = _shared.n_partitions(spark)
-    signed = texts.select("_text").mapInArrow(_signed(bands, n, _shared.spread_keys(spark, parts)), "bucket int, nodes binary, counts binary, signs binary")
-    groups = signed.repartition(parts, "bucket").mapInArrow(_matched, "grp long, node long, n long, nth long").dropDuplicates(["grp", "node"])
-    marks = rows.where("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    groups = _shared.staged(groups, "join-groups")
-
-    def pairs(blocks: DataFrame) -> DataFrame:
-        # sizes and sketches join last, so that all before moves short rows
-        laid = blocks.join(marks, "node").select("key", "side", "node", "root", "n_shingles", "sketch").repartition(parts, "key").sortWithinPartitions("key")
-        return laid.mapInArrow(_close(num, den), "a long, b long").distinct()
-
-    lots = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
-    own_lot = F.pmod(F.xxhash64("node"), lots).cast("int")
-    # every lot of a signature's sets meets its hubs
-    hub = F.col("nth") < HUBS
-    dealt = groups.withColumn("lot", F.explode(F.when(hub, F.sequence(F.lit(0), lots - 1)).otherwise(F.array(own_lot))))
-    stars = pairs(dealt.select(F.xxhash64("grp", "lot").alias("key"), F.when(hub, 0).otherwise(1).alias("side"), "node", F.col("node").alias("root")))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want, found, blobs = batch.column(1).to_numpy(zero_copy_only=False), [], []
-            for first, end, block in _parsed(batch, 0):
-                size, node, _, value = sets(block, n)
-                cut = np.concatenate(([0], np.cumsum(size)))
-                for i in np.flatnonzero(node.view(np.int64) == want[first:end]):
-                    found.append(int(node[i : i + 1].view(np.int64)[0]))
-                    blobs.append(value[cut[i] : cut[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["node", "elements"])
-
-    known = spark.createDataFrame([], "node long, elements binary")
-
-    def verified(pairs: DataFrame, name: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that are linked, by whole sets, and all sets read so far; a set is read from one row's text, once."""
-        pairs = _shared.staged(pairs, f"{name}-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-        owners = rows.select("node", "_id").join(ends, "node").groupBy("node").agg(F.min("_id").alias("_id"))
-        owners = _shared.staged(owners, f"{name}-owners").where(F.col("node") >= F.lit(-(1 << 63)))
-        found = texts.join(owners, "_id").select("_text", "node").mapInArrow(gather, "node long, elements binary").dropDuplicates(["node"])
-        held = known.union(_shared.staged(found, f"{name}-sets"))
-        both = pairs.join(held.withColumnsRenamed({"node": "a", "elements": "ea"}), "a").join(held.withColumnsRenamed({"node": "b", "elements": "eb"}), "b")
-        return _shared.staged(both.select("a", "b", "ea", "eb").mapInArrow(_linked(num, den), "a long, b long"), name), held
-
-    links, known = verified(stars, "join-links", known)
-    links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = _components.components(links)
-
-    # signatures whose sets aren't all in one component yet: what is left across the components
-    labelled = groups.where(F.col("n") > 2).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = labelled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-    left = labelled.join(split, "grp").withColumns({"mine": own_lot, "lot": F.explode(F.sequence(F.lit(0), lots - 1))})
-    side = F.when(F.col("mine") == F.col("lot"), 3).when(F.col("mine") < F.col("lot"), 1).otherwise(2)
-    rest = pairs(left.select(F.xxhash64("grp", F.least("mine", "lot"), F.greatest("mine", "lot")).alias("key"), side.alias("side"), "node", "root"))
-    more = verified(rest.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), "join-more", known)[0].select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if not more.isEmpty():
-        roots = _components.components(links.union(more))
+
+def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows: _id, n_shingles, node, sketch), and (node, root) of the classes that are linked with another."""
+    _shared.tune(docs.sparkSession)
+    join = _Join(docs, n, num, den, text_col, id_col)
+    rows, groups = join.measure(), join.groups()
+    marks = join.marks(rows, groups)
+    roots = _components.components(join.verified(join.stars(groups, marks), marks), "a", "b")
+
+    blocks = join.scratch.stage(join.blocks(groups, roots, marks), "join-blocks")
+    given = join.scratch.stage(join.search(blocks, marks), "join-given")
+    pairs = join.scratch.stage(given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+    if not pairs.isEmpty():
+        links = join.verified(pairs, marks)
+        roots = _components.joined(roots, links, "a", "b")
+        failed = join.scratch.stage(pairs.join(links, ["a", "b"], "left_anti"), "join-failed")
+        if not failed.isEmpty():
+            keys = given.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(failed, ["a", "b"], "left_semi")
+            again = blocks.drop("root").join(keys.select("key").distinct(), "key", "left_semi").join(roots, "node", "left")
+            again = join.scratch.stage(again.withColumn("root", F.coalesce("root", "node")), "join-again")
+            held = join.sets_of(again.select("node").distinct(), marks)
+            more = join.scratch.stage(join.search(again, marks, held).select("a", "b").distinct(), "join-more")
+            if not more.isEmpty():
+                roots = _components.joined(roots, more, "a", "b")
+    join.scratch.clear()
     return rows, roots
 
 
 def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     rows, roots = join_classes(docs, n=n, num=num, den=den, text_col=text_col, id_col=id_col)
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.drop("sketch")
+    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = classes.join(least, "root").select("node", "component_id")
-    out = rows.join(by_node, "node", "left")
-    return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    named = _shared.staged(classes.join(least, "root").select("node", "copies", "component_id"), "join-classes")
+    # classes of more than 1 / HEAVY of all rows are at most HEAVY, so they may be sent to the rows; the others' rows move
+    often = max(1000, rows.count() // HEAVY)
+    heavy = F.broadcast(named.where(F.col("copies") > often).select("node", "component_id"))
+    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("_id"))
+    filled = rows.where("n_shingles > 0")
+    light = filled.join(heavy.select("node"), "node", "left_anti").join(named.where(F.col("copies") <= often).select("node", "component_id"), "node")
+    parts = [x.select(F.col("_id").alias(id_col), "n_shingles", "component_id") for x in (filled.join(heavy, "node"), light, alone)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id (of equal ids, one) stays.
-
-    Rows without an id are never joined with others, as nothing tells them apart; they stay.
-    """
-    found = _shared.staged(ngram_join(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), **options), "join-result")
-    gone = _shared.staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.union(kept.where("doc_id IS NULL"))
-
-
-def row_representatives(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies, by row and not by id: of each component the row with the smallest id stays.
 
     Rows without an id come last, and equal ids are told apart by their texts. Of rows that repeat both id and text one
-    stays; texts without words are like no other, so without an id they all stay.
+    stays; texts without words are like no other, so without an id they all stay. Any extra columns are kept.
     """
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(_shared.text_or_empty()).alias("hash"))
-    found = _shared.staged(ngram_join(docs.select(row.alias("_row"), "text"), id_col="_row", **options), "join-result")
-    gone = _shared.staged(found.where("_row <> component_id").select("_row").distinct(), "join-gone")
-    kept = docs.withColumn("_row", row).join(gone, "_row", "left_anti")
-    again = found.where("n_shingles > 0 OR NOT _row.none").groupBy("_row").count().where("count > 1").select("_row")
-    again = _shared.staged(again.join(gone, "_row", "left_anti"), "join-again")
+    inner = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row"), _shared.text_or_empty().alias("words"))
+    found = _shared.staged(ngram_join(inner, id_col="row", text_col="words", **options), "join-result")
+    gone = _shared.staged(found.where("row <> component_id").select("row").distinct(), "join-gone")
+    kept = inner.join(gone, "row", "left_anti")
+    again = found.where("n_shingles > 0 OR NOT row.none").groupBy("row").count().where("count > 1").select("row")
+    again = _shared.staged(again.join(gone, "row", "left_anti"), "join-again")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, "_row", "left_semi").withColumn("_text", _shared.text_or_empty()).dropDuplicates(["doc_id", "_text"])
-    return kept.join(again, "_row", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+        return kept.select("doc.*")
+    once = kept.join(again, "row", "left_semi").dropDuplicates(["row", "words"])
+    return kept.join(again, "row", "left_anti").select("doc.*").union(once.select("doc.*"))

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import _components, _words, ngram_join
 
@@ -14,9 +15,8 @@ def grams(text, n):
 
 
 def brute(rows, n, num, den):
-    """Component of each row by comparing all pairs; a set that only rows without an id have is left out."""
+    """Component of each row by comparing all pairs; rows without an id link like others."""
     sets = [grams(t, n) for _, t in rows]
-    named = {frozenset(s) for (k, _), s in zip(rows, sets, strict=True) if k is not None}
     root = list(range(len(rows)))
 
     def find(i):
@@ -26,13 +26,13 @@ def brute(rows, n, num, den):
 
     for i, j in combinations(range(len(rows)), 2):
         both = len(sets[i] & sets[j])
-        if sets[i] and sets[j] and (sets[i] == sets[j] or {frozenset(sets[i]), frozenset(sets[j])} <= named) and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+        if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
             root[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(rows):
         if k is not None:
             least[find(i)] = min(k, least.get(find(i), k))
-    return sorted(((k, len(s), least.get(find(i), k) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    return sorted(((k, len(s), least.get(find(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80), (2, 60)])
@@ -59,10 +59,11 @@ def test_against_all_pairs(spark, docs, n, num):
     assert got == brute(rows, n, num, 100)
 
 
-def test_blocks_and_hubs_lose_nothing(spark, monkeypatch):
-    """Small blocks and one hub: the pairs across components have to find what the hub doesn't."""
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
-    monkeypatch.setattr(ngram_join, "HUBS", 1)
+@pytest.mark.parametrize("rate", [16, 1])
+def test_lots_and_poor_sketches_lose_nothing(spark, monkeypatch, rate):
+    """Small lots have to meet each other; poor sketches make pairs fail, so blocks are searched with whole sets."""
+    monkeypatch.setattr(ngram_join, "LOT", 8)
+    monkeypatch.setattr(ngram_join, "SKETCH_RATE", rate)
     rnd = random.Random(7)
     words = [f"w{i}" for i in range(50)]
     text = [rnd.choice(words) for _ in range(100)]
@@ -71,7 +72,7 @@ def test_blocks_and_hubs_lose_nothing(spark, monkeypatch):
         other = list(text)
         for at in rnd.sample(range(100), rnd.randint(1, 4)):
             other[at] = rnd.choice(words)
-        rows.append((copy, " ".join(other)))
+        rows.append((copy if copy % 7 else None, " ".join(other)))
     got = sorted((tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=80, den=100).collect()), key=str)
     assert got == brute(rows, 3, 80, 100)
 
@@ -92,8 +93,15 @@ def test_similar_sets_share_a_signature(num, size):
         d, s = ngram_join.signatures(bands, np.array([len(x), len(y)]), doc, np.concatenate((x, y)))
         same = len(x) == len(y) == both
         assert same or set(s[d == 0].tolist()) & set(s[d == 1].tolist())
-        k = ngram_join.sketches(2, doc, np.concatenate((x, y)))
-        assert int(np.bitwise_count(k[0] ^ k[1]).sum()) <= len(x) + len(y) - 2 * both
+        width = ngram_join.sketch_bits(np.array([len(x), len(y)]), num, 100)
+        marks = ngram_join.sketches(width, doc, np.concatenate((x, y)))
+        assert [8 * len(m) for m in marks] == width.tolist()
+        wide = [int.from_bytes(m, "little") for m in marks]
+        while width[0] != width[1]:
+            k = int(np.argmax(width))
+            width[k] //= 2
+            wide[k] = (wide[k] >> int(width[k])) ^ (wide[k] & ((1 << int(width[k])) - 1))
+        assert (wide[0] ^ wide[1]).bit_count() <= len(x) + len(y) - 2 * both
 
 
 def test_components(spark):
@@ -107,12 +115,29 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(u != v and x in (u, v) for u, v in edges)}
 
 
+def test_joined_components(spark):
+    first, more = [(1, 2), (3, 4), (5, 6)], [(2, 3), (6, 9), (20, 21)]
+    roots = _components.components(spark.createDataFrame(first, "a long, b long"), "a", "b")
+    got = _components.joined(roots, spark.createDataFrame(more, "a long, b long"), "a", "b")
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (9, 5), (20, 20), (21, 20)]
+
+
 def test_representatives(spark, docs):
-    kept = ngram_join.representatives(docs, n=5, num=80, den=100)
-    assert kept.columns == docs.columns
+    named = docs.withColumns({"row": F.lit(1), "words": F.lit("clash"), "_id": F.lit(2), "node": F.lit(3)})
+    kept = ngram_join.representatives(named, n=5, num=80, den=100)
+    assert kept.columns == named.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert None in ids and len(ids) == len(set(ids)) and 6 in ids and 7 not in ids and 0 in ids and 1 in ids
+    assert None not in ids and len(ids) == len(set(ids)) and 6 in ids and 7 not in ids and 0 in ids and 1 in ids
     assert ngram_join.ngram_join(docs.where("false")).count() == 0
+    assert ngram_join.representatives(docs.where("false")).count() == 0
+
+
+def test_rows_with_one_id_lose_nothing(spark):
+    """Equal ids with unlike texts all stay; of copies one stays, whatever their ids."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (3, c), (3, c), (None, c + " end"), (None, None), (None, None)]
+    got = sorted(map(tuple, ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, b), (3, a), (3, c), (None, None), (None, None)], key=str)
 
 
 def test_hash_mix_is_a_bijection_on_a_sample():
