@@ -85,7 +85,7 @@ def sanitize_relationship(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(_c(text)), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(text)), "[^\\p{L}\\p{N}]+"), "")
 
 
 def like_anywhere(text: Column | str, pattern: str) -> Column:

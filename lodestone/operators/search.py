@@ -9,15 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import porter, text, vectors
-from . import graph
-
-K1, B = 1.2, 0.75
+from . import blocks, graph
+from .blocks import K1, B
 
 
 def in_repos(rows: DataFrame, repositories: list[str] | None, column: Column | str = "repo") -> DataFrame:
@@ -46,51 +44,23 @@ def dense(embeddings: DataFrame, query: list[float], *, repositories: list[str]
     return top(rows.select("chunk_id", "repo", "entity_id", "chunk_type", "content", "distance", "similarity"), max_results, F.asc("distance"), F.asc("chunk_id"))
 
 
-def dense_batch(embeddings: DataFrame, queries: DataFrame, *, max_results: int = 20, min_similarity: float = 0.7, query_block: int = 1024) -> DataFrame:
-    """Rows by cosine distance for many vectors: (query_id, chunk_id, repo, distance, rank).
+def dense_batch(embeddings: DataFrame, queries: DataFrame, *, max_results: int = 20, min_similarity: float = 0.7) -> DataFrame:
+    """Rows by cosine distance for many vectors: (query_id, chunk_id, repo, content, distance, rank).
 
-    queries: query_id, vector. Queries are a stated set, taken to all rows in blocks of `query_block`; each Arrow batch
-    of embeddings is multiplied with a block at once, and keeps its own best rows only.
+    queries: query_id, vector. Queries are a stated set, taken to all rows in blocks.
     """
-    found = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()]
-    spark, out = embeddings.sparkSession, None
-    for at in range(0, len(found), query_block):
-        block = found[at : at + query_block]
-        matrix = np.array([v for _, v in block], np.float64)
-        size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), np.divide(matrix, size, out=np.full_like(matrix, np.nan), where=size > 0)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            for batch in batches:
-                width = unit.shape[1]
-                good = np.array([v is not None and len(v) == width for v in batch.column(2).to_pylist()], bool)
-                rows = batch.filter(pa.array(good))
-                if not rows.num_rows:
-                    continue
-                x = np.array(rows.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                distance = np.round(1.0 - unit @ np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0).T, 12)
-                distance[~(distance < 1 - min_similarity)] = np.inf
-                names = np.array(rows.column(0).to_pylist(), object)
-                # ties at the last place are kept here and settled by id later
-                limit = np.partition(distance, min(max_results, distance.shape[1]) - 1, axis=1)[:, min(max_results, distance.shape[1]) - 1]
-                q, r = np.nonzero((distance <= limit[:, None]) & np.isfinite(distance))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[r].tolist(), pa.string()), rows.column(1).take(pa.array(r)), pa.array(distance[q, r])], ["query_id", "chunk_id", "repo", "distance"])
-
-        part = embeddings.select("chunk_id", "repo", "embedding").mapInArrow(best, "query_id long, chunk_id string, repo string, distance double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, chunk_id string, repo string, distance double, rank int")
-    return top_each(out, max_results, F.asc("distance"), F.asc("chunk_id"))
+    found = blocks.dense(embeddings, blocks.collected(queries, "vector"), max_results, min_similarity)
+    return top_each(found, max_results, F.asc("distance"), F.asc("chunk_id"))
 
 
 # sparse
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index: chunk_id, term, tf. Terms aren't stemmed yet."""
-    return chunks.select("chunk_id", F.explode(text.tokens("content")).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """The inverted index: chunk_id, repo, term, tf and length (the chunk's terms). Terms aren't stemmed yet."""
+    rows = chunks.select("chunk_id", "repo", text.tokens("content").alias("t"))
+    rows = rows.select("chunk_id", "repo", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
+    return rows.groupBy("chunk_id", "repo", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("chunk_id", "repo", "term", "tf", "length")
 
 
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,52 +72,62 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stemmed(index: DataFrame) -> DataFrame:
     """An inverted index of stems: the stemmer sees the vocabulary, not the text."""
     vocabulary = index.select("term").distinct().mapInArrow(_stems, "term string, stem string")
-    return index.join(vocabulary, "term").groupBy("chunk_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    keys = ["chunk_id", "repo", F.col("stem").alias("term"), "length"]
+    return index.join(vocabulary, "term").groupBy(*keys).agg(F.sum("tf").alias("tf")).select("chunk_id", "repo", "term", "tf", "length")
 
 
-def document_stats(index: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length in terms, over the whole table."""
-    length = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(length).select("n_chunks", (F.col("terms") / F.greatest(F.col("n_chunks"), F.lit(1))).alias("avg_length"))
+def document_stats(chunks: DataFrame) -> DataFrame:
+    """One row: number of chunks and their terms, over the whole table."""
+    length = F.size(text.tokens("content")).cast("long")
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(length), F.lit(0)).alias("n_terms"))
 
 
-def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
-    """query_id, term and n_terms (distinct terms of the query)."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens("query"))).alias("term"))
-    if stem:
-        terms = terms.join(terms.select("term").distinct().mapInArrow(_stems, "term string, stem string"), "term").select("query_id", F.col("stem").alias("term")).distinct()
-    return terms.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id")
+def _indexed(index: DataFrame, stats: DataFrame, asked: list[tuple[int, list[str]]], repositories: list[str] | None, mode: str, stem: bool) -> DataFrame:
+    """As blocks.sparse(), from an inverted index: only the postings of the queries' terms are read."""
+    terms = {q: {porter.stem(t) for t in own} if stem else set(own) for q, own in asked}
+    rows = [(q, t, len(own)) for q, own in terms.items() for t in sorted(own)]
+    # the queries are a stated set
+    wanted = F.broadcast(index.sparkSession.createDataFrame(rows, "query_id long, term string, n_terms int"))
+    literal = sorted({t for own in terms.values() for t in own})
+    hits = index.where(F.col("term").isin(literal)) if len(literal) <= 1000 else index
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted.select("term").distinct(), "term")
+    idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    mean = F.col("n_terms_all") / F.greatest(F.col("n_chunks"), F.lit(1))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    # one row of statistics, and one row for each term of the queries
+    one = F.broadcast(stats.select("n_chunks", F.col("n_terms").alias("n_terms_all")))
+    own = in_repos(hits, repositories).join(wanted, "term").join(F.broadcast(frequency), "term").crossJoin(one)
+    scored = own.withColumn("part", -idf * weight).groupBy("query_id", "chunk_id", "repo")
+    scored = scored.agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
+    if mode == "and":
+        scored = scored.where("n = n_terms")
+    return scored.select("query_id", "chunk_id", "repo", F.round("bm25", 9).alias("bm25"))
 
 
-def sparse_batch(chunks: DataFrame, queries: DataFrame, *, index: DataFrame | None = None, repositories: list[str] | None = None, max_results: int = 20, mode: str = "and", stem: bool = True) -> DataFrame:
-    """BM25 for many queries: query_id, chunk_id, repo, bm25 (more negative is better), rank.
+def sparse_batch(
+    chunks: DataFrame, queries: DataFrame, *, index: DataFrame | None = None, stats: DataFrame | None = None, repositories: list[str] | None = None, max_results: int = 20, mode: str = "and", stem: bool = True
+) -> DataFrame:
+    """BM25 for many queries: query_id, chunk_id, repo, content, bm25 (more negative is better), rank.
 
     Document frequencies and lengths are those of the whole table, also with a repository filter. mode 'and' asks for
-    all terms of a query, 'or' for any.
+    all terms of a query, 'or' for any. With an index (postings() or stemmed(), whichever `stem` says) only the postings
+    of the queries' terms are read; without one, the texts are read twice and nothing is shuffled.
     """
+    # a word can be stated once; queries are a stated set
+    asked = blocks.collected(queries, F.array_distinct(text.tokens("query")))
+    asked = [(q, t) for q, t in asked if t]
     if index is None:
-        index = stemmed(postings(chunks)) if stem else postings(chunks)
-    terms = query_terms(queries, stem)
-    hits = index.join(terms, "term")
-    frequency = hits.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
-    lengths = index.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
-    stats = document_stats(index, chunks)
-    idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    # one row of statistics goes to every task
-    scored = hits.join(frequency, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats)).withColumn("part", -idf * weight)
-    scored = scored.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
-    if mode == "and":
-        scored = scored.where("n = n_terms")
-    own = in_repos(chunks.select("chunk_id", "repo"), repositories)
-    found = scored.join(own, "chunk_id").select("query_id", "chunk_id", "repo", F.round("bm25", 9).alias("bm25"))
-    return top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id"))
+        found = blocks.sparse(chunks, asked, max_results, repositories=repositories, mode=mode, stem=stem)
+        return top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id"))
+    found = _indexed(index, document_stats(chunks) if stats is None else stats, asked, repositories, mode, stem)
+    best = top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id"))
+    return best.join(chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "chunk_id", "repo", "content", "bm25", "rank")
 
 
 def sparse(chunks: DataFrame, query: str, **options) -> DataFrame:
     """BM25 for one query."""
     one = chunks.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
-    found = sparse_batch(chunks, one, **options).drop("query_id")
+    found = sparse_batch(chunks, one, **options).drop("query_id", "content")
     return found.join(chunks.select("chunk_id", "entity_id", "content"), "chunk_id")
 
 
@@ -197,6 +177,15 @@ def fuzzy(chunks: DataFrame, query: str, *, repositories: list[str] | None = Non
     return top(scored.select("chunk_id", "repo", "content", "score", F.lit("fuzzy").alias("match_type")), max_results, F.desc("score"), F.asc("chunk_id"))
 
 
+def fuzzy_batch(
+    chunks: DataFrame, queries: DataFrame, *, repositories: list[str] | None = None, max_results: int = 20, threshold: float = 0.7
+) -> DataFrame:
+    """As fuzzy(), for many queries (query_id, query): query_id, chunk_id, repo, content, score, rank."""
+    asked = [(q, t) for q, t in blocks.collected(queries, "query") if t]
+    found = blocks.pattern(chunks, asked, max_results, repositories=repositories, threshold=threshold)
+    return top_each(found, max_results, F.desc("score"), F.asc("chunk_id"))
+
+
 def similar_names(candidates: DataFrame, column: str, query: str, *, threshold: float = 0.7, max_results: int = 10) -> DataFrame:
     """Candidates by edit-distance similarity to the query."""
     scored = candidates.withColumn("score", text.similarity(F.col(column), F.lit(query))).where(F.col("score") >= threshold)
@@ -223,6 +212,18 @@ def entity_relationships(nodes: DataFrame, edges: DataFrame, node_id: str, *, re
     return in_repos(found, repositories, "found_repo")
 
 
+def graph_batch(nodes: DataFrame, edges: DataFrame, queries: DataFrame, *, max_results: int = 20) -> DataFrame:
+    """The first rows of graph_search() for each of many queries: query_id, id, found_repo, properties, edge columns, rank.
+
+    A query's words are its entity words. A node row comes with each of its edges, so the first rows are those of the
+    first nodes.
+    """
+    asked = [(q, w) for q, w in blocks.collected(queries, text.query_entities("query")) if w]
+    own = top_each(blocks.named(nodes, asked, max_results), max_results, F.asc("id")).drop("rank")
+    order = [F.asc("id"), F.asc_nulls_last("relationship"), F.asc_nulls_last("source"), F.asc_nulls_last("target")]
+    return top_each(graph.incident(own, edges), max_results, *order)
+
+
 # cross references
 
 
@@ -247,7 +248,3 @@ def cross_references_of(refs: DataFrame, results: DataFrame, min_strength: float
 
 def references_to(refs: DataFrame, entity_name: str, repo: str) -> DataFrame:
     return refs.where(F.col("from_entity").contains(entity_name) | F.col("to_entity").contains(entity_name) | (F.col("from_repo") == repo) | (F.col("to_repo") == repo))
-
-
-def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)

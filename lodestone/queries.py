@@ -224,7 +224,7 @@ def bm25_search(spark, d):
 @_add("bm25_search_stemmed")
 def bm25_search_stemmed(spark, d):
     queries = spark.createDataFrame([(1, "licensing works"), (2, "things")], "query_id long, query string")
-    return search.sparse_batch(A.chunks(spark, d), queries)
+    return search.sparse_batch(A.chunks(spark, d), queries).drop("content")
 
 
 # graph
@@ -499,12 +499,10 @@ def hybrid_search(spark, d):
 
 @_add("hybrid_batch")
 def hybrid_batch(spark, d):
-    """A search by the three longest words of the first turn, for each conversation whose id is divisible by 20."""
-    said = A.read(spark, d, "conversations").where("conv_id % 20 = 0 AND text IS NOT NULL")
-    first = said.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("n = 1")
-    words = F.array_distinct(F.transform(text.tokens("text"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    queries = first.select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.array_sort(words), 1, 3)["w"], " ").alias("query"))
-    return hybrid.batch(tables(spark, d), queries, mode="or")
+    """Each turn of the conversations whose id is divisible by 20 is a query, with its whole text."""
+    said = A.read(spark, d, "conversations").where("conv_id % 20 = 0")
+    queries = said.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    return hybrid.batch(tables(spark, d), queries, provider=embeddings.create_provider("hashing"), mode="or")
 
 
 def queries() -> dict[str, Query]:
