@@ -107,6 +107,12 @@ def spread_keys(spark: SparkSession, n: int) -> list[int]:
     return [int(r["key"]) for r in sorted(found)]
 
 
+def carried(columns: list[str], results: list[str]) -> Column:
+    """The columns as one struct, without those named like a result, whose names then clash with nothing in between."""
+    taken = {r.lower() for r in results}
+    return F.struct(*[F.col(f"`{c}`") for c in columns if c.lower() not in taken])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
