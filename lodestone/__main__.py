@@ -24,7 +24,7 @@ def main(args: list[str]) -> int:
     store = Store(spark, args[1])
     if args[0] == "export":
         with open(args[2], "w", encoding="utf-8") as f:
-            f.write(graph.export(store.nodes(), store.edges()))
+            f.write(graph.export_text(store.nodes(), store.edges()))
         return 0
     store.migrate()
     provider = embeddings.create_provider("hashing")

@@ -14,13 +14,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import errors, schemas
 from .operators import graph, search
 from .operators.embeddings import Provider
-from .plans import analysis, fusion, hybrid
+from .plans import analysis, fusion, hybrid, models
 from .sources.store import Store
 
 log = logging.getLogger("lodestone")
@@ -28,7 +28,9 @@ log = logging.getLogger("lodestone")
 # Words that call for the larger model.
 COMPLEX_WORDS = ["architecture", "refactor", "design", "integrate", "how do i", "best way", "should i"]
 NONE, LOCAL, ESCALATED = "none", "local", "escalated"
-_models: dict[str, Callable[..., analysis.Model]] = {}
+#: Rows that a tool shows of each kind; the totals it names are counted over all.
+SHOWN = 50
+_models: dict[str, Callable[..., analysis.Model]] = {"openai": models.openai, "llamacpp": models.llamacpp}
 
 
 def configure_logging(path: str | None = None) -> None:
@@ -45,12 +47,12 @@ def register_model(name: str, factory: Callable[..., analysis.Model]) -> None:
 
 
 def create_model(name: str | None = None) -> analysis.Model | None:
-    """The model that is named here or in MODEL_PROVIDER; none if neither is."""
-    name = name or os.environ.get("MODEL_PROVIDER")
+    """The model that is named here or in AI_PROVIDER; none if neither is."""
+    name = name or os.environ.get("AI_PROVIDER")
     if not name:
         return None
     if name not in _models:
-        raise errors.ConfigurationError(f"no model is registered as {name!r}", context={"key": "MODEL_PROVIDER"})
+        raise errors.ConfigurationError(f"no model is registered as {name!r}", context={"key": "AI_PROVIDER"})
     return _models[name]()
 
 
@@ -64,11 +66,15 @@ class Config:
 
 @dataclass
 class Combined:
-    """Short results of the searches, collected."""
+    """Heads of the searches' results, collected, and how many results each has in all."""
 
     semantic: list[dict] = field(default_factory=list)
     graph: list[dict] = field(default_factory=list)
     cross_refs: list[dict] = field(default_factory=list)
+    totals: dict[str, int] = field(default_factory=dict)
+
+    def total(self, kind: str) -> int:
+        return self.totals.get(kind, len(getattr(self, kind)))
 
     def tokens(self) -> int:
         """Four characters a token over contents, metadata, ids, properties and references."""
@@ -102,6 +108,13 @@ def _reference(r: dict) -> str:
     return f"{r['from_repo']}/{r['from_entity']} → {r['to_repo']}/{r['to_entity']}"
 
 
+def _section(title: str, total: int, lines: list[str]) -> str:
+    """A list under a heading that says how many there are, and how many of them are shown."""
+    if not lines:
+        return f"## {title}: none"
+    return f"## {title}: {total}" + (f", the first {len(lines)}" if total > len(lines) else "") + "\n" + "\n".join(lines)
+
+
 class Attendant:
     """Shortens results by a model; without one, or when it fails, by taking their heads."""
 
@@ -110,30 +123,32 @@ class Attendant:
 
     def sections(self, found: Combined) -> list[str]:
         """What a model reads of the results: at most ten, ten and five of them."""
-        semantic = [f"{i}. **{r['repo']}** (similarity: {r.get('similarity', 0) or 0:.2f})\n   {r['content'][:200]}{'...' if len(r['content']) > 200 else ''}" for i, r in enumerate(found.semantic[:10], 1)]
-        out = [f"**Semantic Search Results ({len(found.semantic)} total, showing top 10):**\n\n" + "\n\n".join(semantic) if semantic else "**Semantic Search:** No results"]
+        out = []
+        texts = [f"{i}. [{r['repo']}] {r['content'][:200]}{'...' if len(r['content']) > 200 else ''} (similarity {r.get('similarity', 0) or 0:.2f})" for i, r in enumerate(found.semantic[:10], 1)]
+        out.append(_section("Texts", found.total("semantic"), texts))
         nodes = []
         for i, r in enumerate(found.graph[:10], 1):
             try:
                 props = json.loads(r.get("properties") or "{}")
             except ValueError:
                 props = {}
-            line = f"{i}. **{r['id']}** ({r['repo']})\n   Properties: " + ", ".join(f"{k}: {v}" for k, v in list(props.items())[:3])
-            nodes.append(line + (f"\n   Relationship: {r['relationship']} (weight: {r['weight']})" if r.get("relationship") else ""))
-        out.append(f"**Knowledge Graph Results ({len(found.graph)} total, showing top 10):**\n\n" + "\n\n".join(nodes) if nodes else "**Graph Query:** No results")
-        refs = [f"{i}. **{r['from_repo']}/{r['from_entity']}** → **{r['to_repo']}/{r['to_entity']}**\n   Type: {r['type']}, Strength: {r['strength']:.2f}" for i, r in enumerate(found.cross_refs[:5], 1)]
-        out.append(f"**Cross-Repository References ({len(found.cross_refs)} total, showing top 5):**\n\n" + "\n\n".join(refs) if refs else "**Cross-Repository References:** None found")
+            known = "; ".join(f"{k} = {v}" for k, v in list(props.items())[:3])
+            edge = f", {r['relationship']} with weight {r['weight']}" if r.get("relationship") else ""
+            nodes.append(f"{i}. [{r['repo']}] {r['id']}{edge}{f' ({known})' if known else ''}")
+        out.append(_section("Entities", found.total("graph"), nodes))
+        refs = [f"{i}. {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for i, r in enumerate(found.cross_refs[:5], 1)]
+        out.append(_section("References between repositories", found.total("cross_refs"), refs))
         return out
 
     def raw(self, query: str, found: Combined) -> str:
-        parts = [f"# Results for: {query}\n"]
+        parts = [f"# {query}"]
         if found.semantic:
-            parts.append(f"## Semantic Matches ({len(found.semantic)})\n" + "\n".join(f"- **{r['repo']}**: {r['content'][:150]}..." for r in found.semantic[:5]) + "\n")
+            parts.append(_section("Texts", found.total("semantic"), [f"- [{r['repo']}] {r['content'][:150]}" for r in found.semantic[:5]]))
         if found.graph:
-            parts.append(f"## Graph Entities ({len(found.graph)})\n" + "\n".join(f"- **{r['id']}** ({r['repo']})" for r in found.graph[:5]) + "\n")
+            parts.append(_section("Entities", found.total("graph"), [f"- [{r['repo']}] {r['id']}" for r in found.graph[:5]]))
         if found.cross_refs:
-            parts.append(f"## Cross-References ({len(found.cross_refs)})\n" + "\n".join(f"- {_reference(r)} ({r['type']})" for r in found.cross_refs[:3]) + "\n")
-        return "\n".join(parts)
+            parts.append(_section("References between repositories", found.total("cross_refs"), [f"- {_reference(r)}: {r['type']}" for r in found.cross_refs[:3]]))
+        return "\n\n".join(parts)
 
     def filter(self, query: str, found: Combined, max_tokens: int = 500, context: str | None = None) -> Answer:
         answer = None
@@ -156,35 +171,33 @@ def select_attendant(query: str, repositories: list[str], n_tokens: int, config:
     return LOCAL
 
 
-def render_hybrid(query: str, rows: list[dict], found: analysis.Analysis, coverage: dict[str, float], seconds: dict[str, float], refs: list[dict]) -> str:
-    w = found.weights
-    out = [f"# Query: {query}\n", "## Query Analysis", f"- Type: **{found.query_type}**", f"- Confidence: {found.confidence or 0:.2f}", f"- Reasoning: {found.reasoning}", f"- Weights: Dense {w['dense']:g}, Sparse {w['sparse']:g}, Pattern {w['pattern']:g}, Graph {w['graph']:g}\n"]
-    out += ["## Performance", *[f"- {k}: {v * 1000:.0f}ms" for k, v in seconds.items()], ""]
-    out += ["## Coverage", *[f"- {s.capitalize()}: {coverage[s] * 100:.0f}%" for s in fusion.SOURCES], ""]
-    out.append(f"## Results ({len(rows)})\n")
-    for i, r in enumerate(rows[:10], 1):
-        known = ", ".join(f"{s}=#{r[s]}" for s in fusion.SOURCES if r[s] is not None)
-        out += [f"### Result #{i} (RRF Score: {r['score']:.4f})", f"**Repository:** {r['repo']}", f"**Sources:** {known}\n", f"{(r['content'] or '')[:300]}...\n"]
-        if r.get("explanation"):
-            out.append(f"**Ranking Explanation:**\n```\n{r['explanation']}\n```\n")
-    if refs:
-        out += [f"## Cross-References ({len(refs)})\n", *[f"- {_reference(r)} ({r['type']}, strength: {r['strength']:.2f})" for r in refs[:10]]]
-    return "\n".join(out)
+def render_hybrid(query: str, rows: list[dict], found: analysis.Analysis, coverage: dict[str, float], seconds: dict[str, float], refs: Combined) -> str:
+    weights = ", ".join(f"{s} {found.weights[s]:g}" for s in fusion.SOURCES)
+    shares = ", ".join(f"{s} {coverage[s]:.0%}" for s in fusion.SOURCES)
+    took = ", ".join(f"{k} {v * 1000:.0f} ms" for k, v in seconds.items())
+    out = [f"# {query}", f"Taken as a {found.query_type} query (confidence {found.confidence or 0:.2f}): {found.reasoning}.\nWeights: {weights}. Share of results by search: {shares}. Time: {took}."]
+    shown = []
+    for r in rows[:10]:
+        known = ", ".join(f"{s} #{r[s]}" for s in fusion.SOURCES if r[s] is not None)
+        why = f"\n   {r['explanation']}".replace("\n", "\n   ") if r.get("explanation") else ""
+        shown.append(f"{r['rank']}. [{r['repo']}] score {r['score']:.4f}, {known}\n   {(r['content'] or '')[:300]}{why}")
+    out.append(_section("Results", len(rows), shown))
+    if refs.cross_refs:
+        out.append(_section("References between repositories", refs.total("cross_refs"), [f"- {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for r in refs.cross_refs[:10]]))
+    return "\n\n".join(out)
 
 
 def render_raw(query: str, found: Combined) -> str:
-    out = [f"# Query: {query}\n"]
+    out = [f"# {query}"]
     if found.semantic:
-        out.append(f"## Semantic Matches ({len(found.semantic)})\n")
-        out += [f"### {r['repo']} (similarity: {r.get('similarity', 0) or 0:.2f})\n{r['content'][:300]}...\n" for r in found.semantic[:10]]
+        out.append(_section("Texts", found.total("semantic"), [f"- [{r['repo']}] (similarity {r.get('similarity', 0) or 0:.2f}) {r['content'][:300]}" for r in found.semantic[:10]]))
     if found.graph:
-        out.append(f"## Graph Entities ({len(found.graph)})\n")
-        out += [f"### {r['id']} ({r['repo']})\n{r.get('properties') or '{}'}\n" for r in found.graph[:10]]
+        out.append(_section("Entities", found.total("graph"), [f"- [{r['repo']}] {r['id']} {r.get('properties') or '{}'}" for r in found.graph[:10]]))
     if found.cross_refs:
-        out += [f"## Cross-References ({len(found.cross_refs)})\n", *[f"- {_reference(r)} ({r['type']}, strength: {r['strength']:.2f})" for r in found.cross_refs[:10]]]
+        out.append(_section("References between repositories", found.total("cross_refs"), [f"- {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for r in found.cross_refs[:10]]))
     if len(out) == 1:
-        out.append("No results found.\n\nTry:\n- Checking if repositories are indexed (use list_repositories)\n- Using different search terms\n- Indexing more repositories\n")
-    return "\n".join(out)
+        out.append("Nothing found. list_repositories names what is indexed; another word or another repository may help.")
+    return "\n\n".join(out)
 
 
 class Engine:
@@ -194,12 +207,19 @@ class Engine:
         self.store, self.config = store, config or Config()
         self.attendants = {LOCAL: Attendant(local_model), ESCALATED: Attendant(escalation_model or local_model)}
         self.has_escalation = escalation_model is not None
-        tables = hybrid.Tables(store.chunks(), store.nodes(), store.edges(), store.table("embeddings"), store.table("cross_references"))
+        # the store's inverted index, so that a search reads the postings of its terms and not all texts
+        index = (store.postings(), store.posting_stats()) if store.has("postings") else (None, None)
+        tables = hybrid.Tables(store.chunks(), store.nodes(), store.edges(), store.table("embeddings"), store.table("cross_references"), *index)
         self.tables, self.search = tables, hybrid.HybridSearch(tables, provider, model)
 
-    def _rows(self, df: DataFrame, n: int = 50) -> list[dict]:
+    def _rows(self, df: DataFrame, n: int = SHOWN) -> list[dict]:
         return [r.asDict() for r in df.limit(n).collect()]
 
+    def _counted(self, df: DataFrame, *order: Column | str) -> tuple[list[dict], int]:
+        """The first rows, and how many there are."""
+        rows = self._rows(df.orderBy(*order))
+        return rows, len(rows) if len(rows) < SHOWN else df.count()
+
     def query_repositories(self, query: str, *, repositories: list[str] | None = None, attendant: str | None = None, max_tokens: int | None = None, context: str | None = None) -> str:
         """Hybrid search, references between the repositories it finds, and an answer."""
         began = time.perf_counter()
@@ -210,13 +230,13 @@ class Engine:
         semantic = [r for r in rows if r["dense"] is not None]
         spark = self.tables.chunks.sparkSession
         repos = spark.createDataFrame([(r["repo"],) for r in semantic] or [(None,)], "repo string")
-        refs = self._rows(search.cross_references_of(self.tables.cross_references, repos).orderBy(F.desc("strength"), "id"))
+        refs, n_refs = self._counted(search.cross_references_of(self.tables.cross_references, repos), F.desc("strength"), "id")
         fused.unpersist()
         nodes = [r | {"properties": r["content"]} for r in rows if r["graph"] is not None]
-        found = Combined([r for r in rows if r["graph"] is None], nodes, refs)
+        found = Combined([r for r in rows if r["graph"] is None], nodes, refs, {"cross_refs": n_refs})
         mode = attendant or select_attendant(query, found.repositories(), found.tokens(), self.config, self.has_escalation)
         if mode == NONE:
-            return render_hybrid(query, rows, result.analysis, coverage, {"Total Time": time.perf_counter() - began}, refs)
+            return render_hybrid(query, rows, result.analysis, coverage, {"all": time.perf_counter() - began}, found)
         said = self.attendants[mode].filter(query, found, max_tokens or self.config.max_tokens, context)
         shares = ", ".join(f"{s} {coverage[s] * 100:.0f}%" for s in fusion.SOURCES)
         return f"{said.answer}\n\n---\nCoverage: {shares}\nTokens: {said.original_tokens} → {said.filtered_tokens} ({said.reduction_percent}% less)\nRepositories: {', '.join(said.repositories)}"
@@ -226,10 +246,10 @@ class Engine:
         return self.query_repositories(question, attendant=attendant, max_tokens=max_tokens, context=context)
 
     def list_repositories(self) -> str:
-        rows = self._rows(self.store.repositories(), 1000)
+        rows = [r.asDict() for r in self.store.repositories().toLocalIterator()]
         if not rows:
-            return "No repositories indexed yet.\nIndex one with index_repository()."
-        return f"# Repositories ({len(rows)})\n\n" + "\n".join(f"- **{r['id']}** ({r['name']}), version {r['version'] or 'unknown'}, indexed {r['indexed_at']}" for r in rows)
+            return "The store has no repositories yet; index_repository() adds one."
+        return f"# Repositories: {len(rows)}\n\n" + "\n".join(f"- **{r['id']}** ({r['name']}), version {r['version'] or 'unknown'}, indexed {r['indexed_at']}" for r in rows)
 
     def query_dependency(self, dependency: str, *, repositories: list[str] | None = None, aspect: str = "all", attendant: str = NONE) -> str:
         """An entity and, for 'relationships' and 'all', the neighbours of its first three matches."""
@@ -237,12 +257,13 @@ class Engine:
             raise errors.ValidationError(f"unknown aspect: {aspect}", context={"field": "aspect"})
         t = self.tables
         hits = search.entity(t.nodes, t.edges, dependency, repositories=repositories).drop("repo").withColumnRenamed("found_repo", "repo")
-        rows = self._rows(hits.orderBy("id", "relationship", "source", "target"))
+        rows, total = self._counted(hits, "id", "relationship", "source", "target")
         if aspect in ("relationships", "all"):
             for node in list(dict.fromkeys(r["id"] for r in rows))[:3]:
                 near = search.entity_relationships(t.nodes, t.edges, node, repositories=repositories).drop("repo").withColumnRenamed("found_repo", "repo")
-                rows += self._rows(near.orderBy("id", "relationship"))
-        found = Combined(graph=rows)
+                more, n = self._counted(near, "id", "relationship")
+                rows, total = rows + more, total + n
+        found = Combined(graph=rows, totals={"graph": total})
         return render_raw(dependency, found) if attendant == NONE else self.attendants[attendant].filter(dependency, found).answer
 
     def get_cross_references(self, entity: str, *, source_repo: str | None = None, min_strength: float = 0.7) -> str:
@@ -251,8 +272,9 @@ class Engine:
             first = search.entity(t.nodes, t.edges, entity).orderBy("id").limit(1).collect()
             source_repo = first[0]["found_repo"] if first else "unknown"
         strong = t.cross_references.where(F.col("strength") >= min_strength)
-        rows = self._rows(search.references_to(strong, entity, source_repo).orderBy(F.desc("strength"), "id"))
-        return render_raw(entity, Combined(cross_refs=rows)) if rows else f"No cross-references found for {entity}."
+        rows, total = self._counted(search.references_to(strong, entity, source_repo), F.desc("strength"), "id")
+        found = Combined(cross_refs=rows, totals={"cross_refs": total})
+        return render_raw(entity, found) if rows else f"No reference of this strength touches {entity}."
 
     def ask(self, question: str, model: analysis.Model) -> str:
         """A question to a model that knows the most connected entities."""
@@ -260,7 +282,7 @@ class Engine:
         return model("Answer from the centrality measures of a knowledge graph.", f"{graph.centrality_text(top)}\nQuestion: {question}")
 
     def resources(self) -> list[dict]:
-        return [{"uri": schemas.resource_uri(r["id"]), "name": r["name"], "mimeType": "application/json"} for r in self._rows(self.store.repositories(), 1000)]
+        return [{"uri": schemas.resource_uri(r["id"]), "name": r["name"], "mimeType": "application/json"} for r in self.store.repositories().toLocalIterator()]
 
     def read_resource(self, uri: str) -> str:
         prefix = schemas.resource_uri("")

@@ -14,7 +14,10 @@ TABLES = {
     "repositories": "id string, name string, indexed_at timestamp, version string, branch string, commit_hash string, metadata string, embedding_model string",
     "cross_references": "id long, from_repo string, from_entity string, to_repo string, to_entity string, type string, strength double, context string",
     "schema_version": "version int, name string, applied_at timestamp",
+    "files": "repo string, path string, n_chunks int, error string",
 }
+# Tables that are derived from others.
+DERIVED = {"postings": "chunk_id string, repo string, term string, tf long, length long"}
 # Columns that make a row unique, and whether the first or the last of equal rows stays.
 KEYS = {
     "nodes": (["id"], "first"),
@@ -24,12 +27,15 @@ KEYS = {
     "repositories": (["id"], "last"),
     "cross_references": (["from_repo", "from_entity", "to_repo", "to_entity", "type"], "last"),
     "schema_version": (["version"], "last"),
+    "files": (["repo", "path"], "last"),
+    "postings": (["chunk_id"], "last"),
 }
 EMBEDDING_KINDS = ("entity", "edge", "documentation", "code", "comment")
 #: Structured extraction contract of a language model.
 EXTRACTION = "entities array<string>, relationships array<struct<source:string, target:string, type:string, strength:double>>"
 
 
+# The formulas of identifiers, which stored rows and their users rely on.
 def code_chunk_id(repo: Column, path: Column, start: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", repo, path, start.cast("string")), 256), 1, 16)
 

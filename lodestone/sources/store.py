@@ -1,22 +1,31 @@
 """The store: Parquet tables under a folder, with write-time keys, cascading deletes and migrations.
 
-Each write of a table goes to a new version folder and then changes the table's pointer, so readers see whole
-versions. Inverted and trigram indexes are derived from chunks when asked for, and so are never stale.
+A table is dealt into buckets by a hash of its key. A write reads and replaces only the buckets that its keys fall into,
+in a new folder; then one manifest names the folders of all tables, so changes to several tables are seen together or
+not at all. Manifests are numbered, and of two writers at once the second fails instead of undoing the first. The inverted
+index of chunks is kept by the same buckets and changes with them.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import errors, schemas
 from ..functions import text
 from ..operators import graph, search
 
 
+#: Buckets of a new table; a store of many TB takes some thousand.
+BUCKETS = 8
+
+
 def keep_first(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
     """Insert or ignore: the row that was there, or came first, stays."""
     order = F.col(seq) if seq else F.monotonically_increasing_id()
@@ -33,7 +42,7 @@ def keep_last(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None =
 
 def without_repo(tables: dict[str, DataFrame], repo: str) -> dict[str, DataFrame]:
     """All tables without a repository: its rows, edges and references that touch it, its embeddings."""
-    away = {"nodes": ["repo"], "edges": ["source_repo", "target_repo"], "chunks": ["repo"], "embeddings": ["repo"], "repositories": ["id"], "cross_references": ["from_repo", "to_repo"]}
+    away = {"nodes": ["repo"], "edges": ["source_repo", "target_repo"], "chunks": ["repo"], "embeddings": ["repo"], "repositories": ["id"], "cross_references": ["from_repo", "to_repo"], "files": ["repo"]}
     out = dict(tables)
     for name, columns in away.items():
         if name in tables:
@@ -86,60 +95,198 @@ def _multi_repo_down(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 MIGRATIONS = [Migration(1, "add_multi_repo_support", _multi_repo_up, _multi_repo_down)]
 
 
+@dataclass
+class Change:
+    """New folders of a table's buckets; all other buckets go if `whole`, the table itself if `dropped`."""
+
+    schema: str = ""
+    parts: dict[str, str] = field(default_factory=dict)
+    touched: set[str] = field(default_factory=set)
+    whole: bool = False
+    dropped: bool = False
+    stats: dict[str, list[int]] = field(default_factory=dict)
+
+
 class Store:
-    """Tables in a folder that Spark reaches."""
+    """Tables in a folder that Spark reaches. `buckets` holds for tables that aren't there yet."""
 
-    def __init__(self, spark: SparkSession, path: str, migrations: list[Migration] | None = None):
+    def __init__(self, spark: SparkSession, path: str, migrations: list[Migration] | None = None, buckets: int = BUCKETS):
         if not path:
             raise errors.StoreConnectionError("a store needs a path", context={"path": path})
-        self.spark, self.path, self.migrations = spark, path.rstrip("/"), MIGRATIONS if migrations is None else migrations
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.migrations = MIGRATIONS if migrations is None else migrations
         jvm = spark._jvm
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # tables
+    # manifests
 
-    def _versions(self, name: str) -> list[int]:
-        folder = self._at(f"{self.path}/{name}")
+    def _numbers(self) -> list[int]:
+        folder = self._at(f"{self.path}/_manifest")
         if not self._fs.exists(folder):
             return []
-        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v") and self._fs.exists(self._at(f"{s.getPath().toString()}/_SUCCESS")))
+        return sorted(int(s.getPath().getName()[1:9]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v"))
+
+    def _read(self, number: int) -> dict:
+        stream = self._fs.open(self._at(f"{self.path}/_manifest/v{number:08d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _manifest(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        return (numbers[-1], self._read(numbers[-1])) if numbers else (0, {})
+
+    def delete(self, folder: str) -> None:
+        self._fs.delete(self._at(folder), True)
+
+    def _folders(self, manifest: dict) -> set[str]:
+        return {p for t in manifest.values() for p in t["parts"].values()}
+
+    def _commit(self, number: int, before: dict, changes: dict[str, Change]) -> None:
+        """Make the changes the next manifest; what only manifests before the last one know is deleted."""
+        after = {k: dict(v) for k, v in before.items()}
+        for name, c in changes.items():
+            if c.dropped:
+                after.pop(name, None)
+                continue
+            old = before.get(name, {"buckets": self.buckets, "parts": {}, "stats": {}})
+            kept = {} if c.whole else {b: p for b, p in old["parts"].items() if b not in c.touched}
+            stats = {} if c.whole else {b: s for b, s in old.get("stats", {}).items() if b not in c.touched}
+            after[name] = {"schema": c.schema, "buckets": old["buckets"], "parts": kept | c.parts, "stats": stats | c.stats}
+        try:
+            out = self._fs.create(self._at(f"{self.path}/_manifest/v{number + 1:08d}.json"), False)
+        except Exception as e:
+            raise errors.StoreConnectionError("another writer has changed the store meanwhile", context={"path": self.path}) from e
+        out.write(bytearray(json.dumps(after).encode()))
+        out.close()
+        for n in self._numbers():
+            if n < number:
+                for gone in self._folders(self._read(n)) - self._folders(before) - self._folders(after):
+                    self._fs.delete(self._at(f"{self.path}/{gone}"), True)
+                self._fs.delete(self._at(f"{self.path}/_manifest/v{n:08d}.json"), False)
+
+    # tables
+
+    def _schema(self, name: str) -> str:
+        return schemas.TABLES.get(name) or schemas.DERIVED[name]
+
+    def _keys(self, name: str) -> list[str]:
+        return schemas.KEYS[name][0]
 
     def has(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return name in self._manifest()[1]
+
+    def _parts(self, manifest: dict, name: str, only: set[str] | None = None) -> DataFrame:
+        about = manifest.get(name)
+        if about is None:
+            return self.spark.createDataFrame([], self._schema(name))
+        schema = T.StructType.fromJson(json.loads(about["schema"]))
+        paths = [f"{self.path}/{p}" for b, p in sorted(about["parts"].items()) if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
         """A table; one that isn't there is empty, so its searches find nothing."""
-        if versions := self._versions(name):
-            return self.spark.read.parquet(f"{self.path}/{name}/v{versions[-1]:08d}")
-        return self.spark.createDataFrame([], schemas.TABLES[name])
+        return self._parts(self._manifest()[1], name)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {n: self.table(n) for n in schemas.TABLES if self.has(n)}
+        there = self._manifest()[1]
+        return {n: self._parts(there, n) for n in schemas.TABLES if n in there}
+
+    def _bucket(self, name: str, n: int):
+        return F.pmod(F.xxhash64(*self._keys(name)), F.lit(n)).cast("int").cast("string").alias("_bucket")
+
+    def _lay(self, name: str, rows: DataFrame, n: int, order: list[str] | None = None) -> dict[str, str]:
+        """Write rows by buckets to a new folder: bucket to folder."""
+        own = f"{name}/{uuid.uuid4().hex}"
+        dealt = rows.select("*", self._bucket(name, n)).repartition("_bucket")
+        if order:
+            dealt = dealt.sortWithinPartitions("_bucket", *order)
+        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{own}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/{own}"))]
+        return {x.partition("=")[2]: f"{own}/{x}" for x in names if x.startswith("_bucket=")}
+
+    def _indexed(self, manifest: dict, change: Change) -> Change:
+        """The inverted index of the buckets of chunks that a change holds, sorted by term, and their counts."""
+        n = manifest.get("chunks", {}).get("buckets", self.buckets)
+        paths = [f"{self.path}/{p}" for p in change.parts.values()]
+        out = Change(self._as_json(schemas.DERIVED["postings"]), {}, change.touched, change.whole)
+        if paths:
+            chunks = self.spark.read.schema(T.StructType.fromJson(json.loads(change.schema))).parquet(*paths)
+            out.parts = self._lay("postings", search.stemmed(search.postings(chunks)), n, ["term"])
+            length = F.size(text.tokens("content")).cast("long")
+            counts = chunks.groupBy(self._bucket("chunks", n)).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0)))
+            out.stats = {b: [c, t] for b, c, t in counts.collect()}
+        return out
+
+    def _as_json(self, ddl: str) -> str:
+        return T.StructType.fromDDL(ddl).json()
+
+    def _whole(self, name: str, rows: DataFrame, n: int) -> Change:
+        return Change(rows.schema.json(), self._lay(name, rows, n), whole=True)
+
+    def _finish(self, manifest: dict, changes: dict[str, Change]) -> dict[str, Change]:
+        if "chunks" in changes and "repo" in changes["chunks"].schema:
+            changes["postings"] = self._indexed(manifest, changes["chunks"])
+        return changes
+
+    def write_all(self, tables: dict[str, DataFrame], drop: list[str] | None = None) -> None:
+        """Replace some tables and drop others, in one manifest."""
+        number, there = self._manifest()
+        changes = {n: self._whole(n, rows, there.get(n, {}).get("buckets", self.buckets)) for n, rows in tables.items()}
+        changes |= {n: Change(dropped=True) for n in drop or []}
+        self._commit(number, there, self._finish(there, changes))
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """A new version of a table; older ones but the last are removed."""
-        versions = self._versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{(versions[-1] if versions else 0) + 1:08d}")
-        for v in versions[:-1]:
-            self._fs.delete(self._at(f"{self.path}/{name}/v{v:08d}"), True)
+        """Replace a table."""
+        self.write_all({name: rows})
 
     def drop(self, name: str) -> None:
-        self._fs.delete(self._at(f"{self.path}/{name}"), True)
+        self.write_all({}, [name])
 
-    def put(self, name: str, rows: DataFrame, seq: str | None = None) -> None:
-        """Write rows under the table's rule for equal keys: the first of nodes stays, the last of all else."""
+    def _merged(self, manifest: dict, name: str, rows: DataFrame, gone: DataFrame | None, seq: str | None, rule: str | None) -> Change:
+        n = manifest.get(name, {}).get("buckets", self.buckets)
         keys, which = schemas.KEYS[name]
-        old = self.table(name)
-        kept = rows.select(*old.columns, *([seq] if seq else []))
-        self.write(name, (keep_first if which == "first" else keep_last)(old, kept, keys, seq))
+        empty = self._parts(manifest, name, set())
+        order = F.col(seq) if seq else F.monotonically_increasing_id()
+        # what comes in is worked out once; a model's answers, say, may differ the next time
+        incoming = self._lay(name, rows.select(*empty.columns, order.cast("long").alias("_order")), n)
+        touched = set(incoming)
+        if gone is not None:
+            touched |= {r[0] for r in gone.select(self._bucket(name, n)).distinct().collect()}
+        old = self._parts(manifest, name, touched)
+        if gone is not None:
+            old = old.join(gone.select(*keys), keys, "left_anti").select(*empty.columns)
+        schema = T.StructType([*empty.schema.fields, T.StructField("_order", T.LongType())])
+        paths = [f"{self.path}/{p}" for p in incoming.values()]
+        new = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        merge = keep_first if (rule or which) == "first" else keep_last
+        parts = self._lay(name, merge(old, new, keys, "_order"), n)
+        if paths:
+            self._fs.delete(self._at(paths[0].rpartition("/")[0]), True)
+        return Change(empty.schema.json(), parts, touched)
+
+    def put_all(self, tables: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None, seq: str | None = None, rule: str | None = None) -> None:
+        """Delete the rows with the keys in `gone`, then write rows under each table's rule for equal keys, in one manifest.
+
+        The rule: the first of nodes stays, the last of all else; `rule` may say otherwise.
+        """
+        number, there = self._manifest()
+        gone = gone or {}
+        changes = {}
+        for name in [*tables, *[g for g in gone if g not in tables]]:
+            rows = tables[name] if name in tables else self._parts(there, name, set())
+            changes[name] = self._merged(there, name, rows, gone.get(name), seq, rule)
+        self._commit(number, there, self._finish(there, changes))
+
+    def put(self, name: str, rows: DataFrame, seq: str | None = None) -> None:
+        """Write rows of one table."""
+        self.put_all({name: rows}, seq=seq)
 
     def put_new(self, name: str, rows: DataFrame) -> None:
         """Append rows whose key isn't there."""
-        keys, _ = schemas.KEYS[name]
-        old = self.table(name)
-        fresh = rows.select(*old.columns).dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns)
-        self.write(name, old.unionByName(fresh))
+        self.put_all({name: rows}, rule="first")
 
     def nodes(self) -> DataFrame:
         return self.table("nodes")
@@ -151,13 +298,58 @@ class Store:
         return self.table("chunks")
 
     def postings(self) -> DataFrame:
-        """The inverted index, derived."""
-        return search.stemmed(search.postings(self.chunks()))
+        """The inverted index of stems, sorted by term within each file, so that a search reads the terms it asks for."""
+        return self.table("postings")
+
+    def posting_stats(self) -> DataFrame:
+        """One row: number of chunks and their terms."""
+        stats = self._manifest()[1].get("postings", {}).get("stats", {}).values()
+        return self.spark.createDataFrame([(sum(s[0] for s in stats), sum(s[1] for s in stats))], "n_chunks long, n_terms long")
 
     def trigrams(self) -> DataFrame:
         """chunk_id, position and trigram, derived."""
         return self.chunks().select("chunk_id", F.posexplode(text.trigrams("content")).alias("position", "trigram"))
 
+    # files
+
+    def put_files(self, files: DataFrame, *, repo: str | None = None) -> None:
+        """Chunk files (repo, path, text and error) into the store; what a file has lost since its last version goes.
+
+        A file with an error keeps what it had and is listed with the error in `files`. With `repo`, these are all files of
+        that repository, and those that aren't among them go as a whole.
+        """
+        from ..operators import chunking
+
+        folder = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        files.select("repo", "path", "text", "error").write.parquet(folder)
+        files = self.spark.read.schema("repo string, path string, text string, error string").parquet(folder)
+        step = chunking.SIZE - chunking.OVERLAP
+        count = F.when(F.col("error").isNull(), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / step)).cast("int")
+        now = files.select("repo", "path", count.alias("n_chunks"), "error")
+        there_ = self._manifest()[1]
+        n = there_.get("files", {}).get("buckets", self.buckets)
+        # some files are looked up in their buckets only
+        own = None if repo is not None else {r[0] for r in files.select(self._bucket("files", n)).distinct().collect()}
+        known = self._parts(there_, "files", own).select("repo", "path", F.col("n_chunks").alias("_had"))
+        if repo is not None:
+            known = known.where(F.col("repo") == repo)
+        both = now.join(known, ["repo", "path"], "left" if repo is None else "full")
+        there = F.coalesce("n_chunks", F.when(F.col("error").isNotNull(), F.col("_had")), F.lit(0))
+        # beyond the chunks that a file has now, those it had
+        lost = both.where(F.col("_had") > there).select("repo", "path", F.explode(F.sequence(there, F.col("_had") - 1)).alias("i"))
+        gone = lost.select(schemas.code_chunk_id(F.col("repo"), F.col("path"), F.col("i") * step).alias("chunk_id"))
+        rows = now.join(known, ["repo", "path"], "left")
+        rows = rows.select("repo", "path", F.coalesce("n_chunks", "_had", F.lit(0)).alias("n_chunks"), "error")
+        away = both.join(now.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path")
+        chunks = chunking.file_chunks(files.where("error IS NULL").select("repo", "path", "text"))
+        self.put_all({"chunks": chunks, "files": rows}, {"chunks": gone, "files": away})
+        self._fs.delete(self._at(folder), True)
+
+    def failed_files(self, repo: str | None = None) -> DataFrame:
+        """Files that couldn't be read, and why."""
+        found = self.table("files").where("error IS NOT NULL")
+        return found if repo is None else found.where(F.col("repo") == repo)
+
     # repositories
 
     def register(self, repo: str, name: str | None = None, **about: str | None) -> str:
@@ -186,16 +378,26 @@ class Store:
         return self.status(repo)["status"] == "completed"
 
     def delete_repository(self, repo: str) -> None:
-        before = self.tables()
-        for name, rows in without_repo(before, repo).items():
-            if rows is not before[name]:
-                self.write(name, rows)
-
-    def clear(self) -> None:
-        """Empty all tables but the version's."""
-        for name in self.tables():
-            if name != "schema_version":
-                self.write(name, self.spark.createDataFrame([], schemas.TABLES[name]))
+        """Take a repository out of all tables at once; only buckets that hold rows of it are written anew."""
+        number, there = self._manifest()
+        before = {n: self._parts(there, n) for n in schemas.TABLES if n in there}
+        after, changes = without_repo(before, repo), {}
+        for name, rows in after.items():
+            if rows is before[name]:
+                continue
+            n, keys = there[name]["buckets"], self._keys(name)
+            gone = before[name].join(rows.select(*keys), keys, "left_anti").select(self._bucket(name, n)).distinct()
+            touched = {r[0] for r in gone.collect()}
+            if touched:
+                left = without_repo({name: self._parts(there, name, touched)}, repo)[name]
+                changes[name] = Change(there[name]["schema"], self._lay(name, left, n), touched)
+        if changes:
+            self._commit(number, there, self._finish(there, changes))
+
+    def clear(self, everything: bool = False) -> None:
+        """Empty nodes, edges, chunks and files; with `everything`, also embeddings, repositories and references."""
+        names = [n for n in ("nodes", "edges", "chunks", "files", *(("embeddings", "repositories", "cross_references") if everything else ())) if self.has(n)]
+        self.write_all({n: self.spark.createDataFrame([], schemas.TABLES[n]) for n in names})
 
     # migrations
 
@@ -208,11 +410,7 @@ class Store:
     def _apply(self, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> None:
         before = {n: t for n, t in self.tables().items() if n != "schema_version"} or {n: self.table(n) for n in ("nodes", "edges", "chunks")}
         after = change(before)
-        for name, rows in after.items():
-            self.write(name, rows)
-        for name in before:
-            if name not in after:
-                self.drop(name)
+        self.write_all(after, [n for n in before if n not in after])
 
     def migrate(self) -> list[int]:
         """Apply what is pending, in ascending order."""
@@ -246,7 +444,3 @@ class Store:
         if not self._fs.exists(self._at(f"{path}/_SUCCESS")):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
-
-
-def describe(row: dict) -> str:
-    return json.dumps(row, default=str, ensure_ascii=False)
