@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -10,6 +11,9 @@ import numpy as np
 KEEP = 400_000
 #: How byte-level vocabularies split a text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with a longer run of white space than this go to the file's own tokenizer, as the pattern goes back over a run.
+LONG_RUN = 2000
+_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 _loaded: dict[int, object] = {}
 
 
@@ -34,6 +38,10 @@ class _Coder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def own(self, texts: list[str]) -> list[bytes]:
+        """The ids that the file's own tokenizer gives, in batches."""
+        return [x for i in range(0, len(texts), 5000) for x in self._whole(texts[i : i + 5000])]
+
     def _learn(self, missing: set[str]) -> None:
         if len(self.ids) + len(missing) > KEEP:
             self.ids = {"": self.ids[""]}
@@ -51,7 +59,7 @@ def _byte_of() -> dict[str, int]:
 class ByteCoder(_Coder):
     """Byte-level vocabularies whose ids are the ranks of their merges, by a rank encoder over the same vocabulary.
 
-    Texts that may hold a special token's text go to the vocabulary's own tokenizer.
+    Texts that may hold a special token's text, or a very long run of white space, go to the vocabulary's own tokenizer.
     """
 
     def __init__(self, json: str):
@@ -67,7 +75,7 @@ class ByteCoder(_Coder):
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if any(m in t for m in self.marks):
+            if any(m in t for m in self.marks) or (len(t) > LONG_RUN and _RUN.search(t)):
                 out += self._whole([t])
             else:
                 out.append(np.array(self.fast.encode_ordinary(t), "<u4").tobytes())

@@ -1,7 +1,9 @@
 """Vectorised word kernels over blocks of UTF-8 bytes.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which is the pattern [^\\x20\\x09-\\x0D]+. Words, lines and
-n-grams are compared by 64-bit hashes: a polynomial over per-byte random values, taken from prefix sums.
+n-grams are compared by 64-bit hashes: a polynomial over per-byte random values, taken from prefix sums over SPAN bytes
+at a time. A block takes about 30 bytes of memory for each byte of text (rules) or 15 (words alone), so a text of 20 MB
+takes some 600 MB; a task holds one such text at a time.
 """
 
 from __future__ import annotations
@@ -14,10 +16,14 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+#: Bytes whose prefix sums are held at once.
+SPAN = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that begin a code point of a word.
+WORD_CHAR = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -31,6 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
+#: Random 32-bit values of bytes, for hashes of short windows.
+BYTE32 = (_BYTE >> _U(32)).astype(np.uint32)
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -51,7 +59,6 @@ class Block:
 
     data: np.ndarray
     offsets: np.ndarray
-    prefix: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -61,15 +68,10 @@ class Block:
     def n_docs(self) -> int:
         return len(self.offsets) - 1
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from start to end, for many spans."""
-        inverse = _tables(len(self.data) + 1)[1]
-        return mix((self.prefix[end] - self.prefix[start]) * inverse[start] + (end - start).astype(_U))
-
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each document the mask marks."""
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        at = self.offsets.tolist()
+        return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of n words within a document."""
@@ -83,14 +85,36 @@ class Block:
         return at, value[at]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Hash of the bytes from start to end, for many spans in ascending order."""
+    out = np.zeros(len(start), _U)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, a + span, side="right")))
+        b = int(end[j - 1])
+        if b - a > span:
+            # one long span, in pieces: the value of each is shifted by what stands before it
+            value = 0
+            for c in range(a, b, span):
+                part = _BYTE[data[c : min(b, c + span)]]
+                value += int(np.sum(part * _tables(len(part))[0][: len(part)], dtype=_U)) * pow(_BASE, c - a, 1 << 64)
+            out[i] = mix(np.array([(value + b - a) & ((1 << 64) - 1)], _U))[0]
+        else:
+            power, inverse = _tables(b - a + 1)
+            prefix = np.zeros(b - a + 1, _U)
+            np.cumsum(_BYTE[data[a:b]] * power[: b - a], dtype=_U, out=prefix[1:])
+            first, last = start[i:j] - a, end[i:j] - a
+            out[i:j] = mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(_U))
+        i = j
+    return out
+
+
 def parse(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Block:
     """Find and hash the words of documents laid end to end."""
     if lower:
         data = LOWER[data]
     n = len(data)
-    power = _tables(n + 1)[0]
-    prefix = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[data] * power[:n], dtype=_U, out=prefix[1:])
     inside = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -98,10 +122,9 @@ def parse(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Block:
     before[1:], after[:-1] = inside[:-1], inside[1:]
     start = np.flatnonzero(inside & ~(before & ~edge[:-1]))
     end = np.flatnonzero(inside & ~(after & ~edge[1:])) + 1
+    del inside, before, after, edge
     doc = np.searchsorted(offsets, start, side="right") - 1
-    block = Block(data, offsets, prefix, doc, start, end, np.zeros(0, _U))
-    block.hash = block.span_hash(start, end)
-    return block
+    return Block(data, offsets, doc, start, end, span_hashes(data, start, end))
 
 
 def by_doc(block: Block, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -123,20 +146,18 @@ def repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def rule_counts(block: Block) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each document."""
     docs = block.n_docs
-    inside = ~SPACE[block.data]
     out = {
         "n_words": np.bincount(block.doc, minlength=docs),
-        "word_chars": block.per_doc(inside & ((block.data & 0xC0) != 0x80)),
+        "word_chars": block.per_doc(WORD_CHAR[block.data]),
         "n_symbols": block.per_doc(SYMBOL[block.data]),
     }
     newline = np.flatnonzero(block.data == 10)
     start = np.sort(np.concatenate((block.offsets[:-1], newline + 1)))
     end = np.sort(np.concatenate((block.offsets[1:], newline)))
-    filled = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))
-    has_word = filled[end] > filled[start]
+    has_word = np.searchsorted(block.start, end) > np.searchsorted(block.start, start)
     start, end = start[has_word], end[has_word]
     doc = np.searchsorted(block.offsets, start, side="right") - 1
-    later = repeats(by_doc(block, doc, block.span_hash(start, end)))[1]
+    later = repeats(by_doc(block, doc, span_hashes(block.data, start, end)))[1]
     out["n_dup_lines"] = np.bincount(doc[later], minlength=docs)
     at, value = block.grams(3)
     at = at[repeats(by_doc(block, block.doc[at], value))[0]]

@@ -2,13 +2,17 @@
 
 A rolling hash over the last bytes cuts each text where its content says so, hence copied passages give equal chunks
 wherever they stand. A first pass counts chunk hashes over all documents; chunks found twice or more are marked in a
-bit table of fixed size, sent out and encoded once each; all other text is encoded where it lies. Then each document's
+bit table of fixed size and encoded once each. A second pass encodes every document without such a chunk where it lies,
+and cuts the others into references to chunks and the runs between these, which it encodes. Then each document's
 parts are put in order, and every join is repaired: the text around it, back and on to the nearest space or line end,
-is encoded anew. The vocabulary never merges across these, so beyond them the parts agree exactly with the whole.
+is encoded anew. To see that the repair agrees exactly with the whole, the file's own tokenizer encodes each join
+together with some words before and after it, and these must get the ids that the parts gave them; where they don't,
+more words are taken on both sides, and a join that never agrees is an error, not a guess.
 
 A mark may be wrong in a full table; such a chunk takes the way of shared ones and the result is the same. Null and
-empty texts have no tokens. Equal, null or repeated ids are fine, as rows are kept apart by their place. Input columns
-named like a result are replaced.
+empty texts have no tokens. Equal, tied, null or repeated ids are fine, as rows are kept apart by their place, which is
+written down before it is used. Very long texts are cut into chunks like others; their parts meet in one task. Input
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +33,22 @@ WINDOW, LEAST, MOST, MASK = 16, 512, 8192, 1023
 #: The table of repeated chunks has 2**TABLE_BITS bits (2 MB), whatever the corpus.
 TABLE_BITS = 24
 _SLICE_BITS = 18
+#: Bytes of known text on each side of a join that its check begins with; a part keeps four times as many.
+CONTEXT = 24
 _U = np.uint64
+_B32 = 0x9E3779B1
 RESULTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
-_PART = "head binary, ids binary, tail binary, solid boolean"
+_PART = [("head", T.BinaryType()), ("lead", T.BinaryType()), ("ids", T.BinaryType()), ("trail", T.BinaryType()), ("tail", T.BinaryType()), ("solid", T.BooleanType())]
+_PART_ARROW = [pa.binary()] * 5 + [pa.bool_()]
+
+
+def rolling(data: np.ndarray) -> np.ndarray:
+    """For each place from WINDOW on a hash of the WINDOW bytes before it, by doubling the length that is hashed."""
+    out, length = _words.BYTE32[data], 1
+    while length < WINDOW:
+        out = out[:-length] * np.uint32(pow(_B32, length, 1 << 32)) + out[length:]
+        length *= 2
+    return out
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,21 +57,22 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     A cut stands where the rolling hash of the WINDOW bytes before it ends in zeros, LEAST to MOST bytes after the last
     one, and never inside a character.
     """
-    block = _words.parse(data, offsets)
     n = len(data)
-    at = np.arange(WINDOW, n)
-    rolling = block.span_hash(at - WINDOW, at) if n > WINDOW else np.zeros(0, _U)
     apart = (data & 0xC0) != 0x80
-    wanted = at[((rolling & _U(MASK)) == 0) & apart[WINDOW:]]
+    hashed = rolling(data)[:-1] if n > WINDOW else np.zeros(0, np.uint32)
+    # the high bits of the hash depend on all of its bytes
+    wanted = np.flatnonzero(((hashed >> np.uint32(22)) & np.uint32(MASK)) == 0) + WINDOW
+    wanted = wanted[apart[wanted]]
     cuts, doc = [], []
     for d, (a, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         inner = wanted[np.searchsorted(wanted, a + LEAST) : np.searchsorted(wanted, end)].tolist()
+        at = 0
         while a < end:
             cuts.append(a)
             doc.append(d)
-            inner_at = next((i for i, x in enumerate(inner) if x >= a + LEAST), len(inner))
-            inner = inner[inner_at:]
-            b = inner[0] if inner and inner[0] <= a + MOST else a + MOST
+            while at < len(inner) and inner[at] < a + LEAST:
+                at += 1
+            b = inner[at] if at < len(inner) and inner[at] <= a + MOST else a + MOST
             if b >= end:
                 break
             while not apart[b]:
@@ -66,33 +84,80 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(start) > 1:
         same = doc[1:] == doc[:-1]
         stop[:-1][same] = start[1:][same]
-    return np.append(start, n), doc, block.span_hash(start, stop)
+    return np.append(start, n), doc, _words.span_hashes(data, start, stop)
+
+
+def _spaces(text: bytes) -> tuple[int, int]:
+    """Places of the first and the last space or line end; -1 without any."""
+    first = min((x for x in (text.find(b" "), text.find(b"\n")) if x >= 0), default=-1)
+    return first, max(text.rfind(b" "), text.rfind(b"\n"))
+
+
+def _first_words(text: bytes, least: int) -> bytes:
+    """So many bytes from the start of a text or more, up to a space or line end."""
+    if len(text) <= least:
+        return text
+    end = _spaces(text[least : least + 8192])[0]
+    return text[: least + end] if end >= 0 else text
+
+
+def _last_words(text: bytes, least: int) -> bytes:
+    if len(text) <= least:
+        return text
+    begin = max(0, len(text) - least - 8192)
+    found = _spaces(text[begin : len(text) - least])[1]
+    return text[begin + found :] if found >= 0 else text
 
 
 class _Parts:
-    """Encodes runs of text into parts: what lies between the first and the last space, and the text at both ends."""
+    """Encodes runs of text into parts: head, first words, ids, last words and tail.
+
+    The ids are those of the text between the first and the last space, which the words are the ends of; head and tail
+    are the text before and after. A run without a space is all head.
+    """
 
     def __init__(self, json: str):
         self.coder = _bpe.coder(_bpe.WordCoder, json)
 
-    def encode(self, runs: list[bytes]) -> list[tuple[bytes, bytes, bytes, bool]]:
+    def encode(self, runs: list[bytes]) -> list[tuple]:
         out, inner = [], []
         for run in runs:
-            first = min((x for x in (run.find(b" "), run.find(b"\n")) if x >= 0), default=-1)
-            last = max(run.rfind(b" "), run.rfind(b"\n"))
-            out.append((run, b"", True) if first < 0 else (run[:first], run[last:], False))
-            inner.append("" if first < 0 else run[first:last].decode())
-        return [(h, ids, t, s) for (h, t, s), ids in zip(out, self.coder.encode(inner), strict=True)]
-
-    def join(self, parts: list[tuple[bytes, bytes, bytes, bool]]) -> bytes:
-        """The ids of a document from its parts, each join repaired."""
-        ids, open_text = [], b""
-        for head, inner, tail, solid in parts:
-            open_text += head
-            if not solid:
-                ids += [self.coder.encode([open_text.decode()])[0], inner]
-                open_text = tail
-        return b"".join([*ids, self.coder.encode([open_text.decode()])[0]])
+            first, last = _spaces(run)
+            text = b"" if first < 0 else run[first:last]
+            inner.append(text.decode())
+            out.append((run, b"", b"", b"", True) if first < 0 else (run[:first], _first_words(text, 4 * CONTEXT), _last_words(text, 4 * CONTEXT), run[last:], False))
+        return [(h, a, ids, b, t, s) for (h, a, b, t, s), ids in zip(out, self.coder.encode(inner), strict=True)]
+
+    def join(self, documents: list[list[tuple]]) -> list[bytes]:
+        """The ids of documents from their parts, each join repaired and seen to agree."""
+        texts, around, shape = [], [], []
+        for parts in documents:
+            own, open_text, before = [], b"", b""
+            for head, lead, inner, trail, tail, solid in parts:
+                open_text += head
+                if not solid:
+                    own += [len(texts), inner]
+                    texts.append(open_text.decode())
+                    around.append((before, lead))
+                    open_text, before = tail, trail
+            own.append(len(texts))
+            texts.append(open_text.decode())
+            around.append((before, b""))
+            shape.append(own)
+        repaired = self.coder.encode(texts)
+        self._agree(texts, repaired, around)
+        return [b"".join(x if isinstance(x, bytes) else repaired[x] for x in own) for own in shape]
+
+    def _agree(self, texts: list[str], repaired: list[bytes], around: list[tuple[bytes, bytes]]) -> None:
+        todo, least = list(range(len(texts))), CONTEXT
+        while todo:
+            sides = [(_last_words(around[i][0], least).decode(), _first_words(around[i][1], least).decode()) for i in todo]
+            whole = self.coder.own([a + texts[i] + b for i, (a, b) in zip(todo, sides, strict=True)])
+            known = self.coder.encode([x for side in sides for x in side])
+            todo = [i for i, x, a, b in zip(todo, whole, known[::2], known[1::2], strict=True) if x != a + repaired[i] + b]
+            if todo and least >= 4 * CONTEXT:
+                raise ValueError("this vocabulary merges across spaces, so chunks can't be joined")
+            least *= 2
 
     def digest(self, ids: bytes) -> tuple[int, str, str]:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.coder.decode(ids).encode()).hexdigest()
@@ -109,8 +174,12 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << TABLE_BITS, bool)
     for batch in batches:
         table[(batch.column(0).to_numpy().view(_U) & _U((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
-    full = [(s, np.packbits(x)) for s, x in enumerate(table.reshape(-1, 1 << _SLICE_BITS)) if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in full], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in full], pa.binary())], ["slice", "bits"])
+    yield _slices({s: np.packbits(x) for s, x in enumerate(table.reshape(-1, 1 << _SLICE_BITS)) if x.any()})
+
+
+def _slices(table: dict[int, np.ndarray]) -> pa.RecordBatch:
+    bits = [zlib.compress(x.tobytes(), 1) for x in table.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(table), pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +188,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x = np.frombuffer(zlib.decompress(x), np.uint8)
             total[s] = total[s] | x if s in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "bits"])
+    yield _slices(total)
 
 
 def repeated(texts: DataFrame) -> np.ndarray:
@@ -132,17 +201,21 @@ def repeated(texts: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in `carry`) with the ids of each text (little-endian unsigned 32-bit), n_tokens, and the SHA-256 of ids and of decoded text."""
+def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+    """docs (or its columns in `carry`) with n_tokens, the SHA-256 of ids and of decoded text, and the ids themselves.
+
+    The ids are little-endian unsigned 32-bit numbers.
+    """
     spark = docs.sparkSession
     _shared.tune(spark)
     context = spark.sparkContext
     json = context.broadcast(_bpe.read(vocabulary))
     texts = docs.select(_shared.text_or_empty(text_col).alias("_text"))
     bits = context.broadcast(repeated(texts))
-    own = [c for c in (docs.columns if carry is None else carry) if c not in (*RESULTS, "ids")]
-    # the carried columns go with a row's last part
+    results = [*RESULTS, "ids"] if with_ids else RESULTS
+    own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in (*RESULTS, "ids")]
     rows = docs.select(F.struct(*own).alias("_row"), F.monotonically_increasing_id().alias("_place"), _shared.text_or_empty(text_col).alias("_text"))
+    row_type = rows.schema["_row"].dataType
 
     def cut(texts: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]], list[bool]]]:
         """Of each document: row, bytes, chunks (from, to, hash) and which of them are marked."""
@@ -155,91 +228,112 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: l
                 a, b = int(lo[d]), int(lo[d + 1])
                 base, stop = int(offsets[d]), int(offsets[d + 1])
                 ends = [*start[a + 1 : b].tolist(), stop] if b > a else []
-                yield first + d, data[base:stop].tobytes(), [(int(x) - base, y - base, int(h)) for x, y, h in zip(start[a:b], ends, value[a:b].view(np.int64), strict=True)], marked[a:b].astype(bool).tolist()
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            found: dict[int, bytes] = {}
-            for _, data, parts, marked in cut(batch.column(0)):
-                for (a, b, h), m in zip(parts, marked, strict=True):
-                    if m and h not in seen:
-                        seen.add(h)
-                        found[h] = data[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["chunk", "data"])
+                parts = zip(start[a:b].tolist(), ends, value[a:b].view(np.int64).tolist(), strict=True)
+                yield first + d, data[base:stop].tobytes(), [(x - base, y - base, h) for x, y, h in parts], marked[a:b].astype(bool).tolist()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = _Parts(json.value)
-        for batch in batches:
-            columns = [list(x) for x in zip(*parts.encode(batch.column(1).to_pylist()), strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True))], ["chunk", "head", "ids", "tail", "solid"])
-
-    once_encoded = texts.mapInArrow(once, "chunk long, data binary").dropDuplicates(["chunk"]).mapInArrow(encoded, f"chunk long, {_PART}")
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents without a marked chunk: done where they lie."""
-        parts = _Parts(json.value)
-        for batch in batches:
-            mine = [i for i, _, _, marked in cut(batch.column(2)) if not any(marked)]
-            ids = parts.coder.encode(batch.column(2).take(pa.array(mine, pa.int64())).to_pylist())
-            yield result(batch.column(0).take(pa.array(mine, pa.int64())), parts, ids)
-
-    def result(row: pa.Array, parts: _Parts, ids: list[bytes]) -> pa.RecordBatch:
+    def done(parts: _Parts, ids: list[bytes]) -> list[pa.Array]:
         columns = [list(x) for x in zip(*map(parts.digest, ids), strict=True)] or [[]] * 3
-        return pa.RecordBatch.from_arrays([row, pa.array(ids, pa.binary()), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["_row", "ids", *RESULTS])
+        return [*(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)), *([pa.array(ids, pa.binary())] if with_ids else [])]
+
+    part_columns = [f"_p_{k}" for k, _ in _PART]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents with marked chunks: those as references, the runs between them encoded."""
+        """Rows of three kinds: documents without marked chunks, done; parts of the others; and marked chunks' bytes."""
         parts = _Parts(json.value)
+        seen: set[int] = set()
         for batch in batches:
             place = batch.column(1).to_pylist()
-            owner, nth, chunk, runs, last = [], [], [], [], []
+            alone, owner, nth, chunk, runs, last, found = [], [], [], [], [], [], {}
+            if len(seen) > 500_000:
+                seen.clear()
+
+            def add(i: int, k: int, name: int | None, run: bytes | None) -> int:
+                for to, x in zip((owner, nth, chunk, runs, last), (i, k, name, run, False), strict=True):  # noqa: B023
+                    to.append(x)
+                return k + 1
+
             for i, data, pieces, marked in cut(batch.column(2)):
                 if not any(marked):
+                    alone.append(i)
                     continue
                 k, a = 0, 0
                 for (x, y, h), m in zip(pieces, marked, strict=True):
-                    for run, name in (((a, x), None), ((x, y), h)) if m else ():
-                        if run[0] < run[1]:
-                            owner.append(i)
-                            nth.append(k)
-                            chunk.append(name)
-                            runs.append(None if name is not None else data[run[0] : run[1]])
-                            last.append(False)
-                            k += 1
-                    a = y if m else a
+                    if m:
+                        if a < x:
+                            k = add(i, k, None, data[a:x])
+                        k = add(i, k, h, None)
+                        a = y
+                        if h not in seen:
+                            seen.add(h)
+                            found[h] = data[x:y]
                 if a < len(data):
-                    owner.append(i)
-                    nth.append(k)
-                    chunk.append(None)
-                    runs.append(data[a:])
-                    last.append(False)
+                    add(i, k, None, data[a:])
                 last[-1] = True
+            text = batch.column(2).take(pa.array(alone, pa.int64())).to_pylist()
             coded = iter(parts.encode([r for r in runs if r is not None]))
-            filled = [next(coded) if r is not None else (None,) * 4 for r in runs]
-            columns = [list(x) for x in zip(*filled, strict=True)] or [[]] * 4
-            row = batch.column(0).take(pa.array([i if e else None for i, e in zip(owner, last, strict=True)], pa.int64()))
-            yield pa.RecordBatch.from_arrays([row, pa.array([place[i] for i in owner], pa.int64()), pa.array(nth, pa.int32()), pa.array(chunk, pa.int64()), *(pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True))], ["_row", "_place", "nth", "chunk", "head", "ids", "tail", "solid"])
+            filled = [next(coded) if r is not None else (None,) * len(_PART) for r in runs]
+            # the carried columns go with a row's last part
+            taken = [*alone, *(i if e else None for i, e in zip(owner, last, strict=True)), *[None] * len(found)]
+            n, m, o = len(alone), len(owner), len(found)
+            columns = [
+                pa.array([0] * n + [1] * m + [2] * o, pa.int8()),
+                batch.column(0).take(pa.array(taken, pa.int64())),
+                *[pa.concat_arrays([x, pa.nulls(m + o, x.type)]) for x in done(parts, parts.coder.encode(text))],
+                pa.array([None] * n + [place[i] for i in owner] + [None] * o, pa.int64()),
+                pa.array([None] * n + nth + [None] * o, pa.int32()),
+                pa.array([None] * n + chunk + list(found), pa.int64()),
+                *[pa.array([None] * n + [f[c] for f in filled] + [None] * o, t) for c, t in enumerate(_PART_ARROW)],
+                pa.array([None] * (n + m) + list(found.values()), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+    types = {"n_tokens": "long", "ids": "binary"}
+    out = T.StructType().add("_row", row_type, True)
+    for c in results:
+        out = out.add(f"_{c}", types.get(c, "string"))
+    schema = T.StructType().add("_kind", "byte")
+    for f in out.fields:
+        schema = schema.add(f.name, f.dataType, True)
+    schema = schema.add("_place", "long").add("_nth", "integer").add("_chunk", "long")
+    for k, t in _PART:
+        schema = schema.add(f"_p_{k}", t)
+    schema = schema.add("_data", "binary")
+    # each text is cut and encoded once; what follows reads the table, where a place can't change either
+    split_rows = _shared.staged(rows.mapInArrow(split, schema), "bpe-parts")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _Parts(json.value)
+        for batch in batches:
+            columns = [list(x) for x in zip(*parts.encode(batch.column(1).to_pylist()), strict=True)] or [[]] * len(_PART)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, _PART_ARROW, strict=True))], ["_chunk", *part_columns])
 
-    pieces = rows.mapInArrow(split, T.StructType().add("_row", rows.schema["_row"].dataType, True).add("_place", "long").add("nth", "integer").add("chunk", "long").add("head", "binary").add("ids", "binary").add("tail", "binary").add("solid", "boolean"))
-    shared = pieces.where("chunk IS NOT NULL").select("_row", "_place", "nth", "chunk").join(once_encoded, "chunk")
-    whole = pieces.where("chunk IS NULL").select("_row", "_place", "nth", "head", "ids", "tail", "solid").unionByName(shared.drop("chunk"))
+    chunk_schema = T.StructType().add("_chunk", "long")
+    for k, t in _PART:
+        chunk_schema = chunk_schema.add(f"_p_{k}", t)
+    once = split_rows.where("_kind = 2").select("_chunk", "_data").dropDuplicates(["_chunk"]).mapInArrow(encoded, chunk_schema)
+    pieces = split_rows.where("_kind = 1")
+    shared = pieces.where("_chunk IS NOT NULL").select("_row", "_place", "_nth", "_chunk").join(once, "_chunk").drop("_chunk")
+    whole = pieces.where("_chunk IS NULL").select("_row", "_place", "_nth", *part_columns).unionByName(shared)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts(json.value)
         open_place, held = None, []
         for batch in batches:
-            done, ids = [], []
-            for i, (place, *part) in enumerate(zip(batch.column(1).to_pylist(), *(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), strict=True)):
+            ready, documents = [], []
+            columns = [batch.column(c).to_pylist() for c in range(3, 3 + len(_PART))]
+            valid = batch.column(0).is_valid().to_pylist()
+            for i, (place, *part) in enumerate(zip(batch.column(1).to_pylist(), *columns, strict=True)):
                 if place != open_place:
                     open_place, held = place, []
                 held.append(tuple(part))
-                if batch.column(0)[i].is_valid:
-                    done.append(i)
-                    ids.append(parts.join(held))
+                if valid[i]:
+                    ready.append(i)
+                    documents.append(held)
                     open_place, held = None, []
-            yield result(batch.column(0).take(pa.array(done, pa.int64())), parts, ids)
+            row = batch.column(0).take(pa.array(ready, pa.int64()))
+            yield pa.RecordBatch.from_arrays([row, *done(parts, parts.join(documents))], [f.name for f in out])
 
-    schema = T.StructType().add("_row", rows.schema["_row"].dataType, True).add("ids", "binary").add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    together = whole.repartition(_shared.n_partitions(spark), "_place").sortWithinPartitions("_place", "nth").select("_row", "_place", "nth", "head", "ids", "tail", "solid")
-    return rows.mapInArrow(alone, schema).union(together.mapInArrow(assemble, schema)).select("_row.*", "ids", *RESULTS)
+    together = whole.repartition(_shared.n_partitions(spark), "_place").sortWithinPartitions("_place", "_nth").select("_row", "_place", "_nth", *part_columns)
+    names = [F.col(f"_{c}").alias(c) for c in results]
+    simple = split_rows.where("_kind = 0").select("_row", *[f"_{c}" for c in results])
+    return simple.union(together.mapInArrow(assemble, out)).select("_row.*", *names)

@@ -56,7 +56,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), carry=["doc_id"]).drop("ids")
+    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), carry=["doc_id"], with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
