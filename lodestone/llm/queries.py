@@ -52,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return sharding.shard(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_a_text_with_a_third_of_the_rows_is_dealt_out(spark):
     sizes = check(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     mean = sum(sizes.values()) / 16
     assert len(sizes) == 16 and all(abs(x - mean) <= 0.03 * mean for x in sizes.values())
+
+
+def test_copies_without_ids_are_dealt_out_too(spark):
+    """A third of all rows have one text and no id; columns have names that the operator might use itself."""
+    rows = [(i, f"text {i} " + "word " * 20) for i in range(2000)] + [(None, "word " * 20)] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_id", "_n", "_key", "_nr", "row", "Shard", "_run")})
+    out = sharding.shard(docs)
+    assert out.columns == [*[c for c in docs.columns if c != "Shard"], *sharding.RESULTS]
+    sizes = check(out.drop("_id").collect())
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and all(abs(x - mean) <= 0.1 * mean for x in sizes.values())
