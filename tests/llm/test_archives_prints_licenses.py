@@ -118,8 +118,19 @@ def test_licenses(spark):
     assert next(g for g in got if g[0] == 6)[2:] == ("13,15", "")
 
 
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
 STANDARD = {
-    "Apache-2.0,Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -133,21 +144,43 @@ STANDARD = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC-BY-SA 4.0.",
     "CC0-1.0": "This software is released under CC0 1.0.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software must be included.',
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/. More.",
 }
-STANDARD["BSD-2-Clause,BSD-3-Clause"] = STANDARD["BSD-2-Clause"] + " 3. Neither the name of the Example Group nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+STANDARD["BSD-3-Clause"] = STANDARD["BSD-2-Clause"] + " 3. Neither the name of the Example Group nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 
 
 def test_standard_texts_have_their_licenses_however_wrapped(spark):
     rows = [(f"{name}|{width}|{mark}", "Some code.\n\n" + "\n".join(mark + x for x in textwrap.wrap(text, width, break_on_hyphens=False)) + "\n\nThe end") for name, text in STANDARD.items() for width, mark in ((10**6, ""), (72, ""), (40, ""), (25, ""), (60, " * "))]
-    rows += [("|not", "This is not licensed under the MIT license."), ("|lesser", STANDARD["GPL-3.0-or-later"].replace("GNU General", "GNU Lesser General"))]
+    rows += [("|not", "This is not licensed under the MIT license."), ("LGPL-3.0-or-later|", STANDARD["GPL-3.0-or-later"].replace("GNU General", "GNU Lesser General"))]
+    rows += [("MIT,all-rights-reserved|lines", "All rights reserved\nReleased under the MIT license\nthe end"), ("|part", STANDARD["MIT-text"].partition(" The above")[0])]
+    rows += [("Apache-2.0-header|as published", "/*\n * Copyright\n *\n * " + APACHE_HEADER.replace("\n", "\n * ") + "\n */")]
+    rows += [("GPL-3.0|title", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007")]
+    rows += [("Apache-2.0-text|title", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert {k: v for k, v in got.items() if v != k.split("|")[0]} == {}
 
 
-def test_licenses_are_their_sql(spark):
+def test_licenses_are_their_sql(spark, tmp_path):
     sf = "/root/testdata/sf0.001/documents.parquet"
+    more = [(10**6 + i, "\n".join(textwrap.wrap(t, 50, break_on_hyphens=False)) + e) for i, t in enumerate(STANDARD.values()) for e in ("", "\n\nAll rights reserved\nx")]
+    more = [(10 * i, t) for i, (_, t) in enumerate(more, 10**6)] + [(5, None), (6, ""), (7, "a;  b:\n\n. c\r\n\r\nd")]
+    docs = spark.read.parquet(sf).select("doc_id", "text").where("doc_id > 7").union(spark.createDataFrame(more, "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}'")
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
     rel = con.sql(licenses.oracle_sql())
-    got = licenses.scan(spark.read.parquet(sf).select("doc_id", "text")).select(*rel.columns).collect()
+    got = licenses.scan(spark.read.parquet(str(tmp_path / "d"))).select(*rel.columns).collect()
     assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
+def test_licenses_with_clashing_names(spark):
+    rows = [(1, "All rights reserved", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, cut int, State int")
+    got = licenses.scan(docs)
+    assert got.columns == [*docs.columns, "n_sentences", "sentence_ids", "licenses"] and got.first()["licenses"] == "all-rights-reserved"
+    assert licenses.scan(docs.where("false")).count() == 0
