@@ -1,8 +1,11 @@
+import math
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import _probe, _shared, _words, ngram_model, quality_classifier, quality_rules
@@ -61,13 +64,68 @@ def test_no_labels_and_no_rows(docs, labels):
     assert quality_classifier.quality_classifier(docs.where("false"), labels).count() == 0
 
 
-def test_gumbel_top_k(docs, labels):
-    rows = quality_classifier.quality_classifier(docs, labels).collect()
-    k = sum(r["llr"] >= quality_classifier.LEAST_RATIO for r in rows)
-    ordered = sorted((r["gumbel_key"] for r in rows), reverse=True)
-    assert k and all(r["kept"] == (r["gumbel_key"] >= ordered[k - 1]) for r in rows)
+M64 = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def mixed(x):
+    x &= M64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def cells_by_loops(text):
+    """Cells of words and pairs of words, from plain integers."""
+    hashes = []
+    for w in WORD.findall(text):
+        value = sum(mixed((b + 1) * 0xD1342543DE82EF95) * pow(BASE, i, 1 << 64) for i, b in enumerate(w.encode()))
+        hashes.append(mixed(value + len(w.encode())))
+    pairs = [mixed(mixed(a + 1) * BASE + b + 2) for a, b in zip(hashes, hashes[1:], strict=False)]
+    return [h >> (64 - ngram_model.BITS) for h in hashes + pairs]
+
+
+def gumbel(doc_id):
+    h = 42 if doc_id is None else xxhash.xxh64(struct.pack("<q", doc_id), seed=42).intdigest()
+    h = xxhash.xxh64(struct.pack("<i", quality_classifier.SEED), seed=h).intdigest()
+    return -math.log(-math.log(((h >> 12) + 0.5) / (1 << 52)))
+
+
+def test_resampling_against_loops(docs, labels):
+    """Models, weights, noise and the choice of k, from plain loops over collected rows."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(cells_by_loops(t))
+        if i in (6, 10):
+            target.update(cells_by_loops(t))
+    n, m, prior = sum(raw.values()), sum(target.values()), ngram_model.PRIOR
+    model = {c: math.log((target[c] + prior) / (raw[c] * m / n + prior)) for c in raw}
+    want = []
+    for i, t in rows:
+        own = cells_by_loops(t)
+        llr = sum(model[c] for c in own) / len(own) if own else 0.0
+        want.append((i, t, llr, llr * quality_classifier.TEMPER + gumbel(i), bool(own)))
+    shares = [math.floor(math.exp(min(0.0, quality_classifier.TEMPER * (x[2] - quality_classifier.LEAST_RATIO))) * 1e6) for x in want if x[4]]
+    k = round(sum(shares) / 1e6)
+    last = sorted((x[3] for x in want if x[4]), reverse=True)[k - 1]
+    got = quality_classifier.quality_classifier(docs, labels).collect()
+    assert 0 < k <= len(shares) and len(got) == len(want)
+    by = {(i, t): (llr, key, filled and key >= last - 1e-9) for i, t, llr, key, filled in want}
+    for r in got:
+        llr, key, kept = by[(r["doc_id"], r["text"] or "")]
+        assert abs(r["llr"] - llr) < 1e-9 and abs(r["gumbel_key"] - key) < 1e-6 and r["kept"] == kept
     again = {(r["doc_id"], r["text"], r["kept"]) for r in quality_classifier.quality_classifier(docs.repartition(2), labels).collect()}
-    assert again == {(r["doc_id"], r["text"], r["kept"]) for r in rows}
+    assert again == {(r["doc_id"], r["text"], r["kept"]) for r in got}
+
+
+def test_noise_matters_near_the_threshold(spark):
+    """The sample isn't a threshold: of documents alike in weight some stay, but the best do stay."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_classifier.quality_classifier(docs, labels, carry=["doc_id"]).collect()
+    other = [r for r in rows if r["kept"] != (r["llr"] >= quality_classifier.LEAST_RATIO) and r["llr"]]
+    assert len(other) > len(rows) / 1000 and all(r["kept"] for r in rows if r["llr"] > 0.02)
 
 
 def test_held_out_accuracy(spark):
