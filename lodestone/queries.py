@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text, vectors
+from .functions import porter, text, vectors
 from .operators import chunking, embeddings, graph, search
-from .plans import analysis, fusion, hybrid
+from .plans import analysis, fusion, hybrid, ingest
 from .sources import adapters as A
 from .sources import files as files_source
 from .sources import store
@@ -164,9 +165,10 @@ def identifiers_normalize(spark, d):
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@_add("stopword_entity_extract", f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')), lambda w: length(w) > 2 AND w NOT IN ({_STOPS})))), ' ') AS entities FROM conversations WHERE text IS NOT NULL")
+@_add("stopword_entity_extract", f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')), lambda w: length(w) > 2 AND w NOT IN ({_STOPS})))), ' ') AS entities FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def stopword_entity_extract(spark, d):
-    return A.read(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.array_join(F.array_sort(text.query_entities("text")), " ").alias("entities"))
+    said = F.coalesce("text", F.lit(""))
+    return A.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(text.query_entities(said)), " ").alias("entities"))
 
 
 @_add("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1")
@@ -221,10 +223,35 @@ def bm25_search(spark, d):
     return search.sparse_batch(A.chunks(spark, d), queries, stem=False).select("query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank")
 
 
-@_add("bm25_search_stemmed")
+_STEMMED = [(1, "licensing works"), (2, "things")]
+_STEMS = {porter.stem(w): i for i, q in _STEMMED for w in q.split()}
+# the forms of the queries' words; texts may have any of them
+_FORMS = sorted({(w, porter.stem(w)) for base in ("licens", "work", "thing") for end in ("", "e", "s", "es", "ed", "ing", "er", "ers", "able", "ings", "ely") for w in (base + end,) if porter.stem(w) in _STEMS})
+
+
+@_add("bm25_search_stemmed", _with("chunks", "").rstrip() + "," + f"""
+words AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS word FROM chunks),
+forms(word, term) AS (VALUES {", ".join(map(str, _FORMS))}),
+terms AS (SELECT chunk_id, term, count(*) AS tf FROM words JOIN forms USING (word) GROUP BY ALL),
+lengths AS (SELECT chunk_id, count(*) AS length FROM words GROUP BY chunk_id),
+stats AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(*) FROM words) / (SELECT count(*) FROM chunks)::DOUBLE AS avg_length),
+wanted AS (SELECT CAST(q AS BIGINT) AS query_id, term, count(*) OVER (PARTITION BY q) AS n_terms FROM (VALUES {", ".join(f"({i}, '{t}')" for t, i in _STEMS.items())}) w(q, term)),
+df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+scored AS (SELECT query_id, chunk_id, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 9) AS bm25
+  FROM terms JOIN wanted USING (term) JOIN df USING (term) JOIN lengths USING (chunk_id), stats GROUP BY query_id, chunk_id HAVING count(*) = any_value(n_terms))
+SELECT query_id, chunk_id, repo, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS INTEGER) AS rank FROM scored JOIN chunks USING (chunk_id) QUALIFY rank <= 20""")
 def bm25_search_stemmed(spark, d):
-    queries = spark.createDataFrame([(1, "licensing works"), (2, "things")], "query_id long, query string")
-    return search.sparse_batch(A.chunks(spark, d), queries).drop("content")
+    queries = spark.createDataFrame(_STEMMED, "query_id long, query string")
+    return search.sparse_batch(A.chunks(spark, d), queries).select("query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@_add("bm25_search_indexed", _with("chunks", "").rstrip() + "," + _BM25)
+def bm25_search_indexed(spark, d):
+    """As bm25_search, from postings that are there already (here: derived in the plan)."""
+    queries = spark.createDataFrame([(1, "The erst"), (2, "thing AND"), (3, "license")], "query_id long, query string")
+    chunks = A.chunks(spark, d)
+    found = search.sparse_batch(chunks, queries, index=search.postings(chunks), stem=False)
+    return found.select("query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 # graph
@@ -381,11 +408,26 @@ def rrf_by_repo(spark, d):
     return fusion.by_repository(_fused(spark, d)).select("repo", "n_results", F.array_join("results.id", ",").alias("ids"))
 
 
-@_add("rrf_explanations")
+def _four(x: str) -> str:
+    """Four decimals, halves up as seen in decimal."""
+    return f"CAST(CAST(CAST({x} AS DECIMAL(18, 12)) AS DECIMAL(18, 4)) AS VARCHAR)"
+
+
+_SHOWN = {"dense": ("Dense (semantic)", 0.3), "sparse": ("Sparse (keyword)", 0.3), "pattern": ("Pattern (fuzzy)", 0.2), "graph": ("Graph (relationships)", 0.2)}
+_EXPLAINED = ", ".join(f"CASE WHEN {s} IS NOT NULL THEN '  - {n}: rank ' || {s} || ' → score ' || {_four(f"{w} / (60 + {s})")} || ' (weight: {w})' END" for s, (n, w) in _SHOWN.items())
+_TOTAL = " + ".join(f"coalesce({w} / (60 + {s}), 0)" for s, (_, w) in _SHOWN.items())
+
+
+@_add("rrf_explanations", _with("lists fused", f"SELECT rank, id, concat_ws(chr(10), 'Total RRF score: ' || {_four(_TOTAL)}, {_EXPLAINED}) AS explanation FROM fused"))
 def rrf_explanations(spark, d):
     return _fused(spark, d).select("rank", "id", fusion.explanation(analysis.profile("mixed")).alias("explanation"))
 
 
+@_add("rrf_from_source", _with("lists fused", "SELECT rank, id, graph FROM fused WHERE graph IS NOT NULL"))
+def rrf_from_source(spark, d):
+    return fusion.from_source(_fused(spark, d), "graph").select("rank", "id", "graph")
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -397,20 +439,24 @@ def _sql_any(words: list[str]) -> str:
 _IDS_OF_QUERY = ", ".join(f"regexp_extract_all(query, '{p}')" for p in text.IDENTIFIER_PATTERNS)
 
 
-@_add("query_classification", f"""
-SELECT CAST(query_id AS BIGINT) AS query_id, CASE WHEN {_sql_any(analysis.RELATIONSHIP_WORDS)} THEN 'relationship'
+_QUERY_TYPE = f"""CASE WHEN {_sql_any(analysis.RELATIONSHIP_WORDS)} THEN 'relationship'
   WHEN len(regexp_extract_all(query, {_quoted(analysis.SPECIALS)})) >= 2 OR regexp_matches(query, {_quoted(analysis.KEY_LIKE)}) THEN 'pattern'
   WHEN len(flatten([{_IDS_OF_QUERY}])) > 0 AND NOT {_sql_any(analysis.CONCEPTUAL_WORDS)} THEN 'identifier'
   WHEN regexp_matches(query, {_quoted(analysis.CONSONANTS)}) THEN 'fuzzy'
-  WHEN {_sql_any(analysis.CONCEPTUAL_WORDS)} THEN 'conceptual' ELSE 'mixed' END AS query_type, regexp_matches(query, {_quoted(analysis.CONSONANTS)}) AS has_typos
+  WHEN {_sql_any(analysis.CONCEPTUAL_WORDS)} THEN 'conceptual' ELSE 'mixed' END"""
+
+
+@_add("query_classification", f"""
+SELECT CAST(query_id AS BIGINT) AS query_id, {_QUERY_TYPE} AS query_type, regexp_matches(query, {_quoted(analysis.CONSONANTS)}) AS has_typos
 FROM (VALUES {", ".join(f"({i}, {_quoted(q)})" for i, q, _ in A.QUERIES)}) q(query_id, query)""")
 def query_classification(spark, d):
     return analysis.analyze_batch(A.query_set(spark)).select("query_id", "query_type", "has_typos")
 
 
-@_add("conversation_classification")
+@_add("conversation_classification", f"SELECT query_type, count(*) AS n FROM (SELECT {_QUERY_TYPE} AS query_type FROM (SELECT coalesce(text, '') AS query FROM conversations)) GROUP BY query_type")
 def conversation_classification(spark, d):
-    return analysis.analyze_batch(A.read(spark, d, "conversations").where("text IS NOT NULL"), "text").groupBy("query_type").agg(F.count(F.lit(1)).alias("n"))
+    said = A.read(spark, d, "conversations").select(F.coalesce("text", F.lit("")).alias("query"))
+    return analysis.analyze_batch(said).groupBy("query_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_add("normalize_weights", "SELECT o_orderkey, round(CASE WHEN a + b + c + e = 0 THEN 0.25 ELSE a / (a + b + c + e) END, 9) AS dense, round(CASE WHEN a + b + c + e = 0 THEN 0.25 ELSE e / (a + b + c + e) END, 9) AS graph FROM (SELECT o_orderkey, (o_orderkey % 3)::DOUBLE AS a, (o_orderkey % 5)::DOUBLE AS b, (o_orderkey % 7)::DOUBLE AS c, (o_orderkey % 2)::DOUBLE AS e FROM orders)")
@@ -435,11 +481,66 @@ def repo_stats(spark, d):
     return store.status_counts({"nodes": A.nodes(spark, d), "edges": A.edges(spark, d), "chunks": A.chunks(spark, d), "embeddings": A.embeddings(spark, d)})
 
 
-@_add("repo_delete_cascade", _with("nodes edges refs", "SELECT 'nodes' AS what, count(*) AS n FROM nodes WHERE repo <> 'supplier' UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_repo <> 'supplier' AND target_repo <> 'supplier' UNION ALL SELECT 'cross_references', count(*) FROM refs WHERE from_repo <> 'supplier' AND to_repo <> 'supplier'"))
+_CASCADE = {
+    "nodes": ("nodes", "repo"), "edges": ("edges", "source_repo target_repo"), "chunks": ("chunks", "repo"),
+    "embeddings": ("emb", "repo"), "repositories": ("repos", "id"), "cross_references": ("refs", "from_repo to_repo"),
+}
+_GONE = ["supplier", "label_1", "region_1", "src1"]
+_SQL["repos"] = "repos AS (SELECT DISTINCT repo AS id FROM (SELECT repo FROM nodes UNION ALL SELECT repo FROM emb UNION ALL SELECT repo FROM chunks))"
+
+
+def _sql_left(what: str) -> str:
+    table, columns = _CASCADE[what]
+    tests = " AND ".join(f"{c} NOT IN ({', '.join(map(_quoted, _GONE))})" for c in columns.split())
+    return f"SELECT '{what}' AS what, count(*) AS n FROM {table} WHERE {tests}"
+
+
+@_add("repo_delete_cascade", _with("nodes edges refs emb chunks repos", " UNION ALL ".join(map(_sql_left, _CASCADE))))
 def repo_delete_cascade(spark, d):
-    left = store.without_repo({"nodes": A.nodes(spark, d), "edges": A.edges(spark, d), "cross_references": A.cross_references(spark, d)}, "supplier")
+    """What is left of each table when some repositories are deleted."""
+    tables = {"nodes": A.nodes(spark, d), "edges": A.edges(spark, d), "chunks": A.chunks(spark, d), "embeddings": A.embeddings(spark, d), "cross_references": A.cross_references(spark, d)}
+    names = tables["nodes"].select("repo").union(tables["embeddings"].select("repo")).union(tables["chunks"].select("repo"))
+    left = tables | {"repositories": names.distinct().withColumnRenamed("repo", "id")}
+    for repo in _GONE:
+        left = store.without_repo(left, repo)
     parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, rows in left.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    return reduce(DataFrame.union, parts)
+
+
+@_add("repository_upsert", "SELECT 'r' || o_custkey % 50 AS id, arg_max(o_orderpriority, o_orderkey) AS version FROM orders GROUP BY ALL")
+def repository_upsert(spark, d):
+    rows = A.read(spark, d, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") % 50).cast("string")).alias("id"), F.col("o_orderpriority").alias("version"), F.col("o_orderkey").alias("seq"))
+    return store.keep_last(rows.drop("seq").where(F.lit(False)), rows, ["id"], "seq")
+
+
+@_add("prefix_stats", _with("nodes edges", "SELECT (SELECT count(*) FROM nodes WHERE id LIKE 'supplier:%') AS nodes, (SELECT count(*) FROM edges WHERE source LIKE 'supplier:%') AS edges"))
+def prefix_stats(spark, d):
+    """Nodes and edges by the prefix of their ids, as those of a markdown repository are told."""
+    nodes = graph.with_prefix(A.nodes(spark, d), "id", "supplier", ":").agg(F.count(F.lit(1)).alias("nodes"))
+    edges = graph.with_prefix(A.edges(spark, d), "source", "supplier", ":").agg(F.count(F.lit(1)).alias("edges"))
+    # a row each
+    return nodes.crossJoin(F.broadcast(edges))
+
+
+@_add("repo_stamp", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'stamped' END AS repo FROM customer")
+def repo_stamp(spark, d):
+    key = F.col("c_custkey") % 3
+    rows = A.read(spark, d, "customer").select("c_custkey", F.when(key == 0, F.col("c_mktsegment")).when(key == 1, F.lit("")).alias("repo"))
+    return graph.stamp_repo(rows, "stamped")
+
+
+@_add("extraction_counts", "SELECT CAST(sum(s_suppkey % 3) AS BIGINT) AS entities, CAST(sum(s_suppkey % 2) AS BIGINT) AS relationships FROM supplier")
+def extraction_counts(spark, d):
+    n = F.col("s_suppkey")
+    lines = F.concat(F.repeat(F.lit("Entity: x\n"), (n % 3).cast("int")), F.repeat(F.lit("Parsed relationship: a -> b\n"), (n % 2).cast("int")))
+    return ingest.counts_in_output(A.read(spark, d, "supplier").select(lines.alias("elements")))
+
+
+@_add("centrality_summary", _with("nodes edges", """, top AS (SELECT id, count(e.id2) AS degree FROM nodes LEFT JOIN (SELECT source AS id2 FROM edges UNION ALL SELECT target FROM edges) e ON id = e.id2 GROUP BY id ORDER BY degree DESC, id LIMIT 10)
+SELECT string_agg(nth || '. ' || id || ': ' || degree || ' edges', chr(10) ORDER BY nth) AS lines FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, id) AS nth FROM top)""").replace("\n, top", ", top"))
+def centrality_summary(spark, d):
+    top = [(r["id"], r["degree"]) for r in graph.degree_top(A.nodes(spark, d), A.edges(spark, d)).collect()]
+    return spark.createDataFrame([("\n".join(graph.centrality_text(top).strip().split("\n")[1:]),)], "lines string")
 
 
 @_add("graph_export", _with("nodes edges", "SELECT 'node' AS kind, id AS source, NULL AS target, NULL AS relationship, NULL::DOUBLE AS weight FROM nodes UNION ALL SELECT 'link', source, target, relationship, weight FROM edges"))
@@ -449,10 +550,19 @@ def graph_export(spark, d):
     return n.union(A.edges(spark, d).select(F.lit("link"), "source", "target", "relationship", "weight"))
 
 
-@_add("page_text_chunks")
+_PAGE_TEXT = "regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]+>', ' ', 'gs')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{_entity}', '{_char}')"
+
+
+@_add("page_text_chunks", f"""
+SELECT substr(sha256(concat_ws(':', 'web', url, CAST(s AS VARCHAR))), 1, 16) AS chunk_id, 'web' AS repo, sha256(substr(t, s + 1, 600)) AS content_sha256, s AS start_char, CAST(1 AS INTEGER) AS start_line, CAST(1 AS INTEGER) AS end_line
+FROM (SELECT url, t, CAST(unnest(range(0, length(t), 500)) AS INTEGER) AS s FROM (SELECT url, trim(regexp_replace({_PAGE_TEXT}, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM pages))""")
 def page_text_chunks(spark, d):
     pages = A.read(spark, d, "pages").select(F.lit("web").alias("repo"), F.col("url").alias("path"), files_source.strip_tags("html").alias("text"))
-    return chunking.file_chunks(pages)
+    meta = F.from_json("metadata", "start_line int, end_line int, start_char int")
+    rows = chunking.file_chunks(pages).withColumn("m", meta)
+    return rows.select("chunk_id", "repo", F.sha2("content", 256).alias("content_sha256"), "m.start_char", "m.start_line", "m.end_line")
 
 
 @_add("markdown_chunks")
