@@ -63,7 +63,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     text all ratios are 0. The result has 2**BITS numbers, so it may go to the driver and to each task.
     """
     sample = trusted_sample(labels, bound).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(id_col).alias("_id"), _shared.text_or_empty(text_col).alias("_text")).join(F.broadcast(sample), "_id", "left").select("_text", "_trusted")
+    texts = docs.select(F.col(id_col).alias("_id"), _shared.text_or_empty(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(sample), "_id", "left").select("_text", "_trusted")
     partial = rows.mapInArrow(_count, "slice int, counts binary")
     # each task adds what it is sent as it comes: 64 slices of fixed size, however many tasks have counted
     found = partial.repartition("slice").mapInArrow(_add, "slice int, counts binary").collect()
