@@ -1,37 +1,71 @@
+import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
 
 from lodestone.llm import _bpe, packing, token_counts
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=12))
-def test_best_fit_places_every_document_once(counts):
-    segments, n = packing.best_fit(counts, 32)
-    used, by_length = defaultdict(list), defaultdict(list)
-    for length, rank, first, offset in segments:
-        by_length[length].append((rank, first, offset))
-    for length, total in counts.items():
-        runs = sorted(by_length[length])
-        assert runs[0][0] == 0
-        for (rank, first, offset), end in zip(runs, [r for r, _, _ in runs[1:]] + [total], strict=True):
-            for i in range(end - rank):
-                used[first + i].append((offset, length))
-    assert len(used) == n
+def placed(spark, counts, size):
+    """Places of all documents, checked: each rank of a length once, sequences without holes or overflow."""
+    rows = packing.best_fit(spark.createDataFrame(list(counts.items()) or [(1, 0)], "length long, n long").where("n > 0"), size).collect()
+    used, ranks = defaultdict(list), defaultdict(list)
+    for r in rows:
+        ranks[r["length"]] += range(r["done"], r["done"] + r["n"])
+        for i in range(r["n"]):
+            used[r["first"] + i].append((r["offset"], r["length"]))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
     for places in used.values():
         at = 0
         for offset, length in sorted(places):
             assert offset == at
             at += length
-        assert at <= 32
-    # best fit decreasing needs at most 11/9 of the least number of sequences, and 4 more
-    least = -(-sum(k * v for k, v in counts.items()) // 32)
-    big = sum(v for k, v in counts.items() if k > 16)
-    assert n >= max(least, big)
+        assert at <= size
+    return len(used), len(rows)
+
+
+def one_by_one(counts, size):
+    """Best fit decreasing, document by document: the number of sequences."""
+    gaps: list[int] = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect_left(gaps, length)
+            gap = gaps.pop(at) if at < len(gaps) else size
+            if gap > length:
+                insort(gaps, gap - length)
+            elif gap == length:
+                insort(gaps, 0)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_against_one_by_one(spark, seed):
+    rnd = random.Random(seed)
+    kinds = [
+        {rnd.randint(1, 64): rnd.randint(1, 300) for _ in range(40)},
+        {k: 50 for k in range(1, 33)},
+        {1: 5000},
+        {3: 700, 64: 5},
+        {k: rnd.randint(1, 9) for k in range(20, 65)} | {2: 100},
+        {33: 40, 31: 10, 30: 60, 2: 7, 64: 1},
+    ]
+    counts = kinds[seed]
+    n, _ = placed(spark, counts, 64)
+    want = one_by_one(counts, 64)
+    least = max(-(-sum(k * v for k, v in counts.items()) // 64), sum(v for k, v in counts.items() if k > 32))
+    assert n <= 1.01 * want + 1 and n <= 11 / 9 * least + 4, (n, want, least)
+
+
+def test_best_fit_of_a_corpus(spark):
+    """Lengths like those of texts: at most a hundredth more sequences than document by document, few rounds and runs."""
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(1024, np.maximum(1, rng.lognormal(5, 1, 20_000).astype(int)))
+    counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    n, runs = placed(spark, counts, 1024)
+    assert n <= 1.01 * one_by_one(counts, 1024) and runs < len(lengths)
 
 
 def test_pack(docs, byte_vocabulary):
