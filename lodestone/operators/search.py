@@ -6,8 +6,10 @@ per query.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,8 @@ from ..functions import porter, text, vectors
 from . import blocks, graph
 from .blocks import K1, B
 
+log = logging.getLogger("lodestone")
+
 
 def in_repos(rows: DataFrame, repositories: list[str] | None, column: Column | str = "repo") -> DataFrame:
     """Only these repositories, if any are named."""
@@ -66,7 +70,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms = batch.column(0)
-        yield pa.RecordBatch.from_arrays([terms, pa.array([porter.stem(t) for t in terms.to_pylist()], pa.string())], ["term", "stem"])
+        yield pa.RecordBatch.from_arrays([terms, pa.array([porter.normal(t) for t in terms.to_pylist()], pa.string())], ["term", "stem"])
 
 
 def stemmed(index: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def document_stats(chunks: DataFrame) -> DataFrame:
 
 def _indexed(index: DataFrame, stats: DataFrame, asked: list[tuple[int, list[str]]], repositories: list[str] | None, mode: str, stem: bool) -> DataFrame:
     """As blocks.sparse(), from an inverted index: only the postings of the queries' terms are read."""
-    terms = {q: {porter.stem(t) for t in own} if stem else set(own) for q, own in asked}
+    terms = {q: {porter.normal(t) for t in own} if stem else set(own) for q, own in asked}
     rows = [(q, t, len(own)) for q, own in terms.items() for t in sorted(own)]
     # the queries are a stated set
     wanted = F.broadcast(index.sparkSession.createDataFrame(rows, "query_id long, term string, n_terms int"))
@@ -112,16 +116,31 @@ def sparse_batch(
     Document frequencies and lengths are those of the whole table, also with a repository filter. mode 'and' asks for
     all terms of a query, 'or' for any. With an index (postings() or stemmed(), whichever `stem` says) only the postings
     of the queries' terms are read; without one, the texts are read twice and nothing is shuffled.
+
+    With stems, a query that has "phrases", prefix*, NOT or OR is a search expression (blocks.Expression) of its own, for
+    which the texts are read twice.
     """
-    # a word can be stated once; queries are a stated set
-    asked = blocks.collected(queries, F.array_distinct(text.tokens("query")))
-    asked = [(q, t) for q, t in asked if t]
-    if index is None:
-        found = blocks.sparse(chunks, asked, max_results, repositories=repositories, mode=mode, stem=stem)
-        return top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id"))
-    found = _indexed(index, document_stats(chunks) if stats is None else stats, asked, repositories, mode, stem)
-    best = top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id"))
-    return best.join(chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "chunk_id", "repo", "content", "bm25", "rank")
+    # queries are a stated set
+    stated = blocks.collected(queries, F.coalesce("query", F.lit("")), F.array_distinct(text.tokens("query")))
+    marked = {q: t for q, t, _ in stated if stem and blocks.Expression.meant(t)}
+    asked = [(q, words) for q, _, words in stated if words and q not in marked]
+    parts = [_expressed(chunks, q, t, max_results, repositories) for q, t in marked.items()]
+    if index is None or not asked:
+        parts.append(blocks.sparse(chunks, asked, max_results, repositories=repositories, mode=mode, stem=stem))
+    else:
+        found = _indexed(index, document_stats(chunks) if stats is None else stats, asked, repositories, mode, stem)
+        best = top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id")).drop("rank")
+        parts.append(best.join(chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "chunk_id", "repo", "content", "bm25"))
+    return top_each(reduce(DataFrame.union, parts), max_results, F.asc("bm25"), F.asc("chunk_id"))
+
+
+def _expressed(chunks: DataFrame, query_id: int, query: str, n: int, repositories: list[str] | None) -> DataFrame:
+    """A query with marks as an expression; one that can't be read finds nothing, and the log says why."""
+    try:
+        return blocks.expression(chunks, query_id, blocks.Expression(query), n, repositories=repositories)
+    except ValueError as e:
+        log.warning("%s: %s", query, e)
+        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id string, repo string, content string, bm25 double")
 
 
 def sparse(chunks: DataFrame, query: str, **options) -> DataFrame:
