@@ -1,3 +1,5 @@
+import struct
+import math
 import base64
 import hashlib
 import io
@@ -9,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints, licenses, warc
@@ -87,6 +90,60 @@ def test_fingerprints(spark):
     assert got[10**12]["fingerprint"] == got[-5]["fingerprint"] and got[500]["fingerprint"] == got[501]["fingerprint"]
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sample(words, i):
+    """Sample i of a bag of words, from plain loops; None without words."""
+
+    def uniform(h, shift, bits):
+        return (((h >> shift) & ((1 << bits) - 1)) + 0.5) / (1 << bits)
+
+    least = None
+    for word, n in words.items():
+        term = struct.pack("<q", signed(xxhash.xxh64(word.encode(), seed=42).intdigest()))
+        x, y = (xxhash.xxh64(struct.pack("<i", 2 * i + k + fingerprints.SEED), seed=xxhash.xxh64(term, seed=42).intdigest()).intdigest() for k in (0, 1))
+        r = -math.log(uniform(x, 0, 32) * uniform(x, 32, 32))
+        log_c, b = math.log(-math.log(uniform(y, 0, 22) * uniform(y, 22, 21))), uniform(y, 43, 21)
+        value = log_c - r * (math.floor(math.log(n) / r + b) - b + 1)
+        least = value if least is None or value < least else least
+    return None if least is None else xxhash.xxh64(struct.pack("<d", least), seed=42).intdigest() & 0x7FFF
+
+
+def test_samples_against_loops(spark):
+    """Every sample of every text, worked out anew. Logarithms of the two libraries differ in the last bit now and then, and so does the hash of a value then: that explains one in twenty."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(100, "é 日本 é"), (101, None)]
+    total = same = 0
+    for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = Counter(re.findall(r"[^\x20\x09-\x0D]+", dict(rows)[r["doc_id"]] or ""))
+        for i, got in enumerate(re.findall("....", r["fingerprint"])):
+            want = sample(words, i)
+            total += 1
+            same += got == ("ffff" if want is None else f"{want:04x}")
+    assert total == len(rows) * fingerprints.SAMPLES and same >= 0.92 * total
+
+
+def test_many_rows_of_one_id_and_few_ranges(spark, monkeypatch):
+    """Repeated and missing ids are told apart by the text's hash, also over bucket ends."""
+    monkeypatch.setattr(fingerprints, "RANGES", 4)
+    rows = [(None, f"text {i}") for i in range(150)] + [(7, f"seven {i}") for i in range(150)] + [(i, f"own {i}") for i in range(0, 4000, 40)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows)
+
+    def digest(text, following):
+        cut = len(text) // 3
+        return hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest()
+
+    def order(row):
+        return -(row[0] if row[0] is not None else -(1 << 63)), signed(xxhash.xxh64(row[1].encode(), seed=42).intdigest())
+
+    ordered = sorted(rows, key=order)
+    want = Counter((k, digest(t, ordered[(i + 1) % len(ordered)][1])) for i, (k, t) in enumerate(ordered))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_fingerprints_are_close_to_the_likeness(spark):
     rnd = random.Random(9)
     rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))) for i in range(400)]
@@ -96,7 +153,7 @@ def test_fingerprints_are_close_to_the_likeness(spark):
         t, following = have[r["doc_id"]], have[(r["doc_id"] - 1) % len(rows)]
         cut = len(t) // 3
         off.append(r["near_edited"] - likeness(t, t[: len(t) - cut] + following[:cut]))
-    # the binomial error of 48 samples at a likeness of 0.5 is 0.072, that of 32 samples 0.088
+    # the binomial error of 64 samples at a likeness of 0.5 is 0.0625, that of 48 samples 0.072
     assert abs(sum(off) / len(off)) < 0.03 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.082
 
 
