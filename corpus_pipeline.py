@@ -1,4 +1,10 @@
-"""From documents to training sequences: two quality filters, near-copy removal, packing."""
+"""From documents to training sequences: two quality filters, near-copy removal, packing.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and columns of any
+name. Null and empty texts have no words, so the first stage rejects them. Repeated rows share their fate in the filters,
+and one of them stays in the third stage, which decides by row and not by id; rows without an id are documents like
+others. The first three stages return the columns of documents as they came, the last one the pieces of all documents.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +39,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_classifier", classify), ("quality_rules", apply_rules), ("ngram_jaccard_join", drop_near_copies), ("best_fit_packing", pack)]
+STAGES = [
+    ("quality_classifier", classify),
+    ("quality_rules", apply_rules),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("best_fit_packing", pack),
+]
 
 #: SQL can express neither the hashed models nor the tokenizer; tests hold run() against a brute-force version.
 ORACLE_SQL = None
