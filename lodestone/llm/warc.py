@@ -3,11 +3,11 @@
 Each page becomes one record. Of the pages with equal payloads (of at least `least_bytes`), that with the smallest id
 is a response and the others are revisits of it (identical-payload-digest); shorter payloads are all responses. Reading
 an archive gives a run of captures, sorted by URL key and timestamp; runs are dealt out by ranges of these keys, and a
-loser tree merges what each range has of each run. The result is in order within a range, and the ranges are in order.
+loser tree merges what each range has of each run, of bounded size. The result is in order within a range, and the ranges are in order.
 
 A null html is an empty payload, a null URL an empty one. A page without an id comes after all that have one and is
-referred to by none. Of equal rows with the smallest id each is a response. Input columns other than page_id, url and
-html aren't archived. An empty table gives an empty result.
+referred to by none. Of equal rows with the smallest id each is a response, and ties in time go by id. A very long page is
+one record, held whole. Input columns other than page_id, url and html aren't archived. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import _shared
 
-#: An archive is closed when it is this large; it bounds what reading one keeps of its index.
-ARCHIVE_BYTES = 256 << 20
+#: An archive is closed when it is this large or has so many records; this bounds what reading one keeps of its index.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 256 << 20, 200_000
+#: Captures that one task merges, about; there are as many ranges as that takes.
+MERGE_ROWS = 100_000
 _EPOCH_SECONDS = 1_577_836_800
 CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, archive string, record_offset long, record_length long"
 
@@ -126,7 +128,7 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, archive_bytes:
                 member = packer.compress(record(page_id, url, html.encode(), owner)) + packer.flush()
                 out.write(member)
                 n, size = n + 1, size + len(member)
-                if size >= archive_bytes:
+                if size >= archive_bytes or n >= ARCHIVE_RECORDS:
                     close()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["archive", "records"])
@@ -222,19 +224,24 @@ def merged(runs: list[list[tuple]]) -> Iterator[tuple]:
 def history(captures: DataFrame) -> DataFrame:
     """All captures by URL key and timestamp: ranges in order, and rows in order within each.
 
-    The key goes on with the page id and the place of the record, so ranges also part the captures of one busy URL.
+    The captures, which read() gives as sorted runs, are cut by ranges of about MERGE_ROWS each, so a task holds a bounded
+    piece of every run, and the loser tree merges these pieces. The key goes on with the page id and the place of the
+    record, so ranges also part the captures of one busy URL.
     """
     spark = captures.sparkSession
     runs = _shared.staged(captures, "warc-runs")
+    ranges = max(_shared.n_partitions(spark), -(-runs.count() // MERGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of a run come in ascending stretches; every stretch is a run of its own for the tree
         stretches: dict[str, list[list[tuple]]] = {}
+        last: dict[str, tuple] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = stretches.setdefault(row[7], [])
-                if not own or _order(own[-1][-1]) > _order(row):
+                own, key = stretches.setdefault(row[7], []), _order(row)
+                if not own or last[row[7]] > key:
                     own.append([])
+                last[row[7]] = key
                 own[-1].append(row)
         rows = []
         for row in merged([s for own in stretches.values() for s in own]):
@@ -245,7 +252,7 @@ def history(captures: DataFrame) -> DataFrame:
         yield _batch(rows)
 
     keys = [F.col(c) for c in ("url_key", "timestamp", "page_id", "archive", "record_offset")]
-    return runs.repartitionByRange(_shared.n_partitions(spark), *keys).mapInArrow(merge, CAPTURES)
+    return runs.repartitionByRange(ranges, *keys).mapInArrow(merge, CAPTURES)
 
 
 def archived(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
