@@ -1,11 +1,12 @@
 """The pipeline against a version that runs in plain Python over collected rows."""
 
+import math
 import re
 from collections import Counter
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import functions as F
+from test_quality import WORD, cells_by_loops, counts, gumbel
 
 import corpus_pipeline
 from lodestone.llm import ngram_model, quality_classifier, quality_rules
@@ -13,42 +14,61 @@ from lodestone.llm import ngram_model, quality_classifier, quality_rules
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_keep_columns_and_follow_each_other(spark):
+def scores(texts, good):
+    """The mean log-likelihood ratio of each text by models of these texts, from plain loops; 0 without words."""
+    own = {k: cells_by_loops(t) for k, t in texts.items()}
+    raw, target = Counter(c for x in own.values() for c in x), Counter(c for k, x in own.items() if k in good for c in x)
+    n, m, prior = sum(raw.values()), sum(target.values()), ngram_model.PRIOR
+    model = {c: math.log((target[c] + prior) / (raw[c] * m / n + prior)) for c in raw}
+    return {k: sum(model[c] for c in x) / len(x) if x else 0.0 for k, x in own.items()}
+
+
+def classified(texts, good):
+    q = quality_classifier
+    llr = {k: x for k, x in scores(texts, good).items() if WORD.search(texts[k])}
+    share = sum(math.floor(math.exp(min(0.0, q.TEMPER * (x - q.LEAST_RATIO))) * 1e6) for x in llr.values()) / 1e6
+    return set(sorted(llr, key=lambda k: -(llr[k] * q.TEMPER + gumbel(k)))[: round(share)])
+
+
+def ruled(texts, good):
+    llr = scores(texts, good)
+    found = {k: counts(t) for k, t in texts.items()}
+    return {k for k, (words, *_, repeated) in found.items() if words >= 50 and 100 * repeated <= 50 * words and llr[k] >= quality_rules.LEAST_RATIO}
+
+
+def distinct(texts, good):
+    def grams(t):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = {k: grams(t) for k, t in texts.items()}
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {k for k in texts if find(k) == k}
+
+
+def test_stages_against_loops(spark):
+    """Every filter, on what the one before has kept, against plain Python over collected rows; then the sequences."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality_classifier", "quality_rules", "ngram_jaccard_join", "best_fit_packing"] and corpus_pipeline.ORACLE_SQL is None
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    have = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "ngram_jaccard_join", "best_fit_packing"]
+    assert corpus_pipeline.ORACLE_SQL is None
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    have = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for (_, stage), plain in zip(corpus_pipeline.STAGES[:-1], (classified, ruled, distinct), strict=True):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         left = {r["doc_id"] for r in out.collect()}
-        if name == "quality_classifier":
-            judged = quality_classifier.quality_classifier(docs, labels).where("kept")
-            assert left == {r["doc_id"] for r in judged.collect()}
-        elif name == "quality_rules":
-            model = ngram_model.fit(docs, labels)
-            assert np.isfinite(model).all()
-            assert left == {r["doc_id"] for r in quality_rules.quality_rules(docs, labels).where("kept").collect()}
-        else:
-            def grams(t):
-                w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-                return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-            sets = {k: grams(have[k]) for k in have}
-            root = {k: k for k in have}
-
-            def find(x):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for a, b in combinations(sorted(have), 2):
-                both = len(sets[a] & sets[b])
-                if sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-            assert left == {k for k in have if find(k) == k}
+        assert left == plain(have, good) and 0 < len(left) < len(have)
         docs = docs.join(out.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
         have = {k: have[k] for k in left}
     packed = corpus_pipeline.run(spark, SF)
