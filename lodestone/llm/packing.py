@@ -188,7 +188,10 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end_id: int
     place = F.xxhash64(id_col, "piece", "start", "ids_crc32", "_nr")
     lots = cut.withColumn("_lot", F.pmod(place, F.lit(_shared.n_partitions(spark))).cast("int"))
     counted = lots.groupBy("length", "_lot").agg(F.count(F.lit(1)).alias("n"))
-    matches = best_fit(counted.groupBy("length").agg(F.sum("n").alias("n")), size).collect()
+    # a row for each length; counted with all partitions before the rounds, which are small, begin
+    lengths = _shared.staged(counted.groupBy("length").agg(F.sum("n").alias("n")), "pack-lengths")
+    with _shared.small_plans(spark):
+        matches = best_fit(lengths, size).collect()
     # the size of a sequence bounds the number of matches, whatever the corpus; each has its rows by first rank
     table = np.array(sorted((r["length"], r["done"], r["first"], r["offset"]) for r in matches) or [(0, 0, 0, 0)], np.int64)
     plan = spark.sparkContext.broadcast((table[:, 0] * (1 << 50) + table[:, 1], table))
