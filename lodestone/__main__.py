@@ -29,7 +29,11 @@ def main(args: list[str]) -> int:
     store.migrate()
     provider = embeddings.create_provider("hashing")
     print(ingest.index_repository(store, "demo", args[2], model=api.create_model(), provider=provider))
-    print(api.Engine(store, provider=provider).query_repositories(args[3] if len(args) > 3 else "what is this", attendant=api.NONE))
+    print(
+        api.Engine(store, provider=provider).query_repositories(
+            args[3] if len(args) > 3 else "what is this", attendant=api.NONE
+        )
+    )
     return 0
 
 

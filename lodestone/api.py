@@ -39,7 +39,12 @@ def configure_logging(path: str | None = None) -> None:
     if path:
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         handlers.append(logging.FileHandler(path))
-    logging.basicConfig(level=os.environ.get("LOG_LEVEL", "INFO").upper(), format="%(asctime)s %(levelname)s %(message)s", handlers=handlers, force=True)
+    logging.basicConfig(
+        level=os.environ.get("LOG_LEVEL", "INFO").upper(),
+        format="%(asctime)s %(levelname)s %(message)s",
+        handlers=handlers,
+        force=True,
+    )
 
 
 def register_model(name: str, factory: Callable[..., analysis.Model]) -> None:
@@ -80,11 +85,17 @@ class Combined:
         """Four characters a token over contents, metadata, ids, properties and references."""
         n = sum(len(r.get("content") or "") + len(r.get("metadata") or "{}") for r in self.semantic)
         n += sum(len(r["id"]) + len(r.get("properties") or "{}") for r in self.graph)
-        n += sum(len(r[k] or "") for r in self.cross_refs for k in ("from_repo", "from_entity", "to_repo", "to_entity", "type"))
+        n += sum(
+            len(r[k] or "") for r in self.cross_refs for k in (
+                "from_repo", "from_entity", "to_repo", "to_entity", "type"
+            )
+        )
         return math.ceil(n / 4)
 
     def repositories(self) -> list[str]:
-        names = [r.get("repo") for r in [*self.semantic, *self.graph]] + [r[k] for r in self.cross_refs for k in ("from_repo", "to_repo")]
+        names = [r.get("repo") for r in [*self.semantic, *self.graph]] + [
+            r[k] for r in self.cross_refs for k in ("from_repo", "to_repo")
+        ]
         return list(dict.fromkeys(x for x in names if x))
 
 
@@ -101,7 +112,9 @@ class Answer:
 
     @property
     def reduction_percent(self) -> int:
-        return round((self.original_tokens - self.filtered_tokens) / self.original_tokens * 100) if self.original_tokens else 0
+        return round(
+            (self.original_tokens - self.filtered_tokens) / self.original_tokens * 100
+        ) if self.original_tokens else 0
 
 
 def _reference(r: dict) -> str:
@@ -143,17 +156,38 @@ class Attendant:
     def raw(self, query: str, found: Combined) -> str:
         parts = [f"# {query}"]
         if found.semantic:
-            parts.append(_section("Texts", found.total("semantic"), [f"- [{r['repo']}] {r['content'][:150]}" for r in found.semantic[:5]]))
+            parts.append(
+                _section(
+                    "Texts",
+                    found.total("semantic"),
+                    [f"- [{r['repo']}] {r['content'][:150]}" for r in found.semantic[:5]],
+                )
+            )
         if found.graph:
-            parts.append(_section("Entities", found.total("graph"), [f"- [{r['repo']}] {r['id']}" for r in found.graph[:5]]))
+            parts.append(
+                _section("Entities", found.total("graph"), [f"- [{r['repo']}] {r['id']}" for r in found.graph[:5]])
+            )
         if found.cross_refs:
-            parts.append(_section("References between repositories", found.total("cross_refs"), [f"- {_reference(r)}: {r['type']}" for r in found.cross_refs[:3]]))
+            parts.append(
+                _section(
+                    "References between repositories",
+                    found.total("cross_refs"),
+                    [f"- {_reference(r)}: {r['type']}" for r in found.cross_refs[:3]],
+                )
+            )
         return "\n\n".join(parts)
 
     def filter(self, query: str, found: Combined, max_tokens: int = 500, context: str | None = None) -> Answer:
         answer = None
         if self.model:
-            prompt = "\n\n".join([f"Question: {query}", *([f"Context: {context}"] if context else []), *self.sections(found), f"Answer in at most {max_tokens} tokens, naming repositories."])
+            prompt = "\n\n".join(
+                [
+                    f"Question: {query}",
+                    *([f"Context: {context}"] if context else []),
+                    *self.sections(found),
+                    f"Answer in at most {max_tokens} tokens, naming repositories.",
+                ]
+            )
             try:
                 answer = self.model("You pick what matters from search results.", prompt)
             except Exception:
@@ -171,7 +205,14 @@ def select_attendant(query: str, repositories: list[str], n_tokens: int, config:
     return LOCAL
 
 
-def render_hybrid(query: str, rows: list[dict], found: analysis.Analysis, coverage: dict[str, float], seconds: dict[str, float], refs: Combined) -> str:
+def render_hybrid(
+    query: str,
+    rows: list[dict],
+    found: analysis.Analysis,
+    coverage: dict[str, float],
+    seconds: dict[str, float],
+    refs: Combined,
+) -> str:
     weights = ", ".join(f"{s} {found.weights[s]:g}" for s in fusion.SOURCES)
     shares = ", ".join(f"{s} {coverage[s]:.0%}" for s in fusion.SOURCES)
     took = ", ".join(f"{k} {v * 1000:.0f} ms" for k, v in seconds.items())
@@ -180,36 +221,82 @@ def render_hybrid(query: str, rows: list[dict], found: analysis.Analysis, covera
     for r in rows[:10]:
         known = ", ".join(f"{s} #{r[s]}" for s in fusion.SOURCES if r[s] is not None)
         why = f"\n   {r['explanation']}".replace("\n", "\n   ") if r.get("explanation") else ""
-        shown.append(f"{r['rank']}. [{r['repo']}] score {r['score']:.4f}, {known}\n   {(r['content'] or '')[:300]}{why}")
+        shown.append(
+            f"{r['rank']}. [{r['repo']}] score {r['score']:.4f}, {known}\n   {(r['content'] or '')[:300]}{why}"
+        )
     out.append(_section("Results", len(rows), shown))
     if refs.cross_refs:
-        out.append(_section("References between repositories", refs.total("cross_refs"), [f"- {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for r in refs.cross_refs[:10]]))
+        out.append(
+            _section(
+                "References between repositories",
+                refs.total("cross_refs"),
+                [f"- {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for r in refs.cross_refs[:10]],
+            )
+        )
     return "\n\n".join(out)
 
 
 def render_raw(query: str, found: Combined) -> str:
     out = [f"# {query}"]
     if found.semantic:
-        out.append(_section("Texts", found.total("semantic"), [f"- [{r['repo']}] (similarity {r.get('similarity', 0) or 0:.2f}) {r['content'][:300]}" for r in found.semantic[:10]]))
+        out.append(
+            _section(
+                "Texts",
+                found.total("semantic"),
+                [
+                    f"- [{r['repo']}] (similarity {r.get('similarity', 0) or 0:.2f}) {r['content'][:300]}" for r in found.semantic[:10]
+                ],
+            )
+        )
     if found.graph:
-        out.append(_section("Entities", found.total("graph"), [f"- [{r['repo']}] {r['id']} {r.get('properties') or '{}'}" for r in found.graph[:10]]))
+        out.append(
+            _section(
+                "Entities",
+                found.total("graph"),
+                [f"- [{r['repo']}] {r['id']} {r.get('properties') or '{}'}" for r in found.graph[:10]],
+            )
+        )
     if found.cross_refs:
-        out.append(_section("References between repositories", found.total("cross_refs"), [f"- {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for r in found.cross_refs[:10]]))
+        out.append(
+            _section(
+                "References between repositories",
+                found.total("cross_refs"),
+                [f"- {_reference(r)}: {r['type']}, strength {r['strength']:.2f}" for r in found.cross_refs[:10]],
+            )
+        )
     if len(out) == 1:
-        out.append("Nothing found. list_repositories names what is indexed; another word or another repository may help.")
+        out.append(
+            "Nothing found. list_repositories names what is indexed; another word or another repository may help."
+        )
     return "\n\n".join(out)
 
 
 class Engine:
     """The tools."""
 
-    def __init__(self, store: Store, *, provider: Provider | None = None, model: analysis.Model | None = None, local_model: analysis.Model | None = None, escalation_model: analysis.Model | None = None, config: Config | None = None):
+    def __init__(
+        self,
+        store: Store,
+        *,
+        provider: Provider | None = None,
+        model: analysis.Model | None = None,
+        local_model: analysis.Model | None = None,
+        escalation_model: analysis.Model | None = None,
+        config: Config | None = None,
+    ):
         self.store, self.config = store, config or Config()
         self.attendants = {LOCAL: Attendant(local_model), ESCALATED: Attendant(escalation_model or local_model)}
         self.has_escalation = escalation_model is not None
         # the store's inverted index, so that a search reads the postings of its terms and not all texts
         index = (store.postings(), store.posting_stats()) if store.has("postings") else (None, None)
-        tables = hybrid.Tables(store.chunks(), store.nodes(), store.edges(), store.table("embeddings"), store.table("cross_references"), *index)
+        tables = hybrid.Tables(
+            store.chunks(),
+            store.nodes(),
+            store.edges(),
+            store.table("embeddings"),
+            store.table("cross_references"),
+            *index,
+        )
         self.tables, self.search = tables, hybrid.HybridSearch(tables, provider, model)
 
     def _rows(self, df: DataFrame, n: int = SHOWN) -> list[dict]:
@@ -220,7 +307,15 @@ class Engine:
         rows = self._rows(df.orderBy(*order))
         return rows, len(rows) if len(rows) < SHOWN else df.count()
 
-    def query_repositories(self, query: str, *, repositories: list[str] | None = None, attendant: str | None = None, max_tokens: int | None = None, context: str | None = None) -> str:
+    def query_repositories(
+        self,
+        query: str,
+        *,
+        repositories: list[str] | None = None,
+        attendant: str | None = None,
+        max_tokens: int | None = None,
+        context: str | None = None,
+    ) -> str:
         """Hybrid search, references between the repositories it finds, and an answer."""
         began = time.perf_counter()
         result = self.search.search(query, repositories=repositories, max_results=self.config.max_results)
@@ -230,18 +325,24 @@ class Engine:
         semantic = [r for r in rows if r["dense"] is not None]
         spark = self.tables.chunks.sparkSession
         repos = spark.createDataFrame([(r["repo"],) for r in semantic] or [(None,)], "repo string")
-        refs, n_refs = self._counted(search.cross_references_of(self.tables.cross_references, repos), F.desc("strength"), "id")
+        refs, n_refs = self._counted(
+            search.cross_references_of(self.tables.cross_references, repos), F.desc("strength"), "id"
+        )
         fused.unpersist()
         nodes = [r | {"properties": r["content"]} for r in rows if r["graph"] is not None]
         found = Combined([r for r in rows if r["graph"] is None], nodes, refs, {"cross_refs": n_refs})
-        mode = attendant or select_attendant(query, found.repositories(), found.tokens(), self.config, self.has_escalation)
+        mode = attendant or select_attendant(
+            query, found.repositories(), found.tokens(), self.config, self.has_escalation
+        )
         if mode == NONE:
             return render_hybrid(query, rows, result.analysis, coverage, {"all": time.perf_counter() - began}, found)
         said = self.attendants[mode].filter(query, found, max_tokens or self.config.max_tokens, context)
         shares = ", ".join(f"{s} {coverage[s] * 100:.0f}%" for s in fusion.SOURCES)
         return f"{said.answer}\n\n---\nCoverage: {shares}\nTokens: {said.original_tokens} → {said.filtered_tokens} ({said.reduction_percent}% less)\nRepositories: {', '.join(said.repositories)}"
 
-    def smart_query(self, question: str, *, context: str | None = None, attendant: str | None = None, max_tokens: int | None = None) -> str:
+    def smart_query(
+        self, question: str, *, context: str | None = None, attendant: str | None = None, max_tokens: int | None = None
+    ) -> str:
         """Over all repositories, with the model that fits the question."""
         return self.query_repositories(question, attendant=attendant, max_tokens=max_tokens, context=context)
 
@@ -251,20 +352,28 @@ class Engine:
             return "The store has no repositories yet; index_repository() adds one."
         return f"# Repositories: {len(rows)}\n\n" + "\n".join(f"- **{r['id']}** ({r['name']}), version {r['version'] or 'unknown'}, indexed {r['indexed_at']}" for r in rows)
 
-    def query_dependency(self, dependency: str, *, repositories: list[str] | None = None, aspect: str = "all", attendant: str = NONE) -> str:
+    def query_dependency(
+        self, dependency: str, *, repositories: list[str] | None = None, aspect: str = "all", attendant: str = NONE
+    ) -> str:
         """An entity and, for 'relationships' and 'all', the neighbours of its first three matches."""
         if aspect not in ("usage", "relationships", "implementation", "all"):
             raise errors.ValidationError(f"unknown aspect: {aspect}", context={"field": "aspect"})
         t = self.tables
-        hits = search.entity(t.nodes, t.edges, dependency, repositories=repositories).drop("repo").withColumnRenamed("found_repo", "repo")
+        hits = search.entity(
+            t.nodes, t.edges, dependency, repositories=repositories
+        ).drop("repo").withColumnRenamed("found_repo", "repo")
         rows, total = self._counted(hits, "id", "relationship", "source", "target")
         if aspect in ("relationships", "all"):
             for node in list(dict.fromkeys(r["id"] for r in rows))[:3]:
-                near = search.entity_relationships(t.nodes, t.edges, node, repositories=repositories).drop("repo").withColumnRenamed("found_repo", "repo")
+                near = search.entity_relationships(
+                    t.nodes, t.edges, node, repositories=repositories
+                ).drop("repo").withColumnRenamed("found_repo", "repo")
                 more, n = self._counted(near, "id", "relationship")
                 rows, total = rows + more, total + n
         found = Combined(graph=rows, totals={"graph": total})
-        return render_raw(dependency, found) if attendant == NONE else self.attendants[attendant].filter(dependency, found).answer
+        return render_raw(
+            dependency, found
+        ) if attendant == NONE else self.attendants[attendant].filter(dependency, found).answer
 
     def get_cross_references(self, entity: str, *, source_repo: str | None = None, min_strength: float = 0.7) -> str:
         t = self.tables
@@ -279,10 +388,17 @@ class Engine:
     def ask(self, question: str, model: analysis.Model) -> str:
         """A question to a model that knows the most connected entities."""
         top = [(r["id"], r["degree"]) for r in graph.degree_top(self.tables.nodes, self.tables.edges).collect()]
-        return model("Answer from the centrality measures of a knowledge graph.", f"{graph.centrality_text(top)}\nQuestion: {question}")
+        return model(
+            "Answer from the centrality measures of a knowledge graph.",
+            f"{graph.centrality_text(top)}\nQuestion: {question}",
+        )
 
     def resources(self) -> list[dict]:
-        return [{"uri": schemas.resource_uri(r["id"]), "name": r["name"], "mimeType": "application/json"} for r in self.store.repositories().toLocalIterator()]
+        return [
+            {
+                "uri": schemas.resource_uri(r["id"]), "name": r["name"], "mimeType": "application/json"
+            } for r in self.store.repositories().toLocalIterator()
+        ]
 
     def read_resource(self, uri: str) -> str:
         prefix = schemas.resource_uri("")
@@ -293,7 +409,13 @@ class Engine:
 
     def call(self, tool: str, arguments: dict) -> dict:
         """Run a tool by name; an error becomes a text result, an unknown tool raises."""
-        tools = {"query_repositories": self.query_repositories, "list_repositories": self.list_repositories, "query_dependency": self.query_dependency, "get_cross_references": self.get_cross_references, "smart_query": self.smart_query}
+        tools = {
+            "query_repositories": self.query_repositories,
+            "list_repositories": self.list_repositories,
+            "query_dependency": self.query_dependency,
+            "get_cross_references": self.get_cross_references,
+            "smart_query": self.smart_query,
+        }
         if tool not in tools:
             raise errors.ToolError(f"unknown tool: {tool}", context={"tool": tool})
         try:

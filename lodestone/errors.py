@@ -9,14 +9,22 @@ class LodestoneError(Exception):
     code = "ERROR"
     recoverable = False
 
-    def __init__(self, message: str, *, code: str | None = None, context: dict | None = None, recoverable: bool | None = None):
+    def __init__(
+        self, message: str, *, code: str | None = None, context: dict | None = None, recoverable: bool | None = None
+    ):
         super().__init__(message)
         self.code = code or self.code
         self.context = context or {}
         self.recoverable = self.recoverable if recoverable is None else recoverable
 
     def to_dict(self) -> dict:
-        return {"name": type(self).__name__, "message": str(self), "code": self.code, "context": self.context, "recoverable": self.recoverable}
+        return {
+            "name": type(self).__name__,
+            "message": str(self),
+            "code": self.code,
+            "context": self.context,
+            "recoverable": self.recoverable,
+        }
 
 
 def _kind(name: str, base: type, code: str, recoverable: bool = False) -> type:

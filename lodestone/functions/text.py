@@ -96,7 +96,10 @@ def like_anywhere(text: Column | str, pattern: str) -> Column:
 def window_edit_distance(text: Column | str, pattern: str) -> Column:
     """Least edit distance of the pattern to any window of its length; null if the text is shorter."""
     n, t = len(pattern), F.lower(_c(text))
-    windows = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.levenshtein(F.substring(t, i, F.lit(n)), F.lit(pattern.lower())))
+    windows = F.transform(
+        F.sequence(F.lit(1), F.length(t) - (n - 1)),
+        lambda i: F.levenshtein(F.substring(t, i, F.lit(n)), F.lit(pattern.lower())),
+    )
     return F.when(F.length(t) >= n, F.array_min(windows))
 
 

@@ -24,7 +24,9 @@ log = logging.getLogger("lodestone")
 
 def in_repos(rows: DataFrame, repositories: list[str] | None, column: Column | str = "repo") -> DataFrame:
     """Only these repositories, if any are named."""
-    return rows.where((F.col(column) if isinstance(column, str) else column).isin(list(repositories))) if repositories else rows
+    return rows.where(
+        (F.col(column) if isinstance(column, str) else column).isin(list(repositories))
+    ) if repositories else rows
 
 
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -34,21 +36,39 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def top_each(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of each query and their rank; Spark prunes to n in each task before the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
+    return rows.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    ).where(F.col("rank") <= n)
 
 
 # dense
 
 
-def dense(embeddings: DataFrame, query: list[float], *, repositories: list[str] | None = None, max_results: int = 20, min_similarity: float = 0.7) -> DataFrame:
+def dense(
+    embeddings: DataFrame,
+    query: list[float],
+    *,
+    repositories: list[str] | None = None,
+    max_results: int = 20,
+    min_similarity: float = 0.7,
+) -> DataFrame:
     """Rows by cosine distance to one vector, which must be less than 1 - min_similarity."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = in_repos(embeddings, repositories).withColumn("similarity", vectors.cosine("embedding", q))
-    rows = rows.withColumn("distance", F.round(1 - F.col("similarity"), 12)).where(F.col("distance") < 1 - min_similarity)
-    return top(rows.select("chunk_id", "repo", "entity_id", "chunk_type", "content", "distance", "similarity"), max_results, F.asc("distance"), F.asc("chunk_id"))
-
-
-def dense_batch(embeddings: DataFrame, queries: DataFrame, *, max_results: int = 20, min_similarity: float = 0.7) -> DataFrame:
+    rows = rows.withColumn(
+        "distance", F.round(1 - F.col("similarity"), 12)
+    ).where(F.col("distance") < 1 - min_similarity)
+    return top(
+        rows.select("chunk_id", "repo", "entity_id", "chunk_type", "content", "distance", "similarity"),
+        max_results,
+        F.asc("distance"),
+        F.asc("chunk_id"),
+    )
+
+
+def dense_batch(
+    embeddings: DataFrame, queries: DataFrame, *, max_results: int = 20, min_similarity: float = 0.7
+) -> DataFrame:
     """Rows by cosine distance for many vectors: (query_id, chunk_id, repo, content, distance, rank).
 
     queries: query_id, vector. Queries are a stated set, taken to all rows in blocks.
@@ -64,20 +84,26 @@ def postings(chunks: DataFrame) -> DataFrame:
     """The inverted index: chunk_id, repo, term, tf and length (the chunk's terms). Terms aren't stemmed yet."""
     rows = chunks.select("chunk_id", "repo", text.tokens("content").alias("t"))
     rows = rows.select("chunk_id", "repo", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("chunk_id", "repo", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("chunk_id", "repo", "term", "tf", "length")
+    return rows.groupBy("chunk_id", "repo", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select(
+        "chunk_id", "repo", "term", "tf", "length"
+    )
 
 
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms = batch.column(0)
-        yield pa.RecordBatch.from_arrays([terms, pa.array([porter.normal(t) for t in terms.to_pylist()], pa.string())], ["term", "stem"])
+        yield pa.RecordBatch.from_arrays(
+            [terms, pa.array([porter.normal(t) for t in terms.to_pylist()], pa.string())], ["term", "stem"]
+        )
 
 
 def stemmed(index: DataFrame) -> DataFrame:
     """An inverted index of stems: the stemmer sees the vocabulary, not the text."""
     vocabulary = index.select("term").distinct().mapInArrow(_stems, "term string, stem string")
     keys = ["chunk_id", "repo", F.col("stem").alias("term"), "length"]
-    return index.join(vocabulary, "term").groupBy(*keys).agg(F.sum("tf").alias("tf")).select("chunk_id", "repo", "term", "tf", "length")
+    return index.join(vocabulary, "term").groupBy(*keys).agg(F.sum("tf").alias("tf")).select(
+        "chunk_id", "repo", "term", "tf", "length"
+    )
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
@@ -86,7 +112,14 @@ def document_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(length), F.lit(0)).alias("n_terms"))
 
 
-def _indexed(index: DataFrame, stats: DataFrame, asked: list[tuple[int, list[str]]], repositories: list[str] | None, mode: str, stem: bool) -> DataFrame:
+def _indexed(
+    index: DataFrame,
+    stats: DataFrame,
+    asked: list[tuple[int, list[str]]],
+    repositories: list[str] | None,
+    mode: str,
+    stem: bool,
+) -> DataFrame:
     """As blocks.sparse(), from an inverted index: only the postings of the queries' terms are read."""
     terms = {q: {porter.normal(t) for t in own} if stem else set(own) for q, own in asked}
     rows = [(q, t, len(own)) for q, own in terms.items() for t in sorted(own)]
@@ -130,7 +163,11 @@ def sparse_batch(
     else:
         found = _indexed(index, document_stats(chunks) if stats is None else stats, asked, repositories, mode, stem)
         best = top_each(found, max_results, F.asc("bm25"), F.asc("chunk_id")).drop("rank")
-        parts.append(best.join(chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "chunk_id", "repo", "content", "bm25"))
+        parts.append(
+            best.join(chunks.select("chunk_id", "content"), "chunk_id").select(
+                "query_id", "chunk_id", "repo", "content", "bm25"
+            )
+        )
     return top_each(reduce(DataFrame.union, parts), max_results, F.asc("bm25"), F.asc("chunk_id"))
 
 
@@ -140,7 +177,9 @@ def _expressed(chunks: DataFrame, query_id: int, query: str, n: int, repositorie
         return blocks.expression(chunks, query_id, blocks.Expression(query), n, repositories=repositories)
     except ValueError as e:
         log.warning("%s: %s", query, e)
-        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id string, repo string, content string, bm25 double")
+        return chunks.sparkSession.createDataFrame(
+            [], "query_id long, chunk_id string, repo string, content string, bm25 double"
+        )
 
 
 def sparse(chunks: DataFrame, query: str, **options) -> DataFrame:
@@ -153,16 +192,26 @@ def sparse(chunks: DataFrame, query: str, **options) -> DataFrame:
 # pattern and fuzzy
 
 
-def pattern(chunks: DataFrame, query: str, *, repositories: list[str] | None = None, max_results: int = 20) -> DataFrame:
+def pattern(
+    chunks: DataFrame, query: str, *, repositories: list[str] | None = None, max_results: int = 20
+) -> DataFrame:
     """Substring match in any case."""
     rows = in_repos(chunks, repositories).where(text.like_anywhere("content", query))
-    return top(rows.select("chunk_id", "repo", "content", F.lit(1.0).alias("score"), F.lit("exact").alias("match_type")), max_results, F.asc("chunk_id"))
+    return top(
+        rows.select("chunk_id", "repo", "content", F.lit(1.0).alias("score"), F.lit("exact").alias("match_type")),
+        max_results,
+        F.asc("chunk_id"),
+    )
 
 
 def regex(chunks: DataFrame, query: str, *, repositories: list[str] | None = None, max_results: int = 20) -> DataFrame:
     """Regular-expression match."""
     rows = in_repos(chunks, repositories).where(F.col("content").rlike(query))
-    return top(rows.select("chunk_id", "repo", "content", F.lit(1.0).alias("score"), F.lit("regex").alias("match_type")), max_results, F.asc("chunk_id"))
+    return top(
+        rows.select("chunk_id", "repo", "content", F.lit(1.0).alias("score"), F.lit("regex").alias("match_type")),
+        max_results,
+        F.asc("chunk_id"),
+    )
 
 
 def query_trigrams(query: str) -> list[str]:
@@ -185,15 +234,31 @@ def trigram_matches(content: Column | str, query: str) -> Column:
     return F.when(F.length(c) < 3, F.lit(0)).otherwise(held)
 
 
-def fuzzy(chunks: DataFrame, query: str, *, repositories: list[str] | None = None, max_results: int = 20, threshold: float = 0.7) -> DataFrame:
+def fuzzy(
+    chunks: DataFrame,
+    query: str,
+    *,
+    repositories: list[str] | None = None,
+    max_results: int = 20,
+    threshold: float = 0.7,
+) -> DataFrame:
     """Chunks that share at least three tenths of the query's trigrams; of the best 3 * max_results, those whose closest
     window is similar enough."""
     n = len(query)
     least = math.ceil(len(query_trigrams(query)) * 0.3)
-    rows = in_repos(chunks, repositories).withColumn("matches", trigram_matches("content", query)).where(F.col("matches") >= least)
+    rows = in_repos(chunks, repositories).withColumn(
+        "matches", trigram_matches("content", query)
+    ).where(F.col("matches") >= least)
     likely = rows.orderBy(F.desc("matches"), "chunk_id").limit(3 * max_results)
-    scored = likely.withColumn("score", 1 - text.window_edit_distance("content", query) / F.lit(float(max(n, 1)))).where(F.col("score") >= threshold)
-    return top(scored.select("chunk_id", "repo", "content", "score", F.lit("fuzzy").alias("match_type")), max_results, F.desc("score"), F.asc("chunk_id"))
+    scored = likely.withColumn(
+        "score", 1 - text.window_edit_distance("content", query) / F.lit(float(max(n, 1)))
+    ).where(F.col("score") >= threshold)
+    return top(
+        scored.select("chunk_id", "repo", "content", "score", F.lit("fuzzy").alias("match_type")),
+        max_results,
+        F.desc("score"),
+        F.asc("chunk_id"),
+    )
 
 
 def fuzzy_batch(
@@ -205,20 +270,28 @@ def fuzzy_batch(
     return top_each(found, max_results, F.desc("score"), F.asc("chunk_id"))
 
 
-def similar_names(candidates: DataFrame, column: str, query: str, *, threshold: float = 0.7, max_results: int = 10) -> DataFrame:
+def similar_names(
+    candidates: DataFrame, column: str, query: str, *, threshold: float = 0.7, max_results: int = 10
+) -> DataFrame:
     """Candidates by edit-distance similarity to the query."""
-    scored = candidates.withColumn("score", text.similarity(F.col(column), F.lit(query))).where(F.col("score") >= threshold)
+    scored = candidates.withColumn(
+        "score", text.similarity(F.col(column), F.lit(query))
+    ).where(F.col("score") >= threshold)
     return top(scored, max_results, F.desc("score"), F.asc(column))
 
 
 # graph
 
 
-def graph_search(nodes: DataFrame, edges: DataFrame, entities: list[str], *, repositories: list[str] | None = None) -> DataFrame:
+def graph_search(
+    nodes: DataFrame, edges: DataFrame, entities: list[str], *, repositories: list[str] | None = None
+) -> DataFrame:
     """Nodes that match any of the entities, with each edge that touches them."""
     if not entities:
         return graph.incident(nodes, edges).where(F.lit(False)).withColumn("found_repo", F.lit(None).cast("string"))
-    own = nodes.where(graph.matches_entities(entities)).withColumn("found_repo", F.coalesce(graph.node_repo(), F.lit("unknown")))
+    own = nodes.where(graph.matches_entities(entities)).withColumn(
+        "found_repo", F.coalesce(graph.node_repo(), F.lit("unknown"))
+    )
     return graph.incident(in_repos(own, repositories, "found_repo"), edges)
 
 
@@ -226,8 +299,12 @@ def entity(nodes: DataFrame, edges: DataFrame, name: str, *, repositories: list[
     return graph_search(nodes, edges, [name], repositories=repositories)
 
 
-def entity_relationships(nodes: DataFrame, edges: DataFrame, node_id: str, *, repositories: list[str] | None = None) -> DataFrame:
-    found = graph.neighbours(nodes, edges, node_id).withColumn("found_repo", F.coalesce(graph.node_repo(), F.lit("unknown")))
+def entity_relationships(
+    nodes: DataFrame, edges: DataFrame, node_id: str, *, repositories: list[str] | None = None
+) -> DataFrame:
+    found = graph.neighbours(nodes, edges, node_id).withColumn(
+        "found_repo", F.coalesce(graph.node_repo(), F.lit("unknown"))
+    )
     return in_repos(found, repositories, "found_repo")
 
 
@@ -266,4 +343,8 @@ def cross_references_of(refs: DataFrame, results: DataFrame, min_strength: float
 
 
 def references_to(refs: DataFrame, entity_name: str, repo: str) -> DataFrame:
-    return refs.where(F.col("from_entity").contains(entity_name) | F.col("to_entity").contains(entity_name) | (F.col("from_repo") == repo) | (F.col("to_repo") == repo))
+    return refs.where(
+        F.col("from_entity").contains(entity_name) | F.col("to_entity").contains(entity_name) | (
+            F.col("from_repo") == repo
+        ) | (F.col("to_repo") == repo)
+    )

@@ -46,7 +46,10 @@ def model_column(rows: DataFrame, model: Model, system: str, column: str, out: s
                         e = f"{type(x).__name__}: {x}"
                 said.append(answer)
                 errors.append(e)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names[:-1], out, "error"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(said, pa.string()), pa.array(errors, pa.string())],
+                [*batch.schema.names[:-1], out, "error"],
+            )
 
     fields = [*kept.schema.fields[:-1], T.StructField(out, T.StringType()), T.StructField("error", T.StringType())]
     return kept.mapInArrow(run, T.StructType(fields))
@@ -118,14 +121,32 @@ def _finish(store: Store, repo: str, model: Model | None, provider: embeddings.P
     return result
 
 
-def index_repository(store: Store, repo: str, path: str, *, model: Model | None = None, provider: embeddings.Provider | None = None, **about: str | None) -> IndexResult:
+def index_repository(
+    store: Store,
+    repo: str,
+    path: str,
+    *,
+    model: Model | None = None,
+    provider: embeddings.Provider | None = None,
+    **about: str | None,
+) -> IndexResult:
     """Scan a tree of files and index it; what isn't in the tree any more goes. A file that can't be read is an error of its own."""
     store.register(repo, **about)
     store.put_files(file_sources.scan_files(store.spark, path).withColumn("repo", F.lit(repo)), repo=repo)
     return _finish(store, repo, model, provider)
 
 
-def index_markdown(store: Store, repo: str, markdown: str, *, source: str | None = None, url: str | None = None, metadata: Column | None = None, model: Model | None = None, provider: embeddings.Provider | None = None) -> IndexResult:
+def index_markdown(
+    store: Store,
+    repo: str,
+    markdown: str,
+    *,
+    source: str | None = None,
+    url: str | None = None,
+    metadata: Column | None = None,
+    model: Model | None = None,
+    provider: embeddings.Provider | None = None,
+) -> IndexResult:
     """Index one markdown text."""
     store.register(repo)
     docs = file_sources.markdown_strings(store.spark, [(repo, markdown, source, url)])
@@ -142,4 +163,7 @@ def update_repository(store: Store, repo: str, path: str, **options) -> IndexRes
 def counts_in_output(said: DataFrame, column: str = "elements") -> DataFrame:
     """How many entities and relationships a model's outputs name."""
     entities, relations = text.extraction_counts(column)
-    return said.agg(F.coalesce(F.sum(entities), F.lit(0)).alias("entities"), F.coalesce(F.sum(relations), F.lit(0)).alias("relationships"))
+    return said.agg(
+        F.coalesce(F.sum(entities), F.lit(0)).alias("entities"),
+        F.coalesce(F.sum(relations), F.lit(0)).alias("relationships"),
+    )

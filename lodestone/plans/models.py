@@ -27,7 +27,9 @@ class ChatModel:
     timeout: float = 60.0
 
     def _once(self, system: str, prompt: str) -> str:
-        body = {"model": self.name, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+        body = {
+            "model": self.name, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+        }
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
         request = urllib.request.Request(f"{self.url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
         try:
@@ -35,7 +37,9 @@ class ChatModel:
                 said = json.load(found)
         except urllib.error.HTTPError as e:
             known = e.code == 429 or e.code >= 500
-            raise errors.ModelAPIError(f"the model answered {e.code}", context={"status_code": e.code}, recoverable=known) from e
+            raise errors.ModelAPIError(
+                f"the model answered {e.code}", context={"status_code": e.code}, recoverable=known
+            ) from e
         except OSError as e:
             raise errors.ModelAPIError(f"the model can't be reached: {e}") from e
         try:
@@ -63,7 +67,11 @@ def openai(name: str | None = None, url: str | None = None) -> ChatModel:
     key = os.environ.get("OPENAI_API_KEY")
     if not key:
         raise errors.ConfigurationError("OPENAI_API_KEY isn't set", context={"key": "OPENAI_API_KEY"})
-    return ChatModel(url or os.environ.get("OPENAI_BASE_URL", "https://api.openai.com/v1"), key, name or os.environ.get("OPENAI_MODEL", DEFAULT_MODEL))
+    return ChatModel(
+        url or os.environ.get("OPENAI_BASE_URL", "https://api.openai.com/v1"),
+        key,
+        name or os.environ.get("OPENAI_MODEL", DEFAULT_MODEL),
+    )
 
 
 def llamacpp(url: str | None = None) -> ChatModel:

@@ -79,12 +79,22 @@ FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS lines,
 def chunk_fixed_windows(spark, d):
     meta = F.from_json("metadata", "file string, start_line int, end_line int, start_char int, end_char int")
     rows = A.chunks(spark, d).withColumn("m", meta)
-    return rows.select("chunk_id", "repo", F.sha2("content", 256).alias("content_sha256"), "m.start_char", "m.end_char", "m.start_line", "m.end_line")
+    return rows.select(
+        "chunk_id",
+        "repo",
+        F.sha2("content", 256).alias("content_sha256"),
+        "m.start_char",
+        "m.end_char",
+        "m.start_line",
+        "m.end_line",
+    )
 
 
 @_add("chunk_counts_by_repo", _with("chunks", "SELECT repo, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM chunks GROUP BY repo"))
 def chunk_counts_by_repo(spark, d):
-    return A.chunks(spark, d).groupBy("repo").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+    return A.chunks(spark, d).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).cast("long").alias("n_chars")
+    )
 
 
 _TRIGRAMS = "SELECT p_partkey, g AS trigram, CAST(min(i) AS INTEGER) AS first_at FROM (SELECT p_partkey, unnest(range(1, length(p_name) + 2)) AS i, substr('  ' || p_name || ' ', i, 3) AS g FROM part) GROUP BY p_partkey, g"
@@ -92,12 +102,19 @@ _TRIGRAMS = "SELECT p_partkey, g AS trigram, CAST(min(i) AS INTEGER) AS first_at
 
 @_add("trigram_index", f"SELECT p_partkey, trigram, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY first_at) - 1 AS INTEGER) AS position FROM ({_TRIGRAMS})")
 def trigram_index(spark, d):
-    return A.read(spark, d, "part").select("p_partkey", F.posexplode(text.trigrams("p_name")).alias("position", "trigram"))
+    return A.read(spark, d, "part").select(
+        "p_partkey", F.posexplode(text.trigrams("p_name")).alias("position", "trigram")
+    )
 
 
 def _part_chunks(spark, d):
     p = A.read(spark, d, "part")
-    return p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.col("p_brand").alias("repo"), F.lit(None).cast("string").alias("entity_id"), F.col("p_name").alias("content"))
+    return p.select(
+        F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("chunk_id"),
+        F.col("p_brand").alias("repo"),
+        F.lit(None).cast("string").alias("entity_id"),
+        F.col("p_name").alias("content"),
+    )
 
 
 _PART_NAME = "small rimg"
@@ -108,7 +125,9 @@ WITH grams AS ({_TRIGRAMS}), wanted AS (SELECT DISTINCT substr('  {_PART_NAME} '
 SELECT 'part:' || p_partkey AS chunk_id, CAST(count(*) AS INTEGER) AS matches FROM grams JOIN wanted USING (trigram) GROUP BY p_partkey HAVING count(*) >= ceil((SELECT count(*) FROM wanted) * 0.3)""")
 def trigram_match_count(spark, d):
     n = F.size(text.trigrams(F.lit(_PART_NAME)))
-    return _part_chunks(spark, d).select("chunk_id", search.trigram_matches("content", _PART_NAME).alias("matches")).where(F.col("matches") >= F.ceil(n * F.lit(0.3)))
+    return _part_chunks(spark, d).select(
+        "chunk_id", search.trigram_matches("content", _PART_NAME).alias("matches")
+    ).where(F.col("matches") >= F.ceil(n * F.lit(0.3)))
 
 
 @_add("fuzzy_search", f"""
@@ -117,15 +136,21 @@ likely AS (SELECT p_partkey, count(*) AS matches FROM grams JOIN wanted USING (t
 best AS (SELECT p_partkey, 1 - list_min(list_transform(range(1, length(p_name) - {len(_PART_NAME)} + 2), lambda i: levenshtein(substr(lower(p_name), i, {len(_PART_NAME)}), lower('{_PART_NAME}')))) / {len(_PART_NAME)}.0::DOUBLE AS score FROM likely JOIN part USING (p_partkey) WHERE length(p_name) >= {len(_PART_NAME)})
 SELECT 'part:' || p_partkey AS chunk_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, 'part:' || p_partkey) AS INTEGER) AS rank FROM best WHERE score >= 0.4 QUALIFY rank <= 20""")
 def fuzzy_search(spark, d):
-    return search.fuzzy(_part_chunks(spark, d), _PART_NAME, threshold=0.4).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    return search.fuzzy(_part_chunks(spark, d), _PART_NAME, threshold=0.4).select(
+        "chunk_id", F.round("score", 6).alias("score"), "rank"
+    )
 
 
 @_add("levenshtein_similarity_topk", """
 SELECT p_partkey, p_name, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, p_name, p_partkey) AS INTEGER) AS rank
 FROM (SELECT *, 1 - levenshtein(lower(p_name), 'almond antique')::DOUBLE / greatest(length(p_name), 14) AS s FROM part) WHERE s >= 0.3 QUALIFY rank <= 10""")
 def levenshtein_similarity_topk(spark, d):
-    rows = A.read(spark, d, "part").withColumn("s", text.similarity("p_name", F.lit("almond antique"))).where("s >= 0.3")
-    return search.top(rows, 10, F.desc("s"), F.asc("p_name"), F.asc("p_partkey")).select("p_partkey", "p_name", F.round("s", 6).alias("score"), "rank")
+    rows = A.read(spark, d, "part").withColumn(
+        "s", text.similarity("p_name", F.lit("almond antique"))
+    ).where("s >= 0.3")
+    return search.top(rows, 10, F.desc("s"), F.asc("p_name"), F.asc("p_partkey")).select(
+        "p_partkey", "p_name", F.round("s", 6).alias("score"), "rank"
+    )
 
 
 def _sql_grams(t: str) -> str:
@@ -136,7 +161,9 @@ def _sql_grams(t: str) -> str:
 SELECT p_partkey, contains(lower(p_name), 'blue') OR len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE >= 0.3 AS is_match
 FROM (SELECT p_partkey, p_name, {_sql_grams("p_name")} AS a, {_sql_grams("'blue'")} AS b FROM part)""")
 def jaccard_fuzzy_match(spark, d):
-    return A.read(spark, d, "part").select("p_partkey", text.fuzzy_match("p_name", F.lit("blue"), 0.3).alias("is_match"))
+    return A.read(spark, d, "part").select(
+        "p_partkey", text.fuzzy_match("p_name", F.lit("blue"), 0.3).alias("is_match")
+    )
 
 
 @_add("substring_search", _with("chunks", "SELECT chunk_id, repo, 1.0::DOUBLE AS score, 'exact' AS match_type, CAST(row_number() OVER (ORDER BY chunk_id) AS INTEGER) AS rank FROM chunks WHERE lower(content) LIKE '%license%' QUALIFY rank <= 20"))
@@ -154,12 +181,18 @@ _SQL_IDS = ", ".join(f"regexp_extract_all(t, '{p}')" for p in text.IDENTIFIER_PA
 
 @_add("identifiers_extract", f"SELECT doc_id, array_to_string(list_sort(list_distinct(flatten([{_SQL_IDS}]))), ' ') AS identifiers FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def identifiers_extract(spark, d):
-    return A.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.identifiers(F.coalesce("text", F.lit("")))), " ").alias("identifiers"))
+    return A.read(spark, d, "documents").select(
+        "doc_id", F.array_join(F.array_sort(text.identifiers(F.coalesce("text", F.lit("")))), " ").alias("identifiers")
+    )
 
 
 @_add("identifiers_normalize", "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[-_./@\\\\]', '', 'g')) AS normalized, regexp_replace(lower(c_name), '[-_./@\\\\]', '', 'g') = regexp_replace(lower(c_mktsegment), '[-_./@\\\\]', '', 'g') AS same FROM customer")
 def identifiers_normalize(spark, d):
-    return A.read(spark, d, "customer").select("c_custkey", text.normalize_identifier("c_name").alias("normalized"), text.identifiers_similar("c_name", "c_mktsegment").alias("same"))
+    return A.read(spark, d, "customer").select(
+        "c_custkey",
+        text.normalize_identifier("c_name").alias("normalized"),
+        text.identifiers_similar("c_name", "c_mktsegment").alias("same"),
+    )
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -168,13 +201,17 @@ _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 @_add("stopword_entity_extract", f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')), lambda w: length(w) > 2 AND w NOT IN ({_STOPS})))), ' ') AS entities FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def stopword_entity_extract(spark, d):
     said = F.coalesce("text", F.lit(""))
-    return A.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(text.query_entities(said)), " ").alias("entities"))
+    return A.read(spark, d, "conversations").select(
+        "conv_id", "turn", F.array_join(F.array_sort(text.query_entities(said)), " ").alias("entities")
+    )
 
 
 @_add("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1")
 def cosine_pairs(spark, d):
     e = A.read(spark, d, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), (F.col("vec_id") + 1).alias("a"))
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(
+        F.col("vec_id").alias("b"), F.col("embedding").alias("y"), (F.col("vec_id") + 1).alias("a")
+    )
     return a.join(b, "a").select("a", "b", F.round(vectors.cosine("x", "y"), 6).alias("similarity"))
 
 
@@ -190,20 +227,28 @@ _DENSE = """SELECT emb.chunk_id, emb.repo, round(1 - list_cosine_similarity(emb.
 
 @_add("dense_topk", _with("emb", f"SELECT chunk_id, repo, round(distance, 6) AS distance, CAST(row_number() OVER (ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM ({_DENSE}) WHERE distance < 0.9 QUALIFY rank <= 20"))
 def dense_topk(spark, d):
-    return search.dense(A.embeddings(spark, d), _vector(spark, d), min_similarity=0.1).select("chunk_id", "repo", F.round("distance", 6).alias("distance"), "rank")
+    return search.dense(A.embeddings(spark, d), _vector(spark, d), min_similarity=0.1).select(
+        "chunk_id", "repo", F.round("distance", 6).alias("distance"), "rank"
+    )
 
 
 @_add("dense_repo_filtered", _with("emb", f"SELECT chunk_id, repo, round(distance, 6) AS distance, CAST(row_number() OVER (ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM ({_DENSE}) WHERE distance < 1 AND repo IN ('label_1', 'label_2') QUALIFY rank <= 20"))
 def dense_repo_filtered(spark, d):
-    return search.dense(A.embeddings(spark, d), _vector(spark, d), repositories=["label_1", "label_2"], min_similarity=0.0).select("chunk_id", "repo", F.round("distance", 6).alias("distance"), "rank")
+    return search.dense(
+        A.embeddings(spark, d), _vector(spark, d), repositories=["label_1", "label_2"], min_similarity=0.0
+    ).select("chunk_id", "repo", F.round("distance", 6).alias("distance"), "rank")
 
 
 @_add("dense_batch_topk", _with("emb", """
 SELECT q.vec_id AS query_id, emb.chunk_id, emb.repo, round(round(1 - list_cosine_similarity(emb.e, q.e), 12), 6) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(emb.e, q.e), 12), emb.chunk_id) AS INTEGER) AS rank
 FROM emb, emb q WHERE q.vec_id % 20 = 0 AND round(1 - list_cosine_similarity(emb.e, q.e), 12) < 1 QUALIFY rank <= 10"""))
 def dense_batch_topk(spark, d):
-    queries = A.read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.dense_batch(A.embeddings(spark, d), queries, max_results=10, min_similarity=0.0).select("query_id", "chunk_id", "repo", F.round("distance", 6).alias("distance"), "rank")
+    queries = A.read(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    return search.dense_batch(A.embeddings(spark, d), queries, max_results=10, min_similarity=0.0).select(
+        "query_id", "chunk_id", "repo", F.round("distance", 6).alias("distance"), "rank"
+    )
 
 
 _BM25_QUERIES = "(VALUES (1, 'the'), (1, 'erst'), (2, 'thing'), (2, 'and'), (3, 'license'))"
@@ -220,13 +265,21 @@ SELECT query_id, chunk_id, repo, round(bm25, 6) AS bm25, CAST(row_number() OVER
 @_add("bm25_search", _with("chunks", "").rstrip() + "," + _BM25)
 def bm25_search(spark, d):
     queries = spark.createDataFrame([(1, "The erst"), (2, "thing AND"), (3, "license")], "query_id long, query string")
-    return search.sparse_batch(A.chunks(spark, d), queries, stem=False).select("query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank")
+    return search.sparse_batch(A.chunks(spark, d), queries, stem=False).select(
+        "query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank"
+    )
 
 
 _STEMMED = [(1, "licensing works"), (2, "things")]
 _STEMS = {porter.stem(w): i for i, q in _STEMMED for w in q.split()}
 # the forms of the queries' words; texts may have any of them
-_FORMS = sorted({(w, porter.stem(w)) for base in ("licens", "work", "thing") for end in ("", "e", "s", "es", "ed", "ing", "er", "ers", "able", "ings", "ely") for w in (base + end,) if porter.stem(w) in _STEMS})
+_FORMS = sorted(
+    {
+        (w, porter.stem(w)) for base in ("licens", "work", "thing") for end in (
+            "", "e", "s", "es", "ed", "ing", "er", "ers", "able", "ings", "ely"
+        ) for w in (base + end,) if porter.stem(w) in _STEMS
+    }
+)
 
 
 @_add("bm25_search_stemmed", _with("chunks", "").rstrip() + "," + f"""
@@ -242,7 +295,9 @@ scored AS (SELECT query_id, chunk_id, round(sum(-greatest(ln((n - df + 0.5) / (d
 SELECT query_id, chunk_id, repo, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS INTEGER) AS rank FROM scored JOIN chunks USING (chunk_id) QUALIFY rank <= 20""")
 def bm25_search_stemmed(spark, d):
     queries = spark.createDataFrame(_STEMMED, "query_id long, query string")
-    return search.sparse_batch(A.chunks(spark, d), queries).select("query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank")
+    return search.sparse_batch(A.chunks(spark, d), queries).select(
+        "query_id", "chunk_id", "repo", F.round("bm25", 6).alias("bm25"), "rank"
+    )
 
 
 @_add("bm25_search_indexed", _with("chunks", "").rstrip() + "," + _BM25)
@@ -276,13 +331,22 @@ def graph_edges(spark, d):
 
 @_add("node_insert_ignore", "SELECT id, arg_min(repo, seq) AS repo FROM (SELECT 'c' || o_custkey AS id, o_orderpriority AS repo, o_orderkey AS seq FROM orders) GROUP BY id")
 def node_insert_ignore(spark, d):
-    rows = A.read(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("seq"))
+    rows = A.read(spark, d, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"),
+        F.col("o_orderpriority").alias("repo"),
+        F.col("o_orderkey").alias("seq"),
+    )
     return store.keep_first(rows.select("id", "repo").where(F.lit(False)), rows, ["id"], "seq")
 
 
 @_add("edge_upsert_keep_last", "SELECT source, target, arg_max(weight, seq) AS weight FROM (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_quantity AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) GROUP BY source, target")
 def edge_upsert_keep_last(spark, d):
-    rows = A.read(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    rows = A.read(spark, d, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"),
+        F.col("l_quantity").alias("weight"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
     return store.keep_last(rows.drop("seq").where(F.lit(False)), rows, ["source", "target"], "seq")
 
 
@@ -314,12 +378,16 @@ def graph_search(spark, d):
 
 @_add("entity_search", _with("nodes edges ends node_text", "SELECT id, repo AS found_repo, source, target, relationship FROM node_text LEFT JOIN (SELECT node, source, target, relationship FROM ends) ON id = node WHERE (lower(id) LIKE '%supplier:1%' OR lower(properties) LIKE '%supplier:1%') AND repo IN ('supplier')"))
 def entity_search(spark, d):
-    return search.entity(A.nodes(spark, d), A.edges(spark, d), "supplier:1", repositories=["supplier"]).drop("properties", "repo", "weight")
+    return search.entity(
+        A.nodes(spark, d), A.edges(spark, d), "supplier:1", repositories=["supplier"]
+    ).drop("properties", "repo", "weight")
 
 
 @_add("entity_neighbours", _with("nodes edges", "SELECT id, relationship, weight, source, target FROM nodes JOIN edges ON (id = source OR id = target) AND id <> 'nation:3' WHERE source = 'nation:3' OR target = 'nation:3'"))
 def entity_neighbours(spark, d):
-    return search.entity_relationships(A.nodes(spark, d), A.edges(spark, d), "nation:3").select("id", "relationship", "weight", "source", "target")
+    return search.entity_relationships(A.nodes(spark, d), A.edges(spark, d), "nation:3").select(
+        "id", "relationship", "weight", "source", "target"
+    )
 
 
 @_add("k_hop_neighbours", _with("edges", """
@@ -332,7 +400,13 @@ def k_hop_neighbours(spark, d):
 @_add("edge_context_join", _with("nodes edges", "SELECT e.source, e.target, e.relationship, s.name AS source_name, t.name AS target_name FROM edges e JOIN nodes s ON s.id = e.source AND s.repo = e.source_repo JOIN nodes t ON t.id = e.target AND t.repo = e.target_repo WHERE e.source_repo = 'supplier' OR e.target_repo = 'supplier'"))
 def edge_context_join(spark, d):
     found = graph.edges_in_context(A.edges(spark, d), A.nodes(spark, d), "supplier")
-    return found.select("source", "target", "relationship", F.get_json_object("source_props", "$.name").alias("source_name"), F.get_json_object("target_props", "$.name").alias("target_name"))
+    return found.select(
+        "source",
+        "target",
+        "relationship",
+        F.get_json_object("source_props", "$.name").alias("source_name"),
+        F.get_json_object("target_props", "$.name").alias("target_name"),
+    )
 
 
 @_add("edge_embedding_text", _with("nodes edges", """
@@ -378,10 +452,22 @@ def references_to_entity(spark, d):
 
 def _lists(spark, d):
     def of(rows, source, key, repo, *order):
-        return search.top(rows, 60, *order).select(F.lit(0).cast("long").alias("query_id"), F.lit(source).alias("source"), F.col("rank").cast("int").alias("rank"), F.concat(F.lit("o"), F.col(key).cast("string")).alias("id"), F.col(repo).alias("repo"), F.lit("").alias("content"), F.lit(None).cast("string").alias("metadata"))
+        return search.top(rows, 60, *order).select(
+            F.lit(0).cast("long").alias("query_id"),
+            F.lit(source).alias("source"),
+            F.col("rank").cast("int").alias("rank"),
+            F.concat(F.lit("o"), F.col(key).cast("string")).alias("id"),
+            F.col(repo).alias("repo"),
+            F.lit("").alias("content"),
+            F.lit(None).cast("string").alias("metadata"),
+        )
 
     o, c = A.read(spark, d, "orders"), A.read(spark, d, "customer")
-    return of(o, "dense", "o_custkey", "o_orderpriority", F.desc("o_totalprice"), F.asc("o_orderkey")).union(of(c, "sparse", "c_custkey", "c_mktsegment", F.desc("c_acctbal"), F.asc("c_custkey"))).union(of(o, "graph", "o_custkey", "o_orderpriority", F.asc("o_orderdate"), F.asc("o_orderkey")))
+    return of(
+        o, "dense", "o_custkey", "o_orderpriority", F.desc("o_totalprice"), F.asc("o_orderkey")
+    ).union(of(c, "sparse", "c_custkey", "c_mktsegment", F.desc("c_acctbal"), F.asc("c_custkey"))).union(
+        of(o, "graph", "o_custkey", "o_orderpriority", F.asc("o_orderdate"), F.asc("o_orderkey"))
+    )
 
 
 def _fused(spark, d):
@@ -405,7 +491,9 @@ def rrf_diversity(spark, d):
 
 @_add("rrf_by_repo", _with("lists fused", "SELECT repo, count(*) AS n_results, string_agg(id, ',' ORDER BY rank) AS ids FROM fused GROUP BY repo"))
 def rrf_by_repo(spark, d):
-    return fusion.by_repository(_fused(spark, d)).select("repo", "n_results", F.array_join("results.id", ",").alias("ids"))
+    return fusion.by_repository(_fused(spark, d)).select(
+        "repo", "n_results", F.array_join("results.id", ",").alias("ids")
+    )
 
 
 def _four(x: str) -> str:
@@ -413,7 +501,12 @@ def _four(x: str) -> str:
     return f"CAST(CAST(CAST({x} AS DECIMAL(18, 12)) AS DECIMAL(18, 4)) AS VARCHAR)"
 
 
-_SHOWN = {"dense": ("Dense (semantic)", 0.3), "sparse": ("Sparse (keyword)", 0.3), "pattern": ("Pattern (fuzzy)", 0.2), "graph": ("Graph (relationships)", 0.2)}
+_SHOWN = {
+    "dense": ("Dense (semantic)", 0.3),
+    "sparse": ("Sparse (keyword)", 0.3),
+    "pattern": ("Pattern (fuzzy)", 0.2),
+    "graph": ("Graph (relationships)", 0.2),
+}
 _EXPLAINED = ", ".join(f"CASE WHEN {s} IS NOT NULL THEN '  - {n}: rank ' || {s} || ' → score ' || {_four(f"{w} / (60 + {s})")} || ' (weight: {w})' END" for s, (n, w) in _SHOWN.items())
 _TOTAL = " + ".join(f"coalesce({w} / (60 + {s}), 0)" for s, (_, w) in _SHOWN.items())
 
@@ -462,13 +555,24 @@ def conversation_classification(spark, d):
 @_add("normalize_weights", "SELECT o_orderkey, round(CASE WHEN a + b + c + e = 0 THEN 0.25 ELSE a / (a + b + c + e) END, 9) AS dense, round(CASE WHEN a + b + c + e = 0 THEN 0.25 ELSE e / (a + b + c + e) END, 9) AS graph FROM (SELECT o_orderkey, (o_orderkey % 3)::DOUBLE AS a, (o_orderkey % 5)::DOUBLE AS b, (o_orderkey % 7)::DOUBLE AS c, (o_orderkey % 2)::DOUBLE AS e FROM orders)")
 def normalize_weights(spark, d):
     k = F.col("o_orderkey")
-    found = analysis.normalized_columns({"dense": (k % 3).cast("double"), "sparse": (k % 5).cast("double"), "pattern": (k % 7).cast("double"), "graph": (k % 2).cast("double")})
-    return A.read(spark, d, "orders").select("o_orderkey", F.round(found["dense"], 9).alias("dense"), F.round(found["graph"], 9).alias("graph"))
+    found = analysis.normalized_columns(
+        {
+            "dense": (k % 3).cast("double"),
+            "sparse": (k % 5).cast("double"),
+            "pattern": (k % 7).cast("double"),
+            "graph": (k % 2).cast("double"),
+        }
+    )
+    return A.read(spark, d, "orders").select(
+        "o_orderkey", F.round(found["dense"], 9).alias("dense"), F.round(found["graph"], 9).alias("graph")
+    )
 
 
 @_add("token_estimate", _with("chunks", "SELECT repo, CAST(ceil((sum(length(content)) + sum(length(chunk_id))) / 4.0) AS BIGINT) AS tokens FROM chunks GROUP BY repo"))
 def token_estimate(spark, d):
-    return A.chunks(spark, d).groupBy("repo").agg(text.token_estimate(F.col("content"), F.col("chunk_id")).cast("long").alias("tokens"))
+    return A.chunks(spark, d).groupBy("repo").agg(
+        text.token_estimate(F.col("content"), F.col("chunk_id")).cast("long").alias("tokens")
+    )
 
 
 # store
@@ -478,7 +582,14 @@ def token_estimate(spark, d):
 SELECT repo, count(CASE WHEN w = 1 THEN 1 END) AS nodes, count(CASE WHEN w = 2 THEN 1 END) AS edges, count(CASE WHEN w = 3 THEN 1 END) AS chunks, count(CASE WHEN w = 4 THEN 1 END) AS embeddings, 'completed' AS status
 FROM (SELECT repo, 1 AS w FROM nodes UNION ALL SELECT source_repo, 2 FROM edges UNION ALL SELECT repo, 3 FROM chunks UNION ALL SELECT repo, 4 FROM emb) GROUP BY repo"""))
 def repo_stats(spark, d):
-    return store.status_counts({"nodes": A.nodes(spark, d), "edges": A.edges(spark, d), "chunks": A.chunks(spark, d), "embeddings": A.embeddings(spark, d)})
+    return store.status_counts(
+        {
+            "nodes": A.nodes(spark, d),
+            "edges": A.edges(spark, d),
+            "chunks": A.chunks(spark, d),
+            "embeddings": A.embeddings(spark, d),
+        }
+    )
 
 
 _CASCADE = {
@@ -498,18 +609,32 @@ def _sql_left(what: str) -> str:
 @_add("repo_delete_cascade", _with("nodes edges refs emb chunks repos", " UNION ALL ".join(map(_sql_left, _CASCADE))))
 def repo_delete_cascade(spark, d):
     """What is left of each table when some repositories are deleted."""
-    tables = {"nodes": A.nodes(spark, d), "edges": A.edges(spark, d), "chunks": A.chunks(spark, d), "embeddings": A.embeddings(spark, d), "cross_references": A.cross_references(spark, d)}
-    names = tables["nodes"].select("repo").union(tables["embeddings"].select("repo")).union(tables["chunks"].select("repo"))
+    tables = {
+        "nodes": A.nodes(spark, d),
+        "edges": A.edges(spark, d),
+        "chunks": A.chunks(spark, d),
+        "embeddings": A.embeddings(spark, d),
+        "cross_references": A.cross_references(spark, d),
+    }
+    names = tables["nodes"].select("repo").union(
+        tables["embeddings"].select("repo")
+    ).union(tables["chunks"].select("repo"))
     left = tables | {"repositories": names.distinct().withColumnRenamed("repo", "id")}
     for repo in _GONE:
         left = store.without_repo(left, repo)
-    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, rows in left.items()]
+    parts = [
+        rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, rows in left.items()
+    ]
     return reduce(DataFrame.union, parts)
 
 
 @_add("repository_upsert", "SELECT 'r' || o_custkey % 50 AS id, arg_max(o_orderpriority, o_orderkey) AS version FROM orders GROUP BY ALL")
 def repository_upsert(spark, d):
-    rows = A.read(spark, d, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") % 50).cast("string")).alias("id"), F.col("o_orderpriority").alias("version"), F.col("o_orderkey").alias("seq"))
+    rows = A.read(spark, d, "orders").select(
+        F.concat(F.lit("r"), (F.col("o_custkey") % 50).cast("string")).alias("id"),
+        F.col("o_orderpriority").alias("version"),
+        F.col("o_orderkey").alias("seq"),
+    )
     return store.keep_last(rows.drop("seq").where(F.lit(False)), rows, ["id"], "seq")
 
 
@@ -525,14 +650,19 @@ def prefix_stats(spark, d):
 @_add("repo_stamp", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'stamped' END AS repo FROM customer")
 def repo_stamp(spark, d):
     key = F.col("c_custkey") % 3
-    rows = A.read(spark, d, "customer").select("c_custkey", F.when(key == 0, F.col("c_mktsegment")).when(key == 1, F.lit("")).alias("repo"))
+    rows = A.read(spark, d, "customer").select(
+        "c_custkey", F.when(key == 0, F.col("c_mktsegment")).when(key == 1, F.lit("")).alias("repo")
+    )
     return graph.stamp_repo(rows, "stamped")
 
 
 @_add("extraction_counts", "SELECT CAST(sum(s_suppkey % 3) AS BIGINT) AS entities, CAST(sum(s_suppkey % 2) AS BIGINT) AS relationships FROM supplier")
 def extraction_counts(spark, d):
     n = F.col("s_suppkey")
-    lines = F.concat(F.repeat(F.lit("Entity: x\n"), (n % 3).cast("int")), F.repeat(F.lit("Parsed relationship: a -> b\n"), (n % 2).cast("int")))
+    lines = F.concat(
+        F.repeat(F.lit("Entity: x\n"), (n % 3).cast("int")),
+        F.repeat(F.lit("Parsed relationship: a -> b\n"), (n % 2).cast("int")),
+    )
     return ingest.counts_in_output(A.read(spark, d, "supplier").select(lines.alias("elements")))
 
 
@@ -546,7 +676,13 @@ def centrality_summary(spark, d):
 @_add("graph_export", _with("nodes edges", "SELECT 'node' AS kind, id AS source, NULL AS target, NULL AS relationship, NULL::DOUBLE AS weight FROM nodes UNION ALL SELECT 'link', source, target, relationship, weight FROM edges"))
 def graph_export(spark, d):
     none = F.lit(None).cast("string")
-    n = A.nodes(spark, d).select(F.lit("node").alias("kind"), F.col("id").alias("source"), none.alias("target"), none.alias("relationship"), F.lit(None).cast("double").alias("weight"))
+    n = A.nodes(spark, d).select(
+        F.lit("node").alias("kind"),
+        F.col("id").alias("source"),
+        none.alias("target"),
+        none.alias("relationship"),
+        F.lit(None).cast("double").alias("weight"),
+    )
     return n.union(A.edges(spark, d).select(F.lit("link"), "source", "target", "relationship", "weight"))
 
 
@@ -559,10 +695,14 @@ for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;",
 SELECT substr(sha256(concat_ws(':', 'web', url, CAST(s AS VARCHAR))), 1, 16) AS chunk_id, 'web' AS repo, sha256(substr(t, s + 1, 600)) AS content_sha256, s AS start_char, CAST(1 AS INTEGER) AS start_line, CAST(1 AS INTEGER) AS end_line
 FROM (SELECT url, t, CAST(unnest(range(0, length(t), 500)) AS INTEGER) AS s FROM (SELECT url, trim(regexp_replace({_PAGE_TEXT}, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM pages))""")
 def page_text_chunks(spark, d):
-    pages = A.read(spark, d, "pages").select(F.lit("web").alias("repo"), F.col("url").alias("path"), files_source.strip_tags("html").alias("text"))
+    pages = A.read(spark, d, "pages").select(
+        F.lit("web").alias("repo"), F.col("url").alias("path"), files_source.strip_tags("html").alias("text")
+    )
     meta = F.from_json("metadata", "start_line int, end_line int, start_char int")
     rows = chunking.file_chunks(pages).withColumn("m", meta)
-    return rows.select("chunk_id", "repo", F.sha2("content", 256).alias("content_sha256"), "m.start_char", "m.start_line", "m.end_line")
+    return rows.select(
+        "chunk_id", "repo", F.sha2("content", 256).alias("content_sha256"), "m.start_char", "m.start_line", "m.end_line"
+    )
 
 
 @_add("markdown_chunks")
@@ -598,20 +738,31 @@ def edge_embeddings(spark, d):
 
 def tables(spark: SparkSession, d: str) -> hybrid.Tables:
     nodes = A.nodes(spark, d)
-    return hybrid.Tables(A.chunks(spark, d), nodes, A.edges(spark, d), embeddings.embed_entities(nodes, embeddings.create_provider("hashing")), A.cross_references(spark, d))
+    return hybrid.Tables(
+        A.chunks(spark, d),
+        nodes,
+        A.edges(spark, d),
+        embeddings.embed_entities(nodes, embeddings.create_provider("hashing")),
+        A.cross_references(spark, d),
+    )
 
 
 @_add("hybrid_search")
 def hybrid_search(spark, d):
     engine = hybrid.HybridSearch(tables(spark, d), embeddings.create_provider("hashing"))
-    return engine.search("the license and region", force_weights={"dense": 0.3, "sparse": 0.3, "pattern": 0.2, "graph": 0.2}).results
+    return engine.search(
+        "the license and region", force_weights={"dense": 0.3, "sparse": 0.3, "pattern": 0.2, "graph": 0.2}
+    ).results
 
 
 @_add("hybrid_batch")
 def hybrid_batch(spark, d):
     """Each turn of the conversations whose id is divisible by 20 is a query, with its whole text."""
     said = A.read(spark, d, "conversations").where("conv_id % 20 = 0")
-    queries = said.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    queries = said.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"),
+        F.coalesce("text", F.lit("")).alias("query"),
+    )
     return hybrid.batch(tables(spark, d), queries, provider=embeddings.create_provider("hashing"), mode="or")
 
 

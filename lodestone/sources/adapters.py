@@ -14,7 +14,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the repository that they came from."""
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text")
+    return read(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text"
+    )
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(table: str, key: str, name: str, kind: str, description: str | None = None) -> DataFrame:
         hint = F.col(description).cast("string") if description else F.lit(None).cast("string")
         props = F.to_json(F.struct(F.col(name).alias("name"), F.lit(kind).alias("type"), hint.alias("description")))
-        return read(spark, sf_dir, table).select(F.concat(F.lit(f"{table}:"), F.col(key).cast("string")).alias("id"), F.lit(table).alias("repo"), props.alias("properties"))
+        return read(spark, sf_dir, table).select(
+            F.concat(F.lit(f"{table}:"), F.col(key).cast("string")).alias("id"),
+            F.lit(table).alias("repo"),
+            props.alias("properties"),
+        )
 
-    return of("region", "r_regionkey", "r_name", "region").union(of("nation", "n_nationkey", "n_name", "nation")).union(of("customer", "c_custkey", "c_name", "customer", "c_mktsegment")).union(of("supplier", "s_suppkey", "s_name", "supplier")).union(of("part", "p_partkey", "p_name", "part", "p_type"))
+    return of("region", "r_regionkey", "r_name", "region").union(of("nation", "n_nationkey", "n_name", "nation")).union(
+        of("customer", "c_custkey", "c_name", "customer", "c_mktsegment")
+    ).union(of("supplier", "s_suppkey", "s_name", "supplier")).union(
+        of("part", "p_partkey", "p_name", "part", "p_type")
+    )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,18 +47,42 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda t, k: F.concat(F.lit(f"{t}:"), F.col(k).cast("string"))
 
     def of(table: str, key: str, to: str, to_key: str, relation: str) -> DataFrame:
-        return read(spark, sf_dir, table).select(link(table, key).alias("source"), link(to, to_key).alias("target"), F.lit(relation).alias("relationship"), F.lit(1.0).alias("weight"), F.lit(table).alias("source_repo"), F.lit(to).alias("target_repo"))
+        return read(spark, sf_dir, table).select(
+            link(table, key).alias("source"),
+            link(to, to_key).alias("target"),
+            F.lit(relation).alias("relationship"),
+            F.lit(1.0).alias("weight"),
+            F.lit(table).alias("source_repo"),
+            F.lit(to).alias("target_repo"),
+        )
 
     supplied = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     most = supplied.agg(F.max("q").alias("m"))
     # one row: the largest quantity
-    supplies = supplied.crossJoin(F.broadcast(most)).select(link("supplier", "l_suppkey").alias("source"), link("part", "l_partkey").alias("target"), F.lit("supplies").alias("relationship"), F.round(F.try_divide("q", "m"), 6).alias("weight"), F.lit("supplier").alias("source_repo"), F.lit("part").alias("target_repo"))
-    return of("customer", "c_custkey", "nation", "c_nationkey", "located_in").union(of("supplier", "s_suppkey", "nation", "s_nationkey", "located_in")).union(of("nation", "n_nationkey", "region", "n_regionkey", "part_of")).union(supplies)
+    supplies = supplied.crossJoin(F.broadcast(most)).select(
+        link("supplier", "l_suppkey").alias("source"),
+        link("part", "l_partkey").alias("target"),
+        F.lit("supplies").alias("relationship"),
+        F.round(F.try_divide("q", "m"), 6).alias("weight"),
+        F.lit("supplier").alias("source_repo"),
+        F.lit("part").alias("target_repo"),
+    )
+    return of("customer", "c_custkey", "nation", "c_nationkey", "located_in").union(
+        of("supplier", "s_suppkey", "nation", "s_nationkey", "located_in")
+    ).union(of("nation", "n_nationkey", "region", "n_regionkey", "part_of")).union(supplies)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("repo"), F.lit("").alias("entity_id"), F.lit("entity").alias("chunk_type"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"), "embedding", F.lit(None).cast("string").alias("metadata"))
+    return e.select(
+        F.col("vec_id").cast("string").alias("chunk_id"),
+        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("repo"),
+        F.lit("").alias("entity_id"),
+        F.lit("entity").alias("chunk_type"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"),
+        "embedding",
+        F.lit(None).cast("string").alias("metadata"),
+    )
 
 
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +91,27 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sold = item.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = item.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        customers, F.col("o_custkey") == F.col("c_custkey")
+    ).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = sold.groupBy("s_nationkey", "c_nationkey").agg(F.sum("l_quantity").alias("q"))
     total = pairs.groupBy("s_nationkey").agg(F.sum("q").alias("t"))
     nation = read(spark, sf_dir, "nation")
     name = lambda c: F.concat(F.lit("nation:"), F.col(c).cast("string"))
     region = lambda key, out: nation.select(F.col("n_nationkey").alias(key), F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias(out))
-    found = pairs.join(total, "s_nationkey").join(region("s_nationkey", "from_repo"), "s_nationkey").join(region("c_nationkey", "to_repo"), "c_nationkey")
-    return found.select((F.col("s_nationkey") * 100 + F.col("c_nationkey")).cast("long").alias("id"), "from_repo", name("s_nationkey").alias("from_entity"), "to_repo", name("c_nationkey").alias("to_entity"), F.lit("sells_to").alias("type"), F.round(F.try_divide("q", "t"), 6).alias("strength"), F.lit(None).cast("string").alias("context"))
+    found = pairs.join(total, "s_nationkey").join(
+        region("s_nationkey", "from_repo"), "s_nationkey"
+    ).join(region("c_nationkey", "to_repo"), "c_nationkey")
+    return found.select(
+        (F.col("s_nationkey") * 100 + F.col("c_nationkey")).cast("long").alias("id"),
+        "from_repo",
+        name("s_nationkey").alias("from_entity"),
+        "to_repo",
+        name("c_nationkey").alias("to_entity"),
+        F.lit("sells_to").alias("type"),
+        F.round(F.try_divide("q", "t"), 6).alias("strength"),
+        F.lit(None).cast("string").alias("context"),
+    )
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +122,9 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = (i + 1).cast("string")
         head = F.concat(F.lit("## Section "), n, F.lit("\n\n"), x)
         code = F.when((i + 1) % 3 == 0, F.concat(F.lit("\n\n```\ncode "), n, F.lit("\n\nend\n```"))).otherwise("")
-        table = F.when((i + 1) % 5 == 0, F.concat(F.lit("\n\n| a | b |\n|---|---|\n| "), n, F.lit(" | x |"))).otherwise("")
+        table = F.when(
+            (i + 1) % 5 == 0, F.concat(F.lit("\n\n| a | b |\n|---|---|\n| "), n, F.lit(" | x |"))
+        ).otherwise("")
         items = F.when((i + 1) % 4 == 0, F.concat(F.lit("\n\n- one "), n, F.lit("\n- two"))).otherwise("")
         return F.concat(head, code, table, items)
 
@@ -89,9 +138,24 @@ def llm_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("s_suppkey") % 3
     head = lambda w: F.when(kind == 0, f"### {w}:").when(kind == 1, f"**{w}:**").otherwise(f"{w}:")
     name, nation = F.col("s_name"), F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"))
-    link = F.when(kind == 0, F.concat(name, F.lit(" -> located in [strength: 0.8] -> "), nation)).when(kind == 1, F.concat(name, F.lit(" -> located in -> "), nation, F.lit(" [strength: 0.4]"))).otherwise(F.concat(name, F.lit(" -> located in -> "), nation))
-    text = F.concat_ws("\n", head("Entities"), F.concat(F.lit("1. **"), name, F.lit("**")), nation, head("Relationships"), link, F.concat(name, F.lit(" -> ships -> Nowhere")))
-    return s.select(F.lit("suppliers").alias("repo"), F.col("s_suppkey").cast("long").alias("call_id"), F.lit(0).alias("seq"), text.alias("summary"))
+    link = F.when(kind == 0, F.concat(name, F.lit(" -> located in [strength: 0.8] -> "), nation)).when(
+        kind == 1, F.concat(name, F.lit(" -> located in -> "), nation, F.lit(" [strength: 0.4]"))
+    ).otherwise(F.concat(name, F.lit(" -> located in -> "), nation))
+    text = F.concat_ws(
+        "\n",
+        head("Entities"),
+        F.concat(F.lit("1. **"), name, F.lit("**")),
+        nation,
+        head("Relationships"),
+        link,
+        F.concat(name, F.lit(" -> ships -> Nowhere")),
+    )
+    return s.select(
+        F.lit("suppliers").alias("repo"),
+        F.col("s_suppkey").cast("long").alias("call_id"),
+        F.lit(0).alias("seq"),
+        text.alias("summary"),
+    )
 
 
 #: Queries of each type and a few traps.

@@ -32,19 +32,27 @@ def kept_path(path: Column, extensions: tuple[str, ...], pruned: tuple[str, ...]
     """Whether a path has one of the extensions and lies in no pruned folder."""
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.regexp_extract(path, "(\\.[^./]+)$", 1).isin(*extensions) & ~F.arrays_overlap(folders, F.array(*map(F.lit, pruned)))
+    return F.regexp_extract(path, "(\\.[^./]+)$", 1).isin(*extensions) & ~F.arrays_overlap(
+        folders, F.array(*map(F.lit, pruned))
+    )
 
 
-def scan_files(spark: SparkSession, root: str, *, extensions: tuple[str, ...] = EXTENSIONS, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
+def scan_files(
+    spark: SparkSession, root: str, *, extensions: tuple[str, ...] = EXTENSIONS, pruned: tuple[str, ...] = PRUNED
+) -> DataFrame:
     """path (below the root), text and error of the files with these extensions, outside pruned folders.
 
     A file is one row, read by one task; folders are matched by each segment below the root. Files that go meanwhile or
     can't be read are left out; one that isn't UTF-8 has no text but an error, so it holds up no other.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
+    found = spark.read.format("binaryFile").option(
+        "recursiveFileLookup", True
+    ).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
     path = below(F.col("path"), root)
     text, error = decoded(F.col("content"))
-    return found.where(kept_path(path, extensions, pruned)).select(path.alias("path"), text.alias("text"), error.alias("error"))
+    return found.where(kept_path(path, extensions, pruned)).select(
+        path.alias("path"), text.alias("text"), error.alias("error")
+    )
 
 
 def read_documents(spark: SparkSession, names: list[str], folder: str = "example_text") -> DataFrame:
@@ -57,7 +65,9 @@ def read_documents(spark: SparkSession, names: list[str], folder: str = "example
     found = found.select(decoded(F.col("content"))[0].alias("text"), _plain(F.col("path")).alias("_path"))
     # the list of names is what the caller typed; a path ends in its name, after the folder
     ends = F.concat(F.lit("/"), F.regexp_replace("name", "^/+", ""))
-    return found.join(F.broadcast(wanted), F.col("_path").endswith(ends)).withColumn("_n", F.length("name")).select("nth", "name", "text").orderBy("nth")
+    return found.join(
+        F.broadcast(wanted), F.col("_path").endswith(ends)
+    ).withColumn("_n", F.length("name")).select("nth", "name", "text").orderBy("nth")
 
 
 def markdown_strings(spark: SparkSession, rows: list[tuple[str, str, str | None, str | None]]) -> DataFrame:

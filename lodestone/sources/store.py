@@ -29,20 +29,32 @@ BUCKETS = 8
 def keep_first(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
     """Insert or ignore: the row that was there, or came first, stays."""
     order = F.col(seq) if seq else F.monotonically_increasing_id()
-    rows = old.withColumns({"_new": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(new.withColumns({"_new": F.lit(1), "_seq": order.cast("long")}).select(*old.columns, "_new", "_seq"))
+    rows = old.withColumns({"_new": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(
+        new.withColumns({"_new": F.lit(1), "_seq": order.cast("long")}).select(*old.columns, "_new", "_seq")
+    )
     return graph.latest(rows, keys, [F.asc("_new"), F.asc("_seq")]).select(*old.columns)
 
 
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
     """Insert or replace: the row that came last stays."""
     order = F.col(seq) if seq else F.monotonically_increasing_id()
-    rows = old.withColumns({"_new": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(new.withColumns({"_new": F.lit(1), "_seq": order.cast("long")}).select(*old.columns, "_new", "_seq"))
+    rows = old.withColumns({"_new": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(
+        new.withColumns({"_new": F.lit(1), "_seq": order.cast("long")}).select(*old.columns, "_new", "_seq")
+    )
     return graph.latest(rows, keys, [F.desc("_new"), F.desc("_seq")]).select(*old.columns)
 
 
 def without_repo(tables: dict[str, DataFrame], repo: str) -> dict[str, DataFrame]:
     """All tables without a repository: its rows, edges and references that touch it, its embeddings."""
-    away = {"nodes": ["repo"], "edges": ["source_repo", "target_repo"], "chunks": ["repo"], "embeddings": ["repo"], "repositories": ["id"], "cross_references": ["from_repo", "to_repo"], "files": ["repo"]}
+    away = {
+        "nodes": ["repo"],
+        "edges": ["source_repo", "target_repo"],
+        "chunks": ["repo"],
+        "embeddings": ["repo"],
+        "repositories": ["id"],
+        "cross_references": ["from_repo", "to_repo"],
+        "files": ["repo"],
+    }
     out = dict(tables)
     for name, columns in away.items():
         if name in tables:
@@ -53,18 +65,35 @@ def without_repo(tables: dict[str, DataFrame], repo: str) -> dict[str, DataFrame
 
 def status_counts(tables: dict[str, DataFrame], repo: str | None = None) -> DataFrame:
     """Nodes, edges, chunks and embeddings of each repository, and whether any are there."""
-    parts = [tables["nodes"].select("repo", F.lit("nodes").alias("what")), tables["chunks"].select("repo", F.lit("chunks").alias("what")), tables["edges"].select(F.col("source_repo").alias("repo"), F.lit("edges").alias("what"))]
+    parts = [
+        tables["nodes"].select("repo", F.lit("nodes").alias("what")),
+        tables["chunks"].select("repo", F.lit("chunks").alias("what")),
+        tables["edges"].select(F.col("source_repo").alias("repo"), F.lit("edges").alias("what")),
+    ]
     if "embeddings" in tables:
         parts.append(tables["embeddings"].select("repo", F.lit("embeddings").alias("what")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
     rows = rows if repo is None else rows.where(F.col("repo") == repo)
-    return rows.groupBy("repo").agg(*[F.count(F.when(F.col("what") == w, 1)).alias(w) for w in ("nodes", "edges", "chunks", "embeddings")]).withColumn("status", F.when(F.col("nodes") + F.col("edges") + F.col("chunks") + F.col("embeddings") > 0, "completed").otherwise("pending"))
+    return rows.groupBy("repo").agg(
+        *[F.count(F.when(F.col("what") == w, 1)).alias(w) for w in ("nodes", "edges", "chunks", "embeddings")]
+    ).withColumn(
+        "status",
+        F.when(
+            F.col("nodes") + F.col("edges") + F.col("chunks") + F.col("embeddings") > 0, "completed"
+        ).otherwise("pending"),
+    )
 
 
 class Migration:
-    def __init__(self, version: int, name: str, up: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], down: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]):
+    def __init__(
+        self,
+        version: int,
+        name: str,
+        up: Callable[[dict[str, DataFrame]], dict[str, DataFrame]],
+        down: Callable[[dict[str, DataFrame]], dict[str, DataFrame]],
+    ):
         self.version, self.name, self.up, self.down = version, name, up, down
 
 
@@ -82,7 +111,16 @@ def _multi_repo_up(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             out["repositories"] = spark.createDataFrame([], schemas.TABLES["repositories"])
         if "cross_references" not in out:
             out["cross_references"] = spark.createDataFrame([], schemas.TABLES["cross_references"])
-        default = spark.createDataFrame([("default", "default")], "id string, name string").select("id", "name", F.current_timestamp().alias("indexed_at"), *[F.lit(None).cast("string").alias(c) for c in ("version", "branch", "commit_hash", "metadata", "embedding_model")])
+        default = spark.createDataFrame([("default", "default")], "id string, name string").select(
+            "id",
+            "name",
+            F.current_timestamp().alias("indexed_at"),
+            *[
+                F.lit(None).cast("string").alias(c) for c in (
+                    "version", "branch", "commit_hash", "metadata", "embedding_model"
+                )
+            ],
+        )
         out["repositories"] = keep_first(out["repositories"], default, ["id"])
     return out
 
@@ -110,7 +148,9 @@ class Change:
 class Store:
     """Tables in a folder that Spark reaches. `buckets` holds for tables that aren't there yet."""
 
-    def __init__(self, spark: SparkSession, path: str, migrations: list[Migration] | None = None, buckets: int = BUCKETS):
+    def __init__(
+        self, spark: SparkSession, path: str, migrations: list[Migration] | None = None, buckets: int = BUCKETS
+    ):
         if not path:
             raise errors.StoreConnectionError("a store needs a path", context={"path": path})
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -125,7 +165,11 @@ class Store:
         folder = self._at(f"{self.path}/_manifest")
         if not self._fs.exists(folder):
             return []
-        return sorted(int(s.getPath().getName()[1:9]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v"))
+        return sorted(
+            int(
+                s.getPath().getName()[1:9]
+            ) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v")
+        )
 
     def _read(self, number: int) -> dict:
         stream = self._fs.open(self._at(f"{self.path}/_manifest/v{number:08d}.json"))
@@ -154,11 +198,15 @@ class Store:
             old = before.get(name, {"buckets": self.buckets, "parts": {}, "stats": {}})
             kept = {} if c.whole else {b: p for b, p in old["parts"].items() if b not in c.touched}
             stats = {} if c.whole else {b: s for b, s in old.get("stats", {}).items() if b not in c.touched}
-            after[name] = {"schema": c.schema, "buckets": old["buckets"], "parts": kept | c.parts, "stats": stats | c.stats}
+            after[name] = {
+                "schema": c.schema, "buckets": old["buckets"], "parts": kept | c.parts, "stats": stats | c.stats
+            }
         try:
             out = self._fs.create(self._at(f"{self.path}/_manifest/v{number + 1:08d}.json"), False)
         except Exception as e:
-            raise errors.StoreConnectionError("another writer has changed the store meanwhile", context={"path": self.path}) from e
+            raise errors.StoreConnectionError(
+                "another writer has changed the store meanwhile", context={"path": self.path}
+            ) from e
         out.write(bytearray(json.dumps(after).encode()))
         out.close()
         for n in self._numbers():
@@ -216,7 +264,9 @@ class Store:
             chunks = self.spark.read.schema(T.StructType.fromJson(json.loads(change.schema))).parquet(*paths)
             out.parts = self._lay("postings", search.stemmed(search.postings(chunks)), n, ["term"])
             length = F.size(text.tokens("content")).cast("long")
-            counts = chunks.groupBy(self._bucket("chunks", n)).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0)))
+            counts = chunks.groupBy(self._bucket("chunks", n)).agg(
+                F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))
+            )
             out.stats = {b: [c, t] for b, c, t in counts.collect()}
         return out
 
@@ -245,7 +295,9 @@ class Store:
     def drop(self, name: str) -> None:
         self.write_all({}, [name])
 
-    def _merged(self, manifest: dict, name: str, rows: DataFrame, gone: DataFrame | None, seq: str | None, rule: str | None) -> Change:
+    def _merged(
+        self, manifest: dict, name: str, rows: DataFrame, gone: DataFrame | None, seq: str | None, rule: str | None
+    ) -> Change:
         n = manifest.get(name, {}).get("buckets", self.buckets)
         keys, which = schemas.KEYS[name]
         empty = self._parts(manifest, name, set())
@@ -267,7 +319,13 @@ class Store:
             self._fs.delete(self._at(paths[0].rpartition("/")[0]), True)
         return Change(empty.schema.json(), parts, touched)
 
-    def put_all(self, tables: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None, seq: str | None = None, rule: str | None = None) -> None:
+    def put_all(
+        self,
+        tables: dict[str, DataFrame],
+        gone: dict[str, DataFrame] | None = None,
+        seq: str | None = None,
+        rule: str | None = None,
+    ) -> None:
         """Delete the rows with the keys in `gone`, then write rows under each table's rule for equal keys, in one manifest.
 
         The rule: the first of nodes stays, the last of all else; `rule` may say otherwise.
@@ -304,7 +362,9 @@ class Store:
     def posting_stats(self) -> DataFrame:
         """One row: number of chunks and their terms."""
         stats = self._manifest()[1].get("postings", {}).get("stats", {}).values()
-        return self.spark.createDataFrame([(sum(s[0] for s in stats), sum(s[1] for s in stats))], "n_chunks long, n_terms long")
+        return self.spark.createDataFrame(
+            [(sum(s[0] for s in stats), sum(s[1] for s in stats))], "n_chunks long, n_terms long"
+        )
 
     def trigrams(self) -> DataFrame:
         """chunk_id, position and trigram, derived."""
@@ -336,7 +396,9 @@ class Store:
         both = now.join(known, ["repo", "path"], "left" if repo is None else "full")
         there = F.coalesce("n_chunks", F.when(F.col("error").isNotNull(), F.col("_had")), F.lit(0))
         # beyond the chunks that a file has now, those it had
-        lost = both.where(F.col("_had") > there).select("repo", "path", F.explode(F.sequence(there, F.col("_had") - 1)).alias("i"))
+        lost = both.where(F.col("_had") > there).select(
+            "repo", "path", F.explode(F.sequence(there, F.col("_had") - 1)).alias("i")
+        )
         gone = lost.select(schemas.code_chunk_id(F.col("repo"), F.col("path"), F.col("i") * step).alias("chunk_id"))
         rows = now.join(known, ["repo", "path"], "left")
         rows = rows.select("repo", "path", F.coalesce("n_chunks", "_had", F.lit(0)).alias("n_chunks"), "error")
@@ -355,10 +417,15 @@ class Store:
     def register(self, repo: str, name: str | None = None, **about: str | None) -> str:
         """Insert a repository, or update all but its id and time of indexing."""
         columns = ["version", "branch", "commit_hash", "metadata", "embedding_model"]
-        new = self.spark.createDataFrame([(repo, name or repo, *[about.get(c) for c in columns])], ", ".join(f"{c} string" for c in ["id", "name", *columns]))
+        new = self.spark.createDataFrame(
+            [(repo, name or repo, *[about.get(c) for c in columns])],
+            ", ".join(f"{c} string" for c in ["id", "name", *columns]),
+        )
         old = self.table("repositories")
         known = old.select("id", F.col("indexed_at").alias("_at"))
-        row = new.join(known, "id", "left").withColumn("indexed_at", F.coalesce("_at", F.current_timestamp())).select(*old.columns)
+        row = new.join(known, "id", "left").withColumn(
+            "indexed_at", F.coalesce("_at", F.current_timestamp())
+        ).select(*old.columns)
         self.write("repositories", keep_last(old, row, ["id"]))
         return repo
 
@@ -372,7 +439,9 @@ class Store:
     def status(self, repo: str) -> dict:
         tables = {n: self.table(n) for n in ("nodes", "edges", "chunks", "embeddings")}
         found = status_counts(tables, repo).collect()
-        return found[0].asDict() if found else {"repo": repo, "nodes": 0, "edges": 0, "chunks": 0, "embeddings": 0, "status": "pending"}
+        return found[0].asDict() if found else {
+            "repo": repo, "nodes": 0, "edges": 0, "chunks": 0, "embeddings": 0, "status": "pending"
+        }
 
     def is_indexed(self, repo: str) -> bool:
         return self.status(repo)["status"] == "completed"
@@ -396,7 +465,15 @@ class Store:
 
     def clear(self, everything: bool = False) -> None:
         """Empty nodes, edges, chunks and files; with `everything`, also embeddings, repositories and references."""
-        names = [n for n in ("nodes", "edges", "chunks", "files", *(("embeddings", "repositories", "cross_references") if everything else ())) if self.has(n)]
+        names = [
+            n for n in (
+                "nodes",
+                "edges",
+                "chunks",
+                "files",
+                *(("embeddings", "repositories", "cross_references") if everything else ()),
+            ) if self.has(n)
+        ]
         self.write_all({n: self.spark.createDataFrame([], schemas.TABLES[n]) for n in names})
 
     # migrations
@@ -408,7 +485,9 @@ class Store:
         return self.table("schema_version").orderBy("version")
 
     def _apply(self, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> None:
-        before = {n: t for n, t in self.tables().items() if n != "schema_version"} or {n: self.table(n) for n in ("nodes", "edges", "chunks")}
+        before = {
+            n: t for n, t in self.tables().items() if n != "schema_version"
+        } or {n: self.table(n) for n in ("nodes", "edges", "chunks")}
         after = change(before)
         self.write_all(after, [n for n in before if n not in after])
 
@@ -420,8 +499,12 @@ class Store:
                 try:
                     self._apply(m.up)
                 except Exception as e:
-                    raise errors.StoreSchemaError(f"migration {m.version} ({m.name}) failed", context={"version": m.version}) from e
-                row = self.spark.createDataFrame([(m.version, m.name)], "version int, name string").withColumn("applied_at", F.current_timestamp())
+                    raise errors.StoreSchemaError(
+                        f"migration {m.version} ({m.name}) failed", context={"version": m.version}
+                    ) from e
+                row = self.spark.createDataFrame(
+                    [(m.version, m.name)], "version int, name string"
+                ).withColumn("applied_at", F.current_timestamp())
                 self.write("schema_version", keep_last(self.table("schema_version"), row, ["version"]))
                 done.append(m.version)
         return done

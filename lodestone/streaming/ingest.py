@@ -11,14 +11,25 @@ from ..sources.store import Store
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def file_stream(spark: SparkSession, folder: str, repo: str, *, files_per_batch: int = 1000, extensions: tuple[str, ...] | None = None) -> DataFrame:
+def file_stream(
+    spark: SparkSession,
+    folder: str,
+    repo: str,
+    *,
+    files_per_batch: int = 1000,
+    extensions: tuple[str, ...] | None = None,
+) -> DataFrame:
     """repo, path (below the folder), text and error of files as they appear in a folder and in those below it."""
-    found = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    found = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True).option(
+        "maxFilesPerTrigger", files_per_batch
+    ).load(folder)
     path = file_sources.below(F.col("path"), folder)
     text, error = file_sources.decoded(F.col("content"))
     if extensions:
         found = found.where(file_sources.kept_path(path, extensions, file_sources.PRUNED))
-    return found.select(F.lit(repo).alias("repo"), path.alias("path"), text.alias("text"), error.alias("error"), "modificationTime")
+    return found.select(
+        F.lit(repo).alias("repo"), path.alias("path"), text.alias("text"), error.alias("error"), "modificationTime"
+    )
 
 
 def ingest(files: DataFrame, store: Store, checkpoint: str, *, once: bool = False):

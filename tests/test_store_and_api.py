@@ -17,8 +17,15 @@ def store(spark, tmp_path):
 
 
 def test_writes_follow_each_table_rule(spark, store):
-    store.put("nodes", spark.createDataFrame([("a", "r", "1"), ("a", "r", "2")], "id string, repo string, properties string").coalesce(1))
-    store.put("nodes", spark.createDataFrame([("a", "r", "3"), ("b", "r", "4")], "id string, repo string, properties string"))
+    store.put(
+        "nodes",
+        spark.createDataFrame(
+            [("a", "r", "1"), ("a", "r", "2")], "id string, repo string, properties string"
+        ).coalesce(1),
+    )
+    store.put(
+        "nodes", spark.createDataFrame([("a", "r", "3"), ("b", "r", "4")], "id string, repo string, properties string")
+    )
     assert {(r["id"], r["properties"]) for r in store.nodes().collect()} == {("a", "1"), ("b", "4")}
     edge = "source string, target string, relationship string, weight double, source_repo string, target_repo string"
     store.put("edges", spark.createDataFrame([("a", "b", "x", 0.1, "r", "r")], edge))
@@ -103,7 +110,9 @@ def test_memo_and_stream(spark, store, tmp_path):
     folder.mkdir()
     (folder / "a.txt").write_text("b" * 700)
     for _ in range(2):
-        stream.ingest(stream.file_stream(spark, f"file://{folder}", "r"), store, f"file://{tmp_path}/cp", once=True).awaitTermination()
+        stream.ingest(
+            stream.file_stream(spark, f"file://{folder}", "r"), store, f"file://{tmp_path}/cp", once=True
+        ).awaitTermination()
     assert store.chunks().count() == 2
 
 
@@ -115,11 +124,18 @@ def test_stream_keeps_folders_apart_and_drops_what_a_file_has_lost(spark, store,
     (folder / "bad.txt").write_bytes(b"\xff\xfe\x00")
     run = lambda: stream.ingest(stream.file_stream(spark, f"file://{folder}", "r"), store, f"file://{tmp_path}/cp", once=True).awaitTermination()
     run()
-    assert store.chunks().count() == 6 and [(r["path"], r["error"]) for r in store.failed_files().collect()] == [("bad.txt", "not valid UTF-8")]
+    assert store.chunks().count() == 6 and [
+        (r["path"], r["error"]) for r in store.failed_files().collect()
+    ] == [("bad.txt", "not valid UTF-8")]
     (folder / "a" / "f2.txt").write_text("c")
     run()
-    assert {(r["path"], r["n_chunks"]) for r in store.table("files").collect()} == {("a/f.txt", 3), ("b/f.txt", 3), ("a/f2.txt", 1), ("bad.txt", 0)}
-    short = spark.createDataFrame([("r", "a/f.txt", "x" * 10, None), ("r", "b/f.txt", None, "gone bad")], "repo string, path string, text string, error string")
+    assert {
+        (r["path"], r["n_chunks"]) for r in store.table("files").collect()
+    } == {("a/f.txt", 3), ("b/f.txt", 3), ("a/f2.txt", 1), ("bad.txt", 0)}
+    short = spark.createDataFrame(
+        [("r", "a/f.txt", "x" * 10, None), ("r", "b/f.txt", None, "gone bad")],
+        "repo string, path string, text string, error string",
+    )
     store.put_files(short)
     assert store.chunks().count() == 5 and store.table("files").where("path = 'b/f.txt'").first()["n_chunks"] == 3
     assert store.postings().select("chunk_id").distinct().count() == store.posting_stats().first()["n_chunks"] == 5
@@ -135,7 +151,9 @@ def test_update_forgets_shrunk_and_removed_files(spark, store, tmp_path):
     (tmp_path / "repo/c.ts").write_bytes(b"a\xff")
     (tmp_path / "repo/d.ts").write_text("new")
     result = ingest.update_repository(store, "r", f"file://{tmp_path}/repo")
-    assert sorted(r["content"] for r in store.chunks().collect()) == ["new", "word"] and result.errors == ["c.ts: not valid UTF-8"]
+    assert sorted(
+        r["content"] for r in store.chunks().collect()
+    ) == ["new", "word"] and result.errors == ["c.ts: not valid UTF-8"]
     assert {r["path"] for r in store.table("files").collect()} == {"a.ts", "c.ts", "d.ts"}
 
 
@@ -185,14 +203,23 @@ def test_failures_of_plug_ins_cost_what_they_touch(spark, store):
             raise RuntimeError("429")
         return SAID
 
-    store.put("nodes", spark.createDataFrame([("good", "docs", "{}"), ("bad", "docs", "{}")], "id string, repo string, properties string"))
+    store.put(
+        "nodes",
+        spark.createDataFrame(
+            [("good", "docs", "{}"), ("bad", "docs", "{}")], "id string, repo string, properties string"
+        ),
+    )
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
         result = ingest.index_markdown(store, "docs", "# T\n\n" + "good words " * 200 + "\n\n# U\n\n" + "bad words " * 200, model=model, provider=Broken())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert result.nodes == 4 and result.errors[0] == "extraction: RuntimeError: 429" and result.errors[1].startswith("embeddings: 1 rows")
-    assert {r["entity_id"] for r in store.table("embeddings").where("chunk_type = 'entity'").collect()} == {"good", "auth", "user"}
+    assert result.nodes == 4 and result.errors[0] == "extraction: RuntimeError: 429" and result.errors[1].startswith(
+        "embeddings: 1 rows"
+    )
+    assert {
+        r["entity_id"] for r in store.table("embeddings").where("chunk_type = 'entity'").collect()
+    } == {"good", "auth", "user"}
 
 
 def test_any_failure_of_the_model_leaves_the_heuristic():
@@ -202,7 +229,9 @@ def test_any_failure_of_the_model_leaves_the_heuristic():
         raise RuntimeError("429")
 
     assert analysis.analyze("what uses x", model=broken).query_type == "relationship"
-    assert analysis.analyze("what uses x", model=lambda s, p: '{"query_type": "odd", "weights": {}}').query_type == "relationship"
+    assert analysis.analyze(
+        "what uses x", model=lambda s, p: '{"query_type": "odd", "weights": {}}'
+    ).query_type == "relationship"
 
 
 def test_attendant_choice():
@@ -211,7 +240,9 @@ def test_attendant_choice():
     assert api.select_attendant("how do I x", [], 10, config, True) == api.ESCALATED
     assert api.select_attendant("x", list("abcd"), 10, config, True) == api.ESCALATED
     assert api.select_attendant("x", list("abcd"), 9999, config, False) == api.LOCAL
-    assert api.select_attendant("x", [], 0, api.Config(auto_escalate=False, default_attendant=api.NONE), True) == api.NONE
+    assert api.select_attendant(
+        "x", [], 0, api.Config(auto_escalate=False, default_attendant=api.NONE), True
+    ) == api.NONE
 
 
 def test_errors():
@@ -228,7 +259,9 @@ def test_tags_are_stripped(spark):
 
 
 def test_totals_are_counted_before_heads_are_cut():
-    found = api.Combined(graph=[{"id": f"n{i}", "repo": "r", "properties": "{}"} for i in range(50)], totals={"graph": 1234})
+    found = api.Combined(
+        graph=[{"id": f"n{i}", "repo": "r", "properties": "{}"} for i in range(50)], totals={"graph": 1234}
+    )
     assert "## Entities: 1234, the first 10" in api.render_raw("q", found) and "## Entities: 1234, the first 10" in api.Attendant().sections(found)[1]
     assert "Nothing found" in api.render_raw("q", api.Combined())
 
@@ -237,11 +270,18 @@ def test_engine_counts_and_uses_the_index(spark, store):
     kind = "id string, repo string, properties string"
     store.put("nodes", spark.createDataFrame([(f"node{i:03d}", "r", "{}") for i in range(120)], kind))
     chunk = "chunk_id string, repo string, entity_id string, chunk_type string, content string, metadata string"
-    store.put("chunks", spark.createDataFrame([(f"c{i}", "r", None, "code", f"word{i % 7} running things", None) for i in range(40)], chunk))
+    store.put(
+        "chunks",
+        spark.createDataFrame(
+            [(f"c{i}", "r", None, "code", f"word{i % 7} running things", None) for i in range(40)], chunk
+        ),
+    )
     engine = api.Engine(store)
     assert "## Entities: 120, the first 10" in engine.query_dependency("node", aspect="usage")
     assert engine.tables.index is not None and engine.tables.stats.first()["n_chunks"] == 40
-    got = engine.search.search("word3 runs", force_weights={"dense": 0.0, "sparse": 1.0, "pattern": 0.0, "graph": 0.0}).results
+    got = engine.search.search(
+        "word3 runs", force_weights={"dense": 0.0, "sparse": 1.0, "pattern": 0.0, "graph": 0.0}
+    ).results
     assert {r["content"] for r in got.collect()} == {"word3 running things"}
 
 

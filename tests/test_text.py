@@ -10,7 +10,9 @@ from lodestone.functions import porter, text, vectors
 
 def one(spark, column, *values):
     names = [f"c{i}" for i in range(len(values))]
-    return spark.createDataFrame([values], ", ".join(f"{n} string" for n in names)).select(column(*map(F.col, names)).alias("x")).first()["x"]
+    return spark.createDataFrame(
+        [values], ", ".join(f"{n} string" for n in names)
+    ).select(column(*map(F.col, names)).alias("x")).first()["x"]
 
 
 def test_trigrams(spark):
@@ -26,7 +28,14 @@ def test_distance_and_similarity(spark):
     assert one(spark, text.fuzzy_match, "The Server", "server") is True
 
 
-@pytest.mark.parametrize(("given_text", "want"), [("use HTTPServer2 and my_name", {"HTTPServer2", "my_name"}), ("a-b-c MAX_TOKENS @ai-sdk/openai", {"a-b-c", "MAX_TOKENS"}), ("nothing here", set())])
+@pytest.mark.parametrize(
+    ("given_text", "want"),
+    [
+        ("use HTTPServer2 and my_name", {"HTTPServer2", "my_name"}),
+        ("a-b-c MAX_TOKENS @ai-sdk/openai", {"a-b-c", "MAX_TOKENS"}),
+        ("nothing here", set()),
+    ],
+)
 def test_identifiers(spark, given_text, want):
     assert want <= set(one(spark, text.identifiers, given_text))
 
@@ -54,7 +63,9 @@ def test_window_distance_against_a_loop(spark):
 
         @functools.cache
         def d(a, b):
-            return len(a) + len(b) if not a or not b else min(d(a[1:], b) + 1, d(a, b[1:]) + 1, d(a[1:], b[1:]) + (a[0] != b[0]))
+            return len(a) + len(b) if not a or not b else min(
+                d(a[1:], b) + 1, d(a, b[1:]) + 1, d(a[1:], b[1:]) + (a[0] != b[0])
+            )
 
         return min((d(t.lower()[i : i + len(p)], p.lower()) for i in range(len(t) - len(p) + 1)), default=None)
 
@@ -63,7 +74,26 @@ def test_window_distance_against_a_loop(spark):
 
 
 # Words and stems of the published algorithm's examples.
-STEMS = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "controll": "control", "sky": "sky"}
+STEMS = {
+    "caresses": "caress",
+    "ponies": "poni",
+    "cats": "cat",
+    "agreed": "agre",
+    "plastered": "plaster",
+    "motoring": "motor",
+    "hopping": "hop",
+    "filing": "file",
+    "happy": "happi",
+    "relational": "relat",
+    "vietnamization": "vietnam",
+    "triplicate": "triplic",
+    "hopefulness": "hope",
+    "adjustment": "adjust",
+    "adoption": "adopt",
+    "probate": "probat",
+    "controll": "control",
+    "sky": "sky",
+}
 
 
 @pytest.mark.parametrize(("word", "stem"), STEMS.items())
@@ -79,5 +109,7 @@ def test_stems_are_short_and_lower(word):
 
 
 def test_cosine(spark):
-    rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 0.0]), ([1.0], [1.0, 0.0])], "a array<float>, b array<float>")
+    rows = spark.createDataFrame(
+        [([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 0.0]), ([1.0], [1.0, 0.0])], "a array<float>, b array<float>"
+    )
     assert [r[0] for r in rows.select(vectors.cosine("a", "b")).collect()] == [1.0, None, None]
