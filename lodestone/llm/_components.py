@@ -10,7 +10,14 @@ from . import _shared
 
 def _hangs(edges: DataFrame) -> bool:
     """Whether every node hangs on one root already: no node has two, and no root hangs on another."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("x"))
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("u").alias("node"), F.lit(1).alias("below")),
+                F.struct(F.col("v").alias("node"), F.lit(0).alias("below")),
+            )
+        ).alias("x")
+    )
     found = ends.groupBy("x.node").agg(F.sum("x.below").alias("below"), F.min("x.below").alias("least"))
     return found.where("below > 1 OR (below = 1 AND least = 0)").isEmpty()
 

@@ -29,8 +29,15 @@ def boundaries(rows: DataFrame, targets: list[int], tolerance: int, lower: bool
         for i, s in enumerate(todo):
             inside = (F.col("key") >= s[0]) & (F.col("key") < s[1])
             place = F.when(inside, F.lit(i)).otherwise(place)
-            cell = F.when(inside, F.floor((F.col("key") - F.lit(s[0])) / F.lit(1)) if step[s] == 1 else F.expr(f"(key - {s[0]}L) div {step[s]}L")).otherwise(cell)
-        counted = rows.select(place.alias("place"), cell.alias("cell"), "weight").where("place IS NOT NULL").groupBy("place", "cell").agg(F.sum("weight").alias("weight")).collect()
+            cell = F.when(
+                inside,
+                F.floor(
+                    (F.col("key") - F.lit(s[0])) / F.lit(1)
+                ) if step[s] == 1 else F.expr(f"(key - {s[0]}L) div {step[s]}L"),
+            ).otherwise(cell)
+        counted = rows.select(
+            place.alias("place"), cell.alias("cell"), "weight"
+        ).where("place IS NOT NULL").groupBy("place", "cell").agg(F.sum("weight").alias("weight")).collect()
         bins: dict[tuple[int, int, int], dict[int, int]] = {s: {} for s in todo}
         for r in counted:
             bins[todo[r["place"]]][int(r["cell"])] = int(r["weight"])

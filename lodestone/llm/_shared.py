@@ -31,7 +31,11 @@ def tune(spark: SparkSession) -> None:
 def small_plans(spark: SparkSession) -> Iterator[None]:
     """For many steps over tables of bounded size, whose results are written within the block: no code is generated for
     them and few partitions are made. The settings are put back at the end."""
-    wanted = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "4"}
+    wanted = {
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.sql.shuffle.partitions": "4",
+    }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -119,7 +123,9 @@ def n_partitions(spark: SparkSession) -> int:
 def spread_keys(spark: SparkSession, n: int) -> list[int]:
     """n keys of which each goes to another of n hash partitions."""
     place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("place")
-    found = spark.range(0, 40 * n + 1000, 1, 1).select("id", place).groupBy("place").agg(F.min("id").alias("key")).collect()
+    found = spark.range(0, 40 * n + 1000, 1, 1).select("id", place).groupBy("place").agg(
+        F.min("id").alias("key")
+    ).collect()
     return [int(r["key"]) for r in sorted(found)]
 
 
@@ -136,7 +142,9 @@ def text_or_empty(column: str = "text") -> Column:
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array without nulls, and n + 1 offsets into them."""
     wide = isinstance(texts, pa.LargeStringArray)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    offsets = np.frombuffer(
+        texts.buffers()[1], np.int64 if wide else np.int32
+    )[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     if not len(offsets):

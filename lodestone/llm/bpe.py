@@ -125,7 +125,11 @@ class _Parts:
             first, last = _spaces(run)
             text = b"" if first < 0 else run[first:last]
             inner.append(text.decode())
-            out.append((run, b"", b"", b"", True) if first < 0 else (run[:first], _first_words(text, 4 * CONTEXT), _last_words(text, 4 * CONTEXT), run[last:], False))
+            out.append(
+                (run, b"", b"", b"", True) if first < 0 else (
+                    run[:first], _first_words(text, 4 * CONTEXT), _last_words(text, 4 * CONTEXT), run[last:], False
+                )
+            )
         return [(h, a, ids, b, t, s) for (h, a, b, t, s), ids in zip(out, self.coder.encode(inner), strict=True)]
 
     def join(self, documents: list[list[tuple]]) -> list[bytes]:
@@ -151,16 +155,22 @@ class _Parts:
     def _agree(self, texts: list[str], repaired: list[bytes], around: list[tuple[bytes, bytes]]) -> None:
         todo, least = list(range(len(texts))), CONTEXT
         while todo:
-            sides = [(_last_words(around[i][0], least).decode(), _first_words(around[i][1], least).decode()) for i in todo]
+            sides = [
+                (_last_words(around[i][0], least).decode(), _first_words(around[i][1], least).decode()) for i in todo
+            ]
             whole = self.coder.own([a + texts[i] + b for i, (a, b) in zip(todo, sides, strict=True)])
             known = self.coder.encode([x for side in sides for x in side])
-            todo = [i for i, x, a, b in zip(todo, whole, known[::2], known[1::2], strict=True) if x != a + repaired[i] + b]
+            todo = [
+                i for i, x, a, b in zip(todo, whole, known[::2], known[1::2], strict=True) if x != a + repaired[i] + b
+            ]
             if todo and least >= 4 * CONTEXT:
                 raise ValueError("this vocabulary merges across spaces, so chunks can't be joined")
             least *= 2
 
     def digest(self, ids: bytes) -> tuple[int, str, str]:
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.coder.decode(ids).encode()).hexdigest()
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(
+            self.coder.decode(ids).encode()
+        ).hexdigest()
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +189,9 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slices(table: dict[int, np.ndarray]) -> pa.RecordBatch:
     bits = [zlib.compress(x.tobytes(), 1) for x in table.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(table), pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(table), pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"]
+    )
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,15 +205,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(texts: DataFrame) -> np.ndarray:
     """The bit table of chunks that all documents together hold twice or more."""
-    many = texts.mapInArrow(_hashes, "chunk long, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1").select("chunk")
-    found = many.mapInArrow(_marks, "slice int, bits binary").repartition("slice").mapInArrow(_merge, "slice int, bits binary").collect()
+    many = texts.mapInArrow(
+        _hashes, "chunk long, n long"
+    ).groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1").select("chunk")
+    found = many.mapInArrow(
+        _marks, "slice int, bits binary"
+    ).repartition("slice").mapInArrow(_merge, "slice int, bits binary").collect()
     bits = np.zeros((1 << (TABLE_BITS - _SLICE_BITS), 1 << (_SLICE_BITS - 3)), np.uint8)
     for s, x in found:
         bits[s] = np.frombuffer(zlib.decompress(x), np.uint8)
     return bits.reshape(-1)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = True
+) -> DataFrame:
     """docs (or its columns in `carry`) with n_tokens, the SHA-256 of ids and of decoded text, and the ids themselves.
 
     The ids are little-endian unsigned 32-bit numbers.
@@ -214,7 +232,11 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: l
     bits = context.broadcast(repeated(texts))
     results = [*RESULTS, "ids"] if with_ids else RESULTS
     own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in (*RESULTS, "ids")]
-    rows = docs.select(F.struct(*own).alias("_row"), F.monotonically_increasing_id().alias("_place"), _shared.text_or_empty(text_col).alias("_text"))
+    rows = docs.select(
+        F.struct(*own).alias("_row"),
+        F.monotonically_increasing_id().alias("_place"),
+        _shared.text_or_empty(text_col).alias("_text"),
+    )
     row_type = rows.schema["_row"].dataType
 
     def cut(texts: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]], list[bool]]]:
@@ -229,11 +251,16 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: l
                 base, stop = int(offsets[d]), int(offsets[d + 1])
                 ends = [*start[a + 1 : b].tolist(), stop] if b > a else []
                 parts = zip(start[a:b].tolist(), ends, value[a:b].view(np.int64).tolist(), strict=True)
-                yield first + d, data[base:stop].tobytes(), [(x - base, y - base, h) for x, y, h in parts], marked[a:b].astype(bool).tolist()
+                yield first + d, data[base:stop].tobytes(), [
+                    (x - base, y - base, h) for x, y, h in parts
+                ], marked[a:b].astype(bool).tolist()
 
     def done(parts: _Parts, ids: list[bytes]) -> list[pa.Array]:
         columns = [list(x) for x in zip(*map(parts.digest, ids), strict=True)] or [[]] * 3
-        return [*(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)), *([pa.array(ids, pa.binary())] if with_ids else [])]
+        return [
+            *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)),
+            *([pa.array(ids, pa.binary())] if with_ids else []),
+        ]
 
     part_columns = [f"_p_{k}" for k, _ in _PART]
 
@@ -304,15 +331,24 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: l
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts(json.value)
         for batch in batches:
-            columns = [list(x) for x in zip(*parts.encode(batch.column(1).to_pylist()), strict=True)] or [[]] * len(_PART)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, _PART_ARROW, strict=True))], ["_chunk", *part_columns])
+            columns = [
+                list(x) for x in zip(*parts.encode(batch.column(1).to_pylist()), strict=True)
+            ] or [[]] * len(_PART)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, t) for x, t in zip(columns, _PART_ARROW, strict=True))],
+                ["_chunk", *part_columns],
+            )
 
     chunk_schema = T.StructType().add("_chunk", "long")
     for k, t in _PART:
         chunk_schema = chunk_schema.add(f"_p_{k}", t)
-    once = split_rows.where("_kind = 2").select("_chunk", "_data").dropDuplicates(["_chunk"]).mapInArrow(encoded, chunk_schema)
+    once = split_rows.where("_kind = 2").select("_chunk", "_data").dropDuplicates(["_chunk"]).mapInArrow(
+        encoded, chunk_schema
+    )
     pieces = split_rows.where("_kind = 1")
-    shared = pieces.where("_chunk IS NOT NULL").select("_row", "_place", "_nth", "_chunk").join(once, "_chunk").drop("_chunk")
+    shared = pieces.where("_chunk IS NOT NULL").select(
+        "_row", "_place", "_nth", "_chunk"
+    ).join(once, "_chunk").drop("_chunk")
     whole = pieces.where("_chunk IS NULL").select("_row", "_place", "_nth", *part_columns).unionByName(shared)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +369,9 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: l
             row = batch.column(0).take(pa.array(ready, pa.int64()))
             yield pa.RecordBatch.from_arrays([row, *done(parts, parts.join(documents))], [f.name for f in out])
 
-    together = whole.repartition(_shared.n_partitions(spark), "_place").sortWithinPartitions("_place", "_nth").select("_row", "_place", "_nth", *part_columns)
+    together = whole.repartition(_shared.n_partitions(spark), "_place").sortWithinPartitions("_place", "_nth").select(
+        "_row", "_place", "_nth", *part_columns
+    )
     names = [F.col(f"_{c}").alias(c) for c in results]
     simple = split_rows.where("_kind = 0").select("_row", *[f"_{c}" for c in results])
     return simple.union(together.mapInArrow(assemble, out)).select("_row.*", *names)

@@ -51,10 +51,16 @@ def in_ranges(docs: DataFrame, n: int) -> DataFrame:
     id and then the text's hash; each bucket also holds, as a guest, the document that comes next after its last.
     """
     spark = docs.sparkSession
-    ordered = docs.withColumns({"_ord": F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("_text")})
+    ordered = docs.withColumns(
+        {"_ord": F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("_text")}
+    )
     ranges = min(n, RANGES)
     shares = [(k + 1) / ranges for k in range(ranges)]
-    found = ordered.agg(F.min("_ord").alias("least"), F.percentile_approx("_ord", shares, max(10_000, 20 * ranges)).alias("tops"), F.max("_ord").alias("most")).first()
+    found = ordered.agg(
+        F.min("_ord").alias("least"),
+        F.percentile_approx("_ord", shares, max(10_000, 20 * ranges)).alias("tops"),
+        F.max("_ord").alias("most"),
+    ).first()
     tops = [*(found["tops"] or [0])[:-1], found["most"] or 0]
     # an id that is the top of several ranges has many rows, which are told apart by their hash
     unique = sorted(set(tops))
@@ -74,7 +80,9 @@ def in_ranges(docs: DataFrame, n: int) -> DataFrame:
     more = -(-n // ranges)
     low = often + F.floor((top.cast("double") - F.col("_ord").cast("double")) / width * more)
     part = F.when(F.col("_ord") == top, F.floor(share * often)).otherwise(low)
-    ordered = ordered.withColumn("_bucket", (F.lit(len(unique)) - F.col("_at")) * F.lit(1 << 24).cast("long") + part).drop("_at")
+    ordered = ordered.withColumn(
+        "_bucket", (F.lit(len(unique)) - F.col("_at")) * F.lit(1 << 24).cast("long") + part
+    ).drop("_at")
 
     # a row for each bucket: its first document, which is the guest of the bucket before
     first = F.min(F.struct(F.bitwise_not("_ord").alias("neg"), F.col("_hash").alias("hash")))
@@ -82,7 +90,9 @@ def in_ranges(docs: DataFrame, n: int) -> DataFrame:
     each = heads.select("_bucket", F.bitwise_not("first.neg").alias("_ord"), F.col("first.hash").alias("_hash"))
     lead = Window.orderBy("_bucket")
     start = each.agg(F.min_by(F.struct("_ord", "_hash"), "_bucket").alias("start"))
-    guests = each.select(F.col("_bucket").alias("_to"), F.lead(F.struct("_ord", "_hash")).over(lead).alias("g")).crossJoin(F.broadcast(start))
+    guests = each.select(
+        F.col("_bucket").alias("_to"), F.lead(F.struct("_ord", "_hash")).over(lead).alias("g")
+    ).crossJoin(F.broadcast(start))
     guests = guests.withColumn("g", F.coalesce("g", "start")).select("_to", "g._ord", "g._hash")
     # bounded by the number of buckets; a bucket is some MB of texts
     visits = ordered.join(F.broadcast(guests), ["_ord", "_hash"]).dropDuplicates(["_to"])
@@ -91,7 +101,9 @@ def in_ranges(docs: DataFrame, n: int) -> DataFrame:
     return ordered.withColumn("_guest", F.lit(False)).unionByName(visits)
 
 
-def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
+def fingerprint(
+    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", samples: int = SAMPLES
+) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document.
 
     Texts move once, to their range of ids; words, samples and neighbours are worked out there. `samples` is a multiple
@@ -111,7 +123,9 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     n = F.length("_text")
     cut = F.floor(n / 3).cast("int")
     next_text = F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut)
-    rows = rows.withColumns({"n_chars": n.cast("long"), "_head": F.substring("_text", F.lit(1), n - cut), "_new": next_text})
+    rows = rows.withColumns(
+        {"n_chars": n.cast("long"), "_head": F.substring("_text", F.lit(1), n - cut), "_new": next_text}
+    )
     rows = rows.withColumn("edited_sha256", F.when(~F.col("_guest"), F.sha2(F.concat("_head", "_new"), 256)))
 
     doc = ["_bucket", "_nth", "_guest", "_id", "n_chars", "edited_sha256"]
@@ -124,7 +138,9 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     sides = [F.col("_shared"), F.concat(rest, tail), edited]
     listed = F.array(*[F.struct(F.lit(i).alias("side"), _words(t).alias("words")) for i, t in enumerate(sides)])
     sides = split.select("_bucket", "_nth", "_id", F.explode(listed).alias("_x"))
-    sides = sides.select("_bucket", "_nth", "_id", F.col("_x.side").alias("_side"), F.explode("_x.words").alias("_word"))
+    sides = sides.select(
+        "_bucket", "_nth", "_id", F.col("_x.side").alias("_side"), F.explode("_x.words").alias("_word")
+    )
     # with the id among the keys, both readers of the dealt texts need the same columns, and share one exchange;
     # the empty string is a term without weight, which keeps texts without words
     real = F.col("_word") != ""
@@ -139,9 +155,13 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     # a row for each term and AT_ONCE of its samples: the generated code stays small enough to be compiled
     firsts = F.explode(F.array(*[F.lit(j) for j in range(0, samples, AT_ONCE)])).alias("_first")
     each = each.select("*", firsts)
-    draws = [c.alias(f"_{k}{i}") for i in range(AT_ONCE) for k, c in zip("rcb", _draws(F.col("_first"), i), strict=True)]
+    draws = [
+        c.alias(f"_{k}{i}") for i in range(AT_ONCE) for k, c in zip("rcb", _draws(F.col("_first"), i), strict=True)
+    ]
     names = [f"_{k}{i}" for i in range(AT_ONCE) for k in "rcb"]
-    each = each.select("_bucket", "_first", "_users", *draws).select("_bucket", "_first", *names, F.explode("_users").alias("_u"))
+    each = each.select("_bucket", "_first", "_users", *draws).select(
+        "_bucket", "_first", *names, F.explode("_users").alias("_u")
+    )
 
     def value(i: int, s: int) -> Column:
         r, c, b = (F.col(f"_{k}{i}") for k in "rcb")
@@ -152,7 +172,9 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     )
 
     def symbol(column: str) -> Column:
-        return F.when(F.col(column).isNull(), F.lit(_NONE).cast("long")).otherwise(F.xxhash64(column).bitwiseAND(F.lit(0x7FFF)))
+        return F.when(
+            F.col(column).isNull(), F.lit(_NONE).cast("long")
+        ).otherwise(F.xxhash64(column).bitwiseAND(F.lit(0x7FFF)))
 
     def word(s: int, k: int) -> Column:
         out = F.lit(0).cast("long")
@@ -161,11 +183,15 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
         return out
 
     per_row = AT_ONCE // IN_WORD
-    words = least.select("_bucket", "_nth", "_first", *[word(s, k).alias(f"_p{s}_{k}") for s in (0, 1) for k in range(per_row)])
+    words = least.select(
+        "_bucket", "_nth", "_first", *[word(s, k).alias(f"_p{s}_{k}") for s in (0, 1) for k in range(per_row)]
+    )
     n_words = samples // IN_WORD
 
     def picked(s: int, w: int) -> Column:
-        return F.max(F.when(F.col("_first") == w // per_row * AT_ONCE, F.col(f"_p{s}_{w % per_row}"))).alias(f"_f{s}_{w}")
+        return F.max(
+            F.when(F.col("_first") == w // per_row * AT_ONCE, F.col(f"_p{s}_{w % per_row}"))
+        ).alias(f"_f{s}_{w}")
 
     prints = words.groupBy("_bucket", "_nth").agg(*[picked(s, w) for s in (0, 1) for w in range(n_words)])
     after = Window.partitionBy("_bucket").orderBy("_nth")

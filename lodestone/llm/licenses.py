@@ -24,7 +24,11 @@ from . import _shared
 # Sentences of public licences and notices, and the rules over them. Some sentences are in use in several
 # forms, which have one identifier.
 SENTENCES: dict[int, str | tuple[str, ...]] = {
-    1: ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "Released under the Apache License, Version 2.0"),
+    1: (
+        "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License 2.0",
+        "Released under the Apache License, Version 2.0",
+    ),
     2: "you may not use this file except in compliance with the License",
     3: "You may obtain a copy of the License at",
     4: (
@@ -32,8 +36,16 @@ SENTENCES: dict[int, str | tuple[str, ...]] = {
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS',
     ),
     5: "See the License for the specific language governing permissions and limitations under the License",
-    6: ('Licensed under the Apache License, Version 2.0 (the "License")', 'This file is licensed to you under the Apache License, Version 2.0 (the "License")'),
-    7: ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the MIT License"),
+    6: (
+        'Licensed under the Apache License, Version 2.0 (the "License")',
+        'This file is licensed to you under the Apache License, Version 2.0 (the "License")',
+    ),
+    7: (
+        "Released under the MIT License",
+        "Licensed under the MIT License",
+        "This project is licensed under the MIT License",
+        "Distributed under the MIT License",
+    ),
     9: (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -46,14 +58,27 @@ SENTENCES: dict[int, str | tuple[str, ...]] = {
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND',
     ),
-    12: ("This work is licensed under the GNU General Public License version 3", "Licensed under the GNU General Public License version 3", "Licensed under the GPL-3.0"),
+    12: (
+        "This work is licensed under the GNU General Public License version 3",
+        "Licensed under the GNU General Public License version 3",
+        "Licensed under the GPL-3.0",
+    ),
     13: "This program is free software",
     14: "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     15: "either version 2 of the License, or (at your option) any later version",
     16: "either version 3 of the License, or (at your option) any later version",
-    17: ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    18: ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    19: ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    17: (
+        "Licensed under CC BY-NC 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    ),
+    18: (
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    ),
+    19: (
+        "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    ),
     20: "All rights reserved",
     21: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     22: (
@@ -62,9 +87,16 @@ SENTENCES: dict[int, str | tuple[str, ...]] = {
     ),
     23: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     24: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    25: ("This Source Code Form is subject to the terms of the Mozilla Public License, v", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    25: (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
+    ),
     26: "This is free and unencumbered software released into the public domain",
-    27: ("This software is released under CC0 1.0", "Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    27: (
+        "This software is released under CC0 1.0",
+        "Released under CC0 1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
     28: "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     29: "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
     30: "This library is free software",
@@ -77,7 +109,10 @@ SENTENCES: dict[int, str | tuple[str, ...]] = {
     37: "This software is provided 'as-is', without any express or implied warranty",
     38: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     39: "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
-    40: ("Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    40: (
+        "Distributed under the Boost Software License, Version 1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+    ),
     41: "Apache License Version 2.0, January 2004",
     42: "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     43: "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
@@ -85,7 +120,10 @@ SENTENCES: dict[int, str | tuple[str, ...]] = {
     45: "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     46: "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     47: ("Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"),
-    48: ("Eclipse Public License - v 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    48: (
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    ),
     49: 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT")',
     50: "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
     51: "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
@@ -172,7 +210,13 @@ def _cut(text: Column) -> Column:
     return F.split(F.regexp_replace(marked, "\\n[ \\t\\r]*\\n|https?://", "\u0001"), "\u0001")
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict | None = None, rules: list[tuple[str, tuple[int, ...]]] | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    sentences: dict | None = None,
+    rules: list[tuple[str, tuple[int, ...]]] | None = None,
+) -> DataFrame:
     """docs with n_sentences, sentence_ids (known ones in order, by commas) and licenses (matched rules' names, by commas)."""
     forms, rules = known_forms(sentences or SENTENCES), rules or RULES
     known = F.create_map(*[F.lit(x) for s, i in forms.items() for x in (s, i)])
@@ -184,11 +228,16 @@ def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict | None = No
 
     def identifiers(sentence: Column) -> Column:
         whole = identifier(sentence["form"])
-        lines = F.when(sentence["raw"].contains("\n"), F.transform(F.split(sentence["raw"], "\n"), lambda x: identifier(_normal(x))))
+        lines = F.when(
+            sentence["raw"].contains("\n"),
+            F.transform(F.split(sentence["raw"], "\n"), lambda x: identifier(_normal(x))),
+        )
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
 
     own = [c for c in docs.columns if c.lower() not in RESULTS]
-    cut = F.transform(_cut(_shared.text_or_empty(text_col)), lambda x: F.struct(x.alias("raw"), _normal(x).alias("form")))
+    cut = F.transform(
+        _cut(_shared.text_or_empty(text_col)), lambda x: F.struct(x.alias("raw"), _normal(x).alias("form"))
+    )
     cut = F.filter(cut, lambda x: x["form"] != "")
     rows = docs.select(F.struct(*own).alias("row"), cut.alias("cut"))
     found = F.array_compact(F.flatten(F.filter(F.transform("cut", identifiers), lambda x: x.isNotNull())))
@@ -196,10 +245,19 @@ def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict | None = No
     state = F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
     for name, rule in rules:
         state = F.replace(state, F.lit("".join(f"<{i}>" for i in rule)), F.lit(f"{{{name}}}"))
-    rows = rows.select("row", "n", F.array_join("ids", ",").alias("listed"), F.when(F.size("ids") > 0, state).otherwise("").alias("state"))
-    names = [F.when(F.col("state").contains(f"{{{name}}}"), F.lit(name)) for name in dict.fromkeys(name for name, _ in rules)]
+    rows = rows.select(
+        "row",
+        "n",
+        F.array_join("ids", ",").alias("listed"),
+        F.when(F.size("ids") > 0, state).otherwise("").alias("state"),
+    )
+    names = [
+        F.when(F.col("state").contains(f"{{{name}}}"), F.lit(name)) for name in dict.fromkeys(name for name, _ in rules)
+    ]
     licenses = F.when(F.col("state") != "", F.array_join(F.array_compact(F.array(*names)), ",")).otherwise("")
-    return rows.select("row.*", F.col("n").alias("n_sentences"), F.col("listed").alias("sentence_ids"), licenses.alias("licenses"))
+    return rows.select(
+        "row.*", F.col("n").alias("n_sentences"), F.col("listed").alias("sentence_ids"), licenses.alias("licenses")
+    )
 
 
 def oracle_sql() -> str:

@@ -85,7 +85,9 @@ def shingles(block: _words.Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     for m in range(1, n):
         first, whole = block.grams(m)
         alone = count[block.doc[first]] == m
-        doc, value = np.concatenate((doc, block.doc[first[alone]])), np.concatenate((value, _words.mix(whole[alone] + _U(m))))
+        doc, value = np.concatenate((doc, block.doc[first[alone]])), np.concatenate(
+            (value, _words.mix(whole[alone] + _U(m)))
+        )
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
@@ -104,7 +106,11 @@ def sets(block: _words.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Of each document: set size and class (a hash of the set), and the documents and hashes of all elements."""
     doc, value = shingles(block, n)
     size = np.bincount(doc, minlength=block.n_docs)
-    node = _words.mix(_sum(doc, _words.mix(value ^ _U(0x5851F42D4C957F2D)), block.n_docs) + _words.mix(_sum(doc, value, block.n_docs)) + size.astype(_U))
+    node = _words.mix(
+        _sum(
+            doc, _words.mix(value ^ _U(0x5851F42D4C957F2D)), block.n_docs
+        ) + _words.mix(_sum(doc, value, block.n_docs)) + size.astype(_U)
+    )
     return size, node, doc, value
 
 
@@ -390,7 +396,9 @@ def _searched(num: int, den: int, exact: bool):
             left += [a for a, _ in pairs]
             right += [b for _, b in pairs]
             if len(key) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, left, right)], ["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in (key, left, right)], ["key", "a", "b"]
+                )
                 key, left, right = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, left, right)], ["key", "a", "b"])
 
@@ -503,7 +511,9 @@ class _Join:
                     for i in np.flatnonzero(mine & (size > 0)):
                         found.append(int(node[i : i + 1].view(np.int64)[0]))
                         blobs.append(value[cut[i] : cut[i + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["node", "elements"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["node", "elements"]
+                )
 
         schema = "node long, elements binary"
         # the filter is always true; it lets the planner put a Bloom filter of the owners before the texts are moved
@@ -530,7 +540,9 @@ class _Join:
         two = groups.where("n = 2 AND node <> hub").select("hub", "node")
         near = groups.where("n > 2").groupBy("node", "hub").count()
         near = near.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).where("node <> hub")
-        pairs = two.union(near.select("hub", "node")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        pairs = two.union(near.select("hub", "node")).select(
+            F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+        ).distinct()
         small = marks.select("node", "n_shingles", "sketch")
         for c in "ba":
             pairs = pairs.join(small.toDF(c, f"n{c}", f"s{c}"), c)
@@ -545,9 +557,13 @@ class _Join:
         n, held = F.count(F.lit(1)), F.sum("n_shingles")
         lots = F.greatest(F.ceil(n / LOT), F.ceil(held * 8 / LOT_BYTES)).cast("int").alias("lots")
         open_ = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lots).where("lo <> hi")
-        rows = rows.join(open_.select("grp", "lots"), "grp").withColumn("mine", F.pmod(F.xxhash64("node"), "lots").cast("int"))
+        rows = rows.join(open_.select("grp", "lots"), "grp").withColumn(
+            "mine", F.pmod(F.xxhash64("node"), "lots").cast("int")
+        )
         # a lot meets each other lot; an only lot meets itself
-        others = F.filter(F.sequence(F.lit(0), F.col("lots") - 1), lambda x: (x != F.col("mine")) | (F.col("lots") == 1))
+        others = F.filter(
+            F.sequence(F.lit(0), F.col("lots") - 1), lambda x: (x != F.col("mine")) | (F.col("lots") == 1)
+        )
         rows = rows.withColumn("other", F.explode(others))
         key = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
         return rows.select(key, "node", "root", "n_shingles")
@@ -557,11 +573,15 @@ class _Join:
         laid = blocks.join(marks.select("node", "sketch"), "node")
         if held is not None:
             laid = laid.join(held, "node")
-        laid = laid.select("key", *[c for c in laid.columns if c != "key"]).repartition(self.parts, "key").sortWithinPartitions("key")
+        laid = laid.select(
+            "key", *[c for c in laid.columns if c != "key"]
+        ).repartition(self.parts, "key").sortWithinPartitions("key")
         return laid.mapInArrow(_searched(self.num, self.den, held is not None), "key long, a long, b long")
 
 
-def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def join_classes(
+    docs: DataFrame, *, n: int, num: int, den: int, text_col: str = "text", id_col: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
     """(rows: _id, n_shingles, node, sketch), and (node, root) of the classes that are linked with another."""
     _shared.tune(docs.sparkSession)
     join = _Join(docs, n, num, den, text_col, id_col)
@@ -571,14 +591,20 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
 
     blocks = join.scratch.stage(join.blocks(groups, roots, marks), "join-blocks")
     given = join.scratch.stage(join.search(blocks, marks), "join-given")
-    pairs = join.scratch.stage(given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+    pairs = join.scratch.stage(
+        given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs"
+    )
     if not pairs.isEmpty():
         links = join.verified(pairs, marks)
         roots = _components.joined(roots, links, "a", "b")
         failed = join.scratch.stage(pairs.join(links, ["a", "b"], "left_anti"), "join-failed")
         if not failed.isEmpty():
-            keys = given.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(failed, ["a", "b"], "left_semi")
-            again = blocks.drop("root").join(keys.select("key").distinct(), "key", "left_semi").join(roots, "node", "left")
+            keys = given.select(
+                "key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+            ).join(failed, ["a", "b"], "left_semi")
+            again = blocks.drop("root").join(
+                keys.select("key").distinct(), "key", "left_semi"
+            ).join(roots, "node", "left")
             again = join.scratch.stage(again.withColumn("root", F.coalesce("root", "node")), "join-again")
             held = join.sets_of(again.select("node").distinct(), marks)
             more = join.scratch.stage(join.search(again, marks, held).select("a", "b").distinct(), "join-more")
@@ -588,11 +614,15 @@ def join_classes(docs: DataFrame, *, n: int, num: int, den: int, text_col: str =
     return rows, roots
 
 
-def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def ngram_join(
+    docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id"
+) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     rows, roots = join_classes(docs, n=n, num=num, den=den, text_col=text_col, id_col=id_col)
     rows = rows.drop("sketch")
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.where("n_shingles > 0").groupBy("node").agg(
+        F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies")
+    )
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = _shared.staged(classes.join(least, "root").select("node", "copies", "component_id"), "join-classes")
@@ -601,8 +631,14 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, te
     heavy = F.broadcast(named.where(F.col("copies") > often).select("node", "component_id"))
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("_id"))
     filled = rows.where("n_shingles > 0")
-    light = filled.join(heavy.select("node"), "node", "left_anti").join(named.where(F.col("copies") <= often).select("node", "component_id"), "node")
-    parts = [x.select(F.col("_id").alias(id_col), "n_shingles", "component_id") for x in (filled.join(heavy, "node"), light, alone)]
+    light = filled.join(heavy.select("node"), "node", "left_anti").join(
+        named.where(F.col("copies") <= often).select("node", "component_id"), "node"
+    )
+    parts = [
+        x.select(
+            F.col("_id").alias(id_col), "n_shingles", "component_id"
+        ) for x in (filled.join(heavy, "node"), light, alone)
+    ]
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -612,7 +648,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     Rows without an id come last, and equal ids are told apart by their texts. Of rows that repeat both id and text one
     stays; texts without words are like no other, so without an id they all stay. Any extra columns are kept.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(_shared.text_or_empty()).alias("hash"))
+    row = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64(_shared.text_or_empty()).alias("hash"),
+    )
     inner = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row"), _shared.text_or_empty().alias("words"))
     found = _shared.staged(ngram_join(inner, id_col="row", text_col="words", **options), "join-result")
     gone = _shared.staged(found.where("row <> component_id").select("row").distinct(), "join-gone")

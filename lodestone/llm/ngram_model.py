@@ -44,7 +44,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if trusted[first:end].any():
                 counts[1] += np.bincount(cell[trusted[first:end][doc]], minlength=1 << BITS)
     parts = [(s, x) for s, x in enumerate(counts.reshape(2 * _SLICES, -1)) if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in parts], pa.binary())], ["slice", "counts"])
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([s for s, _ in parts], pa.int32()),
+            pa.array([zlib.compress(x.tobytes(), 1) for _, x in parts], pa.binary()),
+        ],
+        ["slice", "counts"],
+    )
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,10 +59,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x = np.frombuffer(zlib.decompress(x), np.int64)
             total[s] = total[s] + x if s in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
+        ["slice", "counts"],
+    )
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound: int = MAX_LABELLED) -> np.ndarray:
+def fit(
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound: int = MAX_LABELLED
+) -> np.ndarray:
     """Log-likelihood ratio of target to raw for each cell.
 
     Raw counts cover every document; target counts cover those in the bounded sample of trusted ids. Without trusted

@@ -38,14 +38,32 @@ SMALL = 32
 def _gap_rows(gaps: DataFrame) -> DataFrame:
     """gap, first and n as rows of a round."""
     none = F.lit(None).cast("long")
-    return gaps.select(F.lit(_GAP).alias("kind"), none.alias("length"), none.alias("done"), none.alias("left"), "gap", "first", "n", none.alias("offset"))
+    return gaps.select(
+        F.lit(_GAP).alias("kind"),
+        none.alias("length"),
+        none.alias("done"),
+        none.alias("left"),
+        "gap",
+        "first",
+        "n",
+        none.alias("offset"),
+    )
 
 
 def _without(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """Documents less those of the matches, which always take the next ranks of a length."""
     used = matches.groupBy("length").agg(F.sum("n").alias("used"))
     rest = docs.join(used, "length", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    return rest.select("kind", "length", (F.col("done") + F.col("used")).alias("done"), (F.col("left") - F.col("used")).alias("left"), "gap", "first", "n", "offset").where("left > 0")
+    return rest.select(
+        "kind",
+        "length",
+        (F.col("done") + F.col("used")).alias("done"),
+        (F.col("left") - F.col("used")).alias("left"),
+        "gap",
+        "first",
+        "n",
+        "offset",
+    ).where("left > 0")
 
 
 def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int, widest: int) -> DataFrame:
@@ -61,32 +79,61 @@ def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int,
     many = F.when(F.col("length") <= small, bundle).otherwise(1)
     times = F.greatest(F.lit(1), F.least(many, F.floor(F.lit(widest) / F.col("length")), F.col("left"))).cast("long")
     taking = docs.withColumn("q", times).select(
-        F.lit(1).alias("takes"), (F.col("length") * F.col("q")).alias("size"), F.floor(F.col("left") / F.col("q")).alias("n"), F.col("done").alias("at"), "length", "q"
+        F.lit(1).alias("takes"), (
+            F.col("length") * F.col("q")
+        ).alias("size"), F.floor(F.col("left") / F.col("q")).alias("n"), F.col("done").alias("at"), "length", "q"
+    )
+    laying = gaps.select(
+        F.lit(0).alias("takes"),
+        F.col("gap").alias("size"),
+        "n",
+        F.col("first").alias("at"),
+        none.alias("length"),
+        none.alias("q"),
     )
-    laying = gaps.select(F.lit(0).alias("takes"), F.col("gap").alias("size"), "n", F.col("first").alias("at"), none.alias("length"), none.alias("q"))
     # at most `size` lengths and some runs of gaps for each: the size of a sequence bounds these rows, not the corpus
     order = Window.orderBy(F.desc("size"), "takes", "at", "length")
-    runs = laying.union(taking).withColumn("sum", F.sum(F.when(F.col("takes") == 0, F.col("n")).otherwise(-F.col("n"))).over(order))
+    runs = laying.union(taking).withColumn(
+        "sum", F.sum(F.when(F.col("takes") == 0, F.col("n")).otherwise(-F.col("n"))).over(order)
+    )
     runs = runs.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
-    runs = runs.withColumns({"before": F.coalesce(F.lag("after").over(order), F.lit(0)), "pos": F.row_number().over(order)})
+    runs = runs.withColumns(
+        {"before": F.coalesce(F.lag("after").over(order), F.lit(0)), "pos": F.row_number().over(order)}
+    )
     runs = runs.withColumns({"lo": F.least("before", "after"), "hi": F.greatest("before", "after")}).where("lo < hi")
     ends = runs.select(F.explode(F.array("lo", "hi")).alias("level")).distinct()
     by_level = Window.orderBy("level")
-    ends = ends.select("level", F.row_number().over(by_level).alias("k"), (F.lead("level").over(by_level) - F.col("level")).alias("width"))
-    low, high = ends.select(F.col("level").alias("lo"), F.col("k").alias("k_lo")), ends.select(F.col("level").alias("hi"), F.col("k").alias("k_hi"))
-    cut = runs.join(low, "lo").join(high, "hi").withColumn("k", F.explode(F.sequence("k_lo", F.col("k_hi") - 1))).join(ends, "k")
+    ends = ends.select(
+        "level",
+        F.row_number().over(by_level).alias("k"),
+        (F.lead("level").over(by_level) - F.col("level")).alias("width"),
+    )
+    low, high = ends.select(
+        F.col("level").alias("lo"), F.col("k").alias("k_lo")
+    ), ends.select(F.col("level").alias("hi"), F.col("k").alias("k_hi"))
+    cut = runs.join(low, "lo").join(high, "hi").withColumn(
+        "k", F.explode(F.sequence("k_lo", F.col("k_hi") - 1))
+    ).join(ends, "k")
     near = Window.partitionBy("k").orderBy("pos")
     cut = cut.withColumns({"laid": F.lag(F.struct("at", "lo", "size")).over(near), "next": F.lead("takes").over(near)})
     inside = F.col("level") - F.col("lo")
-    met = cut.where("takes = 1").withColumns({"first": F.col("laid.at") + F.col("level") - F.col("laid.lo"), "gap": F.col("laid.size")})
+    met = cut.where("takes = 1").withColumns(
+        {"first": F.col("laid.at") + F.col("level") - F.col("laid.lo"), "gap": F.col("laid.size")}
+    )
     # copy t of the run's units takes ranks of its own
     each = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
     matches = each.select(
-        F.lit(_MATCH).alias("kind"), "length", (F.col("at") + F.col("t") * (F.col("hi") - F.col("lo")) + inside).alias("done"), none.alias("left"), none.alias("gap"), "first",
+        F.lit(_MATCH).alias("kind"), "length", (
+            F.col("at") + F.col("t") * (F.col("hi") - F.col("lo")) + inside
+        ).alias("done"), none.alias("left"), none.alias("gap"), "first",
         F.col("width").alias("n"), (size - F.col("gap") + F.col("t") * F.col("length")).alias("offset"),
     )
-    smaller = met.where("gap > size").select((F.col("gap") - F.col("size")).alias("gap"), "first", F.col("width").alias("n"))
-    left = cut.where("takes = 0 AND (next IS NULL OR next = 0)").select(F.col("size").alias("gap"), (F.col("at") + inside).alias("first"), F.col("width").alias("n"))
+    smaller = met.where("gap > size").select(
+        (F.col("gap") - F.col("size")).alias("gap"), "first", F.col("width").alias("n")
+    )
+    left = cut.where("takes = 0 AND (next IS NULL OR next = 0)").select(
+        F.col("size").alias("gap"), (F.col("at") + inside).alias("first"), F.col("width").alias("n")
+    )
     return matches.union(_joined(smaller.union(left)))
 
 
@@ -113,7 +160,13 @@ def best_fit(counts: DataFrame, size: int = SEQUENCE) -> DataFrame:
     big = F.sum(F.when(F.col("length") * 2 > size, F.col("left")))
     least, halves = docs.agg(F.ceil(F.sum(F.col("length") * F.col("left")) / size), big).first()
     opened = max(least or 0, halves or 0)
-    start = docs.select(F.lit(_DOC).alias("kind"), "length", F.lit(0).cast("long").alias("done"), "left", *[none.alias(c) for c in ("gap", "first", "n", "offset")])
+    start = docs.select(
+        F.lit(_DOC).alias("kind"),
+        "length",
+        F.lit(0).cast("long").alias("done"),
+        "left",
+        *[none.alias(c) for c in ("gap", "first", "n", "offset")],
+    )
 
     def fresh(first: int, n: int) -> DataFrame:
         return _gap_rows(spark.createDataFrame([(size, first, n)], "gap long, first long, n long"))
@@ -122,7 +175,9 @@ def best_fit(counts: DataFrame, size: int = SEQUENCE) -> DataFrame:
     found = []
     while True:
         # a row for each length and each size of gap
-        seen = state.groupBy("kind", F.coalesce("length", "gap").alias("at")).agg(F.sum(F.coalesce("left", "n")).alias("n")).collect()
+        seen = state.groupBy(
+            "kind", F.coalesce("length", "gap").alias("at")
+        ).agg(F.sum(F.coalesce("left", "n")).alias("n")).collect()
         waiting, there = ({r["at"]: r["n"] for r in seen if r["kind"] == k} for k in (_DOC, _GAP))
         if not waiting:
             break
@@ -147,7 +202,16 @@ def best_fit(counts: DataFrame, size: int = SEQUENCE) -> DataFrame:
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame,
+    vocabulary: str,
+    *,
+    size: int = SEQUENCE,
+    end_id: int = END_ID,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    with_ids: bool = False,
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids themselves, if asked for) of every piece."""
     json = docs.sparkSession.sparkContext.broadcast(_bpe.read(vocabulary))
     rows = docs.select(F.col(id_col).alias(id_col), _shared.text_or_empty(text_col).alias("_text"))
@@ -170,14 +234,32 @@ def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end_id: in
                     length.append(b - a)
                     crc.append(zlib.crc32(part))
                     held.append(part)
-            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(held, pa.binary())] * with_ids, [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            columns = [
+                batch.column(0).take(pa.array(owner, pa.int64())),
+                pa.array(piece, pa.int32()),
+                *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                columns + [pa.array(held, pa.binary())] * with_ids,
+                [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids,
+            )
 
-    schema = rows.select(id_col).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = rows.select(id_col).schema.add("piece", "integer").add("start", "long").add("length", "long").add(
+        "ids_crc32", "long"
+    )
     return rows.mapInArrow(cut, schema.add("ids", "binary") if with_ids else schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    vocabulary: str,
+    *,
+    size: int = SEQUENCE,
+    end_id: int = END_ID,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    with_ids: bool = False,
+) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
     spark = docs.sparkSession
     _shared.tune(spark)
@@ -193,11 +275,17 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end_id: int
     with _shared.small_plans(spark):
         matches = best_fit(lengths, size).collect()
     # the size of a sequence bounds the number of matches, whatever the corpus; each has its rows by first rank
-    table = np.array(sorted((r["length"], r["done"], r["first"], r["offset"]) for r in matches) or [(0, 0, 0, 0)], np.int64)
+    table = np.array(
+        sorted((r["length"], r["done"], r["first"], r["offset"]) for r in matches) or [(0, 0, 0, 0)], np.int64
+    )
     plan = spark.sparkContext.broadcast((table[:, 0] * (1 << 50) + table[:, 1], table))
-    before = counted.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_lot")) - F.col("n")).drop("n")
+    before = counted.withColumn(
+        "_before", F.sum("n").over(Window.partitionBy("length").orderBy("_lot")) - F.col("n")
+    ).drop("n")
     order = Window.partitionBy("length", "_lot").orderBy(id_col, "piece", "ids_crc32", "_nr")
-    ranked = lots.withColumn("_nth", F.row_number().over(order)).join(before, ["length", "_lot"]).withColumn("_rank", F.col("_before") + F.col("_nth") - 1)
+    ranked = lots.withColumn("_nth", F.row_number().over(order)).join(before, ["length", "_lot"]).withColumn(
+        "_rank", F.col("_before") + F.col("_nth") - 1
+    )
     own = [*[c for c in cut.columns if c != "_nr"], "_rank"]
     n, at = len(own) - 1, own.index("length")
 
@@ -206,6 +294,9 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end_id: int
         for batch in batches:
             length, rank = (batch.column(i).to_numpy() for i in (at, n))
             row = rows[np.searchsorted(keys, length * (1 << 50) + rank, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], [*own[:n], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])],
+                [*own[:n], "sequence_id", "offset"],
+            )
 
     return ranked.select(*own).mapInArrow(put, cut.drop("_nr").schema.add("sequence_id", "long").add("offset", "long"))

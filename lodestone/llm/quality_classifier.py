@@ -40,7 +40,9 @@ def uniform(id_col: Column) -> Column:
 def _keyed(docs: DataFrame, model, carry: list[str], text_col: str, id_col: str) -> DataFrame:
     """row, llr, log_weight, gumbel_key and, where the text has words, _key."""
     rows = docs.select(
-        _shared.carried(carry, RESULTS).alias("row") if carry else F.lit(0).alias("row"), F.col(id_col).alias("_id"), _shared.text_or_empty(text_col).alias("_text")
+        _shared.carried(
+            carry, RESULTS
+        ).alias("row") if carry else F.lit(0).alias("row"), F.col(id_col).alias("_id"), _shared.text_or_empty(text_col).alias("_text")
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +59,9 @@ def _keyed(docs: DataFrame, model, carry: list[str], text_col: str, id_col: str)
     weight = F.col("llr") * F.lit(TEMPER)
     scored = scored.withColumns({"log_weight": weight, "gumbel_key": weight - F.log(-F.log(uniform(F.col("_id"))))})
     # fixed-point keys, so that the k-th largest is found exactly
-    fixed = (F.greatest(F.lit(0.0), F.least(F.lit(4e6), F.col("gumbel_key") + F.lit(2e6))) * F.lit(_KEY_PARTS)).cast("long")
+    fixed = (
+        F.greatest(F.lit(0.0), F.least(F.lit(4e6), F.col("gumbel_key") + F.lit(2e6))) * F.lit(_KEY_PARTS)
+    ).cast("long")
     return scored.withColumn("_key", F.when(F.col("_filled"), fixed))
 
 
@@ -73,8 +77,13 @@ def quality_classifier(
     _shared.tune(spark)
     model = spark.sparkContext.broadcast(ngram_model.fit(docs, labels, text_col, id_col))
     scratch = _shared.Scratch(spark)
-    accepted = (F.exp(F.least(F.lit(0.0), F.col("log_weight") - F.lit(TEMPER * least_ratio))) * F.lit(_SHARE_PARTS)).cast("long")
-    keys = scratch.stage(_keyed(docs, model, [], text_col, id_col).where("_key IS NOT NULL").select("_key", accepted.alias("part")), "classifier-keys")
+    accepted = (
+        F.exp(F.least(F.lit(0.0), F.col("log_weight") - F.lit(TEMPER * least_ratio))) * F.lit(_SHARE_PARTS)
+    ).cast("long")
+    keys = scratch.stage(
+        _keyed(docs, model, [], text_col, id_col).where("_key IS NOT NULL").select("_key", accepted.alias("part")),
+        "classifier-keys",
+    )
     n, parts = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("part"), F.lit(0))).first()
     k = round(parts / _SHARE_PARTS)
     weighed = keys.select(F.col("_key").alias("key"), F.lit(1).cast("long").alias("weight"))

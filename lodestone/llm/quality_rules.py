@@ -33,7 +33,10 @@ def quality_rules(
     _shared.tune(docs.sparkSession)
     names = [f.split()[0] for f in FIELDS.split(", ")]
     model = docs.sparkSession.sparkContext.broadcast(ngram_model.fit(docs, labels, text_col, id_col))
-    rows = docs.select(_shared.carried(docs.columns if carry is None else carry, names).alias("row"), _shared.text_or_empty(text_col).alias("text"))
+    rows = docs.select(
+        _shared.carried(docs.columns if carry is None else carry, names).alias("row"),
+        _shared.text_or_empty(text_col).alias("text"),
+    )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +46,9 @@ def quality_rules(
                 parts.append(_words.rule_counts(block) | {"llr": ngram_model.ratios(block, model.value)})
             out = {}
             for k in (*COUNTS, "llr"):
-                out[k] = np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.float64 if k == "llr" else np.int64)
+                out[k] = np.concatenate([p[k] for p in parts]) if parts else np.zeros(
+                    0, np.float64 if k == "llr" else np.int64
+                )
             failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
             kept = ~failed & (out["llr"] >= least_ratio)
             columns = [*(pa.array(out[k]) for k in COUNTS), pa.array(failed), pa.array(kept), pa.array(out["llr"])]

@@ -36,7 +36,9 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return quality_classifier.quality_classifier(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"]
+    )
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return quality_rules.quality_rules(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"]
+    )
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +60,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), carry=["doc_id"], with_ids=False)
+    return bpe.encode(
+        _table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), carry=["doc_id"], with_ids=False
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_warc, op3_document_fingerprints, op4_license_scans, op5_quality_classifier, op6_ngram_jaccard_join, op7_token_counts, op8_quality_rules, op9_sharding, op10_bpe]
+    found = [
+        op1_best_fit_packing,
+        op2_warc,
+        op3_document_fingerprints,
+        op4_license_scans,
+        op5_quality_classifier,
+        op6_ngram_jaccard_join,
+        op7_token_counts,
+        op8_quality_rules,
+        op9_sharding,
+        op10_bpe,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -56,7 +56,9 @@ def shard(
     rows = _shared.staged(rows, "shard-rows")
 
     scratch = _shared.Scratch(spark)
-    groups = scratch.stage(rows.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "shard-groups")
+    groups = scratch.stage(
+        rows.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "shard-groups"
+    )
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     full = max(1, total / n_shards)
     # at most n_shards / tolerance texts weigh more than this, whatever the corpus
@@ -67,8 +69,12 @@ def shard(
     items = [(b, k, 1, 0) for k, b, n in heavy if n == 1]
     if any(n > 1 for _, _, n in heavy):
         parted = spark.createDataFrame([(k, n) for k, _, n in heavy if n > 1], "_key long, _pieces int")
-        dealt = rows.join(F.broadcast(parted), "_key").groupBy("_key", "_pieces", _piece(F.col("_pieces")).alias("piece"))
-        items += [(r["bytes"], r["_key"], r["_pieces"], r["piece"]) for r in dealt.agg(F.sum("size").alias("bytes")).collect()]
+        dealt = rows.join(F.broadcast(parted), "_key").groupBy(
+            "_key", "_pieces", _piece(F.col("_pieces")).alias("piece")
+        )
+        items += [
+            (r["bytes"], r["_key"], r["_pieces"], r["piece"]) for r in dealt.agg(F.sum("size").alias("bytes")).collect()
+        ]
     load, placed = [0] * n_shards, []
     for b, k, n, piece in sorted(items, reverse=True):
         to = min(range(n_shards), key=lambda s: (load[s], s))
@@ -101,5 +107,7 @@ def shard(
     numbered = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("shard", "_run").orderBy("_key", "_nr")))
     numbered = numbered.join(F.broadcast(offsets), ["shard", "_run"])
     return numbered.select(
-        "row.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "row.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (
+            F.col("_start") + F.col("_nth") - 1
+        ).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

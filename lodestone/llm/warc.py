@@ -44,14 +44,18 @@ def url_key(url: str) -> str:
         host, port = parts.hostname or "", parts.port
     except ValueError:
         return url.lower()
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (
+        f"?{parts.query}" if parts.query else ""
+    )
 
 
 def capture_time(page_id: int | None) -> str:
     """The pages table has no time of capture: a second for each id, from a fixed day on."""
     import datetime
 
-    return datetime.datetime.fromtimestamp(_EPOCH_SECONDS + (page_id or 0) % 1_000_000_000, datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return datetime.datetime.fromtimestamp(
+        _EPOCH_SECONDS + (page_id or 0) % 1_000_000_000, datetime.timezone.utc
+    ).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def _name(page_id: int | None) -> str:
@@ -64,7 +68,10 @@ def record(page_id: int | None, url: str, payload: bytes, owner: int | None) ->
     block = http if owner is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if owner is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {capture_time(page_id)}", f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._')}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if owner is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(owner)}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_name(owner)}",
+        ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -95,12 +102,23 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, archive_bytes:
     """Write all pages as archives into a folder that all executors share; returns the manifest (archive, records)."""
     spark = pages.sparkSession
     _shared.tune(spark)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce("html", F.lit("")).alias("html"),
+    )
     rows = rows.withColumn("_sum", F.sha1(F.encode("html", "UTF-8")))
     # digests found twice or more; Catalyst sends them to all tasks if they are few, else both sides meet by digest
-    copies = rows.where(F.octet_length("html") >= least_bytes).groupBy("_sum").agg(F.min("page_id").alias("_owner"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _owner IS NOT NULL")
+    copies = rows.where(F.octet_length("html") >= least_bytes).groupBy("_sum").agg(
+        F.min("page_id").alias("_owner"), F.count(F.lit(1)).alias("_n")
+    ).where("_n > 1 AND _owner IS NOT NULL")
     rows = rows.join(_shared.staged(copies.drop("_n"), "warc-copies"), "_sum", "left")
-    rows = rows.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_owner")), F.col("_owner")).alias("_owner"))
+    rows = rows.select(
+        "page_id",
+        "url",
+        "html",
+        F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_owner")), F.col("_owner")).alias("_owner"),
+    )
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -131,7 +149,10 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, archive_bytes:
                 if size >= archive_bytes or n >= ARCHIVE_RECORDS:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["archive", "records"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())],
+            ["archive", "records"],
+        )
 
     return _shared.staged(rows.mapInArrow(archive, "archive string, records long"), "warc-manifest")
 
@@ -158,7 +179,18 @@ def _capture(archive: str, offset: int, length: int, data: bytes) -> tuple:
     if kind == "response" and (digest(payload) != said or len(payload) != n):
         raise ValueError(f"the payload of {headers['WARC-Record-ID']} isn't what its record says")
     number = lambda x: int(x[len("<urn:page:") : -1]) if x and len(x) > len("<urn:page:>") else None
-    return (number(headers["WARC-Record-ID"]), n, said, kind, number(headers.get("WARC-Refers-To")), url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], archive, offset, length)
+    return (
+        number(headers["WARC-Record-ID"]),
+        n,
+        said,
+        kind,
+        number(headers.get("WARC-Refers-To")),
+        url_key(headers["WARC-Target-URI"]),
+        headers["WARC-Date"],
+        archive,
+        offset,
+        length,
+    )
 
 
 def _order(row: tuple) -> tuple:

@@ -9,13 +9,19 @@ TEXTS = [None, "", "  \n\t ", "one", "two words", "a b c", BASE, BASE, BASE + "t
 @pytest.fixture(scope="session")
 def docs(spark):
     """doc_id, text and columns whose names clash with results; two rows repeat an id, one has none."""
-    rows = [(i, t, f"s{i % 3}", "clash", 7) for i, t in enumerate(TEXTS)] + [(6, BASE, "s0", "clash", 7), (None, BASE + "none", "s0", "clash", 7)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, n_words int").repartition(3)
+    rows = [(i, t, f"s{i % 3}", "clash", 7) for i, t in enumerate(TEXTS)] + [
+        (6, BASE, "s0", "clash", 7), (None, BASE + "none", "s0", "clash", 7)
+    ]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, source string, kept string, n_words int"
+    ).repartition(3)
 
 
 @pytest.fixture(scope="session")
 def labels(spark):
-    return spark.createDataFrame([(6, 1, 0), (10, 1, 0), (13, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(
+        [(6, 1, 0), (10, 1, 0), (13, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"
+    )
 
 
 @pytest.fixture(scope="session")

@@ -11,7 +11,9 @@ from lodestone.llm import _components, _words, ngram_join
 
 def grams(text, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
+    return {
+        tuple(words[i : i + n]) for i in range(len(words) - n + 1)
+    } if len(words) >= n else {tuple(words)} if words else set()
 
 
 def brute(rows, n, num, den):
@@ -32,7 +34,10 @@ def brute(rows, n, num, den):
     for i, (k, _) in enumerate(rows):
         if k is not None:
             least[find(i)] = min(k, least.get(find(i), k))
-    return sorted(((k, len(s), least.get(find(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    return sorted(
+        ((k, len(s), least.get(find(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))),
+        key=str,
+    )
 
 
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80), (2, 60)])
@@ -73,7 +78,14 @@ def test_lots_and_poor_sketches_lose_nothing(spark, monkeypatch, rate):
         for at in rnd.sample(range(100), rnd.randint(1, 4)):
             other[at] = rnd.choice(words)
         rows.append((copy if copy % 7 else None, " ".join(other)))
-    got = sorted((tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=80, den=100).collect()), key=str)
+    got = sorted(
+        (
+            tuple(r) for r in ngram_join.ngram_join(
+                spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=80, den=100
+            ).collect()
+        ),
+        key=str,
+    )
     assert got == brute(rows, 3, 80, 100)
 
 
@@ -119,7 +131,9 @@ def test_joined_components(spark):
     first, more = [(1, 2), (3, 4), (5, 6)], [(2, 3), (6, 9), (20, 21)]
     roots = _components.components(spark.createDataFrame(first, "a long, b long"), "a", "b")
     got = _components.joined(roots, spark.createDataFrame(more, "a long, b long"), "a", "b")
-    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (9, 5), (20, 20), (21, 20)]
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (9, 5), (20, 20), (21, 20)
+    ]
 
 
 def test_representatives(spark, docs):
@@ -136,7 +150,10 @@ def test_rows_with_one_id_lose_nothing(spark):
     """Equal ids with unlike texts all stay; of copies one stays, whatever their ids."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(5, a), (5, b), (3, a), (3, c), (3, c), (None, c + " end"), (None, None), (None, None)]
-    got = sorted(map(tuple, ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    got = sorted(
+        map(tuple, ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()),
+        key=str,
+    )
     assert got == sorted([(5, b), (3, a), (3, c), (None, None), (None, None)], key=str)
 
 

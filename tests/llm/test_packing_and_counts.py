@@ -11,7 +11,9 @@ from lodestone.llm import _bpe, packing, token_counts
 
 def placed(spark, counts, size):
     """Places of all documents, checked: each rank of a length once, sequences without holes or overflow."""
-    rows = packing.best_fit(spark.createDataFrame(list(counts.items()) or [(1, 0)], "length long, n long").where("n > 0"), size).collect()
+    rows = packing.best_fit(
+        spark.createDataFrame(list(counts.items()) or [(1, 0)], "length long, n long").where("n > 0"), size
+    ).collect()
     used, ranks = defaultdict(list), defaultdict(list)
     for r in rows:
         ranks[r["length"]] += range(r["done"], r["done"] + r["n"])
@@ -107,18 +109,30 @@ def test_counts(docs, byte_vocabulary, spark):
     for k, r in rows.items():
         assert r["n_tokens"] == k * r["n_docs"]
         assert r["docs_at_least"] == sum(x >= k for x in n) and r["tokens_at_least"] == sum(x for x in n if x >= k)
-        assert r["truncated_tokens"] == sum(min(x, k) for x in n) and abs(r["quantile"] - sum(x <= k for x in n) / len(n)) < 1e-12
+        assert r["truncated_tokens"] == sum(min(x, k) for x in n) and abs(
+            r["quantile"] - sum(x <= k for x in n) / len(n)
+        ) < 1e-12
     limits = spark.createDataFrame([(0,), (5,), (10**6,)], "limit_tokens long")
     for r in token_counts.truncated_totals(hist, limits).collect():
-        assert r["truncated_tokens"] == sum(min(x, r["limit_tokens"]) for x in n) and r["docs_longer"] == sum(x > r["limit_tokens"] for x in n)
+        assert r["truncated_tokens"] == sum(
+            min(x, r["limit_tokens"]) for x in n
+        ) and r["docs_longer"] == sum(x > r["limit_tokens"] for x in n)
 
 
 def test_every_limit_is_answered(spark):
     lengths = [0, 3, 3, 7, 1023, 1024, 5000, 5000, 20_011]
     n = sorted(lengths)
     seen = [(k, n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k)) for k in sorted(set(n))]
-    hist = spark.createDataFrame(seen, "length long, n_docs long, docs_at_least long, tokens_at_least long").repartition(3)
+    hist = spark.createDataFrame(
+        seen, "length long, n_docs long, docs_at_least long, tokens_at_least long"
+    ).repartition(3)
     limits = spark.range(0, 20_500).withColumnRenamed("id", "limit_tokens")
-    got = {r["limit_tokens"]: (r["docs_longer"], r["truncated_tokens"]) for r in token_counts.truncated_totals(hist, limits.union(limits)).collect()}
+    got = {
+        r["limit_tokens"]: (
+            r["docs_longer"], r["truncated_tokens"]
+        ) for r in token_counts.truncated_totals(hist, limits.union(limits)).collect()
+    }
     assert got == {k: (sum(x > k for x in n), sum(min(x, k) for x in n)) for k in range(20_500)}
-    assert [tuple(r) for r in token_counts.truncated_totals(hist.where("false"), limits.where("limit_tokens = 5")).collect()] == [(5, 0, 0)]
+    assert [
+        tuple(r) for r in token_counts.truncated_totals(hist.where("false"), limits.where("limit_tokens = 5")).collect()
+    ] == [(5, 0, 0)]

@@ -17,7 +17,9 @@ SF = "/root/testdata/sf0.001"
 def scores(texts, good):
     """The mean log-likelihood ratio of each text by models of these texts, from plain loops; 0 without words."""
     own = {k: cells_by_loops(t) for k, t in texts.items()}
-    raw, target = Counter(c for x in own.values() for c in x), Counter(c for k, x in own.items() if k in good for c in x)
+    raw, target = Counter(c for x in own.values() for c in x), Counter(
+        c for k, x in own.items() if k in good for c in x
+    )
     n, m, prior = sum(raw.values()), sum(target.values()), ngram_model.PRIOR
     model = {c: math.log((target[c] + prior) / (raw[c] * m / n + prior)) for c in raw}
     return {k: sum(model[c] for c in x) / len(x) if x else 0.0 for k, x in own.items()}
@@ -60,7 +62,9 @@ def distinct(texts, good):
 def test_stages_against_loops(spark):
     """Every filter, on what the one before has kept, against plain Python over collected rows; then the sequences."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "ngram_jaccard_join", "best_fit_packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "quality_classifier", "quality_rules", "ngram_jaccard_join", "best_fit_packing"
+    ]
     assert corpus_pipeline.ORACLE_SQL is None
     good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     have = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -79,7 +83,26 @@ def test_stages_against_loops(spark):
 def test_near_copies_are_dropped_by_row(spark):
     """Equal ids with other texts lose nothing, and rows without ids are compared as well."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
-    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, d), (3, d), (None, a), (None, a), (None, "z " + d), (None, "x y"), (None, "x y"), (None, None), (None, None), (5, "x y"), (6, "x y"), (None, c[::-1]), (None, c[::-1]), (None, c[::-1] + " end")]
+    rows = [
+        (1, a),
+        (2, a + " end"),
+        (2, b),
+        (3, c),
+        (3, d),
+        (3, d),
+        (None, a),
+        (None, a),
+        (None, "z " + d),
+        (None, "x y"),
+        (None, "x y"),
+        (None, None),
+        (None, None),
+        (5, "x y"),
+        (6, "x y"),
+        (None, c[::-1]),
+        (None, c[::-1]),
+        (None, c[::-1] + " end"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(3)
     out = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert out.columns == docs.columns

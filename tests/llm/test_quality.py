@@ -106,7 +106,11 @@ def test_resampling_against_loops(docs, labels):
         own = cells_by_loops(t)
         llr = sum(model[c] for c in own) / len(own) if own else 0.0
         want.append((i, t, llr, llr * quality_classifier.TEMPER + gumbel(i), bool(own)))
-    shares = [math.floor(math.exp(min(0.0, quality_classifier.TEMPER * (x[2] - quality_classifier.LEAST_RATIO))) * 1e6) for x in want if x[4]]
+    shares = [
+        math.floor(
+            math.exp(min(0.0, quality_classifier.TEMPER * (x[2] - quality_classifier.LEAST_RATIO))) * 1e6
+        ) for x in want if x[4]
+    ]
     k = round(sum(shares) / 1e6)
     last = sorted((x[3] for x in want if x[4]), reverse=True)[k - 1]
     got = quality_classifier.quality_classifier(docs, labels).collect()
@@ -115,7 +119,11 @@ def test_resampling_against_loops(docs, labels):
     for r in got:
         llr, key, kept = by[(r["doc_id"], r["text"] or "")]
         assert abs(r["llr"] - llr) < 1e-9 and abs(r["gumbel_key"] - key) < 1e-6 and r["kept"] == kept
-    again = {(r["doc_id"], r["text"], r["kept"]) for r in quality_classifier.quality_classifier(docs.repartition(2), labels).collect()}
+    again = {
+        (
+            r["doc_id"], r["text"], r["kept"]
+        ) for r in quality_classifier.quality_classifier(docs.repartition(2), labels).collect()
+    }
     assert again == {(r["doc_id"], r["text"], r["kept"]) for r in got}
 
 
@@ -134,7 +142,11 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     train = labels.where(F.xxhash64("doc_id") % 2 == 0)
     held = labels.join(train.select("doc_id"), "doc_id", "left_anti")
-    kept = quality_classifier.quality_classifier(docs, train, carry=["doc_id"]).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = quality_classifier.quality_classifier(
+        docs, train, carry=["doc_id"]
+    ).join(held, "doc_id").groupBy("quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("kept")
+    )
     share = dict(map(tuple, kept.collect()))
     assert share[1] > 0.98 and share[0] < 0.15
 
@@ -148,7 +160,11 @@ def test_word_kernel_on_odd_bytes():
     texts = ["", "a", " a b\tc\n", "é\x0b日本\x0c x", "a\n\na", "\x1c\x1d"]
     for _, _, data, offsets in _shared.blocks(pa.array(texts)):
         block = _words.parse(data, offsets)
-        got = [[bytes(data[s:e]).decode() for d, s, e in zip(block.doc, block.start, block.end, strict=True) if d == i] for i in range(len(texts))]
+        got = [
+            [
+                bytes(data[s:e]).decode() for d, s, e in zip(block.doc, block.start, block.end, strict=True) if d == i
+            ] for i in range(len(texts))
+        ]
         assert got == [WORD.findall(t) for t in texts]
 
 

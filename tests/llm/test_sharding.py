@@ -10,7 +10,9 @@ def check(rows, n=16):
     by = defaultdict(list)
     for r in rows:
         text = (r["text"] or "").encode()
-        assert r["size"] == len(text) + 1 and r["text_crc32"] == zlib.crc32(text) and r["law"] == "bytes" and r["grown_shard"] is None
+        assert r["size"] == len(text) + 1 and r["text_crc32"] == zlib.crc32(text) and r["law"] == "bytes" and r[
+            "grown_shard"
+        ] is None
         by[r["shard"]].append(r)
     assert set(by) <= set(range(n))
     for own in by.values():
@@ -26,7 +28,9 @@ def test_small_tables(docs):
 
 
 def test_even_bytes_and_whole_groups(spark):
-    rows = [(i, f"text {i} " + "word " * (i % 37)) for i in range(3000)] + [(10_000 + i, "copy " * 20) for i in range(60)]
+    rows = [
+        (i, f"text {i} " + "word " * (i % 37)) for i in range(3000)
+    ] + [(10_000 + i, "copy " * 20) for i in range(60)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sizes = check(got)
     mean = sum(sizes.values()) / 16
@@ -47,7 +51,9 @@ def test_a_text_with_a_third_of_the_rows_is_dealt_out(spark):
 def test_copies_without_ids_are_dealt_out_too(spark):
     """A third of all rows have one text and no id; columns have names that the operator might use itself."""
     rows = [(i, f"text {i} " + "word " * 20) for i in range(2000)] + [(None, "word " * 20)] * 1000
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_id", "_n", "_key", "_nr", "row", "Shard", "_run")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {c: F.lit(1) for c in ("_id", "_n", "_key", "_nr", "row", "Shard", "_run")}
+    )
     out = sharding.shard(docs)
     assert out.columns == [*[c for c in docs.columns if c != "Shard"], *sharding.RESULTS]
     sizes = check(out.drop("_id").collect())
