@@ -12,9 +12,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores, if the files that they come from give fewer tasks than there are cores.
+
+    A small table in one row group would be worked on by one task; a large one has tasks enough and isn't moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select(*columns))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the repository that they came from."""
-    return read(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "doc_id", "source", "text").select(
         F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text"
     )
 
@@ -129,7 +142,7 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(head, code, table, items)
 
     body = F.array_join(F.transform(lines, section), "\n\n")
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("repo"), "doc_id", F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
+    return documents(spark, sf_dir, "doc_id", "source", "text").select(F.col("source").alias("repo"), "doc_id", F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
 
 
 def llm_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
