@@ -5,9 +5,9 @@ wherever they stand. A first pass counts chunk hashes over all documents; chunks
 bit table of fixed size and encoded once each. A second pass encodes every document without such a chunk where it lies,
 and cuts the others into references to chunks and the runs between these, which it encodes. Then each document's
 parts are put in order, and every join is repaired: the text around it, back and on to the nearest space or line end,
-is encoded anew. To see that the repair agrees exactly with the whole, the file's own tokenizer encodes each join
-together with some words before and after it, and these must get the ids that the parts gave them; where they don't,
-more words are taken on both sides, and a join that never agrees is an error, not a guess.
+is encoded anew. Before a text is cut, the file's own tokenizer encodes the text around each join, and has to agree
+exactly with the repair; where it doesn't, more text is taken, and a document with a join that never agrees is encoded
+as a whole.
 
 A mark may be wrong in a full table; such a chunk takes the way of shared ones and the result is the same. Null and
 empty texts have no tokens. Equal, tied, null or repeated ids are fine, as rows are kept apart by their place, which is
@@ -33,13 +33,13 @@ WINDOW, LEAST, MOST, MASK = 16, 512, 8192, 1023
 #: The table of repeated chunks has 2**TABLE_BITS bits (2 MB), whatever the corpus.
 TABLE_BITS = 24
 _SLICE_BITS = 18
-#: Bytes of known text on each side of a join that its check begins with; a part keeps four times as many.
-CONTEXT = 24
+#: Bytes of text on each side of a join that its check looks at, one try after the other.
+CONTEXTS = (24, 96, 2048)
 _U = np.uint64
 _B32 = 0x9E3779B1
 RESULTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
-_PART = [("head", T.BinaryType()), ("lead", T.BinaryType()), ("ids", T.BinaryType()), ("trail", T.BinaryType()), ("tail", T.BinaryType()), ("solid", T.BooleanType())]
-_PART_ARROW = [pa.binary()] * 5 + [pa.bool_()]
+_PART = [("head", T.BinaryType()), ("ids", T.BinaryType()), ("tail", T.BinaryType()), ("solid", T.BooleanType())]
+_PART_ARROW = [pa.binary()] * 3 + [pa.bool_()]
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -109,11 +109,22 @@ def _last_words(text: bytes, least: int) -> bytes:
     return text[begin + found :] if found >= 0 else text
 
 
+def _around(data: bytes, at: int, least: int) -> bytes:
+    """The text around a place: so many bytes or more on both sides, up to spaces or line ends."""
+    begin = max(0, at - least - 8192)
+    while begin < at and (data[begin] & 0xC0) == 0x80:
+        begin += 1
+    end = min(len(data), at + least + 8192)
+    while end < len(data) and (data[end] & 0xC0) == 0x80:
+        end += 1
+    return _last_words(data[begin:at], least) + _first_words(data[at:end], least)
+
+
 class _Parts:
-    """Encodes runs of text into parts: head, first words, ids, last words and tail.
+    """Encodes runs of text into parts: head, ids and tail.
 
-    The ids are those of the text between the first and the last space, which the words are the ends of; head and tail
-    are the text before and after. A run without a space is all head.
+    The ids are those of the text between the first and the last space; head and tail are the text before and after. A
+    run without a space is all head.
     """
 
     def __init__(self, json: str):
@@ -123,49 +134,40 @@ class _Parts:
         out, inner = [], []
         for run in runs:
             first, last = _spaces(run)
-            text = b"" if first < 0 else run[first:last]
-            inner.append(text.decode())
-            out.append(
-                (run, b"", b"", b"", True) if first < 0 else (
-                    run[:first], _first_words(text, 4 * CONTEXT), _last_words(text, 4 * CONTEXT), run[last:], False
-                )
-            )
-        return [(h, a, ids, b, t, s) for (h, a, b, t, s), ids in zip(out, self.coder.encode(inner), strict=True)]
+            inner.append("" if first < 0 else run[first:last].decode())
+            out.append((run, b"", True) if first < 0 else (run[:first], run[last:], False))
+        return [(h, ids, t, s) for (h, t, s), ids in zip(out, self.coder.encode(inner), strict=True)]
 
     def join(self, documents: list[list[tuple]]) -> list[bytes]:
-        """The ids of documents from their parts, each join repaired and seen to agree."""
-        texts, around, shape = [], [], []
+        """The ids of documents from their parts, each join repaired: encoded anew from space to space."""
+        texts, shape = [], []
         for parts in documents:
-            own, open_text, before = [], b"", b""
-            for head, lead, inner, trail, tail, solid in parts:
+            own, open_text = [], b""
+            for head, inner, tail, solid in parts:
                 open_text += head
                 if not solid:
                     own += [len(texts), inner]
                     texts.append(open_text.decode())
-                    around.append((before, lead))
-                    open_text, before = tail, trail
+                    open_text = tail
             own.append(len(texts))
             texts.append(open_text.decode())
-            around.append((before, b""))
             shape.append(own)
         repaired = self.coder.encode(texts)
-        self._agree(texts, repaired, around)
         return [b"".join(x if isinstance(x, bytes) else repaired[x] for x in own) for own in shape]
 
-    def _agree(self, texts: list[str], repaired: list[bytes], around: list[tuple[bytes, bytes]]) -> None:
-        todo, least = list(range(len(texts))), CONTEXT
-        while todo:
-            sides = [
-                (_last_words(around[i][0], least).decode(), _first_words(around[i][1], least).decode()) for i in todo
-            ]
-            whole = self.coder.own([a + texts[i] + b for i, (a, b) in zip(todo, sides, strict=True)])
-            known = self.coder.encode([x for side in sides for x in side])
-            todo = [
-                i for i, x, a, b in zip(todo, whole, known[::2], known[1::2], strict=True) if x != a + repaired[i] + b
-            ]
-            if todo and least >= 4 * CONTEXT:
-                raise ValueError("this vocabulary merges across spaces, so chunks can't be joined")
-            least *= 2
+    def unlike(self, documents: list[bytes], joins: list[tuple[int, int]]) -> set[int]:
+        """The documents in which a join (document, place) doesn't agree with what the file's own tokenizer gives.
+
+        What a repair takes as boundaries, the spaces around a join, has to be such for the tokenizer: the text around
+        the join has the same ids as a whole and from space to space. Where it hasn't, more text is looked at.
+        """
+        todo = joins
+        for least in CONTEXTS:
+            if todo:
+                texts = [_around(documents[d], at, least).decode() for d, at in todo]
+                whole, pieces = self.coder.own(texts), self.coder.encode(texts)
+                todo = [j for j, x, y in zip(todo, whole, pieces, strict=True) if x != y]
+        return {d for d, _ in todo}
 
     def digest(self, ids: bytes) -> tuple[int, str, str]:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(
@@ -270,33 +272,36 @@ def encode(
         seen: set[int] = set()
         for batch in batches:
             place = batch.column(1).to_pylist()
-            alone, owner, nth, chunk, runs, last, found = [], [], [], [], [], [], {}
+            alone, mixed = [], []
             if len(seen) > 500_000:
                 seen.clear()
-
-            def add(i: int, k: int, name: int | None, run: bytes | None) -> int:
-                for to, x in zip((owner, nth, chunk, runs, last), (i, k, name, run, False), strict=True):  # noqa: B023
-                    to.append(x)
-                return k + 1
-
             for i, data, pieces, marked in cut(batch.column(2)):
                 if not any(marked):
                     alone.append(i)
                     continue
-                k, a = 0, 0
+                spans, a = [], 0
                 for (x, y, h), m in zip(pieces, marked, strict=True):
                     if m:
-                        if a < x:
-                            k = add(i, k, None, data[a:x])
-                        k = add(i, k, h, None)
+                        spans += [(a, x, None)] * (a < x) + [(x, y, h)]
                         a = y
-                        if h not in seen:
-                            seen.add(h)
-                            found[h] = data[x:y]
-                if a < len(data):
-                    add(i, k, None, data[a:])
-                last[-1] = True
+                spans += [(a, len(data), None)] * (a < len(data))
+                mixed.append((i, data, spans))
+            joins = [(k, x) for k, (_, _, spans) in enumerate(mixed) for x, _, _ in spans[1:]]
+            unlike = parts.unlike([data for _, data, _ in mixed], joins)
+            owner, nth, chunk, runs, last, found = [], [], [], [], [], {}
+            for k, (i, data, spans) in enumerate(mixed):
+                for j, (x, y, h) in enumerate([] if k in unlike else spans):
+                    owner.append(i)
+                    nth.append(j)
+                    chunk.append(h)
+                    runs.append(data[x:y] if h is None else None)
+                    last.append(j == len(spans) - 1)
+                    if h is not None and h not in seen:
+                        seen.add(h)
+                        found[h] = data[x:y]
             text = batch.column(2).take(pa.array(alone, pa.int64())).to_pylist()
+            ids = parts.coder.encode(text) + parts.coder.own([mixed[k][1].decode() for k in sorted(unlike)])
+            alone += [mixed[k][0] for k in sorted(unlike)]
             coded = iter(parts.encode([r for r in runs if r is not None]))
             filled = [next(coded) if r is not None else (None,) * len(_PART) for r in runs]
             # the carried columns go with a row's last part
@@ -305,7 +310,7 @@ def encode(
             columns = [
                 pa.array([0] * n + [1] * m + [2] * o, pa.int8()),
                 batch.column(0).take(pa.array(taken, pa.int64())),
-                *[pa.concat_arrays([x, pa.nulls(m + o, x.type)]) for x in done(parts, parts.coder.encode(text))],
+                *[pa.concat_arrays([x, pa.nulls(m + o, x.type)]) for x in done(parts, ids)],
                 pa.array([None] * n + [place[i] for i in owner] + [None] * o, pa.int64()),
                 pa.array([None] * n + nth + [None] * o, pa.int32()),
                 pa.array([None] * n + chunk + list(found), pa.int64()),

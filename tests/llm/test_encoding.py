@@ -77,3 +77,30 @@ def test_encode(docs, spark, word_vocabulary):
     got = bpe.encode(rows, word_vocabulary, carry=["doc_id"]).drop("ids")
     assert Counter(map(tuple, got.collect())) == want
     assert bpe.encode(rows.where("false"), word_vocabulary).count() == 0
+
+
+def test_joins_that_the_tokenizer_doesnt_make_are_found(word_vocabulary):
+    """Where the tokenizer takes the text around a join otherwise than from space to space, the document isn't cut."""
+    parts = bpe._Parts(_bpe.read(word_vocabulary))
+    rnd = random.Random(5)
+    documents = [" ".join(rnd.choice(texts(40, 6)) for _ in range(60)).encode() for _ in range(6)] + ["日本é".encode() * 4000]
+
+    def places(data):
+        return [x for x in (len(data) // 3, len(data) // 2) if (data[x] & 0xC0) != 0x80]
+
+    joins = [(k, x) for k, d in enumerate(documents) for x in places(d)]
+    assert parts.unlike(documents, joins) == set() and len(joins) > 6
+
+    real = parts.coder
+
+    class Merging:
+        """Merges "zz yy" into one token, whatever is between, and else does as the vocabulary."""
+
+        encode = staticmethod(real.encode)
+
+        def own(self, found):
+            return [b"merged" if "zz yy" in t else x for t, x in zip(found, real.own(found), strict=True)]
+
+    near, far = b"some words zz yy and more words here", b"zz yy " + b"words " * 2000
+    parts.coder = Merging()
+    assert parts.unlike([near, far, far], [(0, 13), (1, 4), (2, 9000)]) == {0, 1}
