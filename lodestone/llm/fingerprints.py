@@ -25,6 +25,8 @@ SEED = 11
 AT_ONCE, IN_WORD = 4, 4
 #: Ranges of ids taken from quantiles; more buckets cut these evenly.
 RANGES = 4096
+#: Rows of guests that may be sent to all tasks.
+MOST_SENT = 100_000
 #: A sample of a text without words.
 _NONE = 0xFFFF
 
@@ -94,8 +96,9 @@ def in_ranges(docs: DataFrame, n: int) -> DataFrame:
         F.col("_bucket").alias("_to"), F.lead(F.struct("_ord", "_hash")).over(lead).alias("g")
     ).crossJoin(F.broadcast(start))
     guests = guests.withColumn("g", F.coalesce("g", "start")).select("_to", "g._ord", "g._hash")
-    # bounded by the number of buckets; a bucket is some MB of texts
-    visits = ordered.join(F.broadcast(guests), ["_ord", "_hash"]).dropDuplicates(["_to"])
+    # a row for each bucket; with very many buckets the rows are joined by their keys instead
+    guests = F.broadcast(guests) if n <= MOST_SENT else guests
+    visits = ordered.join(guests, ["_ord", "_hash"]).dropDuplicates(["_to"])
     visits = visits.withColumn("_bucket", F.col("_to")).drop("_to").withColumn("_guest", F.lit(True))
     visits = _shared.staged(visits.select(*ordered.columns, "_guest"), "print-guests")
     return ordered.withColumn("_guest", F.lit(False)).unionByName(visits)
