@@ -31,7 +31,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     scratch = _shared.Scratch(edges.sparkSession)
     one_way = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    now = scratch.stage(one_way, "star")
+    now = scratch.stage(one_way, "star", short=True)
     while not _hangs(now):
         # large star: each node's larger neighbours are hung on its smallest neighbour or itself
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,10 +42,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
-        now = scratch.stage(small.where("u <> v").distinct(), "star")
+        now = scratch.stage(small.where("u <> v").distinct(), "star", short=True)
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     ends = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    found = _shared.staged(roots.union(ends), "roots")
+    found = _shared.staged(roots.union(ends), "roots", short=True)
     scratch.clear()
     return found
 
@@ -61,4 +61,4 @@ def joined(roots: DataFrame, edges: DataFrame, u: str = "u", v: str = "v") -> Da
     moved = roots.join(above, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
     # roots of old components are among the old nodes; nodes that had no component come with the new ones
     fresh = tops.join(roots.select("node"), "node", "left_anti")
-    return _shared.staged(moved.union(fresh), "roots")
+    return _shared.staged(moved.union(fresh), "roots", short=True)

@@ -22,7 +22,7 @@ def tune(spark: SparkSession) -> None:
     Results are lazy, so the settings have to hold until these are used; they stay set in the session.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     # a join of texts with a few chosen ids first drops, by a Bloom filter, most texts that aren't chosen
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
 
@@ -74,15 +74,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, short: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends, and lost executors lose nothing.
 
-    The table stays, as results may read it; release() deletes it.
+    The table stays, as results may read it; release() deletes it. A table of `short` rows is written in an eighth of the
+    files, each by one task after the other partitions that go into it; every file costs a store some requests.
     """
-    return _stage(df, work_path(df.sparkSession, name))
+    return _stage(df, work_path(df.sparkSession, name), short)
 
 
-def _stage(df: DataFrame, path: str) -> DataFrame:
+def _stage(df: DataFrame, path: str, short: bool) -> DataFrame:
+    if short:
+        df = df.coalesce(max(8, -(-n_partitions(df.sparkSession) // 8)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -106,9 +109,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, short: bool = False) -> DataFrame:
         self.paths.append(work_path(self.spark, name))
-        return _stage(df, self.paths[-1])
+        return _stage(df, self.paths[-1], short)
 
     def clear(self) -> None:
         for path in self.paths:

@@ -39,6 +39,8 @@ from . import _components, _shared, _words
 GROWTH = 1.25
 #: Signatures that a task gathers before it sends them on.
 FLUSH = 500_000
+#: A task sorts the signatures of a bucket by ranges of these leading bits.
+LEAD_BITS = 4
 #: Hashes that a task remembers so as not to repeat itself; when they are as many, it forgets them.
 REMEMBER = 500_000
 #: Bits of a sketch for each element that two linked sets may differ in.
@@ -123,9 +125,13 @@ def sketch_bits(size: np.ndarray, num: int, den: int) -> np.ndarray:
 def sketches(width: np.ndarray, doc: np.ndarray, value: np.ndarray) -> list[bytes]:
     """For each document parities: how many elements each bit has, modulo 2. A half width is the sum of both halves."""
     first = np.concatenate(([0], np.cumsum(width)))
-    bit = first[doc] + (_words.mix(value ^ _U(0x8EBC6AF09C88C6E3)) & (width[doc] - 1).astype(_U)).astype(np.int64)
-    odd = np.packbits((np.bincount(bit, minlength=int(first[-1])) & 1).astype(np.uint8))
-    return [odd[a:b].tobytes() for a, b in zip(first[:-1] // 8, first[1:] // 8, strict=True)]
+    bit = (_words.mix(value ^ _U(0x8EBC6AF09C88C6E3)) & (width[doc] - 1).astype(_U)).astype(np.int64) + first[doc]
+    # the bits that an odd number of elements has; a table of counts would be many times larger than the elements
+    bit, count = np.unique(bit, return_counts=True)
+    bit = bit[count & 1 == 1]
+    out = np.zeros(int(first[-1]) // 8, np.uint8)
+    np.bitwise_or.at(out, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+    return [out[a:b].tobytes() for a, b in zip(first[:-1] // 8, first[1:] // 8, strict=True)]
 
 
 def signatures(bands: Bands, size: np.ndarray, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,18 +239,24 @@ def _signed(bands: Bands, n: int, keys: list[int]):
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each signature with two sets or more: the group's hash, its members, its size and its first member."""
-    by: dict[int, list] = {}
+    by: dict[tuple[int, int], list] = {}
     for batch in batches:
         for bucket, nodes, counts, signs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = np.frombuffer(nodes, _U)
             count = np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(own) else np.uint32)
             wide = np.zeros((int(count.sum()), 8), np.uint8)
             wide[:, :5] = np.frombuffer(signs, np.uint8).reshape(-1, 5)
-            by.setdefault(bucket, []).append((wide.reshape(-1).view(_U), np.repeat(own, count)))
+            sign, node = wide.reshape(-1).view(_U), np.repeat(own, count)
+            # signatures of a few leading bits each are sorted at once
+            lead = (sign >> _U(40 - LEAD_BITS)).astype(np.uint8)
+            order = np.argsort(lead, kind="stable")
+            cuts = np.searchsorted(lead[order], np.arange((1 << LEAD_BITS) + 1))
+            for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if a < b:
+                    by.setdefault((bucket, k), []).append((sign[order[a:b]], node[order[a:b]]))
     known: set[int] = set()
-    for parts in by.values():
-        sign, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
+    for key in list(by):
+        sign, node = (np.concatenate(x) for x in zip(*by.pop(key), strict=True))
         order = np.lexsort((node, sign))
         sign, node = sign[order], node[order]
         new = np.ones(len(sign), bool)
@@ -497,7 +509,9 @@ class _Join:
         """node and elements of these nodes, from the text of one row each; what was read before isn't read again."""
         n = self.n
         want = nodes if self.known is None else nodes.join(self.known.select("node"), "node", "left_anti")
-        owners = self.scratch.stage(marks.select("node", "_id").join(want, "node", "left_semi"), "join-owners")
+        owners = self.scratch.stage(
+            marks.select("node", "_id").join(want, "node", "left_semi"), "join-owners", short=True
+        )
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -592,12 +606,12 @@ def join_classes(
     blocks = join.scratch.stage(join.blocks(groups, roots, marks), "join-blocks")
     given = join.scratch.stage(join.search(blocks, marks), "join-given")
     pairs = join.scratch.stage(
-        given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs"
+        given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs", short=True
     )
     if not pairs.isEmpty():
         links = join.verified(pairs, marks)
         roots = _components.joined(roots, links, "a", "b")
-        failed = join.scratch.stage(pairs.join(links, ["a", "b"], "left_anti"), "join-failed")
+        failed = join.scratch.stage(pairs.join(links, ["a", "b"], "left_anti"), "join-failed", short=True)
         if not failed.isEmpty():
             keys = given.select(
                 "key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
@@ -605,7 +619,7 @@ def join_classes(
             again = blocks.drop("root").join(
                 keys.select("key").distinct(), "key", "left_semi"
             ).join(roots, "node", "left")
-            again = join.scratch.stage(again.withColumn("root", F.coalesce("root", "node")), "join-again")
+            again = join.scratch.stage(again.withColumn("root", F.coalesce("root", "node")), "join-again", short=True)
             held = join.sets_of(again.select("node").distinct(), marks)
             more = join.scratch.stage(join.search(again, marks, held).select("a", "b").distinct(), "join-more")
             if not more.isEmpty():
@@ -625,7 +639,9 @@ def ngram_join(
     )
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = _shared.staged(classes.join(least, "root").select("node", "copies", "component_id"), "join-classes")
+    named = _shared.staged(
+        classes.join(least, "root").select("node", "copies", "component_id"), "join-classes", short=True
+    )
     # classes of more than 1 / HEAVY of all rows are at most HEAVY, so they may be sent to the rows; the others' rows move
     often = max(1000, rows.count() // HEAVY)
     heavy = F.broadcast(named.where(F.col("copies") > often).select("node", "component_id"))
@@ -654,11 +670,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
         F.xxhash64(_shared.text_or_empty()).alias("hash"),
     )
     inner = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row"), _shared.text_or_empty().alias("words"))
-    found = _shared.staged(ngram_join(inner, id_col="row", text_col="words", **options), "join-result")
-    gone = _shared.staged(found.where("row <> component_id").select("row").distinct(), "join-gone")
+    found = _shared.staged(ngram_join(inner, id_col="row", text_col="words", **options), "join-result", short=True)
+    gone = _shared.staged(found.where("row <> component_id").select("row").distinct(), "join-gone", short=True)
     kept = inner.join(gone, "row", "left_anti")
     again = found.where("n_shingles > 0 OR NOT row.none").groupBy("row").count().where("count > 1").select("row")
-    again = _shared.staged(again.join(gone, "row", "left_anti"), "join-again")
+    again = _shared.staged(again.join(gone, "row", "left_anti"), "join-again", short=True)
     if again.isEmpty():
         return kept.select("doc.*")
     once = kept.join(again, "row", "left_semi").dropDuplicates(["row", "words"])
