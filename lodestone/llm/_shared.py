@@ -35,6 +35,7 @@ def small_plans(spark: SparkSession) -> Iterator[None]:
         "spark.sql.codegen.wholeStage": "false",
         "spark.sql.codegen.factoryMode": "NO_CODEGEN",
         "spark.sql.shuffle.partitions": "4",
+        "spark.sql.adaptive.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
@@ -77,8 +78,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, short: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends, and lost executors lose nothing.
 
-    The table stays, as results may read it; release() deletes it. A table of `short` rows is written in an eighth of the
-    files, each by one task after the other partitions that go into it; every file costs a store some requests.
+    The table stays, as results may read it; release() deletes it. A table of `short` rows is written in an eighth of
+    the files, each by one task that goes through its partitions in turn; every file costs a store some requests.
     """
     return _stage(df, work_path(df.sparkSession, name), short)
 
