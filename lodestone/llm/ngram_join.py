@@ -15,9 +15,9 @@ Links are found in three rounds, none of which makes the pairs of a group. (1) E
 most groups with, and the sets of a group of two meet. (2) Groups whose sets aren't in one component yet are searched in
 blocks: parity sketches, as wide as the band's k asks for, bound the difference of two sets from below, and a block
 gives no more pairs than its components would need to become one. All pairs are verified on whole sets with integer
-arithmetic. (3) Blocks of which a pair has failed are searched once more with the whole sets themselves, so what they
-give needs no verification. A block holds LOT sets and LOT_BYTES of elements at most; a larger group is cut into lots, and
-each two lots make a block.
+arithmetic. (3) Blocks of which a pair has failed are searched once more with the whole sets themselves (of the rows that
+sketches still let be linked), so what they give needs no verification. Groups of one hub mostly make one block. A block
+holds LOT sets and LOT_BYTES of elements at most; a larger one is cut into lots, and each two lots make a block.
 
 Nulls and empty texts have the empty set and are linked with nothing; each is its own class. Rows without an id take
 part like others, but a component is named by a row that has one. Rows that repeat an id are joined by their texts; the
@@ -47,6 +47,8 @@ REMEMBER = 500_000
 SKETCH_RATE = 16
 #: Sets of one group, and bytes of their elements, that are compared with each other at once.
 LOT, LOT_BYTES = 4096, 32 << 20
+#: Sets that the groups of one hub may have in all to be searched together in any case.
+FEW = 256
 #: Classes that may be sent to all tasks.
 HEAVY = 4096
 _U = np.uint64
@@ -314,6 +316,19 @@ class _Block:
                 out[lo:hi] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
         return out
 
+    def near(self) -> np.ndarray:
+        """Nodes that sizes and sketches let be linked with one of another component."""
+        num, den, size = self.num, self.den, self.size
+        found = np.zeros(len(size), bool)
+        for i in range(len(size)):
+            # a pair is seen from its smaller set
+            b = int(np.searchsorted(size, size[i] * den // num, side="right"))
+            at = i + 1 + np.flatnonzero(self.comp[i + 1 : b] != self.comp[i])
+            good = at[self.apart(i, at) <= (den - num) * (size[at] + size[i]) // (den + num)] if len(at) else at
+            found[good] = True
+            found[i] |= len(good) > 0
+        return self.node[found]
+
     def forest(self, linked=None) -> list[tuple[int, int]]:
         """Pairs that make of the components those that all pairs not ruled out would make.
 
@@ -417,6 +432,18 @@ def _searched(num: int, den: int, exact: bool):
     return run
 
 
+def _near(num: int, den: int):
+    """Of the blocks (key, node, root, n_shingles, sketch) the rows that may be linked with one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches):
+            node = _Block(rows, num, den).near()
+            key = np.full(len(node), rows.column(0)[0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+
+    return run
+
+
 def _refuted(num: int, den: int):
     """Of pairs (a, b, sizes, sketches) those that sizes and sketches don't rule out."""
 
@@ -564,14 +591,28 @@ class _Join:
         return self.scratch.stage(kept, "join-stars")
 
     def blocks(self, groups: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-        """key, node, root and n_shingles of the groups that aren't in one component, cut into lots of bounded size."""
+        """key, node, root and n_shingles of the groups that aren't in one component, cut into lots of bounded size.
+
+        Groups of one hub mostly have the same sets. Where their union costs no more comparisons than they do one by one
+        (or few), it stands in for them: all their pairs are in it, and each set is moved once for a hub.
+        """
         sizes = marks.select("node", "n_shingles")
-        rows = groups.where("n > 2").select("grp", "node").join(sizes, "node").join(roots, "node", "left")
+        rows = groups.where("n > 2").join(sizes, "node").join(roots, "node", "left")
         rows = rows.withColumn("root", F.coalesce("root", "node"))
+        open_ = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        rows = self.scratch.stage(rows.join(open_.select("grp"), "grp"), "join-open", short=True)
+
+        # a group's rows have its size each, so these add up to the squares of the sizes
+        met = rows.groupBy("hub", "node", "root", "n_shingles").agg(F.sum("n").alias("n"))
+        hubs = met.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cost"))
+        united = hubs.select("hub", ((F.col("m") * F.col("m") <= F.col("cost")) | (F.col("m") <= FEW)).alias("united"))
+        own = ["node", "root", "n_shingles"]
+        one = met.join(united.where("united"), "hub").select(F.col("hub").alias("grp"), *own)
+        rows = one.union(rows.join(united.where("NOT united"), "hub").select("grp", *own))
+
         n, held = F.count(F.lit(1)), F.sum("n_shingles")
         lots = F.greatest(F.ceil(n / LOT), F.ceil(held * 8 / LOT_BYTES)).cast("int").alias("lots")
-        open_ = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lots).where("lo <> hi")
-        rows = rows.join(open_.select("grp", "lots"), "grp").withColumn(
+        rows = rows.join(rows.groupBy("grp").agg(lots), "grp").withColumn(
             "mine", F.pmod(F.xxhash64("node"), "lots").cast("int")
         )
         # a lot meets each other lot; an only lot meets itself
@@ -582,15 +623,26 @@ class _Join:
         key = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
         return rows.select(key, "node", "root", "n_shingles")
 
-    def search(self, blocks: DataFrame, marks: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    def laid(self, blocks: DataFrame, marks: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        """The blocks with sketches and, if given, sets; the rows of a key follow each other in a task."""
         # sketches and sets join last, so that all before moves short rows
         laid = blocks.join(marks.select("node", "sketch"), "node")
         if held is not None:
             laid = laid.join(held, "node")
-        laid = laid.select(
+        return laid.select(
             "key", *[c for c in laid.columns if c != "key"]
         ).repartition(self.parts, "key").sortWithinPartitions("key")
-        return laid.mapInArrow(_searched(self.num, self.den, held is not None), "key long, a long, b long")
+
+    def search(self, blocks: DataFrame, marks: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        exact = _searched(self.num, self.den, held is not None)
+        return self.laid(blocks, marks, held).mapInArrow(exact, "key long, a long, b long")
+
+    def near(self, blocks: DataFrame, marks: DataFrame) -> DataFrame:
+        """Those rows of the blocks that may be linked with one of another component."""
+        near = self.scratch.stage(
+            self.laid(blocks, marks).mapInArrow(_near(self.num, self.den), "key long, node long"), "join-near", short=True
+        )
+        return self.scratch.stage(blocks.join(near, ["key", "node"], "left_semi"), "join-left", short=True)
 
 
 def join_classes(
@@ -620,6 +672,8 @@ def join_classes(
                 keys.select("key").distinct(), "key", "left_semi"
             ).join(roots, "node", "left")
             again = join.scratch.stage(again.withColumn("root", F.coalesce("root", "node")), "join-again", short=True)
+            # whole sets are long, so only those are moved that can still be linked
+            again = join.near(again, marks)
             held = join.sets_of(again.select("node").distinct(), marks)
             more = join.scratch.stage(join.search(again, marks, held).select("a", "b").distinct(), "join-more")
             if not more.isEmpty():

@@ -89,6 +89,48 @@ def test_lots_and_poor_sketches_lose_nothing(spark, monkeypatch, rate):
     assert got == brute(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize("few", [256, 0])
+def test_groups_of_one_hub_make_one_block(spark, monkeypatch, few):
+    """A set is moved once for each hub, not for each signature; no pair of an open group is lost."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rnd = random.Random(3)
+    text = [f"w{rnd.randrange(50)}" for _ in range(120)]
+    rows = []
+    for copy in range(40):
+        other = list(text)
+        for at in rnd.sample(range(120), 2):
+            other[at] = f"x{copy}"
+        rows.append((copy, " ".join(other)))
+    join = ngram_join._Join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, "text", "doc_id")
+    groups = join.groups()
+    marks = join.marks(join.measure(), groups)
+    alone = spark.createDataFrame([], "node long, root long")
+    blocks = join.blocks(groups, alone, marks).select("key", "node").toPandas()
+    wide = groups.where("n > 2").toPandas()
+    if few:
+        assert len(blocks) == len(wide.groupby(["hub", "node"])) < len(wide) / 4
+    assert not blocks.duplicated().any() and len(blocks) <= len(wide)
+
+    def pairs(frame, key):
+        return {p for _, own in frame.groupby(key) for p in combinations(sorted(own["node"]), 2)}
+
+    assert pairs(wide, "grp") <= pairs(blocks, "key")
+
+
+def test_near_rows_of_a_block():
+    """Only rows that may be linked with one of another component are searched with whole sets."""
+    import pyarrow as pa
+
+    sets = [range(100), range(3, 103), range(500, 600), range(500, 601), range(900, 1000)]
+    value = _words.mix(np.array([x for s in sets for x in s], np.uint64))
+    size = np.array([len(s) for s in sets])
+    marks = ngram_join.sketches(ngram_join.sketch_bits(size, 85, 100), np.repeat(np.arange(5), size), value)
+    rows = {"key": [1] * 5, "node": range(5), "root": [0, 1, 2, 2, 4], "n_shingles": size, "sketch": marks}
+    block = pa.RecordBatch.from_arrays([pa.array(v) for v in rows.values()], list(rows))
+    (got,) = ngram_join._near(85, 100)(iter([block]))
+    assert sorted(got.column(1).to_pylist()) == [0, 1]
+
+
 @pytest.mark.parametrize(("num", "size"), [(85, 8), (85, 30), (85, 200), (80, 12), (80, 60), (80, 900), (60, 40)])
 def test_similar_sets_share_a_signature(num, size):
     rng = np.random.default_rng(size)
