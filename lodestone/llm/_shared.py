@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; one longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Tables that are staged between two collections of the driver's garbage.
+SWEEP_EVERY = 2
 
 
 def tune(spark: SparkSession) -> None:
@@ -66,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
 _own_dirs: dict[str, str] = {}
 #: Folders written by this process and not deleted yet.
 _written: list[str] = []
+#: Tables staged by this process.
+_count = itertools.count(1)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -88,9 +93,17 @@ def _stage(df: DataFrame, path: str, short: bool) -> DataFrame:
     if short:
         df = df.coalesce(max(8, -(-n_partitions(df.sparkSession) // 8)))
     df.write.parquet(path)
+    if next(_count) % SWEEP_EVERY == 0:
+        sweep(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark drops shuffle files and broadcasts only when it sees that no plan is left
+    which reads them, and an operator of many short steps leaves many plans before the heap happens to be full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

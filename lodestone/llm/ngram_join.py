@@ -51,6 +51,8 @@ LOT, LOT_BYTES = 4096, 32 << 20
 FEW = 256
 #: Classes that may be sent to all tasks.
 HEAVY = 4096
+#: Words of 64 bits that tell all tasks which rows' texts have to be moved.
+WORDS = 1 << 17
 _U = np.uint64
 
 
@@ -726,10 +728,28 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     inner = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row"), _shared.text_or_empty().alias("words"))
     found = _shared.staged(ngram_join(inner, id_col="row", text_col="words", **options), "join-result", short=True)
     gone = _shared.staged(found.where("row <> component_id").select("row").distinct(), "join-gone", short=True)
-    kept = inner.join(gone, "row", "left_anti")
     again = found.where("n_shingles > 0 OR NOT row.none").groupBy("row").count().where("count > 1").select("row")
     again = _shared.staged(again.join(gone, "row", "left_anti"), "join-again", short=True)
+    sure, named = _split(inner, gone.union(again))
+    kept = named.join(gone, "row", "left_anti")
     if again.isEmpty():
-        return kept.select("doc.*")
+        return sure.select("doc.*").union(kept.select("doc.*"))
     once = kept.join(again, "row", "left_semi").dropDuplicates(["row", "words"])
-    return kept.join(again, "row", "left_anti").select("doc.*").union(once.select("doc.*"))
+    rest = kept.join(again, "row", "left_anti")
+    return sure.select("doc.*").union(rest.select("doc.*")).union(once.select("doc.*"))
+
+
+def _split(inner: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of `inner` that are none of the rows, found without moving any, and the others.
+
+    A table of WORDS words at most has a bit set for each of the rows; where a row's bit isn't set, it is none of them.
+    The others are all of the rows and a few that share a bit with one (the more, the fuller the table).
+    """
+    place = F.pmod(F.xxhash64("row"), F.lit(64 * WORDS))
+    word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    bits = rows.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(
+        F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")
+    )
+    told = inner.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
+    told = told.withColumn("_named", F.expr("coalesce(shiftright(_bits, _bit) & 1L, 0L) = 1L"))
+    return told.where("NOT _named").select(inner.columns), told.where("_named").select(inner.columns)

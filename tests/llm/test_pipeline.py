@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_quality import WORD, cells_by_loops, counts, gumbel
 
 import corpus_pipeline
-from lodestone.llm import ngram_model, quality_classifier, quality_rules
+from lodestone.llm import _shared, ngram_join, ngram_model, quality_classifier, quality_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +111,38 @@ def test_near_copies_are_dropped_by_row(spark):
     last = [k for k in got if k[0] is None and k[1] and k[1].startswith(c[::-1])]
     assert len(last) == 1 and got.pop(last[0]) == 1
     assert got == Counter([(1, a), (2, b), (3, c), (3, d), (5, "x y"), (None, None), (None, None)])
+
+
+def test_texts_that_stay_are_not_moved(spark, monkeypatch):
+    """Near copies are taken off without a shuffle of the other texts, however many rows go; a full table loses nothing."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i] + " end") for i in range(0, 300, 10)]
+    docs = spark.createDataFrame([*rows, (7, texts[7]), (None, texts[0])], "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for words in (ngram_join.WORDS, 1):
+            monkeypatch.setattr(ngram_join, "WORDS", words)
+            split, seen = ngram_join._split, []
+            monkeypatch.setattr(ngram_join, "_split", lambda *x: seen.append(split(*x)) or seen[-1])  # noqa: B023
+            out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+            monkeypatch.setattr(ngram_join, "_split", split)
+            got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+            assert got == Counter(enumerate(texts))
+            sure, named = (x.count() for x in seen[0])
+            assert sure + named == docs.count() and named >= 33
+            # the 31 near copies and the two equal rows, and few that share a bit with one of them
+            if words > 1:
+                assert named <= 40
+                plan = seen[0][0].select("doc.*")._jdf.queryExecution().sparkPlan().toString()
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "text" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_garbage_of_staged_tables_is_collected(spark, monkeypatch):
+    swept = []
+    monkeypatch.setattr(_shared, "sweep", swept.append)
+    for _ in range(2 * _shared.SWEEP_EVERY):
+        _shared.staged(spark.range(3), "few").count()
+    assert len(swept) == 2
