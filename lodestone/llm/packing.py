@@ -66,7 +66,7 @@ def _without(docs: DataFrame, matches: DataFrame) -> DataFrame:
     ).where("left > 0")
 
 
-def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int, widest: int) -> DataFrame:
+def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int, widest: int, stage) -> DataFrame:
     """One successor sweep: the state after each document has been offered the smallest gap that holds it.
 
     Runs of documents and gaps are sorted together, the longest first and gaps before documents of their size. Going down,
@@ -74,6 +74,9 @@ def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int,
     document: the conflict is settled by rank. The pile is never built: prefix sums give the levels of it that a run lays
     or takes, and in each stretch of levels a taking run meets the run that laid it last. A gap takes one document, or
     `bundle` documents of one length, if that is at most `small`.
+
+    What several steps read is staged by stage(rows, name): else the plan would have it once for each way that leads to
+    it, and plans of that size fill the driver.
     """
     none = F.lit(None).cast("long")
     many = F.when(F.col("length") <= small, bundle).otherwise(1)
@@ -101,6 +104,7 @@ def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int,
         {"before": F.coalesce(F.lag("after").over(order), F.lit(0)), "pos": F.row_number().over(order)}
     )
     runs = runs.withColumns({"lo": F.least("before", "after"), "hi": F.greatest("before", "after")}).where("lo < hi")
+    runs = stage(runs.select("takes", "size", "at", "length", "q", "pos", "lo", "hi"), "pack-runs")
     ends = runs.select(F.explode(F.array("lo", "hi")).alias("level")).distinct()
     by_level = Window.orderBy("level")
     ends = ends.select(
@@ -116,6 +120,7 @@ def _swept(docs: DataFrame, gaps: DataFrame, size: int, bundle: int, small: int,
     ).join(ends, "k")
     near = Window.partitionBy("k").orderBy("pos")
     cut = cut.withColumns({"laid": F.lag(F.struct("at", "lo", "size")).over(near), "next": F.lead("takes").over(near)})
+    cut = stage(cut, "pack-cut")
     inside = F.col("level") - F.col("lo")
     met = cut.where("takes = 1").withColumns(
         {"first": F.col("laid.at") + F.col("level") - F.col("laid.lo"), "gap": F.col("laid.size")}
@@ -190,7 +195,7 @@ def best_fit(counts: DataFrame, size: int = SEQUENCE) -> DataFrame:
         fitting = sum(n for g, n in there.items() if g >= min(waiting))
         bundle = max(1, sum(waiting.values()) // fitting)
         small = size if bundle * top <= widest else size // SMALL
-        swept = scratch.stage(_swept(docs, gaps, size, bundle, small, widest), "pack-swept")
+        swept = scratch.stage(_swept(docs, gaps, size, bundle, small, widest, scratch.stage), "pack-swept")
         matches = swept.where(F.col("kind") == _MATCH)
         found.append(matches)
         state = scratch.stage(_without(docs, matches).union(swept.where(F.col("kind") == _GAP)), "pack-round")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestone.llm import _bpe, packing, token_counts
+from lodestone.llm import _bpe, _shared, packing, token_counts
 
 
 def placed(spark, counts, size):
@@ -136,3 +136,19 @@ def test_every_limit_is_answered(spark):
     assert [
         tuple(r) for r in token_counts.truncated_totals(hist.where("false"), limits.where("limit_tokens = 5")).collect()
     ] == [(5, 0, 0)]
+
+
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    windows = []
+    stage = _shared.Scratch.stage
+
+    def seen(self, df, name, short=False):
+        windows.append(str(df._jdf.queryExecution().optimizedPlan()).count("Window ["))
+        return stage(self, df, name, short)
+
+    monkeypatch.setattr(_shared.Scratch, "stage", seen)
+    counts = spark.createDataFrame([(3, 5), (4, 2), (7, 3), (10, 1)], "length int, n long")
+    with _shared.small_plans(spark):
+        found = packing.best_fit(counts, 10).collect()
+    assert sum(r["n"] for r in found) == 11
+    assert 0 < max(windows) <= 8
